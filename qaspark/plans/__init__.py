@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("template_queries",)
+FAMILIES = ("template_queries", "dataset_queries")
 
 
 def load_catalog():
