@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qaspark.functions import text
 from qaspark.functions.curriculum import paraphrase_count
+from qaspark.functions.let import let
 
 # Word class, headword and its synonyms.
 SYNONYM_TEXT = """
@@ -113,13 +114,15 @@ def lexicon_tag(token_array: Column) -> Column:
     for pos, head, _ in SYNONYMS:
         classes.setdefault(pos, []).append(head)
 
-    def tag(word: Column) -> Column:
-        pos = F.lit(None).cast("string")
+    def pos_of(word: Column) -> Column:
+        pos = F.lit("X")
         for name, heads in classes.items():
-            pos = F.when(plain(word).isin(*heads), F.lit(name)).otherwise(pos)
-        return F.struct(word.alias("word"), F.coalesce(pos, F.lit("X")).alias("pos"))
+            pos = F.when(word.isin(*heads), F.lit(name)).otherwise(pos)
+        return pos
 
-    return F.transform(token_array, tag)
+    return F.transform(
+        token_array, lambda word: F.struct(word.alias("word"), let(plain(word), pos_of).alias("pos"))
+    )
 
 
 def _synonym_map() -> Column:
@@ -196,8 +199,12 @@ def passive(tagged: Column) -> Column:
 
 def candidates(question: Column, tagged: Column) -> Column:
     """Distinct sentences of all rules, without the question itself and without nulls."""
-    every = F.concat(synonym_variants(tagged), F.array(fronted_adverb(tagged), passive(tagged)))
-    return F.array_distinct(F.filter(every, lambda c: c.isNotNull() & (c != question)))
+
+    def distinct(t: Column) -> Column:
+        every = F.concat(synonym_variants(t), F.array(fronted_adverb(t), passive(t)))
+        return F.array_distinct(F.filter(every, lambda c: c.isNotNull() & (c != question)))
+
+    return let(tagged, distinct)
 
 
 def pick_views(question: Column, options: Column, difficulty: Column, seed: int = 0) -> Column:
@@ -209,5 +216,7 @@ def pick_views(question: Column, options: Column, difficulty: Column, seed: int
     ordered = F.array_sort(
         F.transform(options, lambda c: F.struct(F.md5(F.concat(c, F.lit(f":{seed}"))).alias("k"), c.alias("c")))
     )
-    picked = F.slice(ordered, 1, wanted)["c"]
-    return F.concat(F.array(question), picked, F.array_repeat(question, wanted - F.size(picked)))
+    return let(
+        F.slice(ordered, 1, wanted)["c"],
+        lambda picked: F.concat(F.array(question), picked, F.array_repeat(question, wanted - F.size(picked))),
+    )

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qaspark.functions.let import let
+
 # White space as Python's str methods see it, and the token and number patterns.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 TOKEN_PATTERN = r"\p{Nd}+\.\p{Nd}+|\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[^\p{IsWhite_Space}\x1c-\x1f]"
@@ -89,8 +91,8 @@ def strip_question_echo(question: Column, answer: Column) -> Column:
     Runs of equal length are taken in text order. A run longer than the answer can never match, and
     the answer only shrinks, so such runs are left out before the sort.
     """
-    # Bind the split once: nested lambdas would otherwise repeat it for each run.
-    def removed(w: Column) -> Column:
+    def removed(given: Column) -> Column:
+        w, said = given["w"], given["said"]
         runs = F.flatten(
             F.transform(
                 F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)),
@@ -100,7 +102,7 @@ def strip_question_echo(question: Column, answer: Column) -> Column:
                 ),
             )
         )
-        fitting = F.filter(F.array_distinct(runs), lambda g: F.length(g) <= F.length(answer))
+        fitting = F.filter(F.array_distinct(runs), lambda g: F.length(g) <= F.length(said))
         ordered = F.array_sort(
             F.transform(fitting, lambda g: F.struct((-F.length(g)).alias("k"), g.alias("g")))
         )
@@ -108,14 +110,14 @@ def strip_question_echo(question: Column, answer: Column) -> Column:
             F.size(w) >= 2,
             F.aggregate(
                 ordered,
-                answer,
+                said,
                 lambda acc, s: F.when(
                     F.contains(acc, s["g"]), strip(F.replace(acc, s["g"], F.lit("")))
                 ).otherwise(acc),
             ),
-        ).otherwise(answer)
+        ).otherwise(said)
 
-    return F.transform(F.array(words(question)), removed)[0]
+    return let(F.struct(words(question).alias("w"), answer.alias("said")), removed)
 
 
 def pad_ids(ids: Column, length: int, pad_id: int = 0) -> Column:

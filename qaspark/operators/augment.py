@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qaspark.functions import paraphrase, patches
 from qaspark.functions.curriculum import clamp
+from qaspark.functions.let import let
 
 
 def synonym_table(spark: SparkSession) -> DataFrame:
@@ -26,14 +27,17 @@ def paraphrases(samples: DataFrame) -> DataFrame:
     """``row_idx, rule, candidate``: every candidate with the rule that made it, before merging."""
     tagged = tag_questions(samples)
     t = F.col("tagged")
-    rules = F.concat(
-        F.transform(paraphrase.synonym_variants(t), lambda c: F.struct(F.lit("synonym").alias("rule"), c.alias("candidate"))),
-        F.array(
-            F.struct(F.lit("adverb").alias("rule"), paraphrase.fronted_adverb(t).alias("candidate")),
-            F.struct(F.lit("passive").alias("rule"), paraphrase.passive(t).alias("candidate")),
-        ),
-    )
-    return tagged.select("row_idx", F.explode(rules).alias("r")).select("row_idx", "r.*").filter("candidate is not null")
+
+    def named(rule: str, candidate: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), candidate.alias("candidate"))
+
+    rules = let(t, lambda t: F.concat(
+        F.transform(paraphrase.synonym_variants(t), lambda c: named("synonym", c)),
+        F.array(named("adverb", paraphrase.fronted_adverb(t)), named("passive", paraphrase.passive(t))),
+    ))
+    # The outer form keeps the optimizer from computing the array a second time to test its size.
+    made = tagged.select("row_idx", F.explode_outer(rules).alias("r"))
+    return made.select("row_idx", "r.*").filter("candidate is not null")
 
 
 def paraphrase_candidates(samples: DataFrame) -> DataFrame:
@@ -50,9 +54,12 @@ def paraphrase_views(samples: DataFrame, difficulty: Column | float = 0.0, seed:
 
 
 def expand_views(samples: DataFrame, views: str = "views") -> DataFrame:
-    """One row per view: ``view_idx`` 0 is the original, ``text`` the wording."""
+    """One row per view: ``view_idx`` 0 is the original, ``text`` the wording.
+
+    Views are never empty; the outer form spares a second computation to test that.
+    """
     others = [c for c in samples.columns if c != views]
-    return samples.select(*others, F.posexplode(views).alias("view_idx", "text"))
+    return samples.select(*others, F.posexplode_outer(views).alias("view_idx", "text"))
 
 
 Augmentation = Callable[..., Callable[[DataFrame], DataFrame]]

@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-FAMILIES = ("template_queries", "dataset_queries")
+FAMILIES = (
+    "template_queries", "dataset_queries", "curriculum_queries", "augment_queries", "region_queries",
+    "evaluation_queries",
+)
 
 
 def load_catalog():

@@ -102,7 +102,10 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def encode_regions(regions: DataFrame) -> DataFrame:
     """Typed arrays back to base64 text columns, in file order."""
     packed = regions.select(*FIELDS).mapInArrow(_encode_batches, ENCODED_SCHEMA)
-    return packed.select(*[F.base64(f).alias(f) if f in ELEMENTS else F.col(f) for f in FIELDS])
+    # The encoder breaks long lines; a record must stay on one.
+    return packed.select(
+        *[F.translate(F.base64(f), "\r\n", "").alias(f) if f in ELEMENTS else F.col(f) for f in FIELDS]
+    )
 
 
 def read_regions_tsv(spark: SparkSession, path: str, topk: int | None = None) -> DataFrame:
