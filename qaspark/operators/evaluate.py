@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.operators.scan import number_rows, running
+from qaspark.operators.scan import Running, row_number, running
 
 TOP = 5
 
@@ -138,10 +138,12 @@ def best_checkpoint(metrics: DataFrame, run: str = "run_id") -> DataFrame:
 def patience_counters(metrics: DataFrame, run: str = "run_id") -> DataFrame:
     """``run, epoch, counter``: evaluations since the last strictly lower loss."""
     rows = metrics.select(run, "epoch", "eval_loss")
-    lowest = running(rows, run, "epoch", F.col("eval_loss"), "min", "_lowest", include_current=False)
-    numbered = number_rows(lowest, run, "epoch", "_number")
+    seen = running(
+        rows, run, "epoch",
+        _lowest=Running(F.col("eval_loss"), "min", include_current=False), _number=row_number(),
+    )
     improved = F.col("_lowest").isNull() | (F.col("eval_loss") < F.col("_lowest"))
-    marked = running(numbered, run, "epoch", F.when(improved, F.col("_number")), "max", "_last")
+    marked = running(seen, run, "epoch", _last=Running(F.when(improved, F.col("_number")), "max"))
     return marked.select(run, "epoch", (F.col("_number") - F.col("_last")).alias("counter"))
 
 

@@ -6,6 +6,8 @@ chunks of the position; chunk totals, thousands of times fewer, carry the runnin
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,33 +16,44 @@ CHUNK = 4096
 _AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def _combine(how: str, before: Column, local: Column) -> Column:
-    if how == "sum":
-        return F.coalesce(before, F.lit(0)) + F.coalesce(local, F.lit(0))
-    both = F.least(before, local) if how == "min" else F.greatest(before, local)
-    return both  # least and greatest skip nulls
+@dataclass(frozen=True)
+class Running:
+    """A running ``min``, ``max`` or ``sum`` of a value, with or without the current row."""
+
+    value: Column
+    how: str
+    include_current: bool = True
+
+    def combine(self, before: Column, local: Column) -> Column:
+        if self.how == "sum":
+            return F.coalesce(before, F.lit(0)) + F.coalesce(local, F.lit(0))
+        # least and greatest skip nulls
+        return F.least(before, local) if self.how == "min" else F.greatest(before, local)
 
 
-def running(
-    df: DataFrame, group: str, position: str, value: Column, how: str, name: str,
-    include_current: bool = True, chunk: int = CHUNK,
-) -> DataFrame:
-    """Add the running min, max or sum of ``value`` along ``position`` within ``group``."""
-    aggregate = _AGGREGATES[how]
-    rows = df.withColumn("_value", value).withColumn("_chunk", F.floor(F.col(position) / chunk))
-    totals = rows.groupBy(group, "_chunk").agg(aggregate("_value").alias("_total"))
+def running(df: DataFrame, group: str, position: str, chunk: int = CHUNK, **columns: Running) -> DataFrame:
+    """Add running aggregates along ``position`` within ``group``, all in one pass."""
+    rows = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    for name, r in columns.items():
+        rows = rows.withColumn(f"_v_{name}", r.value)
+    totals = rows.groupBy(group, "_chunk").agg(
+        *[_AGGREGATES[r.how](f"_v_{name}").alias(f"_t_{name}") for name, r in columns.items()]
+    )
     earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(group, "_chunk", aggregate("_total").over(earlier).alias("_before"))
-    last = 0 if include_current else -1
-    inside = Window.partitionBy(group, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, last)
-    local = rows.withColumn("_local", aggregate("_value").over(inside))
-    return (
-        local.join(before, [group, "_chunk"])
-        .withColumn(name, _combine(how, F.col("_before"), F.col("_local")))
-        .drop("_value", "_chunk", "_before", "_local")
+    before = totals.select(
+        group, "_chunk",
+        *[_AGGREGATES[r.how](f"_t_{name}").over(earlier).alias(f"_b_{name}") for name, r in columns.items()],
+    )
+    inside = Window.partitionBy(group, "_chunk").orderBy(position)
+    for name, r in columns.items():
+        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.include_current else -1)
+        rows = rows.withColumn(f"_l_{name}", _AGGREGATES[r.how](f"_v_{name}").over(frame))
+    joined = rows.join(before, [group, "_chunk"])
+    return joined.select(
+        *df.columns, *[r.combine(F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name) for name, r in columns.items()]
     )
 
 
-def number_rows(df: DataFrame, group: str, position: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Add the 1-based number of each row along a unique ``position`` within ``group``."""
-    return running(df, group, position, F.lit(1).cast("bigint"), "sum", name, chunk=chunk)
+def row_number() -> Running:
+    """The 1-based number of a row along a unique position."""
+    return Running(F.lit(1).cast("bigint"), "sum")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.operators.ranks import select_ranks
+from qaspark.session import materialize
 
 # Default shares, which are normalised by their sum.
 RATIOS = {"train": 0.7, "val": 0.3, "test": 0.1}
@@ -22,10 +23,13 @@ def split_images(images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed:
     """Add ``split`` to distinct ``image_id`` rows with exact split sizes.
 
     The images in hash order are cut at the ranks the ratios give. Only the keys at the cuts are
-    looked up, so labelling an image is a comparison with constants and needs no global sort.
+    looked up, so labelling an image is a comparison with constants and needs no global sort. Keys
+    are written once, as several counting passes read them.
     """
     names = list(ratios)
-    keyed = images.select("image_id").distinct().withColumn("_key", order_key(F.col("image_id"), seed))
+    keyed = materialize(
+        images.select("image_id").distinct().withColumn("_key", order_key(F.col("image_id"), seed)), "split-keys"
+    )
     total = keyed.count()
     share = sum(ratios.values())
     cuts, end = {}, 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from qaspark.operators import chat, evaluate, lookups
@@ -85,7 +83,7 @@ def wrong_records(spark, sf_dir):
 
 
 @query("written_wrong_records", _PREDS_SQL + _WRONG_SQL + """
-select epoch, count(*) as records, sum(sample_idx) as total, any_value(n) as num_wrong_predictions
+select epoch, count(*) as records, sum(sample_idx)::bigint as total, any_value(n) as num_wrong_predictions
 from wrong join (select epoch, count(*) as n from wrong group by epoch) using (epoch) group by epoch""")
 def written_wrong_records(spark, sf_dir):
     root = writers.run_folder(scratch_path(spark, "wrong"), "orders", "run", 71)
@@ -234,14 +232,11 @@ def _metric_stream(spark, sf_dir):
     return spark.sql(METRICS, events=_stream(spark, sf_dir))
 
 
-def _name():
-    return f"stream_{uuid.uuid4().hex}"
-
-
 @query("stream_best_metric", _METRICS + _BEST_SQL)
 def stream_best_metric(spark, sf_dir):
-    best = streams.best_metric_stream(_metric_stream(spark, sf_dir))
-    return streams.drain(best, scratch_path(spark, "state"), _name(), "complete")
+    better = streams.best_metric_stream(_metric_stream(spark, sf_dir))
+    rows = streams.drain_to_files(better, scratch_path(spark, "state"), scratch_path(spark, "best"))
+    return streams.latest_best(rows)
 
 
 @query("stream_applied_difficulty", _METRICS + """, d as (select run_id, epoch, round((epoch * 7 % 13)::double / 13 * 0.05 + epoch::double / 99 * 0.9, 6) as difficulty from metrics),

@@ -72,7 +72,7 @@ def region_boxes(spark, sf_dir):
 
 
 @query("region_file_round_trip", _REGIONS_SQL + """
-select img_id, count(*) as num_boxes, sum(object_id) as objects, sum(attribute_id) as attributes,
+select img_id, count(*) as num_boxes, sum(object_id)::bigint as objects, sum(attribute_id)::bigint as attributes,
        round(sum(conf::float::double), 4) as conf, round(sum(x1::float::double), 2) as x1, round(sum(y2::float::double), 2) as y2,
        64 as feature_values from regions group by img_id""")
 def region_file_round_trip(spark, sf_dir):

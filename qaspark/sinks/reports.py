@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.operators.evaluate import sample_accuracy
-from qaspark.operators.scan import number_rows
+from qaspark.operators.scan import row_number, running
 
 # The ruler lines of the layouts.
 WIDE = "=" * 50
@@ -91,7 +91,7 @@ def wrong_summary(wrong: DataFrame) -> DataFrame:
         "top5_predictions",
         lambda p: F.format_string("  %d. %s (score: %.4f)", p["rank"], p["answer"], p["score"]),
     )
-    numbered = number_rows(wrong, "epoch", "sample_idx", "block")
+    numbered = running(wrong, "epoch", "sample_idx", block=row_number())
     body = numbered.select(
         "epoch", "block",
         F.concat_ws(

@@ -10,12 +10,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from qaspark.functions.curriculum import UPDATE_ABOVE
-from qaspark.operators.evaluate import best_accuracy, wrong_predictions
+from qaspark.operators.evaluate import wrong_predictions
 
 
 def best_metric_stream(metrics: DataFrame, run: str = "run_id") -> DataFrame:
-    """Best accuracy so far per run; a built-in combinable aggregate, for update or complete mode."""
-    return best_accuracy(metrics, run)
+    """``run, best_accuracy, best_epoch`` each time a run improves; state is the best so far.
+
+    A run's first row is emitted even when it is still at 0, the value it starts from.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.exists
+        before = state.get if known else (0.0, 0)
+        best, best_epoch = before
+        for frame in frames:
+            for accuracy, epoch in zip(frame.eval_accuracy, frame.epoch):
+                # Order inside a trigger is open, so equal values settle on the earlier epoch.
+                if accuracy > best or (accuracy == best and accuracy > before[0] and epoch < best_epoch):
+                    best, best_epoch = accuracy, epoch
+        state.update((float(best), int(best_epoch)))
+        if not known or best > before[0]:
+            yield pd.DataFrame({run: [key[0]], "best_accuracy": [float(best)], "best_epoch": [int(best_epoch)]})
+
+    return metrics.select(run, "epoch", "eval_accuracy").groupBy(run).applyInPandasWithState(
+        step, f"{run} string, best_accuracy double, best_epoch bigint", "best double, epoch bigint",
+        "append", GroupStateTimeout.NoTimeout,
+    )
+
+
+def latest_best(improvements: DataFrame, run: str = "run_id") -> DataFrame:
+    """The last improvement of each run."""
+    best = F.max(F.struct("best_accuracy", "best_epoch")).alias("b")
+    return improvements.groupBy(run).agg(best).select(run, "b.best_accuracy", "b.best_epoch")
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -82,16 +108,6 @@ def new_work_stream(arrivals: DataFrame, done: DataFrame, key: str = "img_id") -
     return arrivals.join(done.select(key), key, "left_anti").dropDuplicates([key])
 
 
-def drain(stream: DataFrame, checkpoint: str, table: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input into an in-memory table (small results) and return it."""
-    query = (
-        stream.writeStream.format("memory").queryName(table).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
-
-
 def drain_to_files(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """Run an append stream over all available input into Parquet and read it back."""
     query = (
