@@ -76,9 +76,9 @@ def build_template(token_array: Column, structural: Sequence[str]) -> Column:
         ),
         "",
     )
-    tight = F.regexp_replace(filled, r"\s+([?!.,;:/])", "$1")
-    tight = F.replace(F.replace(tight, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
-    return strip(F.regexp_replace(tight, r"\s+", " "))
+    # Tokens hold no white space, so single blanks are the only gaps there are.
+    tight = F.regexp_replace(filled, " ([?!.,;:/])", "$1")
+    return F.replace(F.replace(tight, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
 
 
 def unique_ratio(token_array: Column) -> Column:

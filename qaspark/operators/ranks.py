@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ from qaspark.session import materialize
 
 
 def select_ranks(
-    df: DataFrame, key: str, ranks: Sequence[int], weight: str | None = None, step: int = 3
+    df: DataFrame, key: str, ranks: Callable[[int], Iterable[int]], weight: str | None = None, step: int = 3
 ) -> dict[int, str]:
-    """Keys at the given 0-based ranks, exactly, for fixed-width string keys.
+    """Keys at 0-based ranks, exactly, for fixed-width string keys; ``ranks`` gets the row total.
 
     One histogram per ``step`` characters narrows the search to the bucket that holds the rank. Each
     pass is a map-side combined count with at most ``16 ** step`` groups for hexadecimal keys
@@ -22,23 +22,21 @@ def select_ranks(
     driver, and the exact answer needs no global sort.
     """
     unit = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+
+    def histogram(rows: DataFrame, depth: int) -> list:
+        counted = rows.groupBy(F.substring(key, 1, depth).alias("prefix")).agg(
+            F.sum(unit).alias("n"), F.min(F.col(key)).alias("low"), F.max(F.col(key)).alias("high")
+        )
+        return sorted(counted.collect())
+
+    depth = step
+    buckets = histogram(df, depth)
     found: dict[int, str] = {}
-    open_ranks = {rank: ("", rank) for rank in ranks}  # rank -> (known prefix, rank inside it)
-    depth = 0
+    open_ranks = {rank: ("", rank) for rank in ranks(sum(b["n"] for b in buckets))}  # -> prefix, rank inside
     while open_ranks:
-        depth += step
-        prefixes = sorted({prefix for prefix, _ in open_ranks.values()})
-        narrowed = df if prefixes == [""] else df.filter(
-            F.substring(key, 1, depth - step).isin(*prefixes)
-        )
-        histogram = sorted(
-            narrowed.groupBy(F.substring(key, 1, depth).alias("prefix"))
-            .agg(F.sum(unit).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-            .collect()
-        )
         following = {}
         for rank, (prefix, inside) in open_ranks.items():
-            for bucket in histogram:
+            for bucket in buckets:
                 if not bucket["prefix"].startswith(prefix):
                     continue
                 if inside < bucket["n"]:
@@ -51,6 +49,11 @@ def select_ranks(
             else:
                 raise IndexError(f"rank {rank} is beyond the data")
         open_ranks = following
+        if open_ranks:
+            prefixes = sorted({prefix for prefix, _ in open_ranks.values()})
+            narrowed = df.filter(F.substring(key, 1, depth).isin(*prefixes))
+            depth += step
+            buckets = histogram(narrowed, depth)
     return found
 
 
@@ -66,15 +69,21 @@ def unit_key(value: Column) -> Column:
 def unit_percentile(df: DataFrame, value: str, fraction: float, weight: str | None = None) -> float:
     """Linearly interpolated percentile of values in [0, 1], to ten decimals; 0 for no rows."""
     keyed = df.select(unit_key(F.col(value)).alias("key"), *([weight] if weight else []))
-    total = keyed.agg(F.sum(F.col(weight)) if weight else F.count("*")).first()[0]
-    if not total:
+    places: list[tuple[int, int, float]] = []
+
+    def ranks(total: int) -> list[int]:
+        if not total:
+            return []
+        position = fraction * (total - 1)
+        lower = math.floor(position)
+        places.append((lower, min(total - 1, lower + 1), position - lower))
+        return sorted(set(places[0][:2]))
+
+    keys = select_ranks(keyed, "key", ranks, weight, step=4)
+    if not places:
         return 0.0
-    position = fraction * (total - 1)
-    lower = math.floor(position)
-    upper = min(total - 1, lower + 1)
-    keys = select_ranks(keyed, "key", sorted({lower, upper}), weight)
+    lower, upper, part = places[0]
     low, high = int(keys[lower]) / 1e10, int(keys[upper]) / 1e10
-    part = position - lower
     return low if low == high else low * (1 - part) + high * part
 
 

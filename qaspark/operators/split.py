@@ -30,17 +30,22 @@ def split_images(images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed:
     keyed = materialize(
         images.select("image_id").distinct().withColumn("_key", order_key(F.col("image_id"), seed)), "split-keys"
     )
-    total = keyed.count()
     share = sum(ratios.values())
-    cuts, end = {}, 0
-    for name in names[:-1]:
-        end += int(total * (ratios[name] / share))
-        cuts[name] = end
-    keys = select_ranks(keyed, "_key", sorted({c for c in cuts.values() if c < total}))
+    cuts: dict[str, int] = {}
+
+    def ranks(total: int) -> list[int]:
+        end = 0
+        for name in names[:-1]:
+            end += int(total * (ratios[name] / share))
+            cuts[name] = end
+        return sorted({c for c in cuts.values() if c < total})
+
+    keys = select_ranks(keyed, "_key", ranks)
     label = F.lit(names[-1])
     for name in reversed(names[:-1]):
-        cut = cuts[name]
-        label = F.when(F.col("_key") < F.lit(keys[cut]), F.lit(name)).otherwise(label) if cut < total else F.lit(name)
+        # A cut at the end of the data has no key: everything before it is inside.
+        inside = F.col("_key") < F.lit(keys[cuts[name]]) if cuts[name] in keys else F.lit(True)
+        label = F.when(inside, F.lit(name)).otherwise(label)
     return keyed.withColumn("split", label).drop("_key")
 
 

@@ -24,6 +24,8 @@ from qaspark.session import materialize
 PROFILE = ("template", "answer", "n_tokens", "n_unique")
 # Most tokens fetched to settle the vocabulary size in one job.
 DRIVER_TOKENS = 10_000
+# More than any position in a text.
+PLACES = 1 << 31
 COLUMNS = ("row_idx", "question", "answer", "img_path")
 
 
@@ -82,12 +84,21 @@ def with_tokens(qa: DataFrame, config: TemplateConfig = TemplateConfig()) -> Dat
 
 
 def token_counts(qa: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
-    """``token, n, first_seen``: frequency and first appearance of each token."""
-    return (
+    """``token, n, first_row, first_pos``: frequency and first appearance of each token.
+
+    Row and position travel as one decimal: numbers keep the aggregation hashed, where a struct would
+    make Spark sort every token.
+    """
+    seen = F.col("row_idx").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")
+    counts = (
         with_tokens(qa, config)
         .select("row_idx", F.posexplode("tokens").alias("pos", "token"))
         .groupBy("token")
-        .agg(F.count("*").alias("n"), F.min(F.struct("row_idx", "pos")).alias("first_seen"))
+        .agg(F.count("*").alias("n"), F.min(seen).alias("seen"))
+    )
+    return counts.select(
+        "token", "n", F.expr(f"seen div {PLACES}").alias("first_row"),
+        F.expr(f"cast(seen % {PLACES} as int)").alias("first_pos"),
     )
 
 
@@ -101,7 +112,7 @@ def structural_tokens(qa: DataFrame, config: TemplateConfig = TemplateConfig())
     # Beyond this many distinct tokens the maximum applies, so no more need to be looked at.
     enough = math.ceil(most / share) if share else 1
     bounded = enough <= DRIVER_TOKENS
-    ranked = counts.orderBy(F.desc("n"), "first_seen").select("token")
+    ranked = counts.orderBy(F.desc("n"), "first_row", "first_pos").select("token")
     top = ranked.limit(max(enough if bounded else most, 1)).collect()
     if not top:
         return sorted(text.PUNCTUATION)
@@ -165,10 +176,8 @@ class TemplateReport:
     @cached_property
     def profiles(self) -> DataFrame:
         """One row per profile with its count and first row; written once."""
-        first = F.min(F.struct("row_idx", "question")).alias("first")
-        return materialize(
-            self.templated.groupBy(*PROFILE).agg(F.count("*").alias("n"), first), "profiles"
-        )
+        grouped = self.templated.groupBy(*PROFILE)
+        return materialize(grouped.agg(F.count("*").alias("n"), F.min("row_idx").alias("first_idx")), "profiles")
 
     @cached_property
     def ranges(self) -> DataFrame:
@@ -192,8 +201,8 @@ class TemplateReport:
     @cached_property
     def scored_profiles(self) -> DataFrame:
         """Profiles with ``support, frequency, difficulty`` and the three reason scores; written once."""
-        r = self.ranges.first() or {}
-        lit = {name: F.lit(r[name]) for name in r.asDict()}
+        bounds = self.ranges.select(F.struct("*")).scalar()
+        lit = {name: bounds[name] for name in self.ranges.columns}
         support = self.profiles.groupBy("template").agg(F.sum("n").alias("support"))
         frequency = self.profiles.groupBy("answer").agg(F.sum("n").alias("frequency"))
         ratio = F.col("n_unique") / F.greatest(F.lit(1), F.col("n_tokens"))
@@ -226,28 +235,31 @@ class TemplateReport:
         Rows carry the large side; adaptive execution broadcasts a small profile table and splits
         hot profiles of a large one.
         """
-        scores = self.scored_profiles.drop("n", "first")
+        scores = self.scored_profiles.drop("n", "first_idx")
         return self.templated.join(scores, list(PROFILE))
 
     @cached_property
     def templates(self) -> DataFrame:
         """``template, support, avg_difficulty, representative_*`` for templates with enough support."""
-        return (
+        stats = (
             self.scored_profiles.groupBy("template")
             .agg(
                 F.sum("n").alias("support"),
                 F.round(F.sum(F.col("difficulty") * F.col("n")) / F.sum("n"), 4).alias("avg_difficulty"),
-                F.min(F.struct("first.row_idx", "first.question", "answer")).alias("first"),
+                F.min(F.struct("first_idx", "answer")).alias("first"),
             )
             .filter(F.col("support") >= self.config.min_template_support)
             .select(
                 "template", "support", "avg_difficulty",
-                F.col("first.question").alias("representative_question"),
-                F.col("first.answer").alias("representative_answer"),
-                F.col("first.row_idx").alias("first_idx"),
+                F.col("first.answer").alias("representative_answer"), F.col("first.first_idx").alias("first_idx"),
             )
-            .orderBy(F.desc("avg_difficulty"), "first_idx")
         )
+        questions = self.qa.select(
+            F.col("row_idx").alias("first_idx"), F.col("question").alias("representative_question")
+        )
+        return stats.join(questions, "first_idx").select(
+            "template", "support", "avg_difficulty", "representative_question", "representative_answer", "first_idx"
+        ).orderBy(F.desc("avg_difficulty"), "first_idx")
 
     def get_template(self, template: str) -> DataFrame:
         return self.templates.filter(F.col("template") == template)
@@ -277,7 +289,7 @@ class TemplateReport:
         level = F.round("difficulty", 10)
         hard = self.scored_profiles.filter(level >= F.lit(round(self.hard_threshold, 10)))
         return (
-            self.templated.join(hard.drop("n", "first"), list(PROFILE))
+            self.templated.join(hard.drop("n", "first_idx"), list(PROFILE))
             .orderBy(level.desc(), "row_idx")
             .limit(self.config.max_hard_samples)
             .select(

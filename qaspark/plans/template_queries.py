@@ -88,10 +88,7 @@ def document_tokens(spark, sf_dir):
 
 @query("token_counts", _PARTS + "select token, n, first_seen // 1000000 as first_row, first_seen % 1000000 - 1 as first_pos from counts")
 def token_counts(spark, sf_dir):
-    counts = templates.token_counts(view(spark, sf_dir, "qa_parts"))
-    return counts.select(
-        "token", "n", F.col("first_seen.row_idx").alias("first_row"), F.col("first_seen.pos").alias("first_pos")
-    )
+    return templates.token_counts(view(spark, sf_dir, "qa_parts"))
 
 
 @query("structural_vocabulary", _ORDERS + "select unnest(v) as token from vocab")
@@ -180,9 +177,6 @@ def template_stats_conv(spark, sf_dir):
     return _report(spark, sf_dir, "qa_conv").templates
 
 
-_ONE = "How many orders did <slot_1> place in <num>?"
-
-
 @query("template_lookup", _ORDERS + _STATS_SQL + f"select * from stats where template like '%<num>?'")
 def template_lookup(spark, sf_dir):
     report = _report(spark, sf_dir)
