@@ -106,8 +106,12 @@ def strip_question_echo(question: Column, answer: Column) -> Column:
         ordered = F.array_sort(
             F.transform(fitting, lambda g: F.struct((-F.length(g)).alias("k"), g.alias("g")))
         )
+        # Every run holds a pair of neighbours, so an answer without any such pair stays as it is.
+        pairs = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.array_join(F.slice(w, i, 2), " ")
+        )
         return F.when(
-            F.size(w) >= 2,
+            (F.size(w) >= 2) & F.exists(pairs, lambda g: F.contains(said, g)),
             F.aggregate(
                 ordered,
                 said,

@@ -7,7 +7,9 @@ of the left side otherwise (``spark.sql.adaptive.skewJoin``, on by default).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,17 @@ from qaspark.functions import paths
 ON_MISSING = ("error", "drop", "keep")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys where null matches null.
+
+    A plain equality makes the optimizer test each key for null below the join, which computes
+    expensive key expressions a second time; the null-safe form does not.
+    """
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def last_image_per_id(images: DataFrame) -> DataFrame:
     """One file name per image id; a repeated id takes its last row (by ``pos``)."""
     return images.groupBy("image_id").agg(F.max_by("filename", "pos").alias("filename"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,34 +25,36 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _kernel(radius: float) -> np.ndarray:
+@lru_cache
+def _spread(size: int, radius: float) -> np.ndarray:
+    """The Gaussian along one axis of a patch as a matrix; edge pixels repeat outwards."""
     reach = max(1, int(np.ceil(radius * 3)))
-    x = np.arange(-reach, reach + 1)
-    weights = np.exp(-0.5 * (x / radius) ** 2)
-    return weights / weights.sum()
+    offsets = np.arange(-reach, reach + 1)
+    weights = np.exp(-0.5 * (offsets / radius) ** 2)
+    matrix = np.zeros((size, size))
+    for row in range(size):
+        np.add.at(matrix[row], np.clip(row + offsets, 0, size - 1), weights / weights.sum())
+    return matrix
 
 
-def blur_patch(patch: np.ndarray, radius: float = patches.BLUR_RADIUS) -> np.ndarray:
-    """Separable Gaussian over one patch alone; its edge pixels repeat outwards."""
-    kernel = _kernel(radius)
-    reach = len(kernel) // 2
-    out = patch.astype(np.float64)
-    for axis in (0, 1):
-        padding = [(reach, reach) if a == axis else (0, 0) for a in range(out.ndim)]
-        spread = np.lib.stride_tricks.sliding_window_view(np.pad(out, padding, mode="edge"), len(kernel), axis=axis)
-        out = spread @ kernel
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+def blur_patches(blocks: np.ndarray, radius: float = patches.BLUR_RADIUS) -> np.ndarray:
+    """Separable Gaussian over each square patch alone; ``blocks`` is ``(n, channels, size, size)``."""
+    matrix = _spread(blocks.shape[-1], radius)
+    return np.clip(np.rint(matrix @ blocks @ matrix.T), 0, 255).astype(np.uint8)
 
 
 def _alter(data: bytes, height: int, width: int, channels: int, action: str, chosen, size: int) -> bytes:
     if action == "none" or len(chosen) == 0:
         return data
     raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).copy()
-    per_row = width // size
-    for index in chosen:
-        y, x = index // per_row * size, index % per_row * size
-        block = raster[y:y + size, x:x + size]
-        block[...] = patches.MASK_GRAY if action == "mask" else blur_patch(block)
+    ys, xs = np.divmod(np.asarray(chosen), width // size)
+    y = ys[:, None, None] * size + np.arange(size)[None, :, None]
+    x = xs[:, None, None] * size + np.arange(size)[None, None, :]
+    if action == "mask":
+        raster[y, x] = patches.MASK_GRAY
+    else:
+        blocks = raster[y, x].transpose(0, 3, 1, 2)
+        raster[y, x] = blur_patches(blocks).transpose(0, 2, 3, 1)
     return raster.tobytes()
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions import text
+from qaspark.operators.lookups import null_safe_join
 from qaspark.operators.ranks import unit_percentile
 from qaspark.session import materialize
 
@@ -158,6 +159,10 @@ def suggest(template_rarity: Column, answer_rarity: Column, complexity: Column)
     return F.when(F.size(picked) == 0, F.array(F.lit("image"))).otherwise(picked)
 
 
+def _ratio() -> Column:
+    return F.col("n_unique") / F.greatest(F.lit(1), F.col("n_tokens"))
+
+
 class TemplateReport:
     """Lazily built result tables of one extraction run."""
 
@@ -179,42 +184,39 @@ class TemplateReport:
         grouped = self.templated.groupBy(*PROFILE)
         return materialize(grouped.agg(F.count("*").alias("n"), F.min("row_idx").alias("first_idx")), "profiles")
 
+    @cached_property
+    def supported_profiles(self) -> DataFrame:
+        """Profiles with the ``support`` of their template and ``frequency`` of their answer; written once."""
+        support = self.profiles.groupBy("template").agg(F.sum("n").alias("support"))
+        frequency = self.profiles.groupBy("answer").agg(F.sum("n").alias("frequency"))
+        joined = null_safe_join(self.profiles.join(support, "template"), frequency, ["answer"])
+        return materialize(joined, "supported")
+
     @cached_property
     def ranges(self) -> DataFrame:
         """One row: smallest and largest support, answer frequency, length and token ratio."""
-        ratio = F.col("n_unique") / F.greatest(F.lit(1), F.col("n_tokens"))
-        support = self.profiles.groupBy("template").agg(F.sum("n").alias("v"))
-        frequency = self.profiles.groupBy("answer").agg(F.sum("n").alias("v"))
-        labelled = (
-            support.select(F.lit("support").alias("what"), F.col("v").cast("double").alias("v"))
-            .unionByName(frequency.select(F.lit("frequency").alias("what"), F.col("v").cast("double").alias("v")))
-            .unionByName(self.profiles.select(F.lit("length").alias("what"), F.col("n_tokens").cast("double").alias("v")))
-            .unionByName(self.profiles.select(F.lit("ratio").alias("what"), ratio.alias("v")))
-        )
-        bounds = [
-            agg(F.when(F.col("what") == what, F.col("v"))).alias(f"{side}_{what}")
-            for what in ("support", "frequency", "length", "ratio")
-            for side, agg in (("min", F.min), ("max", F.max))
-        ]
-        return labelled.agg(*bounds)
+        values = {
+            "support": F.col("support"), "frequency": F.col("frequency"), "length": F.col("n_tokens"), "ratio": _ratio(),
+        }
+        return self.supported_profiles.agg(*[
+            agg(value.cast("double")).alias(f"{side}_{name}")
+            for name, value in values.items() for side, agg in (("min", F.min), ("max", F.max))
+        ])
 
     @cached_property
     def scored_profiles(self) -> DataFrame:
-        """Profiles with ``support, frequency, difficulty`` and the three reason scores; written once."""
+        """Profiles with ``difficulty`` and the three reason scores; narrow over the written table."""
         bounds = self.ranges.select(F.struct("*")).scalar()
         lit = {name: bounds[name] for name in self.ranges.columns}
-        support = self.profiles.groupBy("template").agg(F.sum("n").alias("support"))
-        frequency = self.profiles.groupBy("answer").agg(F.sum("n").alias("frequency"))
-        ratio = F.col("n_unique") / F.greatest(F.lit(1), F.col("n_tokens"))
         w_template, w_answer, w_question = self.config.weights.normalized()
         scored = (
-            self.profiles.join(support, "template").join(frequency, "answer")
+            self.supported_profiles
             .withColumn("template_rarity", text.inverse_scale(F.col("support"), lit["min_support"], lit["max_support"]))
             .withColumn("answer_rarity", text.inverse_scale(F.col("frequency"), lit["min_frequency"], lit["max_frequency"]))
             .withColumn(
                 "question_complexity",
                 F.lit(0.6) * text.scale(F.col("n_tokens"), lit["min_length"], lit["max_length"])
-                + F.lit(0.4) * text.scale(ratio, lit["min_ratio"], lit["max_ratio"]),
+                + F.lit(0.4) * text.scale(_ratio(), lit["min_ratio"], lit["max_ratio"]),
             )
             .withColumn(
                 "difficulty",
@@ -226,7 +228,7 @@ class TemplateReport:
         )
         for reason in ("template_rarity", "answer_rarity", "question_complexity"):
             scored = scored.withColumn(reason, F.round(reason, 4))
-        return materialize(scored, "scored")
+        return scored
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -236,7 +238,7 @@ class TemplateReport:
         hot profiles of a large one.
         """
         scores = self.scored_profiles.drop("n", "first_idx")
-        return self.templated.join(scores, list(PROFILE))
+        return null_safe_join(self.templated, scores, PROFILE)
 
     @cached_property
     def templates(self) -> DataFrame:
@@ -275,7 +277,7 @@ class TemplateReport:
             self.profiles.groupBy("template").agg(F.sum("n").alias("support"))
             .filter(F.col("support") >= self.config.min_template_support).select("template")
         )
-        return self.templated.select("template", "row_idx").join(kept, "template", "left_semi")
+        return null_safe_join(self.templated.select("template", "row_idx"), kept, ["template"])
 
     @cached_property
     def hard_threshold(self) -> float:
@@ -289,7 +291,7 @@ class TemplateReport:
         level = F.round("difficulty", 10)
         hard = self.scored_profiles.filter(level >= F.lit(round(self.hard_threshold, 10)))
         return (
-            self.templated.join(hard.drop("n", "first_idx"), list(PROFILE))
+            null_safe_join(self.templated, hard.drop("n", "first_idx"), PROFILE)
             .orderBy(level.desc(), "row_idx")
             .limit(self.config.max_hard_samples)
             .select(

@@ -9,6 +9,7 @@ from qaspark.functions import paraphrase, patches
 from qaspark.operators import augment, schedules
 from qaspark.plans.catalog import query
 from qaspark.plans.views import cte, table, view
+from qaspark.session import spread
 
 _SENTENCES = cte("sentences")
 
@@ -150,7 +151,7 @@ chosen as (select * from hashed where rn <= n)
 
 
 def _images(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("image_id"), (F.col("p_size") + 40).alias("height"),
         (F.col("p_partkey") % 17 + 64).cast("int").alias("width"), (F.col("p_size") % 11 / F.lit(10.0)).alias("d"),
     )
