@@ -65,12 +65,25 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
     assert results[0] == results[1]
 
 
-def test_scratch_follows_the_session_setting(spark, tmp_path):
-    before = scratch_root(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        stored = materialize(view(spark, SF_DIR, "qa_echo"), "echo")
-        assert stored.count() == 10 or stored.count() > 0
-        assert all(str(tmp_path / "shared") in f for f in stored.inputFiles())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+class _Session:
+    """A session without the checkpoint setting."""
+
+    def __init__(self, spark, master):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        context = type("Context", (), {})()
+        context.master, context.folder = master, None
+        context.getCheckpointDir = lambda: context.folder
+        context.setCheckpointDir = lambda folder: setattr(context, "folder", folder)
+        self.sparkContext = context
+
+
+def test_scratch_follows_the_session_setting(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    stored = materialize(view(spark, SF_DIR, "qa_echo"), "echo")
+    assert stored.count() > 0
+    if configured:
+        assert all(configured.removeprefix("file:") in f for f in stored.inputFiles())
+    local = _Session(spark, "local[2]")
+    assert scratch_root(local) == scratch_root(local) == local.sparkContext.folder
+    with pytest.raises(ValueError):
+        scratch_root(_Session(spark, "spark://host:7077"))
