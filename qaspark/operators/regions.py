@@ -40,6 +40,12 @@ def row_at(df: DataFrame, index: int, column: str = "row_idx") -> DataFrame:
     return df.filter(F.col(column) == index)
 
 
+def rows_at(df: DataFrame, requests: DataFrame, column: str = "row_idx") -> DataFrame:
+    """The rows of many requested numbers; ``status`` tells requests that are out of range."""
+    known = df.withColumn("status", F.lit("ok"))
+    return requests.join(known, column, "left").withColumn("status", F.coalesce("status", F.lit("out of range")))
+
+
 def max_confidence(proposals: DataFrame, threshold: float = B.NMS_OVERLAP) -> DataFrame:
     """``img_id, box_idx, max_conf`` from proposals ``img_id, box_idx, class_id, score, x1, y1, x2, y2``.
 

@@ -32,7 +32,10 @@ class Running:
 
 
 def running(df: DataFrame, group: str, position: str, chunk: int = CHUNK, **columns: Running) -> DataFrame:
-    """Add running aggregates along ``position`` within ``group``, all in one pass."""
+    """Add running aggregates along ``position`` within ``group``, all in one pass.
+
+    Positions are unique whole numbers, dense up to a constant factor (epochs, row numbers).
+    """
     rows = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
     for name, r in columns.items():
         rows = rows.withColumn(f"_v_{name}", r.value)

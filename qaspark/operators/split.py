@@ -68,10 +68,20 @@ def split_statistics(image_splits: DataFrame, annotation_splits: DataFrame) -> D
     )
 
 
+# Largest sample taken by a top-n, whose rows pass through one task.
+TOP_ROWS = 10_000
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement: the smallest hash keys, by a distributed top-n."""
-    ordered = df.withColumn("_key", order_key(F.col(key), seed)).orderBy("_key", key)
-    return ordered.limit(n).drop("_key")
+    """``n`` rows without replacement: those with the smallest hash of a unique key.
+
+    A small sample is a distributed top-n; a large one a filter below the key at rank ``n``.
+    """
+    keyed = df.withColumn("_key", order_key(F.col(key), seed))
+    if n <= TOP_ROWS:
+        return keyed.orderBy("_key", key).limit(n).drop("_key")
+    keys = select_ranks(keyed.select("_key"), "_key", lambda total: [n] if n < total else [])
+    return (keyed.filter(F.col("_key") < keys[n]) if n in keys else keyed).drop("_key")
 
 
 def sample_per_epoch(df: DataFrame, n: int, key: str, epochs: int, seed: int = 0) -> DataFrame:

@@ -68,6 +68,12 @@ def read_list_layout(spark, sf_dir):
     )
 
 
+def _answers():
+    """Two answers per question, none for orders that are still pending."""
+    pending = F.col("answer").startswith("P-")
+    return F.when(pending, F.array().cast("array<string>")).otherwise(F.array("answer", "img_path"))
+
+
 def _tables_path(spark, sf_dir, answer):
     """Documents whose image lists leave out some ids."""
     rows = view(spark, sf_dir, "qa_orders")
@@ -81,10 +87,9 @@ _TABLES_PATH = "case when image_id % 10 = 3 then concat('img/', image_id, '.jpg'
 
 
 @query("read_tables_layout", _ORDERS + f"""
-select cast(row_idx as varchar) as question_id, question, answer, {_TABLES_PATH} from qa_orders where row_idx % 7 <> 0""")
+select cast(row_idx as varchar) as question_id, question, answer, {_TABLES_PATH} from qa_orders where answer not like 'P-%'""")
 def read_tables_layout(spark, sf_dir):
-    answers = F.when(F.col("row_idx") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("answer", "img_path"))
-    path = _tables_path(spark, sf_dir, answers.alias("answers"))
+    path = _tables_path(spark, sf_dir, _answers().alias("answers"))
     read = annotations.read_qa_json_tables(spark, path, "img", multi_line=False)
     return read.select("question_id", "question", "answer", "img_path")
 
@@ -155,17 +160,22 @@ def bare_image_ids(spark, sf_dir):
 # --- lookups ---------------------------------------------------------------------------------
 
 _IMAGES_SQL = """, images as (
-select c_custkey as image_id, concat('a', c_custkey, '.jpg') as filename, c_custkey as pos from customer where c_custkey % 10 <> 3
-union all select c_custkey, concat('b', c_custkey, '.jpg'), c_custkey + 100000000 from customer where c_custkey % 4 = 0 and c_custkey % 10 <> 3)
+select c_custkey as image_id, concat('a', c_custkey, '.jpg') as filename, c_custkey as pos from customer where c_acctbal >= 0
+union all select c_custkey, concat('b', c_custkey, '.jpg'), c_custkey + 100000000 from customer where c_mktsegment = 'BUILDING' and c_acctbal >= 0)
 , files as (select image_id, arg_max(filename, pos) as filename from images group by image_id)
 """
 
 
 def _images(spark, sf_dir):
-    listed = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3")
+    """Images of customers in credit; one market segment is listed a second time."""
+    listed = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    return _listed_twice(listed)
+
+
+def _listed_twice(customers):
     key = F.col("c_custkey")
-    first = listed.select(key.alias("image_id"), F.concat(F.lit("a"), key, F.lit(".jpg")).alias("filename"), key.alias("pos"))
-    again = listed.filter("c_custkey % 4 = 0").select(
+    first = customers.select(key.alias("image_id"), F.concat(F.lit("a"), key, F.lit(".jpg")).alias("filename"), key.alias("pos"))
+    again = customers.filter("c_mktsegment = 'BUILDING'").select(
         key.alias("image_id"), F.concat(F.lit("b"), key, F.lit(".jpg")).alias("filename"), (key + 100000000).alias("pos")
     )
     return first.unionByName(again)
@@ -184,34 +194,43 @@ def images_strict(spark, sf_dir):
     return lookups.attach_images(rows, _images(spark, sf_dir), "drop").select("row_idx", "filename")
 
 
-@query("images_checked", _ORDERS + _IMAGES_SQL + "select row_idx, filename from qa_orders join files using (image_id) where image_id % 10 <> 3")
+@query("images_checked", _ORDERS + """
+select row_idx, concat(case when c_mktsegment = 'BUILDING' then 'b' else 'a' end, image_id, '.jpg') as filename
+from qa_orders join customer on c_custkey = image_id""")
 def images_checked(spark, sf_dir):
-    rows = view(spark, sf_dir, "qa_orders").select("row_idx", "image_id").filter("image_id % 10 <> 3")
-    return lookups.attach_images(rows, _images(spark, sf_dir), "error").select("row_idx", "filename")
+    rows = view(spark, sf_dir, "qa_orders").select("row_idx", "image_id")
+    images = _listed_twice(table(spark, sf_dir, "customer"))
+    return lookups.attach_images(rows, images, "error").select("row_idx", "filename")
+
+
+_FOUND_SQL = """with wanted as (select distinct o_custkey as image_id from orders),
+found as (select image_id, case when c_acctbal > 5000 then concat('train/', image_id, '.jpg') when c_acctbal > 0 then concat('val/', image_id, '.jpg') end as path
+          from wanted left join customer on c_custkey = image_id)
+"""
 
 
-@query("files_with_fallback", """
-select distinct o_custkey as image_id, case when o_custkey % 3 = 0 then concat('train/', o_custkey, '.jpg')
-       else concat('val/', o_custkey, '.jpg') end as path from orders where o_custkey % 3 <> 2""")
+@query("files_with_fallback", _FOUND_SQL + "select image_id, path from found where path is not null")
 def files_with_fallback(spark, sf_dir):
     found, _ = lookups.resolve_files(*_listings(spark, sf_dir))
     return found
 
 
-@query("files_unresolved", "select distinct o_custkey as image_id from orders where o_custkey % 3 = 2")
+@query("files_unresolved", _FOUND_SQL + "select image_id from found where path is null")
 def files_unresolved(spark, sf_dir):
     _, missing = lookups.resolve_files(*_listings(spark, sf_dir))
     return missing
 
 
 def _listings(spark, sf_dir):
+    """The first folder holds the images of richer customers, the second those of all in credit."""
     wanted = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id")).distinct()
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
 
-    def listing(folder, condition):
-        return customer.filter(condition).select("image_id", F.concat(F.lit(folder), F.col("image_id"), F.lit(".jpg")).alias("path"))
+    def listing(folder, above):
+        rows = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > above)
+        key = F.col("c_custkey")
+        return rows.select(key.alias("image_id"), F.concat(F.lit(folder), key, F.lit(".jpg")).alias("path"))
 
-    return wanted, listing("train/", "image_id % 3 = 0"), listing("val/", "image_id % 3 <> 2")
+    return wanted, listing("train/", 5000), listing("val/", 0)
 
 
 @query("files_by_extension", """
@@ -255,10 +274,9 @@ def label_encoder_large(spark, sf_dir):
 
 @query("first_answer_encoder", _ORDERS + """
 select answer, row_number() over (order by answer) - 1 as label
-from (select distinct answer from qa_orders where row_idx % 7 <> 0)""")
+from (select distinct answer from qa_orders where answer not like 'P-%')""")
 def first_answer_encoder(spark, sf_dir):
-    answers = F.when(F.col("row_idx") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("answer", "img_path"))
-    rows = view(spark, sf_dir, "qa_orders").withColumn("answers", answers)
+    rows = view(spark, sf_dir, "qa_orders").withColumn("answers", _answers())
     return labels.fit_first_answer_encoder(rows)
 
 
@@ -366,22 +384,25 @@ def scaled_values(spark, sf_dir):
     )
 
 
-@query("fetch_row", _ORDERS + "select row_idx, question, answer from qa_orders where row_idx = 17")
-def fetch_row(spark, sf_dir):
-    return regions.row_at(view(spark, sf_dir, "qa_orders"), 17).select("row_idx", "question", "answer")
+@query("fetched_rows", _ORDERS + """
+select p_partkey * 10 as row_idx, question, case when q.row_idx is null then 'out of range' else 'ok' end as status
+from part left join qa_orders q on q.row_idx = p_partkey * 10""")
+def fetched_rows(spark, sf_dir):
+    requests = table(spark, sf_dir, "part").select((F.col("p_partkey") * 10).alias("row_idx"))
+    return regions.rows_at(view(spark, sf_dir, "qa_orders").select("row_idx", "question"), requests)
 
 
 # --- splits and samples ----------------------------------------------------------------------
 
 _SPLIT_SQL = """, keyed as (select image_id, row_number() over (order by md5(concat(image_id, ':42'))) - 1 as r, count(*) over () as n
-                     from (select c_custkey as image_id from customer where c_custkey % 10 <> 3)),
+                     from (select c_custkey as image_id from customer where c_acctbal >= 0)),
 ends as (select *, cast(floor(n * (0.7::double / 1.1::double)) as bigint) as a, cast(floor(n * (0.3::double / 1.1::double)) as bigint) as b from keyed),
 image_split as (select image_id, case when r < a then 'train' when r < a + b then 'val' else 'test' end as split from ends)
 """
 
 
 def _split(spark, sf_dir):
-    images = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("image_id"))
+    images = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("image_id"))
     return view(spark, sf_dir, "qa_orders"), images
 
 

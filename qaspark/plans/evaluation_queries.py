@@ -225,7 +225,7 @@ def _stream(spark, sf_dir):
     for low, high in ((0, 34), (34, 67), (67, 100)):
         wave = events.filter((F.col("event_id") % 100 >= low) & (F.col("event_id") % 100 < high))
         wave.repartition(F.floor(F.col("event_id") / 100)).write.mode("append").parquet(arrivals)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(arrivals)
 
 
 def _metric_stream(spark, sf_dir):
@@ -270,10 +270,10 @@ def stream_wrong_predictions(spark, sf_dir):
 
 
 @query("stream_new_work", """
-select distinct user_id as img_id from events where user_id not in (select c_custkey from customer where c_custkey % 3 = 0)""")
+select distinct user_id as img_id from events where user_id not in (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
 def stream_new_work(spark, sf_dir):
     arrivals = _stream(spark, sf_dir).select(F.col("user_id").alias("img_id"))
-    done = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("img_id"))
+    done = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("img_id"))
     fresh = streams.new_work_stream(arrivals, done)
     return streams.drain_to_files(fresh, scratch_path(spark, "state"), scratch_path(spark, "fresh"))
 

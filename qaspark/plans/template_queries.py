@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from qaspark.functions import text
 from qaspark.operators import templates
 from qaspark.plans.catalog import query
-from qaspark.plans.views import cte, view
+from qaspark.plans.views import cte, table, view
+from qaspark.session import spread
 
 _LIST = "', '".join
 _COLORS, _DIRECTIONS, _QUANTITIES = (
@@ -77,9 +78,7 @@ select doc_id, len(toks) as n_tokens, len(list_distinct(toks)) as n_unique, md5(
 from (select doc_id, regexp_extract_all(lower(text), '\\p{Nd}+\\.\\p{Nd}+|\\p{Nd}+|[\\p{L}\\p{Nl}\\p{No}]+|[^\\s]') as toks from documents)
 """)
 def document_tokens(spark, sf_dir):
-    from qaspark.plans.views import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("toks"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", text.tokens(F.col("text")).alias("toks"))
     return docs.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.size(F.array_distinct("toks")).alias("n_unique"),
         F.md5(F.array_join("toks", "|")).alias("digest"),

@@ -131,6 +131,11 @@ def test_class_search(spark):
     assert none == "No images found containing 'zebra'"
 
 
+def test_row_lookup(spark):
+    df = spark.range(5).select(F.col("id").alias("row_idx"))
+    assert regions.row_at(df, 3).count() == 1 and regions.row_at(df, 5).count() == 0 and regions.row_at(df, -1).count() == 0
+
+
 def test_pooling_checks(spark):
     df = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(11)], "item int, view_idx int, vector array<double>")
     with pytest.raises(ValueError, match="mean"):

@@ -64,6 +64,9 @@ def test_samples_are_exact_and_fresh_per_epoch(spark):
     assert {(r.epoch, r.sample_id) for r in drawn} == {(e, s) for e in range(4) for s in range(5)}
     assert len({frozenset(r.id for r in drawn if r.epoch == e) for e in range(4)}) == 4
     assert split.sample_rows(rows, 2000, "id").count() == 1000
+    large = spark.range(30_000)
+    for n in (10_001, 29_999, 30_000, 40_000):
+        assert split.sample_rows(large, n, "id").distinct().count() == min(n, 30_000)
 
 
 def test_running_aggregates_across_chunks(spark):
