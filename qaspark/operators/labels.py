@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions import text
+from qaspark.operators.lookups import null_safe_join
 from qaspark.operators.ranks import dense_ids
 
 
@@ -61,7 +62,7 @@ def encode_questions(samples: DataFrame, vocabulary: DataFrame, length: int = 64
     cut = F.slice(text.tokens(F.col("question")), 1, length)
     placed = samples.select("row_idx", F.posexplode_outer(cut).alias("pos", "token"))
     ids = (
-        placed.join(vocabulary, "token", "left")
+        null_safe_join(placed, vocabulary, ["token"], "left")
         .groupBy("row_idx")
         .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(0)).alias("id"))))).alias("placed"))
         .select("row_idx", F.col("placed.id").alias("ids"))

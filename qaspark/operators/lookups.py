@@ -20,19 +20,21 @@ ON_MISSING = ("error", "drop", "keep")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on keys where null matches null.
+    """Equi-join on keys where null matches null; the join of all lookups.
 
-    A plain equality makes the optimizer test each key for null below the join, which computes
-    expensive key expressions a second time; the null-safe form does not.
+    Two reasons beside nulls. A right side grouped by the key keeps its own exchange for a plain
+    equality, and adaptive execution then cannot split a hot key of the left side; the null-safe form
+    gets an exchange of its own and is split. And a plain equality tests each key for null below the
+    join, which computes expensive key expressions a second time.
     """
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def last_image_per_id(images: DataFrame) -> DataFrame:
     """One file name per image id; a repeated id takes its last row (by ``pos``)."""
-    return images.groupBy("image_id").agg(F.max_by("filename", "pos").alias("filename"))
+    return images.filter("image_id is not null").groupBy("image_id").agg(F.max_by("filename", "pos").alias("filename"))
 
 
 def attach_images(annotations: DataFrame, images: DataFrame, on_missing: str = "default") -> DataFrame:
@@ -41,7 +43,7 @@ def attach_images(annotations: DataFrame, images: DataFrame, on_missing: str = "
     ``on_missing``: ``default`` names the file after the id, ``error`` fails, ``drop`` leaves the row out.
     """
     files = last_image_per_id(images)
-    joined = annotations.join(files, "image_id", "inner" if on_missing == "drop" else "left")
+    joined = null_safe_join(annotations, files, ["image_id"], "inner" if on_missing == "drop" else "left")
     if on_missing == "default":
         own = F.concat(F.col("image_id").cast("string"), F.lit(".jpg"))
         return joined.withColumn("filename", F.coalesce("filename", own))
@@ -64,7 +66,7 @@ def resolve_files(wanted: DataFrame, first: DataFrame, second: DataFrame) -> tup
     """
     a = first.select("image_id", F.col("path").alias("_first"))
     b = second.select("image_id", F.col("path").alias("_second"))
-    joined = wanted.join(a, "image_id", "left").join(b, "image_id", "left")
+    joined = null_safe_join(null_safe_join(wanted, a, ["image_id"], "left"), b, ["image_id"], "left")
     found = joined.withColumn("path", F.coalesce("_first", "_second")).drop("_first", "_second")
     return found.filter(F.col("path").isNotNull()), found.filter(F.col("path").isNull()).drop("path")
 
@@ -84,19 +86,19 @@ def files_by_extension(wanted: DataFrame, listing: DataFrame) -> DataFrame:
         .filter(F.col("_rank").isNotNull())
         .groupBy("image_id").agg(F.min_by("path", "_rank").alias("path"))
     )
-    return wanted.join(ranked, "image_id", "left")
+    return null_safe_join(wanted, ranked, ["image_id"], "left")
 
 
 def attach_names(regions: DataFrame, objects: DataFrame, attributes: DataFrame) -> DataFrame:
     """Add ``object_name`` and ``attribute_name`` from vocabularies ``(id, name)``."""
     o = objects.select(F.col("id").alias("object_id"), F.col("name").alias("object_name"))
     a = attributes.select(F.col("id").alias("attribute_id"), F.col("name").alias("attribute_name"))
-    return regions.join(o, "object_id", "left").join(a, "attribute_id", "left")
+    return null_safe_join(null_safe_join(regions, o, ["object_id"], "left"), a, ["attribute_id"], "left")
 
 
 def encode_answers(samples: DataFrame, encoder: DataFrame, on_missing: str = "error") -> DataFrame:
     """Add ``label`` from ``encoder(answer, label)``."""
-    joined = samples.join(encoder, "answer", "left")
+    joined = null_safe_join(samples, encoder, ["answer"], "left")
     return _checked(joined, "label", F.col("answer"), "no label for answer ", on_missing)
 
 
@@ -108,13 +110,13 @@ def decode_labels(df: DataFrame, encoder: DataFrame, columns: Mapping[str, str])
     for label, answer in columns.items():
         names = encoder.select(F.col("label").alias(label), F.col("answer").alias(answer))
         fallback = F.concat(F.lit("unknown_"), F.col(label).cast("string"))
-        df = df.join(names, label, "left").withColumn(answer, F.coalesce(F.col(answer), fallback))
+        df = null_safe_join(df, names, [label], "left").withColumn(answer, F.coalesce(F.col(answer), fallback))
     return df
 
 
 def missing_work(wanted: DataFrame, done: DataFrame, key: str = "img_id") -> DataFrame:
     """Rows of ``wanted`` whose key is not in ``done``."""
-    return wanted.join(done.select(key), key, "left_anti")
+    return null_safe_join(wanted, done.select(key), [key], "left_anti")
 
 
 def attach_schedule(log: DataFrame, schedule: DataFrame) -> DataFrame:

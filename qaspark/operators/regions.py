@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions import boxes as B
+from qaspark.operators.lookups import null_safe_join
 
 
 def explode_regions(regions: DataFrame) -> DataFrame:
@@ -116,4 +117,4 @@ def canonical_names(vocab: DataFrame) -> DataFrame:
 def canonicalize(names: DataFrame, vocab: DataFrame, column: str = "name") -> DataFrame:
     """Add the class id of each name by any of its spellings."""
     spellings = canonical_names(vocab).withColumnRenamed("synonym", column)
-    return names.join(spellings, column, "left")
+    return null_safe_join(names, spellings, [column], "left")

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.operators.lookups import null_safe_join
 from qaspark.operators.ranks import select_ranks
 from qaspark.session import materialize
 
@@ -28,7 +29,7 @@ def split_images(images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed:
     """
     names = list(ratios)
     keyed = materialize(
-        images.select("image_id").distinct().withColumn("_key", order_key(F.col("image_id"), seed)), "split-keys"
+        images.select("image_id").filter("image_id is not null").distinct().withColumn("_key", order_key(F.col("image_id"), seed)), "split-keys"
     )
     share = sum(ratios.values())
     cuts: dict[str, int] = {}
@@ -53,7 +54,7 @@ def group_split(
     annotations: DataFrame, images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42
 ) -> DataFrame:
     """Annotations with the ``split`` of their image; annotations of unlisted images vanish."""
-    return annotations.join(split_images(images, ratios, seed), "image_id")
+    return null_safe_join(annotations, split_images(images, ratios, seed), ["image_id"])
 
 
 def split_statistics(image_splits: DataFrame, annotation_splits: DataFrame) -> DataFrame:

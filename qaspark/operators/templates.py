@@ -189,7 +189,7 @@ class TemplateReport:
         """Profiles with the ``support`` of their template and ``frequency`` of their answer; written once."""
         support = self.profiles.groupBy("template").agg(F.sum("n").alias("support"))
         frequency = self.profiles.groupBy("answer").agg(F.sum("n").alias("frequency"))
-        joined = null_safe_join(self.profiles.join(support, "template"), frequency, ["answer"])
+        joined = null_safe_join(null_safe_join(self.profiles, support, ["template"]), frequency, ["answer"])
         return materialize(joined, "supported")
 
     @cached_property

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.operators.lookups import null_safe_join
+
 METHODS = ("mean", "sum", "max", "first")
 
 
@@ -65,7 +67,7 @@ def pool_gated(
     without sorting an item's views in one task.
     """
     peak = views.groupBy(item).agg(F.max(score).alias("_peak"))
-    scaled = views.join(peak, item).withColumn("_w", F.exp(F.col(score) - F.col("_peak")))
+    scaled = null_safe_join(views, peak, [item]).withColumn("_w", F.exp(F.col(score) - F.col("_peak")))
     return _weighted(scaled, dim, item, vector, "_w")
 
 

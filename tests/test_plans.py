@@ -1,7 +1,9 @@
 """Plans keep what large inputs need: narrow work, pruned scans, no Python, no one-task windows."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from qaspark.operators import lookups
 from qaspark.plans import load_catalog
 from qaspark.plans.views import view
 from qaspark.session import materialize, scratch_root
@@ -65,6 +67,29 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
     assert results[0] == results[1]
 
 
+def test_hot_keys_are_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    key = F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("image_id")
+    rows = spark.range(0, 200_000, 1, 8).select(key, F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    answers = rows.select(F.col("image_id").cast("string").alias("answer"), "pad")
+    images = rows.select("image_id", F.lit("f").alias("filename"), F.lit(0).alias("pos"))
+    encoder = answers.select("answer").distinct().withColumn("label", F.xxhash64("answer"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for joined in (lookups.attach_images(rows, images), lookups.encode_answers(answers, encoder)):
+            assert len(joined.collect()) == 200_000
+            assert "skew=true" in plan(joined)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class _Session:
     """A session without the checkpoint setting."""
 
