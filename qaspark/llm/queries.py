@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import byte_bpe, packing, quality_rules
+from qaspark.llm import byte_bpe, line_dedup, packing, quality_rules
+from qaspark.llm.common import map_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +36,29 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10, keep="none", min_chars=1))
+
+    def digest(doc_id: int | None, text: bytes, bitmap: bytes | None) -> tuple:
+        kept, n_lines, n_dropped = line_dedup.kept_text(text, bitmap)
+        return doc_id, n_lines, n_dropped, hashlib.sha256(kept).hexdigest()
+
+    return map_rows(found, digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+
+
+ORACLE["op8_line_dedup"] = r"""
+with lines as (
+  select doc_id, coalesce(text, '') as whole, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n
+  from documents),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (where c.key is not null) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (where c.key is null), '')) as kept_sha256
+from keyed k left join common c on k.key = c.key group by doc_id
+"""
