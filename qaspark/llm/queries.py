@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import byte_bpe, line_dedup, packing, quality_rules
+from qaspark.llm import byte_bpe, line_dedup, packing, quality_rules, simhash
 from qaspark.llm.common import map_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ select doc_id, count(*) as n_lines, count(*) filter (where c.key is not null) as
        sha256(coalesce(string_agg(line, chr(10) order by n) filter (where c.key is null), '')) as kept_sha256
 from keyed k left join common c on k.key = c.key group by doc_id
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
