@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import byte_bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash
+from qaspark.llm import (
+    byte_bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup,
+)
 from qaspark.llm.common import map_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +82,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"), length=200)
+
+    def digest(doc_id: int | None, text: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple:
+        removed = suffix_dedup.merge_spans(starts or [], stops or [], len(text))
+        kept = suffix_dedup.remaining(text, removed)
+        return doc_id, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()
+
+    return map_rows(found, digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
