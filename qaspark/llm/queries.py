@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from qaspark.llm import (
-    byte_bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup,
+    byte_bpe, document_sketch, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash,
+    suffix_dedup,
 )
 from qaspark.llm.common import map_rows
 
@@ -94,3 +95,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return doc_id, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()
 
     return map_rows(found, digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+@query
+def op3_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sketch.compare_with_next(table(spark, sf_dir, "documents"))
