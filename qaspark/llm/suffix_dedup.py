@@ -36,7 +36,7 @@ from qaspark.session import materialize
 
 GRAM = 50
 #: Bytes that are hashed together; longer texts are cut into overlapping parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHALLOW = 16
 BASE = 0x9E3779B97F4A7C15
 ANCHORS = "h bigint, c bigint, doc_id bigint, text_hash int, place bigint"
