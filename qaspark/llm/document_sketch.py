@@ -28,21 +28,27 @@ GROUP = 256
 
 
 def with_sketch(df: DataFrame, text: str, prefix: str = "", size: int = SIZE, fraction: float = FRACTION) -> DataFrame:
-    """Adds ``{prefix}sketch`` (sorted array<bigint>) and ``{prefix}fingerprint`` of a text column."""
+    """Adds ``{prefix}words`` (their number), ``{prefix}whole`` (hash of their sequence) and ``{prefix}sketch``
+    (sorted array<bigint>) of a text column; ``fingerprint`` writes the three as one string."""
     if not 0 < fraction <= 0.5:
         raise ValueError("the fraction is above 0 and at most a half")
-    hashes, sketch = f"{prefix}hashes", f"{prefix}sketch"
+    hashes = f"{prefix}hashes"
     words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), " "), "")
     hashed = df.withColumn(hashes, F.transform(words, lambda word: F.xxhash64(word)))
     own = F.col(hashes)
     shingles = F.transform(own, lambda first, i: F.xxhash64(first, *(F.get(own, i + k) for k in range(1, size))))
     whole = F.slice(shingles, 1, F.greatest(F.size(own) - (size - 1), F.lit(1)))
     kept = F.filter(whole, lambda h: (h >= 0) & (h < int(fraction * 2**64)))
-    marked = hashed.withColumn(sketch, F.array_sort(F.array_distinct(kept)))
-    fingerprint = F.concat_ws(
-        ":", F.size(own).cast("string"), F.lower(F.hex(F.xxhash64(own))),
-        F.array_join(F.transform(F.col(sketch), lambda h: F.lower(F.hex(h))), ","))
-    return marked.withColumn(f"{prefix}fingerprint", fingerprint).drop(hashes)
+    return hashed.withColumns({
+        f"{prefix}sketch": F.array_sort(F.array_distinct(kept)), f"{prefix}words": F.size(own), f"{prefix}whole": F.xxhash64(own),
+    }).drop(hashes)
+
+
+def fingerprint(prefix: str = "") -> Column:
+    """The fingerprint string of the columns that ``with_sketch`` adds."""
+    return F.concat_ws(
+        ":", F.col(f"{prefix}words").cast("string"), F.lower(F.hex(f"{prefix}whole")),
+        F.array_join(F.transform(f"{prefix}sketch", lambda h: F.lower(F.hex(h))), ","))
 
 
 def parse(fingerprint: Column | str) -> Column:
@@ -62,8 +68,13 @@ def containment(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
 
 
-def _likeness(fingerprint: str, sketch: str, other_fingerprint: str, other_sketch: str) -> Column:
-    return F.when(F.col(fingerprint) == F.col(other_fingerprint), F.lit(1.0)).otherwise(containment(sketch, other_sketch))
+PARTS = ("words", "whole", "sketch")
+
+
+def _likeness(prefix: str) -> Column:
+    """Likeness of a row's fingerprint to the one under a prefix."""
+    same = (F.col("words") == F.col(f"{prefix}words")) & (F.col("whole") == F.col(f"{prefix}whole")) & (F.col("sketch") == F.col(f"{prefix}sketch"))
+    return F.when(same, F.lit(1.0)).otherwise(containment("sketch", f"{prefix}sketch"))
 
 
 def _edited(rows: DataFrame) -> DataFrame:
@@ -71,14 +82,17 @@ def _edited(rows: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(
         F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
-    marked = with_sketch(edited, "edited", "edited_").withColumn("edited_sha256", F.sha2("edited", 256))
-    return marked.withColumns({
-        "near_edited": _likeness("fingerprint", "sketch", "edited_fingerprint", "edited_sketch"),
-        "near_next": _likeness("fingerprint", "sketch", "next_fingerprint", "next_sketch"),
-    })
+    marked = with_sketch(edited, "edited", "edited_").withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
+    return marked.withColumns({"near_edited": _likeness("edited_"), "near_next": _likeness("next_")})
+
+
+KEPT = ("doc_id", "n_chars", "edited_sha256", *PARTS, *(f"edited_{part}" for part in PARTS), "near_edited", "near_next")
 
 
-RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+def _result(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), fingerprint().alias("fingerprint"),
+        fingerprint("edited_").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,21 +108,16 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = with_sketch(texts.withColumns({"n_chars": F.char_length("text").cast("bigint"), "g": group}), "text")
     by_id = Window.partitionBy("g").orderBy("doc_id", F.xxhash64("text"), "text")
     paired = rows.withColumns({
-        "next_text": F.lead("text").over(by_id), "next_sketch": F.lead("sketch").over(by_id),
-        "next_fingerprint": F.lead("fingerprint").over(by_id), "place": F.row_number().over(by_id),
-    })
+        **{f"next_{name}": F.lead(name).over(by_id) for name in ("text", *PARTS)}, "place": F.row_number().over(by_id)})
     last, first = F.col("next_text").isNull(), F.col("place") == 1
     landed = materialize(_edited(paired).select(
-        "g", *RESULT, last.alias("last"), first.alias("first"),
-        F.when(last | first, F.col("text")).alias("text"), F.when(last | first, F.col("sketch")).alias("sketch")), "sketches")
+        "g", *KEPT, last.alias("last"), first.alias("first"), F.when(last | first, F.col("text")).alias("text")), "sketches")
 
-    heads = landed.filter("first").select(
-        F.col("g").alias("head"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"),
-        F.col("fingerprint").alias("next_fingerprint"))
-    tails = landed.filter("last").select("g", "doc_id", "n_chars", "text", "sketch", "fingerprint")
+    heads = landed.filter("first").select(F.col("g").alias("head"), *(F.col(name).alias(f"next_{name}") for name in ("text", *PARTS)))
+    tails = landed.filter("last").select("g", "doc_id", "n_chars", "text", *PARTS)
     follow = next_groups(landed.filter("first").select("g"))
-    across = _edited(tails.join(follow, "g").join(heads, "head")).select(*RESULT)
-    return landed.filter("not last").select(*RESULT).unionByName(across)
+    across = _edited(tails.join(follow, "g").join(heads, "head")).select(*KEPT)
+    return _result(landed.filter("not last").select(*KEPT).unionByName(across))
 
 
 def next_groups(groups: DataFrame, block: int = 65_536) -> DataFrame:
