@@ -9,7 +9,6 @@ the percentile come from the small profile table, and rows meet their score in o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -19,12 +18,10 @@ from pyspark.sql import functions as F
 
 from qaspark.functions import text
 from qaspark.operators.lookups import null_safe_join
-from qaspark.operators.ranks import unit_percentile
+from qaspark.operators.ranks import select_ranks, unit_key, unit_percentile
 from qaspark.session import materialize
 
 PROFILE = ("template", "answer", "n_tokens", "n_unique")
-# Most tokens fetched to settle the vocabulary size in one job.
-DRIVER_TOKENS = 10_000
 # More than any position in a text.
 PLACES = 1 << 31
 COLUMNS = ("row_idx", "question", "answer", "img_path")
@@ -106,20 +103,16 @@ def token_counts(qa: DataFrame, config: TemplateConfig = TemplateConfig()) -> Da
 def structural_tokens(qa: DataFrame, config: TemplateConfig = TemplateConfig()) -> list[str]:
     """The structural vocabulary; at most ``max_structural_tokens`` plus the fixed ones.
 
-    The top of the ranking and the number of distinct tokens are the only values on the driver.
+    The counts are written once: their number gives the size of the vocabulary, their top its tokens. Only
+    these reach the driver.
     """
-    counts = token_counts(qa, config)
-    share, most = config.structural_token_percentile, config.max_structural_tokens
-    # Beyond this many distinct tokens the maximum applies, so no more need to be looked at.
-    enough = math.ceil(most / share) if share else 1
-    bounded = enough <= DRIVER_TOKENS
-    ranked = counts.orderBy(F.desc("n"), "first_row", "first_pos").select("token")
-    top = ranked.limit(max(enough if bounded else most, 1)).collect()
-    if not top:
+    counts = materialize(token_counts(qa, config), "tokens")
+    unique = counts.count()
+    if not unique:
         return sorted(text.PUNCTUATION)
-    unique = len(top) if bounded else counts.count()
-    keep = min(max(1, int(unique * share)), most)
-    chosen = {row["token"] for row in top[:keep]}
+    keep = min(max(1, int(unique * config.structural_token_percentile)), config.max_structural_tokens)
+    top = counts.orderBy(F.desc("n"), "first_row", "first_pos").select("token").limit(keep).collect()
+    chosen = {row["token"] for row in top}
     return sorted(chosen | set(config.classes) | {text.NUMBER} | set(text.PUNCTUATION))
 
 
@@ -259,7 +252,12 @@ class TemplateReport:
         questions = self.qa.select(
             F.col("row_idx").alias("first_idx"), F.col("question").alias("representative_question")
         )
-        return stats.join(questions, "first_idx").select(
+        # A repeated id would give a template two first rows; such a table is refused.
+        found = stats.join(questions, "first_idx").groupBy(
+            "template", "support", "avg_difficulty", "representative_answer", "first_idx"
+        ).agg(F.max("representative_question").alias("representative_question"), F.count("*").alias("rows"))
+        repeated = F.raise_error(F.concat(F.lit("row_idx is not unique: "), F.col("first_idx").cast("string"))).cast("boolean")
+        return found.filter(F.when(F.col("rows") == 1, F.lit(True)).otherwise(repeated)).select(
             "template", "support", "avg_difficulty", "representative_question", "representative_answer", "first_idx"
         ).orderBy(F.desc("avg_difficulty"), "first_idx")
 
@@ -287,12 +285,20 @@ class TemplateReport:
 
     @cached_property
     def hard_samples(self) -> DataFrame:
-        """The hardest rows at or above the percentile, hardest first."""
-        level = F.round("difficulty", 10)
+        """The hardest rows at or above the percentile, hardest first.
+
+        The threshold is compared at ten decimals, the order is by difficulty itself. Profiles hold the row
+        counts, so the difficulty at which the hardest rows are reached is known before any row moves.
+        """
+        level, most = F.round("difficulty", 10), self.config.max_hard_samples
         hard = self.scored_profiles.filter(level >= F.lit(round(self.hard_threshold, 10)))
+        keyed = hard.select(unit_key(F.col("difficulty")).alias("key"), "n")
+        lowest = select_ranks(keyed, "key", lambda total: [max(total - most, 0)] if total else [], "n", step=4)
+        if lowest:
+            hard = hard.filter(unit_key(F.col("difficulty")) >= F.lit(min(lowest.values())))
         return (
             null_safe_join(self.templated, hard.drop("n", "first_idx"), PROFILE)
-            .orderBy(level.desc(), "row_idx")
+            .orderBy(F.desc("difficulty"), "row_idx")
             .limit(self.config.max_hard_samples)
             .select(
                 F.col("row_idx").alias("index"), "question", "answer", "img_path", "template",

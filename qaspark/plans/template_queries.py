@@ -8,7 +8,6 @@ from qaspark.functions import text
 from qaspark.operators import templates
 from qaspark.plans.catalog import query
 from qaspark.plans.views import cte, table, view
-from qaspark.session import spread
 
 _LIST = "', '".join
 _COLORS, _DIRECTIONS, _QUANTITIES = (
@@ -78,7 +77,7 @@ select doc_id, len(toks) as n_tokens, len(list_distinct(toks)) as n_unique, md5(
 from (select doc_id, regexp_extract_all(lower(text), '\\p{Nd}+\\.\\p{Nd}+|\\p{Nd}+|[\\p{L}\\p{Nl}\\p{No}]+|[^\\s]') as toks from documents)
 """)
 def document_tokens(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", text.tokens(F.col("text")).alias("toks"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("toks"))
     return docs.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.size(F.array_distinct("toks")).alias("n_unique"),
         F.md5(F.array_join("toks", "|")).alias("digest"),
@@ -92,11 +91,13 @@ def token_counts(spark, sf_dir):
 
 @query("structural_vocabulary", _ORDERS + "select unnest(v) as token from vocab")
 def structural_vocabulary(spark, sf_dir):
-    report = _report(spark, sf_dir)
-    kept = report.structural_tokens
-    counts = templates.token_counts(report.qa).select("token").filter(F.col("token").isin(*kept))
-    fixed = spark.createDataFrame([(t,) for t in kept], "token string")
-    return counts.unionByName(fixed).distinct()
+    return spark.createDataFrame([(t,) for t in _report(spark, sf_dir).structural_tokens], "token string")
+
+
+@query("structural_vocabulary_small_share", mining_sql("qa_parts", 0.29, 29) + "select unnest(v) as token from vocab")
+def structural_vocabulary_small_share(spark, sf_dir):
+    config = templates.TemplateConfig(structural_token_percentile=0.29, max_structural_tokens=29)
+    return spark.createDataFrame([(t,) for t in _report(spark, sf_dir, "qa_parts", config).structural_tokens], "token string")
 
 
 @query("question_templates", _ORDERS + "select row_idx, template, n_tokens, n_unique from templated")
@@ -176,10 +177,11 @@ def template_stats_conv(spark, sf_dir):
     return _report(spark, sf_dir, "qa_conv").templates
 
 
-@query("template_lookup", _ORDERS + _STATS_SQL + f"select * from stats where template like '%<num>?'")
+@query("template_lookup", _ORDERS + _STATS_SQL + "select * from stats where template = (select template from stats order by support desc, template limit 1)")
 def template_lookup(spark, sf_dir):
     report = _report(spark, sf_dir)
-    return report.templates.filter(F.col("template").endswith("<num>?"))
+    wanted = report.templates.orderBy(F.desc("support"), "template").first()["template"]
+    return report.get_template(wanted)
 
 
 @query("template_members", _ORDERS + """
@@ -196,7 +198,7 @@ def hard_threshold(spark, sf_dir):
     )
 
 
-_HARD_SQL = """, hard as (select * from scored, cut where round(d, 10) >= thr order by round(d, 10) desc, row_idx limit 256),
+_HARD_SQL = """, hard as (select * from scored, cut where round(d, 10) >= thr order by d desc, row_idx limit 256),
 suggested as (select *, round(tr, 4) as r1, round(ar, 4) as r2, round(qc, 4) as r3 from hard),
 named as (select *, case when r1 >= 0.6 and r2 >= 0.6 then 'text,image' when r1 >= 0.6 then 'text'
                          when r2 >= 0.6 and r3 >= 0.6 then 'image,text' when r2 >= 0.6 then 'image'
