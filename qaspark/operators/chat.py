@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the roles a message may have.
-ROLES = ("user", "assistant", "system")
-PART_TURNS = 1000
+from qaspark.operators.evaluate import add_outcomes
+
 DEFAULT_MODEL = "default"
 
 
-def payloads(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """``conv_id, part, messages``: ordered ``{role, content}`` messages.
+def payloads(turns: DataFrame) -> DataFrame:
+    """``conv_id, messages``: all turns of a conversation as ordered ``{role, content}`` messages.
 
-    Almost every conversation is one part; a longer one goes on in further parts, so no array and no
-    task grows with a single conversation.
+    A payload is what one call of the user's function gets, so it is one cell however long the conversation;
+    ``messages`` gives the same in long form. Every role is passed on.
     """
-    part = F.floor(F.col("turn") / part_turns).alias("part")
-    known = turns.filter(F.col("role").isin(*ROLES))
-    gathered = known.groupBy("conv_id", part).agg(
+    gathered = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")
     )
     bare = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return gathered.select("conv_id", "part", bare.alias("messages"))
+    return gathered.select("conv_id", bare.alias("messages"))
+
+
+def messages(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, content``: one row per message, for conversations too long for one cell."""
+    return turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
 def enrich(
@@ -38,21 +39,8 @@ def enrich(
     function is made available once per task and runs on Arrow batches.
     """
     named = chats.withColumn("model", F.coalesce("model", F.lit(model)) if "model" in chats.columns else F.lit(model))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in named.schema)}, reply string, error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies, errors = [], []
-            for messages, name in zip(batch.messages, batch.model):
-                try:
-                    replies.append(function([dict(m) for m in messages], name))
-                    errors.append(None)
-                except Exception as failure:  # one bad conversation must not stop the batch
-                    replies.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}")
-            yield batch.assign(
-                reply=pd.Series(replies, dtype=object, index=batch.index),
-                error=pd.Series(errors, dtype=object, index=batch.index),
-            )
-
-    return named.mapInPandas(run, schema)
+
+    def reply(row: dict) -> str:
+        return function(row["messages"], row["model"])
+
+    return add_outcomes(named, reply, "reply string", ["messages", "model"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from qaspark.operators.lookups import decode_labels, null_safe_join
 from qaspark.operators.scan import Running, row_number, running
 
 TOP = 5
@@ -43,50 +46,52 @@ def error_rates(predicted: DataFrame, by: str = "epoch") -> DataFrame:
     )
 
 
-def answer_array(encoder: DataFrame) -> Column:
-    """All answers as one array indexed by label, as a scalar subquery.
-
-    An encoder has as many rows as the model has outputs, and every row of logits is that wide
-    already, so the array is no larger than a row of the input.
-    """
-    entries = F.map_from_entries(F.collect_list(F.struct("label", "answer")))
-    packed = encoder.agg(entries.alias("names"), F.max("label").alias("top"))
-    return packed.select(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top").cast("bigint")), lambda i: F.try_element_at("names", i))
-    ).scalar()
-
-
-def answer_of(names: Column, label: Column) -> Column:
-    return F.coalesce(F.get(names, label), F.concat(F.lit("unknown_"), label.cast("string")))
-
-
-def top_predictions(logits: Column, names: Column, k: int = TOP) -> Column:
-    """``array<struct<rank, answer, label, score>>``, best first, ties by lower label."""
+def best_labels(logits: Column, k: int = TOP) -> Column:
+    """``array<struct<rank, label, score>>``, best first, ties by lower label."""
     ordered = F.array_sort(
         F.transform(logits, lambda x, i: F.struct((-x).alias("k"), i.alias("label"), x.alias("score")))
     )
     return F.transform(
         F.slice(ordered, 1, k),
-        lambda s, i: F.struct(
-            (i + 1).alias("rank"), answer_of(names, s["label"]).alias("answer"),
-            s["label"].alias("label"), s["score"].cast("double").alias("score"),
-        ),
+        lambda s, i: F.struct((i + 1).alias("rank"), s["label"].alias("label"), s["score"].cast("double").alias("score")),
     )
 
 
+def top_predictions(predicted: DataFrame, encoder: DataFrame, keys: Sequence[str], k: int = TOP) -> DataFrame:
+    """``keys, top5_predictions``: the best ``k`` labels with their answers, as structs of rank, answer, label, score.
+
+    Rows are told apart by ``keys``. The few best labels of a row are looked up like any label and gathered
+    again, so the encoder is joined and never held in a cell.
+    """
+    best = predicted.select(*keys, F.explode_outer(best_labels(F.col("logits"), k)).alias("b")).select(*keys, "b.*")
+    named = decode_labels(best, encoder, {"label": "answer"})
+    ranked = F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "answer", "label", "score")))
+    return named.groupBy(*keys).agg(F.array_sort(ranked).alias("top5_predictions"))
+
+
+def _decoded(df: DataFrame, encoder: DataFrame) -> DataFrame:
+    names = encoder.select(F.col("label").cast("bigint").alias("label"), "answer")
+    return decode_labels(df, names, {"prediction": "_predicted", "ground_truth": "_truth"})
+
+
 def wrong_records(predicted: DataFrame, encoder: DataFrame, k: int = TOP) -> DataFrame:
-    """Wrong predictions with decoded answers and, where logits exist, the best ``k`` answers."""
-    encoder = encoder.select(F.col("label").cast("bigint").alias("label"), "answer")
-    named = wrong_predictions(predicted).withColumn("_names", answer_array(encoder))
-    names = F.col("_names")
-    records = named.select(
+    """Wrong predictions with decoded answers and, where logits exist, the best ``k`` answers.
+
+    Rows are told apart by ``epoch`` and ``row_idx``.
+    """
+    wrong = wrong_predictions(predicted)
+    records = _decoded(wrong.drop("logits"), encoder).select(
         "epoch", F.col("row_idx").alias("sample_idx"), F.col("img_path").alias("image_path"), "question",
-        answer_of(names, F.col("prediction")).alias("model_prediction"),
-        answer_of(names, F.col("ground_truth")).alias("ground_truth"),
+        F.col("_predicted").alias("model_prediction"), F.col("_truth").alias("ground_truth"),
         F.col("prediction").alias("prediction_label"), F.col("ground_truth").alias("ground_truth_label"),
-        *([top_predictions(F.col("logits"), names, k).alias("top5_predictions")] if "logits" in predicted.columns else []),
     )
-    return records
+    if "logits" not in predicted.columns:
+        return records
+    best = top_predictions(
+        wrong.select("epoch", F.col("row_idx").alias("sample_idx"), "logits"),
+        encoder.select(F.col("label").cast("bigint").alias("label"), "answer"), ["epoch", "sample_idx"], k,
+    )
+    return null_safe_join(records, best, ["epoch", "sample_idx"], "left")
 
 
 def observations(samples: DataFrame, encoder: DataFrame) -> DataFrame:
@@ -95,15 +100,11 @@ def observations(samples: DataFrame, encoder: DataFrame) -> DataFrame:
     ``views`` are the wordings the text augmentation gave (null without one); the text flag says
     whether any of them differs from the original. ``image_action`` is null without image augmentation.
     """
-    encoder = encoder.select(F.col("label").cast("bigint").alias("label"), "answer")
-    named = samples.withColumn("_names", answer_array(encoder))
-    names = F.col("_names")
     differs = F.exists(F.col("views"), lambda v: v != F.col("question"))
-    return named.select(
+    return _decoded(samples, encoder).select(
         "epoch", "sample_id", F.col("img_path").alias("original_image_path"),
         F.col("question").alias("original_question"), F.col("views").alias("augmented_question"),
-        answer_of(names, F.col("prediction")).alias("model_prediction"),
-        answer_of(names, F.col("ground_truth")).alias("ground_truth"),
+        F.col("_predicted").alias("model_prediction"), F.col("_truth").alias("ground_truth"),
         is_correct().alias("is_correct"),
         F.col("image_action").isNotNull().alias("has_image_augmentation"),
         F.coalesce(differs, F.lit(False)).alias("has_text_augmentation"),
@@ -155,23 +156,34 @@ def early_stops(metrics: DataFrame, patience: int, run: str = "run_id") -> DataF
     return patience_counters(metrics, run).groupBy(run).agg(stop.alias("stop_epoch"))
 
 
-def try_rows(df: DataFrame, function: Callable[[dict], object], result_type: str) -> DataFrame:
-    """Add ``result`` and ``error``: a failing row is noted and does not stop the job."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, result {result_type}, error string"
+def add_outcomes(df: DataFrame, function: Callable[[dict], object], result: str, inputs: Sequence[str]) -> DataFrame:
+    """Add a result column (``name type``) and ``error``; the table's own columns pass through untouched.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The function gets one dict per row with the columns ``inputs`` as Python values.
+    """
+    added = T.StructType.fromDDL(f"{result}, error string")
+    schema = T.StructType([*df.schema.fields, *added.fields])
+    kinds = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             results, errors = [], []
-            for record in batch.to_dict("records"):
+            for row in batch.select(list(inputs)).to_pylist():
                 try:
-                    results.append(function(record))
+                    results.append(function(row))
                     errors.append(None)
                 except Exception as failure:  # a bad row of any kind is set aside
                     results.append(None)
                     errors.append(f"{type(failure).__name__}: {failure}")
-            yield batch.assign(result=pd.Series(results, dtype=object, index=batch.index), error=pd.Series(errors, dtype=object, index=batch.index))
+            made = [pa.array(values, type=kind.type) for values, kind in zip((results, errors), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
 
-    return df.mapInPandas(run, schema)
+def try_rows(df: DataFrame, function: Callable[[dict], object], result_type: str) -> DataFrame:
+    """Add ``result`` and ``error``: a failing row is noted and does not stop the job."""
+    return add_outcomes(df, function, f"result {result_type}", df.columns)
 
 
 def split_failures(tried: DataFrame) -> tuple[DataFrame, DataFrame]:

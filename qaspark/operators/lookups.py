@@ -54,8 +54,9 @@ def _checked(joined: DataFrame, column: str, key: Column, message: str, on_missi
     if on_missing not in ON_MISSING:
         raise ValueError(f"on_missing must be one of {', '.join(ON_MISSING)}")
     if on_missing == "error":
-        failure = F.raise_error(F.concat(F.lit(message), F.coalesce(key.cast("string"), F.lit("null"))))
-        return joined.withColumn(column, F.coalesce(F.col(column), failure.cast(joined.schema[column].dataType)))
+        # In a filter, as a column that nobody asks for would be left out together with its check.
+        failure = F.raise_error(F.concat(F.lit(message), F.coalesce(key.cast("string"), F.lit("null")))).cast("boolean")
+        return joined.filter(F.when(F.col(column).isNotNull(), F.lit(True)).otherwise(failure))
     return joined.filter(F.col(column).isNotNull()) if on_missing == "drop" else joined
 
 

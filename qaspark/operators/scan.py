@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.operators.lookups import null_safe_join
+
 CHUNK = 4096
 
 _AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
@@ -51,7 +53,7 @@ def running(df: DataFrame, group: str, position: str, chunk: int = CHUNK, **colu
     for name, r in columns.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.include_current else -1)
         rows = rows.withColumn(f"_l_{name}", _AGGREGATES[r.how](f"_v_{name}").over(frame))
-    joined = rows.join(before, [group, "_chunk"])
+    joined = null_safe_join(rows, before, [group, "_chunk"])
     return joined.select(
         *df.columns, *[r.combine(F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name) for name, r in columns.items()]
     )
