@@ -12,6 +12,9 @@ from qaspark.operators.lookups import null_safe_join
 from qaspark.operators.ranks import dense_ids
 
 
+PADDING_TOKEN, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
+
+
 def union_answers(*splits: DataFrame) -> DataFrame:
     """The ``answer`` column of all splits."""
     return reduce(DataFrame.unionByName, [s.select("answer") for s in splits])
@@ -40,8 +43,9 @@ def fit_clean_encoder(*splits: DataFrame) -> DataFrame:
     return fit_encoder(*[clean_answers(s) for s in splits])
 
 
-def class_count(encoder: DataFrame) -> DataFrame:
-    return encoder.agg(F.count("*").alias("num_classes"))
+def class_count(*splits: DataFrame) -> DataFrame:
+    """Distinct answers of all splits: the size of their encoder, without building it."""
+    return union_answers(*splits).agg(F.countDistinct("answer").alias("num_classes"))
 
 
 def decoder(encoder: DataFrame) -> DataFrame:
@@ -49,9 +53,9 @@ def decoder(encoder: DataFrame) -> DataFrame:
 
 
 def fit_token_vocabulary(samples: DataFrame) -> DataFrame:
-    """``token, token_id``: distinct question tokens with dense ids; 0 is left for padding."""
+    """``token, token_id``: distinct question tokens with dense ids; 0 is left for padding, 1 for unknown tokens."""
     exploded = samples.select(F.explode(text.tokens(F.col("question"))).alias("token"))
-    return dense_ids(exploded, "token", "token_id").withColumn("token_id", (F.col("token_id") + 1).cast("int"))
+    return dense_ids(exploded, "token", "token_id").withColumn("token_id", (F.col("token_id") + FIRST_TOKEN).cast("int"))
 
 
 def encode_questions(samples: DataFrame, vocabulary: DataFrame, length: int = 64) -> DataFrame:
@@ -64,7 +68,7 @@ def encode_questions(samples: DataFrame, vocabulary: DataFrame, length: int = 64
     ids = (
         null_safe_join(placed, vocabulary, ["token"], "left")
         .groupBy("row_idx")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(0)).alias("id"))))).alias("placed"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).alias("id"))))).alias("placed"))
         .select("row_idx", F.col("placed.id").alias("ids"))
     )
     return ids.select(

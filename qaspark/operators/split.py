@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,19 +47,28 @@ def split_images(images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed:
         # A cut at the end of the data has no key: everything before it is inside.
         inside = F.col("_key") < F.lit(keys[cuts[name]]) if cuts[name] in keys else F.lit(True)
         label = F.when(inside, F.lit(name)).otherwise(label)
-    return keyed.withColumn("split", label).drop("_key")
+    named = keyed.withColumn("split", label).drop("_key")
+    # Without further columns the ids are all there is; else every listed row keeps its columns.
+    return named if images.columns == ["image_id"] else images.join(named, "image_id")
 
 
 def group_split(
     annotations: DataFrame, images: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42
 ) -> DataFrame:
-    """Annotations with the ``split`` of their image; annotations of unlisted images vanish."""
-    return null_safe_join(annotations, split_images(images, ratios, seed), ["image_id"])
+    """Annotations with the ``split`` of their image; annotations of unlisted images vanish.
+
+    ``images`` may come with a ``split`` already (from ``split_images``), which is then used.
+    """
+    ready = images if "split" in images.columns else split_images(images.select("image_id"), ratios, seed)
+    return null_safe_join(annotations, ready.select("image_id", "split").distinct(), ["image_id"])
 
 
-def split_statistics(image_splits: DataFrame, annotation_splits: DataFrame) -> DataFrame:
-    """``split, images, image_percent, annotations``."""
+def split_statistics(image_splits: DataFrame, annotation_splits: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """``split, images, image_percent, annotations``; ``names`` are splits to report even when they are empty."""
     counts = image_splits.groupBy("split").agg(F.count("*").alias("images"))
+    if names:
+        every = image_splits.sparkSession.createDataFrame([(name,) for name in names], "split string")
+        counts = every.join(counts, "split", "left").withColumn("images", F.coalesce("images", F.lit(0)))
     total = counts.agg(F.sum("images").alias("total"))
     rows = annotation_splits.groupBy("split").agg(F.count("*").alias("annotations"))
     return (
@@ -69,42 +78,60 @@ def split_statistics(image_splits: DataFrame, annotation_splits: DataFrame) -> D
     )
 
 
-# Largest sample taken by a top-n, whose rows pass through one task.
-TOP_ROWS = 10_000
+def _hashed(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement: those with the smallest hash of a unique key.
+    """``n`` rows without replacement, or all if there are fewer: those with the smallest hash of a key.
 
-    A small sample is a distributed top-n; a large one a filter below the key at rank ``n``.
+    Rows that share a key (or have none) follow each other by the hash of the whole row. The key at the last
+    rank is looked up by histograms, so a sample of any size is a filter; only rows equal to the last one are
+    counted off.
     """
-    keyed = df.withColumn("_key", order_key(F.col(key), seed))
-    if n <= TOP_ROWS:
-        return keyed.orderBy("_key", key).limit(n).drop("_key")
-    keys = select_ranks(keyed.select("_key"), "_key", lambda total: [n] if n < total else [])
-    return (keyed.filter(F.col("_key") < keys[n]) if n in keys else keyed).drop("_key")
+    if n <= 0:
+        return df.limit(0)
+    whole = F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
+    keyed = df.withColumn("_key", F.concat(_hashed(F.col(key), F.lit(seed)), F.lower(whole)))
+    last = select_ranks(keyed.select("_key"), "_key", lambda total: [n - 1] if n < total else [])
+    if not last:
+        return keyed.drop("_key")
+    inside, equal = keyed.filter(F.col("_key") < last[n - 1]), keyed.filter(F.col("_key") == last[n - 1])
+    return inside.unionByName(equal.limit(n - inside.count())).drop("_key")
 
 
 def sample_per_epoch(df: DataFrame, n: int, key: str, epochs: int, seed: int = 0) -> DataFrame:
     """``n`` rows per epoch, drawn anew for each epoch; adds ``epoch`` and ``sample_id``.
 
-    Every epoch draws from all rows. A histogram of the first two hash digits (at most 256 groups per
-    epoch, combined map-side) gives the bucket up to which an epoch has enough rows; only those rows
-    are ranked.
+    Every epoch draws from all rows. Histograms of the hash digits, combined map-side and deepened where an
+    epoch's last row lies, lead to a prefix below which there are hardly more than ``n`` rows; only those are ranked.
     """
     drawn = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    hashed = drawn.withColumn(
-        "_key", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("epoch").cast("string"), F.lit(str(seed))))
-    ).withColumn("_bucket", F.substring("_key", 1, 2))
-    counts = hashed.groupBy("epoch", "_bucket").count().orderBy("epoch", "_bucket").collect()
-    last: dict[int, str] = {}
-    seen: dict[int, int] = {}
-    for row in counts:
-        if seen.get(row["epoch"], 0) < n:
-            last[row["epoch"]] = row["_bucket"]
-            seen[row["epoch"]] = seen.get(row["epoch"], 0) + row["count"]
-    limits = df.sparkSession.createDataFrame(list(last.items()), "epoch int, _last string")
-    near = hashed.join(F.broadcast(limits), "epoch").filter("_bucket <= _last")  # one row per epoch
+    hashed = drawn.withColumn("_key", _hashed(F.col(key), F.col("epoch"), F.lit(seed)))
+    spark = df.sparkSession
+    bounds: dict[int, str] = {}
+    places = {epoch: ("", 0) for epoch in range(epochs)}  # prefix that holds the last row, rows before it
+    depth = 0
+    while places:
+        depth += 2
+        asked = spark.createDataFrame([(e, p) for e, (p, _) in places.items()], "epoch int, _prefix string")
+        near = hashed.join(F.broadcast(asked), "epoch").filter(F.col("_key").startswith(F.col("_prefix")))  # one row per epoch
+        counts = near.groupBy("epoch", F.substring("_key", 1, depth).alias("bucket")).count().orderBy("epoch", "bucket").collect()
+        following = {}
+        for epoch, (_, before) in places.items():
+            for row in (row for row in counts if row["epoch"] == epoch):
+                if before + row["count"] >= n:
+                    if row["count"] <= max(n, 256) or depth >= 32:
+                        bounds[epoch] = row["bucket"]
+                    else:
+                        following[epoch] = (row["bucket"], before)
+                    break
+                before += row["count"]
+            else:
+                bounds[epoch] = "g"  # fewer rows than asked for: all of them
+        places = following
+    limits = spark.createDataFrame(list(bounds.items()), "epoch int, _last string")
+    inside = hashed.join(F.broadcast(limits), "epoch").filter(F.col("_key") < F.concat("_last", F.lit("g")))  # past the hex digits
     order = Window.partitionBy("epoch").orderBy("_key", key)
-    ranked = near.withColumn("sample_id", F.row_number().over(order) - 1).filter(F.col("sample_id") < n)
+    ranked = inside.withColumn("sample_id", F.row_number().over(order) - 1).filter(F.col("sample_id") < n)
     return ranked.select(key, "epoch", "sample_id")
