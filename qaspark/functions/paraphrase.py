@@ -207,14 +207,15 @@ def candidates(question: Column, tagged: Column) -> Column:
     return let(tagged, distinct)
 
 
-def pick_views(question: Column, options: Column, difficulty: Column, seed: int = 0) -> Column:
+def pick_views(question: Column, options: Column, difficulty: Column, seed: Column | int = 0) -> Column:
     """The question and its paraphrases for the difficulty, filled up with the question.
 
     The pick is the head of a hash order: the same on every run and every partitioning.
     """
     wanted = paraphrase_count(difficulty)
+    mark = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
     ordered = F.array_sort(
-        F.transform(options, lambda c: F.struct(F.md5(F.concat(c, F.lit(f":{seed}"))).alias("k"), c.alias("c")))
+        F.transform(options, lambda c: F.struct(F.md5(F.concat(c, F.lit(":"), mark)).alias("k"), c.alias("c")))
     )
     return let(
         F.slice(ordered, 1, wanted)["c"],

@@ -43,7 +43,7 @@ def paraphrases(samples: DataFrame) -> DataFrame:
 def paraphrase_candidates(samples: DataFrame) -> DataFrame:
     """Add ``candidates``: distinct paraphrases other than the question."""
     tagged = tag_questions(samples)
-    return tagged.withColumn("candidates", paraphrase.candidates(F.col("question"), F.col("tagged"))).drop("tagged")
+    return tagged.withColumn("candidates", paraphrase.candidates(F.col("question"), F.col("tagged"))).drop(*["tagged"] * ("tagged" not in samples.columns))
 
 
 def paraphrase_views(samples: DataFrame, difficulty: Column | float = 0.0, seed: int = 0) -> DataFrame:

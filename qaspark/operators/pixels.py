@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +64,8 @@ def apply_patches(
 ) -> DataFrame:
     """Rasters with the planned patches masked or blurred.
 
-    The plan is a column expression on the raster's own row, so pixels never shuffle; only planned
-    images reach Python, in Arrow batches.
+    The plan is a column expression on the raster's own row, so pixels never shuffle. Each image is read once;
+    Arrow batches hand the untouched ones on as they are.
     """
     plan = patches.patch_plan(
         F.col("image_id"), F.col("height"), F.col("width"), difficulty, size, ratio, apply_masking, seed
@@ -74,12 +74,12 @@ def apply_patches(
         "image_id", "height", "width", "channels", "data", "plan.action", "plan.patches"
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["image_id", "height", "width", "channels", "action"]
         for batch in batches:
-            rows = zip(batch.data, batch.height, batch.width, batch.channels, batch.action, batch.patches)
-            altered = [_alter(*row, size) for row in rows]
-            yield batch[["image_id", "height", "width", "channels", "action"]].assign(data=altered)
+            plans = batch.select(["data", "height", "width", "channels", "action", "patches"])
+            altered = [_alter(*row.values(), size) for row in plans.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in names), pa.array(altered, pa.binary())], names=[*names, "data"])
 
-    altered = planned.filter("action <> 'none'").mapInPandas(run, ALTERED)
-    untouched = planned.filter("action = 'none'").select("image_id", "height", "width", "channels", "action", "data")
-    return altered.unionByName(untouched)
+    return planned.mapInArrow(run, ALTERED)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qaspark.functions import curriculum as C
 from qaspark.functions import paraphrase, patches
@@ -68,17 +70,25 @@ def phase_counts(table: DataFrame, by: str = "strategy") -> DataFrame:
 def applied_difficulty(log: DataFrame, run: str = "run_id") -> DataFrame:
     """``run, epoch, difficulty, applied``: the difficulty in force under the update threshold.
 
-    The rule is a fold over the epochs of one run; runs are independent and as long as their
-    schedule.
+    The rule carries one value along the epochs of a run. Runs are streamed in order through Arrow batches, so a
+    run of any length takes constant memory; a null difficulty leaves the one in force.
     """
-    ordered = log.groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("epoch"), F.col("difficulty")))).alias("steps")
-    )
-    folded = ordered.withColumn("applied", C.applied_difficulties(F.col("steps.difficulty")))
-    return folded.select(run, F.explode(F.arrays_zip("steps", "applied")).alias("z")).select(
-        run, F.col("z.steps.epoch").alias("epoch"), F.col("z.steps.difficulty").alias("difficulty"),
-        F.col("z.applied").alias("applied"),
-    )
+    rows = log.select(run, "epoch", F.col("difficulty").cast("double").alias("difficulty"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("applied", T.DoubleType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, force = object(), None
+        for batch in batches:
+            applied = []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != seen:
+                    seen, force = name, None
+                if force is None or (value is not None and abs(value - force) > C.UPDATE_ABOVE):
+                    force = value
+                applied.append(force)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(applied, pa.float64())], names=schema.names)
+
+    return rows.repartition(run).sortWithinPartitions(run, "epoch").mapInArrow(fold, schema)
 
 
 def expand_epochs(samples: DataFrame, total_epochs: int) -> DataFrame:
@@ -90,18 +100,21 @@ def expand_epochs(samples: DataFrame, total_epochs: int) -> DataFrame:
 def augmented_epochs(
     samples: DataFrame, schedule: C.Schedule, text: bool = True, image: bool = True, seed: int = 0
 ) -> DataFrame:
-    """Per sample and epoch: difficulty, phase, text views and the image action.
+    """Per sample and epoch: difficulty in force, phase, text views and the image action.
 
-    Samples of a ``val`` split are never augmented. Tagging and candidates are built once per sample,
-    before the epochs multiply it.
+    The difficulty of an epoch is the schedule's under the update threshold, as the trainer applies it. Where there
+    is a ``split`` only ``train`` rows are augmented. Every epoch draws its own paraphrases. A ``tagged`` column of
+    the table is used; else questions are tagged by the word list, once per sample, before the epochs multiply it.
     """
-    tagged = paraphrase.lexicon_tag(paraphrase.segment(F.col("question")))
-    options = paraphrase.candidates(F.col("question"), tagged)
-    prepared = samples.withColumn("_options", options)
-    rows = expand_epochs(prepared, schedule.total_epochs)
-    rows = rows.withColumn("difficulty", schedule.difficulty(F.col("epoch")))
-    train = F.col("split") != "val" if "split" in samples.columns else F.lit(True)
-    views = paraphrase.pick_views(F.col("question"), F.col("_options"), F.col("difficulty"), seed)
+    spark = samples.sparkSession
+    planned = schedule_table(spark, [schedule]).select(F.lit(0).alias("run_id"), "epoch", "difficulty")
+    in_force = applied_difficulty(planned).select("epoch", F.col("applied").alias("difficulty"))
+    tagged = F.col("tagged") if "tagged" in samples.columns else paraphrase.lexicon_tag(paraphrase.segment(F.col("question")))
+    prepared = samples.withColumn("_options", paraphrase.candidates(F.col("question"), tagged))
+    rows = expand_epochs(prepared, schedule.total_epochs).join(F.broadcast(in_force), "epoch")  # one row per epoch
+    train = F.coalesce(F.col("split") == "train", F.lit(False)) if "split" in samples.columns else F.lit(True)
+    draw = F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"))
+    views = paraphrase.pick_views(F.col("question"), F.col("_options"), F.col("difficulty"), draw)
     views = F.when(train & F.lit(text), views).otherwise(F.array("question"))
     action = F.when(train & F.lit(image), patches.patch_action(F.col("difficulty"))).otherwise("none")
     return rows.select(
