@@ -58,12 +58,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a small table to all cores before CPU-heavy expressions.
-
-    Meant for plain scans. A file of one row group is one task however many cores wait; a table that
-    already comes in enough partitions is left alone, so large inputs never shuffle here.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table

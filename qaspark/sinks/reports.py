@@ -1,7 +1,7 @@
 """Text reports of observations and wrong predictions, in long form.
 
 A report has one row per block with its place in the epoch, so an epoch of any size stays
-distributed; ``write_text`` after ``orderBy("epoch", "block")`` gives the file.
+distributed; ``writers.write_report`` gives the files.
 """
 
 from __future__ import annotations
@@ -87,21 +87,24 @@ def wrong_summary(wrong: DataFrame) -> DataFrame:
             F.col("epoch"), F.col("n"),
         ).alias("text"),
     )
-    ranked = F.transform(
-        "top5_predictions",
-        lambda p: F.format_string("  %d. %s (score: %.4f)", p["rank"], p["answer"], p["score"]),
-    )
+    best = []
+    if "top5_predictions" in wrong.columns:
+        ranked = F.transform(
+            "top5_predictions",
+            lambda p: F.format_string("  %d. %s (score: %.4f)", p["rank"], p["answer"], p["score"]),
+        )
+        best = [F.lit("Top-5 Predictions:"), F.array_join(ranked, "\n")]
     numbered = running(wrong, "epoch", "sample_idx", block=row_number())
     body = numbered.select(
         "epoch", "block",
         F.concat_ws(
             "\n",
             F.format_string("\n[%d] Sample Index: %d", F.col("block"), F.col("sample_idx")),
-            F.concat(F.lit("Image: "), F.col("image_path")),
-            F.concat(F.lit("Question: "), F.col("question")),
+            F.concat(F.lit("Image: "), _text(F.col("image_path"))),
+            F.concat(F.lit("Question: "), _text(F.col("question"))),
             F.concat(F.lit("Ground Truth: "), F.col("ground_truth")),
             F.concat(F.lit("Prediction: "), F.col("model_prediction")),
-            F.lit("Top-5 Predictions:"), F.array_join(ranked, "\n"), F.lit(THIN),
+            *best, F.lit(THIN),
         ).alias("text"),
     )
     return head.unionByName(body)

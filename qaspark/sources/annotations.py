@@ -61,10 +61,14 @@ def _document(spark: SparkSession, path: str, schema: str, multi_line: bool) ->
     return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
 
-def read_qa_csv(spark: SparkSession, path: str, img_dir: str = "") -> DataFrame:
-    """Columns ``question, answer, img_id`` by name; the image file is the zero-filled id."""
+def read_qa_csv(spark: SparkSession, path: str, img_dir: str = "", multi_line: bool = True) -> DataFrame:
+    """Columns ``question, answer, img_id`` by name; the image file is the zero-filled id.
+
+    Records with line breaks inside quotes make a file one task; ``multi_line=False`` splits files whose records
+    are one line each. A malformed record fails the read.
+    """
     raw = (
-        spark.read.option("header", True).option("multiLine", True)
+        spark.read.option("header", True).option("multiLine", multi_line).option("mode", "FAILFAST")
         .option("quote", '"').option("escape", '"').csv(path)
     )
     missing = [c for c in CSV_COLUMNS if c not in raw.columns]
@@ -84,7 +88,9 @@ def read_qa_json_map(
 ) -> DataFrame:
     """``{"images": {id: file}, "annotations": {id: {...}}}``; every image must be listed."""
     document = _document(spark, path, MAP_SCHEMA, multi_line)
-    images = document.select(F.posexplode("images").alias("pos", "image_id", "filename"))
+    images = document.select("*", F.input_file_name().alias("_file")).select(
+        "_file", F.posexplode("images").alias("_pos", "image_id", "filename")
+    ).select(F.struct("_file", "_pos").alias("pos"), "image_id", "filename")
     rows = _numbered(document.select(F.explode("annotations").alias("question_id", "a")))
     rows = rows.select("row_idx", "question_id", "a.*")
     return _samples(_with_path(attach_images(rows, images, on_missing), img_dir))

@@ -108,8 +108,27 @@ def encode_regions(regions: DataFrame) -> DataFrame:
     )
 
 
+def _first_lines(lines: DataFrame, n: int) -> DataFrame:
+    placed = lines.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"))
+    blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_place").alias("first")).orderBy("_file", "_block")
+    keep, left = F.lit(False), n
+    for block in blocks.collect():  # one row for each block of a file
+        if left <= 0:
+            break
+        inside = (F.col("_file") == block["_file"]) & (F.col("_block") == block["_block"])
+        keep = keep | (inside & (F.col("_place") < block["first"] + left))
+        left -= block["n"]
+    return placed.filter(keep).drop("_file", "_block", "_place")
+
+
 def read_regions_tsv(spark: SparkSession, path: str, topk: int | None = None) -> DataFrame:
-    """Decoded regions; ``topk`` keeps the first lines, ``None`` or -1 all of them."""
+    """Decoded regions; ``topk`` keeps the first lines in file order, ``None`` or -1 all of them.
+
+    Lines are counted per block of a file; blocks before the last one asked for are kept whole and that one up to
+    the line, each where it is read.
+    """
     text_schema = ", ".join(
         f"{f} {'bigint' if f in ('img_h', 'img_w', 'num_boxes') else 'string'}" for f in FIELDS
     )
@@ -118,7 +137,7 @@ def read_regions_tsv(spark: SparkSession, path: str, topk: int | None = None) ->
         .option("maxCharsPerColumn", -1).option("mode", "FAILFAST").csv(path)
     )
     if topk is not None and topk != -1:
-        lines = lines.limit(topk)
+        lines = _first_lines(lines, topk)
     return decode_regions(
         lines.select(*[F.unbase64(F.coalesce(f, F.lit(""))).alias(f) if f in ELEMENTS else F.col(f) for f in FIELDS])
     )

@@ -124,7 +124,9 @@ def read_dataset(spark: SparkSession, name: str, root: str = ".") -> DataFrame:
     ]
     if not present:
         raise FileNotFoundError(f"no split of {name} under {root}")
-    return reduce(DataFrame.unionByName, [read_split(spark, name, s, root) for s in present])
+    rows = reduce(DataFrame.unionByName, [read_split(spark, name, s, root) for s in present])
+    # Numbered after the union: no two splits share an id.
+    return rows.withColumn("row_idx", F.monotonically_increasing_id())
 
 
 def fit_dataset_encoder(spark: SparkSession, name: str, root: str = ".") -> DataFrame:
