@@ -9,7 +9,6 @@ from qaspark.functions import paraphrase, patches
 from qaspark.operators import augment, schedules
 from qaspark.plans.catalog import query
 from qaspark.plans.views import cte, table, view
-from qaspark.session import spread
 
 _SENTENCES = cte("sentences")
 
@@ -117,21 +116,24 @@ def user_augmentation(spark, sf_dir):
     return augment.augment(view(spark, sf_dir, "sentences"), augment.create(augment.TEXT, "SHOUT"))
 
 
-_EPOCHS = 10
-
-
-@query("augmented_epochs", _SENTENCES + _TAG_SQL + """, epochs as (select unnest(range(0, 10)) as epoch),
-every as (select row_idx, question, case when row_idx % 5 = 0 then 'val' else 'train' end as split, epoch, epoch::double / 9 as d from sentences, epochs),
-asked as (select *, case when d < 0.33 then 2 when d < 0.66 then 1 else 0 end as n from every)
-select a.row_idx, split, epoch, round(d, 6) as difficulty, case when d < 0.33 then 'easy' when d < 0.66 then 'medium' else 'hard' end as phase,
-       case when split = 'val' then 1 else n + 1 end as n_views,
-       coalesce((select string_agg(candidate, ' | ' order by rn) from ranked r where r.row_idx = a.row_idx and rn <= n and split <> 'val'), '') as picked,
-       case when split = 'val' or d < 0.33 then 'none' when d < 0.66 then 'blur' else 'mask' end as image_action
-from asked a""")
+# 120 epochs: steps below the update threshold leave the difficulty of the epoch before in force.
+@query("augmented_epochs", _SENTENCES + _TAG_SQL + """, plan as (select unnest(range(0, 120)) as epoch),
+fold as (select 0::bigint as epoch, 0::double as d union all
+         select epoch + 1, case when abs((epoch + 1)::double / 119 - d) > 0.01 then (epoch + 1)::double / 119 else d end from fold where epoch < 119),
+every as (select row_idx, question, case row_idx % 5 when 0 then 'val' when 1 then 'test' else 'train' end as split, epoch, d from sentences, fold),
+asked as (select *, case when d < 0.33 then 2 when d < 0.66 then 1 else 0 end as n from every),
+drawn as (select row_idx, epoch, candidate, row_number() over (partition by row_idx, epoch order by md5(concat(candidate, ':0:', epoch)), candidate) as rn
+          from cand, plan where row_idx % 5 > 1),
+taken as (select a.row_idx, a.epoch, string_agg(candidate, ' | ' order by rn) as picked
+          from asked a join drawn r on r.row_idx = a.row_idx and r.epoch = a.epoch and rn <= n group by a.row_idx, a.epoch)
+select a.row_idx, split, a.epoch, round(d, 6) as difficulty, case when d < 0.33 then 'easy' when d < 0.66 then 'medium' else 'hard' end as phase,
+       case when split <> 'train' then 1 else n + 1 end as n_views, coalesce(picked, '') as picked,
+       case when split <> 'train' or d < 0.33 then 'none' when d < 0.66 then 'blur' else 'mask' end as image_action
+from asked a left join taken h on h.row_idx = a.row_idx and h.epoch = a.epoch""")
 def augmented_epochs(spark, sf_dir):
-    split = F.when(F.col("row_idx") % 5 == 0, "val").otherwise("train")
-    rows = view(spark, sf_dir, "sentences").withColumn("split", split)
-    every = schedules.augmented_epochs(rows, C.Schedule(_EPOCHS, "linear"))
+    part = F.col("row_idx") % 5
+    rows = view(spark, sf_dir, "sentences").withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train"))
+    every = schedules.augmented_epochs(rows, C.Schedule(120, "linear"))
     others = F.filter(F.col("views"), lambda v: v != F.col("question"))
     return every.select(
         "row_idx", "split", "epoch", F.round("difficulty", 6).alias("difficulty"), "phase",
@@ -151,7 +153,7 @@ chosen as (select * from hashed where rn <= n)
 
 
 def _images(spark, sf_dir):
-    return spread(table(spark, sf_dir, "part")).select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("image_id"), (F.col("p_size") + 40).alias("height"),
         (F.col("p_partkey") % 17 + 64).cast("int").alias("width"), (F.col("p_size") % 11 / F.lit(10.0)).alias("d"),
     )
@@ -214,3 +216,43 @@ def masked_rasters(spark, sf_dir):
     altered = apply_patches(rows, F.col("d"))
     kept = F.length(F.replace(F.hex("data"), F.lit("80"), F.lit(""))) / 2
     return altered.select(F.col("image_id").cast("bigint").alias("image_id"), "action", kept.cast("bigint").alias("untouched"))
+
+
+@query("blurred_rasters", _IMAGES_SQL + """, plans as (select image_id, case when d < 0.33 then 'none' when d < 0.66 then 'blur' else 'mask' end as action,
+  height * width * 3 as bytes, case when d < 0.33 then 0 else n end as n from counted)
+select image_id, action, bytes, true as outside_exact, true as inside_smooth, action = 'none' or n = 0 as unchanged from plans""")
+def blurred_rasters(spark, sf_dir):
+    """Striped rasters (rows of 40 and 200 in turn): pixels outside the plan are exact, blurred patches lie between."""
+    from qaspark.operators.pixels import apply_patches
+
+    stripes = F.unhex(F.expr("substr(repeat(concat(repeat('28', width * 3), repeat('C8', width * 3)), height), 1, height * width * 6)"))
+    rows = _images(spark, sf_dir).select(
+        F.col("image_id").cast("string"), "height", "width", F.lit(3).alias("channels"), stripes.alias("data"), "d"
+    )
+    planned = rows.select("image_id", F.col("data").alias("original"), patches.patch_plan(
+        F.col("image_id"), F.col("height"), F.col("width"), F.col("d"))["patches"].alias("patches"))
+    both = apply_patches(rows, F.col("d")).join(planned, "image_id")
+    return both.mapInArrow(_compare_rasters, "image_id bigint, action string, bytes bigint, outside_exact boolean, inside_smooth boolean, unchanged boolean")
+
+
+def _compare_rasters(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            shape = (r["height"], r["width"], 3)
+            before, after = (np.frombuffer(r[name], "u1").reshape(shape) for name in ("original", "data"))
+            inside = np.zeros(shape[:2], dtype=bool)
+            for p in r["patches"] or []:
+                y, x = p // (shape[1] // 16) * 16, p % (shape[1] // 16) * 16
+                inside[y:y + 16, x:x + 16] = True
+            chosen = after[inside] if r["action"] != "none" else after[:0]
+            smooth = bool((chosen == 128).all()) if r["action"] == "mask" else bool(((chosen > 40) & (chosen < 200)).all())
+            exact = bool((before[~inside] == after[~inside]).all())
+            out.append((int(r["image_id"]), r["action"], len(r["data"]), exact, smooth, bool((before == after).all())))
+        columns = list(zip(*out)) if out else [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                         names=["image_id", "action", "bytes", "outside_exact", "inside_smooth", "unchanged"])

@@ -90,7 +90,7 @@ def phase_counts(spark, sf_dir):
 _NOISY = "round((epoch * 7 % 13)::double / 13 * 0.05 + epoch::double / 99 * 0.9, 6)"
 
 
-@query("applied_difficulty", _METRICS + f""", d as (select run_id, epoch, {_NOISY} as difficulty from metrics),
+@query("applied_difficulty", cte("long_runs") + f""", metrics as (select * from long_runs), d as (select run_id, epoch, {_NOISY} as difficulty from metrics),
 fold as (
   select run_id, epoch, difficulty, difficulty as applied from (select *, row_number() over (partition by run_id order by epoch) as rn from d) where rn = 1
   union all
@@ -98,7 +98,7 @@ fold as (
   from fold f join d n on n.run_id = f.run_id and n.epoch = f.epoch + 1)
 select run_id, epoch, round(difficulty, 6) as difficulty, round(applied, 6) as applied from fold""")
 def applied_difficulty(spark, sf_dir):
-    rows = schedules.applied_difficulty(noisy_difficulty(view(spark, sf_dir, "metrics")))
+    rows = schedules.applied_difficulty(noisy_difficulty(view(spark, sf_dir, "long_runs")))
     return rows.select("run_id", "epoch", F.round("difficulty", 6).alias("difficulty"), F.round("applied", 6).alias("applied"))
 
 

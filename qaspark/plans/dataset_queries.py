@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaspark.functions import paths, text
-from qaspark.operators import labels, lookups, regions, split
+from qaspark.operators import labels, lookups, regions, split, templates
 from qaspark.plans.catalog import query
+from qaspark.plans.template_queries import mining_sql
 from qaspark.plans.views import cte, table, view
 from qaspark.session import scratch_path
 from qaspark.sinks.writers import write_splits
-from qaspark.sources import annotations, registry
+from qaspark.sources import annotations, files, registry
 
 _ORDERS = cte("qa_orders")
 _DOCUMENT_ROWS = 500
@@ -22,6 +23,11 @@ def _written(df, label, fmt="json", **options):
     return path
 
 
+_PARTS_CTE = cte("qa_parts")
+_STATED_TEMPLATES = """
+select template, count(*) as support, round(round(avg(d), 4), 3) as avg_difficulty from scored group by template having count(*) >= 3
+union all select 'hard rows', least(count(*), 256), null from scored, cut where round(d, 10) >= thr"""
+
 # --- layouts ---------------------------------------------------------------------------------
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -114,6 +120,95 @@ def read_named_dataset(spark, sf_dir):
     return read.select("dataset", "split", "question", "answer", paths.stem(F.col("img_path")).alias("image"))
 
 
+@query("mined_named_dataset", mining_sql("qa_parts") + _STATED_TEMPLATES)
+def mined_named_dataset(spark, sf_dir):
+    """Templates and number of hard rows over a data set read by name: ids are unique over its splits."""
+    root = scratch_path(spark, "root")
+    rows = view(spark, sf_dir, "qa_parts").select("row_idx", "question", "answer", F.col("image_id").alias("img_id"))
+    for condition, file in (("row_idx % 5 < 4", "train.csv"), ("row_idx % 5 = 4", "test.csv")):
+        rows.filter(condition).drop("row_idx").write.options(**_CSV).csv(f"{root}/data/vivqa/{file}")
+    report = templates.extract(registry.read_dataset(spark, "vivqa", root))
+    found = report.templates.select("template", "support", F.round("avg_difficulty", 3).alias("avg_difficulty"))
+    hard = report.hard_samples.agg(F.count("*").alias("support"), F.countDistinct("index").alias("distinct_rows"))
+    return found.unionByName(hard.filter("support = distinct_rows").select(
+        F.lit("hard rows").alias("template"), "support", F.lit(None).cast("double").alias("avg_difficulty")))
+
+
+@query("adapted_columns", _PARTS_CTE + "select row_idx as \"index\", length(question) as n, answer from qa_parts")
+def adapted_columns(spark, sf_dir):
+    """A table with names of its own, brought to the mining columns."""
+    own = view(spark, sf_dir, "qa_parts").withColumnsRenamed({"row_idx": "id", "question": "body", "answer": "label", "img_path": "file"})
+    made = templates.adapt(own, row_idx="id", question="body", answer="label", img_path="file")
+    return made.select(F.col("row_idx").alias("index"), F.length("question").alias("n"), "answer")
+
+
+# --- listings: files written from the tables ----------------------------------------------------
+
+def _files(spark, rows, path):
+    """One text file per name: ``name/part-…`` folders, as a file system of objects has them."""
+    rows.write.partitionBy("name").text(path)
+    return path
+
+
+@query("listed_objects", "select n_name as name, count(*) as files from nation group by n_name")
+def listed_objects(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("value"))
+    found = files.list_objects(spark, _files(spark, rows, scratch_path(spark, "objects")), ".txt")
+    name = F.url_decode(F.regexp_extract("path", "/name=([^/]+)/", 1))
+    return found.groupBy(name.alias("name")).agg(F.count("*").alias("files"))
+
+
+@query("listed_images", "select cast(n_nationkey as varchar) as nation, count(*) as images, true as ids_match from nation group by all")
+def listed_images(spark, sf_dir):
+    """Each nation's folder listed alone; an id is a file's name up to the first dot."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("value"))
+    root = _files(spark, rows, scratch_path(spark, "images"))
+    parts = [
+        files.list_images(spark, root, f"name={row.name}").select(
+            F.lit(row.name).alias("nation"), F.col("path").contains(F.concat(F.lit("/"), "image_id", F.lit("."))).alias("same"))
+        for row in rows.select("name").distinct().collect()  # one folder per nation
+    ]
+    listed = parts[0]
+    for part in parts[1:]:
+        listed = listed.unionByName(part)
+    return listed.groupBy("nation").agg(F.count("*").alias("images"), F.every("same").alias("ids_match"))
+
+
+@query("found_region_files", "select region, count(*) as files from (select r_name as region from region) group by region")
+def found_region_files(spark, sf_dir):
+    """A known region file below each region's folder, and others that are left out."""
+    root = scratch_path(spark, "regions")
+    names = table(spark, sf_dir, "region").select("r_name")
+    known = names.withColumn("file", F.lit("vivqa_obj36.tsv")).unionByName(names.withColumn("file", F.lit("other_obj36.tsv")))
+    # A folder named like the file would not be a file: the JVM writes the few names themselves.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in known.collect():
+        out = system.create(hadoop.Path(f"{root}/{row.r_name}/{row.file}"))
+        out.writeBytes("x")
+        out.close()
+    found = files.find_region_files(spark, root)
+    return found.groupBy(F.url_decode(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1)).alias("region")).agg(F.count("*").alias("files"))
+
+
+@query("read_vocabulary", """
+with names as (select p_partkey % 50 as shelf, p_partkey, concat(p_name, ',', p_type) as line from part)
+select shelf, count(*) as n, sum(length(line)) as letters, true as numbered, 2 as synonyms from names group by shelf""")
+def read_vocabulary(spark, sf_dir):
+    """Fifty vocabulary files of part names: the line number is the id."""
+    rows = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 50).alias("shelf"), F.concat("p_name", F.lit(","), "p_type").alias("value"))
+    path = scratch_path(spark, "vocab")
+    rows.repartition(8, "shelf").sortWithinPartitions("shelf").write.partitionBy("shelf").text(path)
+    parts = [files.read_vocab(spark, f"{path}/shelf={k}").withColumn("shelf", F.lit(k).cast("bigint")) for k in range(50)]
+    read = parts[0]
+    for part in parts[1:]:
+        read = read.unionByName(part)
+    return read.groupBy("shelf").agg(
+        F.count("*").alias("n"), F.sum(F.length("name")).alias("letters"),
+        ((F.max("id") + 1 == F.count("*")) & (F.min("id") == 0)).alias("numbered"), F.max(F.size("synonyms")).alias("synonyms"))
+
+
 @query("landed_samples", _ORDERS + """
 select 'orders' as dataset, case when row_idx % 5 < 4 then 'train' else 'val' end as split, count(*) as n,
        count(distinct answer) as answers from qa_orders group by all""")
@@ -310,7 +405,7 @@ def clean_answer_encoder(spark, sf_dir):
 
 @query("class_count", _ORDERS + "select count(distinct answer) as num_classes from qa_orders")
 def class_count(spark, sf_dir):
-    return labels.class_count(labels.fit_encoder(view(spark, sf_dir, "qa_orders")))
+    return labels.class_count(view(spark, sf_dir, "qa_orders"))
 
 
 @query("label_decoder", _ORDERS + _ENCODER_SQL + "select label, answer from encoder")
@@ -344,17 +439,22 @@ def missing_work(spark, sf_dir):
 
 # --- token ids -------------------------------------------------------------------------------
 
+# Every tenth question ends in a word that the vocabulary, built from the others, lacks.
 @query("encoded_questions", _ORDERS + """
-, toks as (select row_idx, regexp_extract_all(lower(question), '\\p{Nd}+\\.\\p{Nd}+|\\p{Nd}+|[\\p{L}\\p{Nl}\\p{No}]+|[^\\s]') as t from qa_orders),
-vocab as (select token, row_number() over (order by token) as id from (select distinct unnest(t) as token from toks)),
+, asked as (select row_idx, case when row_idx % 10 = 0 then concat(question, ' zzz', row_idx) else question end as question from qa_orders),
+toks as (select row_idx, regexp_extract_all(lower(question), '\\p{Nd}+\\.\\p{Nd}+|\\p{Nd}+|[\\p{L}\\p{Nl}\\p{No}]+|[^\\s]') as t from asked),
+known as (select unnest(regexp_extract_all(lower(question), '\\p{Nd}+\\.\\p{Nd}+|\\p{Nd}+|[\\p{L}\\p{Nl}\\p{No}]+|[^\\s]')) as token from qa_orders),
+vocab as (select token, row_number() over (order by token) + 1 as id from (select distinct token from known)),
 placed as (select row_idx, unnest(t) as token, generate_subscripts(t, 1) as pos from toks),
-ids as (select row_idx, list(id order by pos) filter (pos <= 12) as ids from placed join vocab using (token) group by row_idx)
-select row_idx, array_to_string(list_concat(ids, list_transform(range(0, 12 - len(ids)), lambda x: 0)), ',') as input_ids,
-       array_to_string(list_transform(range(0, 12), lambda i: case when i < len(ids) then 1 else 0 end), ',') as attention_mask
+ids as (select row_idx, list(coalesce(id, 1) order by pos) filter (pos <= 64) as ids from placed left join vocab using (token) group by row_idx)
+select row_idx, array_to_string(list_concat(ids, list_transform(range(0, 64 - len(ids)), lambda x: 0)), ',') as input_ids,
+       array_to_string(list_transform(range(0, 64), lambda i: case when i < len(ids) then 1 else 0 end), ',') as attention_mask
 from ids""")
 def encoded_questions(spark, sf_dir):
     rows = view(spark, sf_dir, "qa_orders")
-    encoded = labels.encode_questions(rows, labels.fit_token_vocabulary(rows), 12)
+    key = F.col("row_idx")
+    asked = rows.withColumn("question", F.when(key % 10 == 0, F.concat("question", F.lit(" zzz"), key.cast("string"))).otherwise(F.col("question")))
+    encoded = labels.encode_questions(asked, labels.fit_token_vocabulary(rows))
     return encoded.select(
         "row_idx", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
         F.array_join(F.col("attention_mask").cast("array<string>"), ",").alias("attention_mask"),
@@ -419,19 +519,31 @@ def group_split(spark, sf_dir):
 @query("split_statistics", _ORDERS + _SPLIT_SQL + """
 select split, images, round(images * 100.0 / sum(images) over (), 1) as image_percent, annotations
 from (select split, count(*) as images from image_split group by split)
-join (select split, count(*) as annotations from qa_orders join image_split using (image_id) group by split) using (split)""")
+join (select split, count(*) as annotations from qa_orders join image_split using (image_id) group by split) using (split)
+union all select 'extra', 0, 0.0, 0""")
 def split_statistics(spark, sf_dir):
     rows, images = _split(spark, sf_dir)
-    return split.split_statistics(split.split_images(images), split.group_split(rows, images))
+    ready = split.split_images(images)
+    return split.split_statistics(ready, split.group_split(rows, ready), ("train", "val", "test", "extra"))
 
 
-@query("written_splits", _ORDERS + _SPLIT_SQL + "select row_idx, split, question from qa_orders join image_split using (image_id)")
+@query("written_splits", _ORDERS + _SPLIT_SQL + """
+select split, cast(row_idx as varchar) as question_id, cast(image_id as varchar) as image_id, question, answer,
+       concat('img/', lpad(cast(image_id as varchar), 12, '0'), '.jpg') as img_path
+from qa_orders join image_split using (image_id)""")
 def written_splits(spark, sf_dir):
+    """Written by split and read back with the reader of the layout, file names included."""
     rows, images = _split(spark, sf_dir)
+    named = images.withColumn("filename", F.concat(F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(".jpg")))
+    ready = split.split_images(named)
     path = scratch_path(spark, "splits")
-    write_splits(split.group_split(rows, images), split.split_images(images), path)
-    shape = "row_idx bigint, question string, split string"
-    return spark.read.schema(shape).json(f"{path}/annotations").select("row_idx", "split", "question")
+    write_splits(split.group_split(rows, ready), ready, path)
+    parts = [
+        annotations.read_qa_json_tables_single(spark, f"{path}/split={name}", "img", multi_line=False).withColumn("split", F.lit(name))
+        for name in split.RATIOS
+    ]
+    back = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return back.select("split", "question_id", "image_id", "question", "answer", "img_path")
 
 
 @query("sampled_rows", "select o_orderkey, o_orderstatus from orders order by md5(concat(o_orderkey, ':7')), o_orderkey limit 50")
@@ -439,6 +551,11 @@ def sampled_rows(spark, sf_dir):
     return split.sample_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 50, "o_orderkey", 7)
 
 
+@query("sampled_large", "select event_id, user_id from events order by md5(concat(event_id, ':7')) limit 10500")
+def sampled_large(spark, sf_dir):
+    return split.sample_rows(table(spark, sf_dir, "events").select("event_id", "user_id"), 10_500, "event_id", 7)
+
+
 @query("sampled_per_epoch", """
 select o_orderkey, epoch, rn - 1 as sample_id from (
   select o_orderkey, epoch, row_number() over (partition by epoch order by md5(concat(o_orderkey, ':', epoch, ':7')), o_orderkey) as rn

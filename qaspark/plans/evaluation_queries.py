@@ -12,9 +12,9 @@ from qaspark.session import scratch_path
 from qaspark.sinks import reports, writers
 from qaspark.streaming import metrics as streams
 
-# Logits are the first ten elements of a vector; answers are named after the label.
+# Logits are all elements of a vector; answers are named after the label.
 _PREDS_SQL = """with recursive preds as (
-select vec_id as row_idx, vec_id % 5 as epoch, list_transform(embedding[1:10], lambda x: x::double) as logits, label as ground_truth,
+select vec_id as row_idx, vec_id % 5 as epoch, list_transform(embedding, lambda x: x::double) as logits, label as ground_truth,
        concat('q', vec_id) as question, concat('img/', vec_id, '.jpg') as img_path from embeddings),
 predicted as (select *, list_position(logits, list_max(logits)) - 1 as prediction from preds),
 encoder as (select label, concat('answer ', label) as answer from (select distinct label from embeddings where label < 8))
@@ -24,7 +24,7 @@ encoder as (select label, concat('answer ', label) as answer from (select distin
 def _preds(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_idx"), (F.col("vec_id") % 5).alias("epoch"),
-        F.slice("embedding", 1, 10).cast("array<double>").alias("logits"), F.col("label").alias("ground_truth"),
+        F.col("embedding").cast("array<double>").alias("logits"), F.col("label").alias("ground_truth"),
         F.concat(F.lit("q"), F.col("vec_id")).alias("question"),
         F.concat(F.lit("img/"), F.col("vec_id"), F.lit(".jpg")).alias("img_path"),
     )
@@ -82,16 +82,19 @@ def wrong_records(spark, sf_dir):
     return evaluate.wrong_records(_preds(spark, sf_dir), _encoder(spark, sf_dir)).drop("top5_predictions")
 
 
+_WRITTEN = "epoch bigint, sample_idx bigint, image_path string, question string, model_prediction string, ground_truth string, prediction_label bigint, ground_truth_label bigint"
+
+
 @query("written_wrong_records", _PREDS_SQL + _WRONG_SQL + """
-select epoch, count(*) as records, sum(sample_idx)::bigint as total, any_value(n) as num_wrong_predictions
-from wrong join (select epoch, count(*) as n from wrong group by epoch) using (epoch) group by epoch""")
+select *, count(*) over (partition by epoch) as num_wrong_predictions from wrong""")
 def written_wrong_records(spark, sf_dir):
+    """Written epoch after epoch, one of them twice."""
     root = writers.run_folder(scratch_path(spark, "wrong"), "orders", "run", 71)
-    writers.write_wrong_predictions(evaluate.wrong_records(_preds(spark, sf_dir), _encoder(spark, sf_dir)), root)
-    samples = spark.read.schema("sample_idx bigint, epoch bigint").json(f"{root}/wrong_samples")
-    counts = spark.read.schema("epoch bigint, num_wrong_predictions bigint").json(f"{root}/counts")
-    grouped = samples.groupBy("epoch").agg(F.count("*").alias("records"), F.sum("sample_idx").alias("total"))
-    return grouped.join(counts, "epoch")
+    rows = evaluate.wrong_records(_preds(spark, sf_dir), _encoder(spark, sf_dir))
+    for epochs in ("epoch < 3", "epoch >= 3", "epoch = 2"):
+        writers.write_wrong_predictions(rows.filter(epochs), root)
+    samples = spark.read.schema(_WRITTEN).json(f"{root}/wrong_samples")
+    return samples.join(spark.read.schema("epoch bigint, num_wrong_predictions bigint").json(f"{root}/counts"), "epoch")
 
 
 @query("wrong_report", _PREDS_SQL + _WRONG_SQL + _TOP_SQL + """, lines as (select row_idx, string_agg(concat('  ', rank, '. ', answer, ' (score: ', printf('%.4f', score), ')'), chr(10) order by rank) as t from top5 group by row_idx),
@@ -106,6 +109,22 @@ def wrong_report(spark, sf_dir):
     return reports.wrong_summary(evaluate.wrong_records(_preds(spark, sf_dir), _encoder(spark, sf_dir)))
 
 
+@query("written_report", _PREDS_SQL + _WRONG_SQL + """, numbered as (select *, row_number() over (partition by epoch order by sample_idx) as block from wrong),
+blocks as (
+select concat('Epoch ', epoch, ' - Wrong Predictions Summary', chr(10), repeat('=', 80), chr(10), chr(10), 'Total wrong predictions: ', count(*), chr(10), chr(10), repeat('-', 80)) as text
+from wrong group by epoch
+union all
+select concat(chr(10), '[', block, '] Sample Index: ', sample_idx, chr(10), 'Image: ', image_path, chr(10), 'Question: ', question, chr(10),
+  'Ground Truth: ', ground_truth, chr(10), 'Prediction: ', model_prediction, chr(10), repeat('-', 80)) from numbered)
+select line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from blocks) group by line""")
+def written_report(spark, sf_dir):
+    """Lines of a report without the best answers, as written."""
+    path = scratch_path(spark, "report")
+    records = evaluate.wrong_records(_preds(spark, sf_dir).drop("logits"), _encoder(spark, sf_dir))
+    writers.write_report(reports.wrong_summary(records), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 # Observed samples: text views for two of three rows, image action for one of two.
 _OBSERVED_SQL = """, observed as (
 select epoch, row_idx as sample_id, question, coalesce(a.answer, concat('unknown_', prediction)) as p, coalesce(b.answer, concat('unknown_', ground_truth)) as g,
@@ -138,12 +157,18 @@ def sample_accuracy(spark, sf_dir):
     return evaluate.sample_accuracy(_observed(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("written_observations", _PREDS_SQL + """
-select epoch, count(*) as num_samples, count(*) filter (prediction = ground_truth) as num_correct from predicted group by epoch""")
+@query("written_observations", _PREDS_SQL + _OBSERVED_SQL + """
+select epoch, sample_id, p as model_prediction, g as ground_truth, is_correct,
+       count(*) over (partition by epoch) as num_samples, count(*) filter (is_correct) over (partition by epoch) as num_correct from observed""")
 def written_observations(spark, sf_dir):
+    """Written epoch after epoch, one of them twice."""
     root = writers.run_folder(scratch_path(spark, "observed"), "orders", "run", 71)
-    writers.write_observations(_observed(spark, sf_dir), root)
-    return spark.read.schema("epoch bigint, num_samples bigint, num_correct bigint").json(f"{root}/epochs")
+    rows = _observed(spark, sf_dir)
+    for epochs in ("epoch < 2", "epoch >= 2", "epoch = 1"):
+        writers.write_observations(rows.filter(epochs), root)
+    samples = spark.read.schema("epoch bigint, sample_id bigint, model_prediction string, ground_truth string, is_correct boolean").json(f"{root}/samples")
+    counts = spark.read.schema("epoch bigint, num_samples bigint, num_correct bigint").json(f"{root}/epochs")
+    return samples.join(counts, "epoch")
 
 
 @query("sample_report", _PREDS_SQL + _OBSERVED_SQL + """
@@ -172,19 +197,20 @@ def epoch_report(spark, sf_dir):
 # --- metric logs ------------------------------------------------------------------------------
 
 _METRICS = cte("metrics")
+_RUNS = cte("long_runs") + ", metrics as (select * from long_runs)\n"
 _BEST_SQL = """select run_id, coalesce(max(eval_accuracy) filter (eval_accuracy > 0), 0) as best_accuracy,
  coalesce(arg_max(epoch, (eval_accuracy, -epoch)) filter (eval_accuracy > 0), 0) as best_epoch from metrics group by run_id"""
 
 
-@query("best_accuracy", _METRICS + _BEST_SQL)
+@query("best_accuracy", _RUNS + _BEST_SQL)
 def best_accuracy(spark, sf_dir):
-    return evaluate.best_accuracy(view(spark, sf_dir, "metrics"))
+    return evaluate.best_accuracy(view(spark, sf_dir, "long_runs"))
 
 
-@query("best_checkpoint", _METRICS + """
+@query("best_checkpoint", _RUNS + """
 select run_id, arg_min(epoch, (eval_loss, epoch)) as best_epoch, min(eval_loss) as best_loss from metrics group by run_id""")
 def best_checkpoint(spark, sf_dir):
-    return evaluate.best_checkpoint(view(spark, sf_dir, "metrics"))
+    return evaluate.best_checkpoint(view(spark, sf_dir, "long_runs"))
 
 
 _STOP_SQL = """, step as (select *, min(eval_loss) over (partition by run_id order by epoch rows between unbounded preceding and 1 preceding) as low,
@@ -193,27 +219,38 @@ marked as (select *, max(case when low is null or eval_loss < low then k end) ov
 """
 
 
-@query("patience_counters", _METRICS + _STOP_SQL + "select run_id, epoch, k - last as counter from marked")
+@query("patience_counters", _RUNS + _STOP_SQL + "select run_id, epoch, k - last as counter from marked")
 def patience_counters(spark, sf_dir):
-    return evaluate.patience_counters(view(spark, sf_dir, "metrics"))
+    return evaluate.patience_counters(view(spark, sf_dir, "long_runs"))
 
 
-@query("early_stops", _METRICS + _STOP_SQL + "select run_id, min(epoch) filter (k - last >= 10) as stop_epoch from marked group by run_id")
+@query("early_stops", _RUNS + _STOP_SQL + "select run_id, min(epoch) filter (k - last >= 10) as stop_epoch from marked group by run_id")
 def early_stops(spark, sf_dir):
-    return evaluate.early_stops(view(spark, sf_dir, "metrics"), 10)
+    return evaluate.early_stops(view(spark, sf_dir, "long_runs"), 10)
+
 
+# Ids above 2^53, nulls and NaN pass through untouched.
+_LARGE = 9007199254740993
 
-@query("failed_rows", """
-select event_id, case when event_id % 97 = 0 then null else value * 2 end as result,
+
+@query("failed_rows", f"""
+select event_id, case when event_id % 5 = 0 then null else event_id + {_LARGE} end as large,
+       case when event_id % 7 = 0 then 'NaN'::double else value end as value,
+       case when event_id % 97 = 0 then null else event_id * 2 end as result,
        case when event_id % 97 = 0 then concat('ValueError: event ', event_id) end as error from events""")
 def failed_rows(spark, sf_dir):
     def double(record):
+        if not isinstance(record["event_id"], int):
+            raise TypeError("an id is a whole number")
         if record["event_id"] % 97 == 0:
             raise ValueError(f"event {record['event_id']}")
-        return record["value"] * 2
+        return record["event_id"] * 2
 
-    rows = table(spark, sf_dir, "events").select("event_id", "value")
-    return evaluate.try_rows(rows, double, "double").select("event_id", "result", "error")
+    key = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.when(key % 5 != 0, key + F.lit(_LARGE)).alias("large"),
+        F.when(key % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return evaluate.try_rows(rows, double, "bigint").select("event_id", "large", "value", "result", "error")
 
 
 # --- streams: a file source over the events table, state equal to the batch form ---------------
@@ -280,27 +317,39 @@ def stream_new_work(spark, sf_dir):
 
 # --- chat -------------------------------------------------------------------------------------
 
-@query("chat_payloads", """
-select conv_id, turn // 1000 as part, string_agg(concat(role, ': ', text), chr(10) order by turn) as messages
-from conversations where role in ('user', 'assistant', 'system') group by all""")
+# Every seventh turn has a role of its own.
+_TURNS_SQL = "with turns as (select conv_id, turn, case when turn % 7 = 5 then 'tool' else role end as role, text from conversations)\n"
+
+
+def _turns(spark, sf_dir):
+    role = F.when(F.col("turn") % 7 == 5, "tool").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").withColumn("role", role)
+
+
+@query("chat_payloads", _TURNS_SQL + """
+select conv_id, string_agg(concat(role, ': ', text), chr(10) order by turn, role, text) as messages from turns group by conv_id""")
 def chat_payloads(spark, sf_dir):
-    made = chat.payloads(table(spark, sf_dir, "conversations"))
+    made = chat.payloads(_turns(spark, sf_dir))
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return made.select("conv_id", "part", F.array_join(lines, "\n").alias("messages"))
+    return made.select("conv_id", F.array_join(lines, "\n").alias("messages"))
+
+
+@query("chat_messages", _TURNS_SQL + "select conv_id, turn, role, text as content from turns")
+def chat_messages(spark, sf_dir):
+    return chat.messages(_turns(spark, sf_dir))
 
 
-@query("chat_replies", """
-with turns as (select conv_id, turn // 1000 as part, count(*) as n, arg_max(role, turn) as last from conversations
-               where role in ('user', 'assistant', 'system') group by conv_id, turn // 1000)
-select conv_id, part, case when n <= 3 then concat(case when conv_id % 2 = 0 then 'small' else 'default' end, ':', n, ':', last) end as reply,
+@query("chat_replies", _TURNS_SQL + """
+, sized as (select conv_id, count(*) as n, arg_max(role, turn) as last from turns group by conv_id)
+select conv_id, case when n <= 3 then concat(case when conv_id % 2 = 0 then 'small' else 'default' end, ':', n, ':', last) end as reply,
        case when n > 3 then concat('ValueError: ', n, ' turns') end as error
-from turns""")
+from sized""")
 def chat_replies(spark, sf_dir):
     def answer(messages, model):
         if len(messages) > 3:
             raise ValueError(f"{len(messages)} turns")
         return f"{model}:{len(messages)}:{messages[-1]['role']}"
 
-    chats = chat.payloads(table(spark, sf_dir, "conversations"))
+    chats = chat.payloads(_turns(spark, sf_dir))
     named = chats.withColumn("model", F.when(F.col("conv_id") % 2 == 0, "small"))
-    return chat.enrich(named, answer).select("conv_id", "part", "reply", "error")
+    return chat.enrich(named, answer).select("conv_id", "reply", "error")

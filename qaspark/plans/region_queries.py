@@ -188,12 +188,12 @@ def kept_boxes(spark, sf_dir):
 
 
 @query("best_classes", """
-select vec_id, list_position(embedding[2:20], list_max(embedding[2:20])) - 1 as object_id, round(list_max(embedding[2:20])::double, 6) as object_conf,
-       list_position(embedding[22:40], list_max(embedding[22:40])) - 1 as attribute_id, round(list_max(embedding[22:40])::double, 6) as attribute_conf
+select vec_id, list_position(embedding[2:32], list_max(embedding[2:32])) - 1 as object_id, round(list_max(embedding[2:32])::double, 6) as object_conf,
+       list_position(embedding[34:64], list_max(embedding[34:64])) - 1 as attribute_id, round(list_max(embedding[34:64])::double, 6) as attribute_conf
 from embeddings""")
 def best_classes(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 20).alias("class_scores"), F.slice("embedding", 21, 20).alias("attr_scores")
+        "vec_id", F.slice("embedding", 1, 32).alias("class_scores"), F.slice("embedding", 33, 32).alias("attr_scores")
     )
     found = regions.detections(rows)
     return found.select(
@@ -247,12 +247,12 @@ for _method, _sql in (("mean", "avg(v)"), ("sum", "sum(v)"), ("max", "max(v)"),
     _pool(_method, _sql)
 
 
-@query("pooled_weighted", _VIEWS_SQL + """, w as (select item, view_idx, exp(view_idx % 10 / 4.0::double) as e from views)
+@query("pooled_weighted", _VIEWS_SQL + """, w as (select item, view_idx, exp(view_idx / 400.0::double) as e from views)
 select item, dim, round(sum(v * e) / sum(e), 6) as value from cells join w using (item, view_idx) group by item, dim""")
 def pooled_weighted(spark, sf_dir):
     views = _views(spark, sf_dir)
-    slot = views.withColumn("view_idx", F.col("view_idx") % 10)
-    return _cells(vectors.pool_weighted(slot, 64, [i / 4.0 for i in range(10)]))
+    most = views.agg(F.max("view_idx")).first()[0]
+    return _cells(vectors.pool_weighted(views, 64, [i / 400.0 for i in range(int(most) + 1)]))
 
 
 @query("pooled_gated", _VIEWS_SQL + """
@@ -266,12 +266,21 @@ def pooled_custom(spark, sf_dir):
     return _cells(vectors.pool_custom(_views(spark, sf_dir), lambda v: F.max(v) - F.min(v), 64))
 
 
-@query("fusion_classifier")
+@query("fusion_classifier", """
+select vec_id, label::double as label, true as in_range, true as beats_largest_class from embeddings""")
 def fusion_classifier(spark, sf_dir):
-    """Predicted and true labels of a small late-fusion model on the two halves of each vector."""
+    """A small late-fusion model on the two halves of each vector: labels, and facts that hold for its predictions.
+
+    Predictions are classes, and more of them are right than if every row got the largest class.
+    """
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.slice("embedding", 1, 32).alias("image_vector"), F.slice("embedding", 33, 32).alias("text_vector"),
         F.col("label").cast("double").alias("label"),
     )
     model = vectors.fit_fusion(rows, 32, 32, 10, hidden=16, iterations=20)
-    return model.transform(vectors.fusion_features(rows)).select("vec_id", "label", "prediction")
+    found = model.transform(vectors.fusion_features(rows)).select("vec_id", "label", "prediction")
+    right = found.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+    largest = rows.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+    return found.select(
+        "vec_id", "label", F.col("prediction").isin(*[float(k) for k in range(10)]).alias("in_range"),
+        F.lit(right > largest).alias("beats_largest_class"))

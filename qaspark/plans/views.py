@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -58,7 +56,7 @@ select s_suppkey as row_idx, concat('where is ', s_name, ' located on the map')
 from {supplier}
 """
 
-# Runs of 100 evaluations each: a run never grows with the table.
+# Runs of 100 evaluations each, for schedules of 100 epochs and for streams.
 METRICS = """
 select concat('run-', cast(cast(floor(event_id / 100) as bigint) as varchar(20))) as run_id,
        event_id % 100 as epoch,
@@ -67,6 +65,14 @@ select concat('run-', cast(cast(floor(event_id / 100) as bigint) as varchar(20))
 from {events}
 """
 
+# One run per event type, evaluations in order of time: few runs, which grow with the table.
+LONG_RUNS = """
+select event_type as run_id, cast(row_number() over (partition by event_type order by ts, event_id) - 1 as bigint) as epoch,
+       cast(event_id * 7919 % 1000 as double) / 1000 as eval_accuracy,
+       cast(event_id * 104729 % 1000 as double) / 500 as eval_loss
+from {events}
+"""
+
 # Sentences over the fixed word list of the paraphrase rules.
 SENTENCES = """
 select p_partkey as row_idx,
@@ -79,18 +85,12 @@ from {part}
 
 SQL = {
     "qa_orders": QA_ORDERS, "qa_parts": QA_PARTS, "qa_conv": QA_CONV, "qa_echo": QA_ECHO,
-    "metrics": METRICS, "sentences": SENTENCES,
+    "metrics": METRICS, "long_runs": LONG_RUNS, "sentences": SENTENCES,
 }
 
 
-# The large side of each view, dealt to all cores when it comes in few partitions.
-DRIVING = {"qa_orders": "orders", "qa_parts": "part", "sentences": "part", "qa_conv": "conversations"}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in SQL[name]}
-    if name in DRIVING:
-        used[DRIVING[name]] = spread(used[DRIVING[name]])
     return spark.sql(SQL[name], **used)
 
 

@@ -140,6 +140,12 @@ def test_pooling_checks(spark):
     df = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(11)], "item int, view_idx int, vector array<double>")
     with pytest.raises(ValueError, match="mean"):
         vectors.pool_views(df, "median", 2)
+    with pytest.raises(Exception, match="not 3 elements"):
+        vectors.pool_views(df, "mean", 3).collect()
+    uneven = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0]), (2, 0, None)], df.schema)
+    with pytest.raises(Exception, match="differ in size"):
+        vectors.pool_views(uneven, "sum").collect()
+    assert vectors.pool_views(uneven.filter("item = 2"), "sum").first().pooled == []
     with pytest.raises(Exception, match="more than 10 views"):
         vectors.pool_weighted(df, 2).collect()
     assert vectors.pool_weighted(df.filter("view_idx < 10"), 2).first().pooled == pytest.approx([1.0, 4.5])
@@ -162,10 +168,52 @@ def test_failures_are_set_aside(spark):
     assert good.count() == 4 and bad.first().error.startswith("ZeroDivisionError")
 
 
-def test_long_conversations_stay_in_parts(spark):
-    turns = spark.range(25).selectExpr("1L as conv_id", "id as turn", "'user' as role", "cast(id as string) as text")
-    parts = chat.payloads(turns.repartition(4), part_turns=10).orderBy("part").collect()
-    assert [m["content"] for p in parts for m in p.messages] == [str(i) for i in range(25)] and len(parts) == 3
+def test_failures_leave_rows_alone(spark):
+    large = 9007199254740993
+    rows = spark.createDataFrame([(large, 1.5), (None, float("nan")), (2, None)], "id bigint, v double")
+    tried = evaluate.try_rows(rows, lambda r: type(r["id"]).__name__, "string").collect()
+    assert [(r.id, r.result) for r in tried] == [(large, "int"), (None, "NoneType"), (2, "int")]
+    assert str(tried[1].v) == "nan" and tried[2].v is None
+
+
+def test_conversations_stay_whole(spark):
+    turns = spark.range(2500).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'tool') as role", "cast(id as string) as text")
+    whole = chat.payloads(turns.repartition(4)).collect()
+    assert len(whole) == 1 and [m["content"] for m in whole[0].messages] == [str(i) for i in range(2500)]
+    assert {m["role"] for m in whole[0].messages} == {"user", "tool"} and chat.messages(turns).count() == 2500
+    replies = chat.enrich(chat.payloads(turns), lambda messages, model: f"{model}:{len(messages)}").first()
+    assert replies.reply == "default:2500" and replies.error is None
+
+
+def test_missing_keys_fail_whatever_is_asked(spark):
+    from qaspark.operators import lookups
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "row_idx int, answer string")
+    encoder = spark.createDataFrame([("a", 0)], "answer string, label int")
+    for ask in (lambda df: df.count(), lambda df: df.select("row_idx").collect()):
+        with pytest.raises(Exception, match="no label for answer b"):
+            ask(lookups.encode_answers(rows, encoder))
+
+
+def test_null_runs_are_kept(spark):
+    log = spark.createDataFrame([(None, e, 1.0) for e in range(5)] + [("r", e, 1.0) for e in range(5)], "run_id string, epoch bigint, eval_loss double")
+    stops = {r.run_id: r.stop_epoch for r in evaluate.early_stops(log, 2).collect()}
+    assert stops == {None: 2, "r": 2}
+
+
+def test_augmentation_follows_the_trainer(spark):
+    from qaspark.functions import curriculum
+
+    rows = spark.createDataFrame(
+        [(k, s, "người xem phim này rất nhìn") for k, s in enumerate(("train", "val", "test", None))], "row_idx int, split string, question string")
+    every = schedules.augmented_epochs(rows, curriculum.Schedule(30, "linear"))
+    alone = every.filter("not (split <=> 'train')")
+    assert alone.filter("image_action <> 'none' or size(views) <> 1").count() == 0
+    easy = {tuple(r.views) for r in every.filter("split = 'train' and epoch < 9").collect()}
+    assert len(easy) > 1  # a fresh draw per epoch
+    tagged = rows.withColumn("tagged", F.array(F.struct(F.lit("x").alias("word"), F.lit("X").alias("pos"))))
+    plain = schedules.augmented_epochs(tagged, curriculum.Schedule(3, "linear")).filter("split = 'train' and epoch = 0").first()
+    assert plain.views == ["người xem phim này rất nhìn"] * 3
 
 
 def waves(spark, df, folder, count):

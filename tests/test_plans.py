@@ -11,7 +11,8 @@ from qaspark.session import materialize, scratch_root
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, _ = load_catalog()
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow")
-PYTHON_QUERIES = {"failed_rows", "chat_replies", "masked_rasters", "region_file_round_trip", "fusion_classifier"}
+PYTHON_QUERIES = {"failed_rows", "chat_replies", "masked_rasters", "region_file_round_trip", "fusion_classifier", "applied_difficulty", "augmented_epochs",
+                  "blurred_rasters"}
 
 
 def plan(df):
@@ -50,8 +51,21 @@ def test_scans_read_only_needed_columns(plans):
 
 
 def test_top_k_is_distributed(plans):
-    for name in ("hard_samples", "sampled_rows"):
-        assert "TakeOrderedAndProject" in plans[name], name
+    assert "TakeOrderedAndProject" in plans["hard_samples"]
+
+
+def test_samples_are_filters(plans):
+    for name in ("sampled_rows", "sampled_large"):
+        assert "TakeOrdered" not in plans[name] and "Sort" not in plans[name], name
+
+
+def test_rasters_are_read_once(plans):
+    assert plans["masked_rasters"].count("Scan parquet") == 1
+
+
+def test_encoders_are_joined(plans):
+    for name in ("wrong_records", "top5_predictions", "observations"):
+        assert "map_from_entries" not in plans[name], name
 
 
 def test_results_do_not_depend_on_shuffle_partitions(spark):

@@ -69,6 +69,15 @@ def test_samples_are_exact_and_fresh_per_epoch(spark):
         assert split.sample_rows(large, n, "id").distinct().count() == min(n, 30_000)
 
 
+def test_samples_with_repeated_and_missing_keys(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id % 50) as k", "id as v")
+    for n in (1, 999, 1001, 2999):
+        drawn = split.sample_rows(rows, n, "k")
+        assert drawn.count() == n and drawn.select("v").distinct().count() == n
+    same = spark.range(100).selectExpr("1 as k")
+    assert split.sample_rows(same, 40, "k").count() == 40
+
+
 def test_running_aggregates_across_chunks(spark):
     random.seed(3)
     data = [(g, p, random.randint(0, 50)) for g in "ab" for p in range(60)]

@@ -182,11 +182,30 @@ def test_flat_image_does_not_change_under_blur(spark, tmp_path):
     assert set(row.data) == {90}
 
 
-def test_split_writer_refuses_its_input(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "train")], "image_id bigint, split string")
+def test_split_writer_round_trip(spark, tmp_path):
+    notes = spark.createDataFrame([("q1", 1, "how?", "so", "train"), ("q2", 2, "why?", "as", "val")], "question_id string, image_id bigint, question string, answer string, split string")
+    images = spark.createDataFrame([(1, "one.png", "train"), (2, "two.png", "val")], "image_id bigint, filename string, split string")
     with pytest.raises(ValueError):
-        writers.write_splits(rows, rows, str(tmp_path / "d"), source=str(tmp_path / "d"))
-    writers.write_splits(rows, rows, str(tmp_path / "d"), source=str(tmp_path / "in.json"))
+        writers.write_splits(notes, images, str(tmp_path / "d"), source=str(tmp_path / "d"))
+    writers.write_splits(notes, images, str(tmp_path / "d"), source=str(tmp_path / "in.json"))
     with pytest.raises(Exception):  # nothing is overwritten
-        writers.write_splits(rows, rows, str(tmp_path / "d"))
+        writers.write_splits(notes, images, str(tmp_path / "d"))
+    back = annotations.read_qa_json_tables_single(spark, str(tmp_path / "d" / "split=train"), "img", multi_line=False).first()
+    assert (back.question_id, back.img_path, back.answer) == ("q1", "img/one.png", "so")
     assert writers.run_folder("runs/", "vivqa", "exp1", 71) == "runs/vivqa-exp1-71"
+
+
+def test_first_region_lines_in_file_order(spark, tmp_path):
+    from qaspark.sources import regions
+
+    line = "\t".join(["{}", "1", "1", "", "", "", "", "0", "", ""])
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.tsv").write_text("".join(line.format(f"{name}{k}") + "\n" for k in range(50)))
+    read = regions.read_regions_tsv(spark, str(tmp_path / "*.tsv"), topk=60)
+    assert sorted(r.img_id for r in read.collect()) == sorted([f"a{k}" for k in range(50)] + [f"b{k}" for k in range(10)])
+
+
+def test_csv_rejects_broken_records(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("question,answer,img_id\na,b,1,2,3\n")
+    with pytest.raises(Exception):
+        annotations.read_qa_csv(spark, str(tmp_path / "x.csv")).collect()
