@@ -12,80 +12,68 @@ from qaspark.functions.curriculum import paraphrase_count
 from qaspark.functions.let import let
 
 # Word class, headword and its synonyms.
-SYNONYM_TEXT = """
-V: giải thích = trình bày, diễn giải
-V: hoàn thành = kết thúc, làm xong
-V: xem = nhìn, quan sát
-V: làm = thực hiện, tiến hành
-V: thực hiện = làm, tiến hành
-V: tiến hành = làm, thực hiện
-V: đứng = dựng, đứng lên
-V: ngồi = ngồi xuống
-V: nhìn = nhìn thấy, trông thấy, quan sát
-V: nhìn thấy = nhìn, trông thấy
-V: trông thấy = nhìn, nhìn thấy
-V: quan sát = nhìn, xem
-V: mặc = mang, đeo
-V: mang = mặc, đeo
-V: đeo = mang, mặc
-A: đẹp = xinh, xinh đẹp
-A: rõ ràng = minh bạch, dễ hiểu
-A: lớn = to, rộng
-A: to = lớn, rộng
-A: rộng = lớn, to
-A: nhỏ = bé, tí
-A: bé = nhỏ, tí
-A: tí = nhỏ, bé
-A: cao = cao lớn
-A: thấp = lùn
-A: xinh = đẹp, đẹp đẽ
-A: xấu = xấu xí
-A: đỏ = đỏ thẫm
-A: xanh = xanh lam, xanh dương
-A: vàng = vàng óng
-A: trắng = trắng tinh
-A: đen = đen tuyền
-N: ngôi nhà = căn nhà, ngôi biệt thự
-N: phim = bộ phim, tác phẩm điện ảnh
-N: màu = màu sắc, sắc
-N: màu sắc = màu, sắc
-N: người = con người, cá nhân
-N: vật = đồ vật, vật thể
-N: nơi = chỗ, địa điểm
-N: chỗ = nơi, địa điểm
-P: gì = cái gì, thứ gì
-P: cái gì = gì, thứ gì
-P: thứ gì = gì, cái gì
-P: đâu = nơi nào, chỗ nào
-P: nơi nào = đâu, chỗ nào
-P: chỗ nào = đâu, nơi nào
-P: ai = người nào
-P: người nào = ai
-P: bao nhiêu = mấy
-P: mấy = bao nhiêu
-R: rất = cực kỳ, vô cùng
-R: cực kỳ = rất, vô cùng
-R: vô cùng = rất, cực kỳ
-L: này = đây, nầy
-L: đây = này, nầy
-L: kia = đó, ấy
-L: đó = kia, ấy
-"""
+SYNONYMS = (
+    ("V", "giải thích", ("trình bày", "diễn giải",)),
+    ("V", "hoàn thành", ("kết thúc", "làm xong",)),
+    ("V", "xem", ("nhìn", "quan sát",)),
+    ("V", "làm", ("thực hiện", "tiến hành",)),
+    ("V", "thực hiện", ("làm", "tiến hành",)),
+    ("V", "tiến hành", ("làm", "thực hiện",)),
+    ("V", "đứng", ("dựng", "đứng lên",)),
+    ("V", "ngồi", ("ngồi xuống",)),
+    ("V", "nhìn", ("nhìn thấy", "trông thấy", "quan sát",)),
+    ("V", "nhìn thấy", ("nhìn", "trông thấy",)),
+    ("V", "trông thấy", ("nhìn", "nhìn thấy",)),
+    ("V", "quan sát", ("nhìn", "xem",)),
+    ("V", "mặc", ("mang", "đeo",)),
+    ("V", "mang", ("mặc", "đeo",)),
+    ("V", "đeo", ("mang", "mặc",)),
+    ("A", "đẹp", ("xinh", "xinh đẹp",)),
+    ("A", "rõ ràng", ("minh bạch", "dễ hiểu",)),
+    ("A", "lớn", ("to", "rộng",)),
+    ("A", "to", ("lớn", "rộng",)),
+    ("A", "rộng", ("lớn", "to",)),
+    ("A", "nhỏ", ("bé", "tí",)),
+    ("A", "bé", ("nhỏ", "tí",)),
+    ("A", "tí", ("nhỏ", "bé",)),
+    ("A", "cao", ("cao lớn",)),
+    ("A", "thấp", ("lùn",)),
+    ("A", "xinh", ("đẹp", "đẹp đẽ",)),
+    ("A", "xấu", ("xấu xí",)),
+    ("A", "đỏ", ("đỏ thẫm",)),
+    ("A", "xanh", ("xanh lam", "xanh dương",)),
+    ("A", "vàng", ("vàng óng",)),
+    ("A", "trắng", ("trắng tinh",)),
+    ("A", "đen", ("đen tuyền",)),
+    ("N", "ngôi nhà", ("căn nhà", "ngôi biệt thự",)),
+    ("N", "phim", ("bộ phim", "tác phẩm điện ảnh",)),
+    ("N", "màu", ("màu sắc", "sắc",)),
+    ("N", "màu sắc", ("màu", "sắc",)),
+    ("N", "người", ("con người", "cá nhân",)),
+    ("N", "vật", ("đồ vật", "vật thể",)),
+    ("N", "nơi", ("chỗ", "địa điểm",)),
+    ("N", "chỗ", ("nơi", "địa điểm",)),
+    ("P", "gì", ("cái gì", "thứ gì",)),
+    ("P", "cái gì", ("gì", "thứ gì",)),
+    ("P", "thứ gì", ("gì", "cái gì",)),
+    ("P", "đâu", ("nơi nào", "chỗ nào",)),
+    ("P", "nơi nào", ("đâu", "chỗ nào",)),
+    ("P", "chỗ nào", ("đâu", "nơi nào",)),
+    ("P", "ai", ("người nào",)),
+    ("P", "người nào", ("ai",)),
+    ("P", "bao nhiêu", ("mấy",)),
+    ("P", "mấy", ("bao nhiêu",)),
+    ("R", "rất", ("cực kỳ", "vô cùng",)),
+    ("R", "cực kỳ", ("rất", "vô cùng",)),
+    ("R", "vô cùng", ("rất", "cực kỳ",)),
+    ("L", "này", ("đây", "nầy",)),
+    ("L", "đây", ("này", "nầy",)),
+    ("L", "kia", ("đó", "ấy",)),
+    ("L", "đó", ("kia", "ấy",)),
+)
 PASSIVE_MARK = "được"
 
 
-def _parse(table: str) -> list[tuple[str, str, list[str]]]:
-    entries = []
-    for line in table.strip().splitlines():
-        pos, _, rest = line.partition(": ")
-        head, _, synonyms = rest.partition(" = ")
-        entries.append((pos, head, synonyms.split(", ")))
-    return entries
-
-
-SYNONYMS = _parse(SYNONYM_TEXT)
-
-
 def synonym_rows() -> list[tuple[str, str, str]]:
     """``(pos, word, synonym)`` rows of the table."""
     return [(pos, word, synonym) for pos, word, synonyms in SYNONYMS for synonym in synonyms]

@@ -88,16 +88,17 @@ def unique_ratio(token_array: Column) -> Column:
 def strip_question_echo(question: Column, answer: Column) -> Column:
     """Remove every run of two or more question words from the answer, longest run first.
 
-    Runs of equal length are taken in text order. A run longer than the answer can never match, and
-    the answer only shrinks, so such runs are left out before the sort.
+    Runs of equal length are taken in text order. A run longer than the answer can never match, and the answer only
+    shrinks: m words have at least 2m - 1 characters, so the answer bounds the words of the runs that are built.
     """
     def removed(given: Column) -> Column:
         w, said = given["w"], given["said"]
+        most = F.floor((F.length(said) + 1) / 2).cast("int")
         runs = F.flatten(
             F.transform(
                 F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)),
                 lambda i: F.transform(
-                    F.sequence(i + 1, F.size(w)),
+                    F.sequence(i + 1, F.greatest(i + 1, F.least(F.size(w), i + most - 1))),
                     lambda j: F.array_join(F.slice(w, i, j - i + 1), " "),
                 ),
             )

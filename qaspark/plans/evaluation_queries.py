@@ -293,7 +293,8 @@ def stream_applied_difficulty(spark, sf_dir):
 select run_id, min(epoch) as stop_epoch from marked where k - last >= 10 group by run_id""")
 def stream_early_stops(spark, sf_dir):
     stops = streams.early_stop_stream(_metric_stream(spark, sf_dir), 10)
-    return streams.drain_to_files(stops, scratch_path(spark, "state"), scratch_path(spark, "stops"))
+    rows = streams.drain_to_files(stops, scratch_path(spark, "state"), scratch_path(spark, "stops"))
+    return rows.filter("stop_epoch is not null").select("run_id", "stop_epoch")
 
 
 @query("stream_wrong_predictions", """

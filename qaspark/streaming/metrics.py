@@ -50,47 +50,68 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def applied_difficulty_stream(log: DataFrame, threshold: float = UPDATE_ABOVE, run: str = "run_id") -> DataFrame:
-    """``run, epoch, difficulty, applied``: state is the difficulty in force."""
+    """``run, epoch, difficulty, applied, late``: state is the difficulty in force and the last epoch.
+
+    A row that comes after a later epoch of an earlier trigger changes nothing: it is passed on as ``late``, without
+    an applied difficulty. A run keeps two numbers for as long as the stream lives; many runs belong in a disk-backed
+    state store.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        in_force = state.get[0] if state.exists else None
+        in_force, last = state.get if state.exists else (None, None)
         rows = _in_order(frames)
-        applied = []
-        for value in rows.difficulty:
+        applied, late = [], []
+        for epoch, value in zip(rows.epoch, rows.difficulty):
+            late.append(last is not None and epoch <= last)
+            if late[-1]:
+                applied.append(None)
+                continue
             if in_force is None or abs(value - in_force) > threshold:
                 in_force = value
             applied.append(in_force)
-        state.update((float(in_force),))
-        yield pd.DataFrame({run: key[0], "epoch": rows.epoch, "difficulty": rows.difficulty, "applied": applied})
+        state.update((float(in_force), int(max(rows.epoch.max(), rows.epoch.max() if last is None else last))))
+        yield pd.DataFrame({
+            run: key[0], "epoch": rows.epoch, "difficulty": rows.difficulty, "applied": pd.Series(applied, index=rows.index, dtype="float64"),
+            "late": late,
+        })
 
     return log.select(run, "epoch", "difficulty").groupBy(run).applyInPandasWithState(
-        step, f"{run} string, epoch bigint, difficulty double, applied double", "applied double",
+        step, f"{run} string, epoch bigint, difficulty double, applied double, late boolean", "applied double, last bigint",
         "append", GroupStateTimeout.NoTimeout,
     )
 
 
 def early_stop_stream(metrics: DataFrame, patience: int, run: str = "run_id") -> DataFrame:
-    """``run, stop_epoch``, once per run, when its patience runs out."""
+    """``run, stop_epoch, late_epoch``: a stop once per run, when its patience runs out, and each late epoch.
+
+    A row that comes after a later epoch of an earlier trigger is not counted; it gives a row with ``late_epoch`` and
+    no stop.
+    """
     if patience <= 0:
         raise ValueError("patience must be positive; without it no run stops early")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, counter, stopped = state.get if state.exists else (None, 0, False)
-        stop = None
+        best, counter, stopped, last = state.get if state.exists else (None, 0, False, None)
+        stop, late = None, []
         rows = _in_order(frames)
         for epoch, loss in zip(rows.epoch, rows.eval_loss):
+            if last is not None and epoch <= last:
+                late.append(epoch)
+                continue
             if best is None or loss < best:
                 best, counter = loss, 0
             else:
                 counter += 1
             if counter >= patience and not stopped:
                 stopped, stop = True, epoch
-        state.update((float(best), int(counter), bool(stopped)))
-        if stop is not None:
-            yield pd.DataFrame({run: [key[0]], "stop_epoch": [stop]})
+        state.update((float(best), int(counter), bool(stopped), int(max(rows.epoch.max(), rows.epoch.max() if last is None else last))))
+        found = [(stop, None)] * (stop is not None) + [(None, epoch) for epoch in late]
+        if found:
+            stops, lates = zip(*found)
+            yield pd.DataFrame({run: key[0], "stop_epoch": pd.array(stops, dtype="Int64"), "late_epoch": pd.array(lates, dtype="Int64")})
 
     return metrics.select(run, "epoch", "eval_loss").groupBy(run).applyInPandasWithState(
-        step, f"{run} string, stop_epoch bigint", "best double, counter bigint, stopped boolean",
+        step, f"{run} string, stop_epoch bigint, late_epoch bigint", "best double, counter bigint, stopped boolean, last bigint",
         "append", GroupStateTimeout.NoTimeout,
     )
 
@@ -103,7 +124,9 @@ def wrong_prediction_stream(predicted: DataFrame) -> DataFrame:
 def new_work_stream(arrivals: DataFrame, done: DataFrame, key: str = "img_id") -> DataFrame:
     """Each image once: not yet done and not seen earlier in the stream.
 
-    The stream's checkpoint carries the seen keys over a restart.
+    The stream's checkpoint carries the seen keys over a restart. They are never forgotten, as an image may come
+    again at any time: the state grows with the number of images, so use a disk-backed store (RocksDB), or drain
+    trigger by trigger against what has landed (``missing_work``).
     """
     return arrivals.join(done.select(key), key, "left_anti").dropDuplicates([key])
 

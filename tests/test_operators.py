@@ -238,14 +238,31 @@ def test_streams_equal_batch(spark, tmp_path, count):
     best = streams.latest_best(drained(streams.best_metric_stream(stream), "best"))
     assert set(best.collect()) == set(evaluate.best_accuracy(df).collect())
     applied = drained(streams.applied_difficulty_stream(stream), "applied")
-    assert set(applied.collect()) == set(schedules.applied_difficulty(df.select("run_id", "epoch", "difficulty")).collect())
+    assert applied.filter("late").count() == 0
+    assert set(applied.drop("late").collect()) == set(schedules.applied_difficulty(df.select("run_id", "epoch", "difficulty")).collect())
     stops = drained(streams.early_stop_stream(stream, 5), "stops")
-    assert set(stops.collect()) == set(evaluate.early_stops(df, 5).filter("stop_epoch is not null").collect())
+    assert set(stops.select("run_id", "stop_epoch").collect()) == set(evaluate.early_stops(df, 5).filter("stop_epoch is not null").collect())
     done = spark.createDataFrame([("r0",)], "run_id string")
     fresh = drained(streams.new_work_stream(stream.select("run_id"), done, "run_id"), "fresh")
     assert sorted(r.run_id for r in fresh.collect()) == ["r1", "r2", "r3", "r4"]
 
 
+def test_late_rows_are_reported(spark, tmp_path):
+    """Waves out of order: the second brings epochs that the first has passed."""
+    shape = "run_id string, epoch bigint, eval_loss double, difficulty double"
+    folder = str(tmp_path / "in")
+    for epochs in ((0, 1, 4), (2, 3, 5)):
+        rows = [("r", e, float(e == 2), 0.1 * e) for e in epochs]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(folder)
+    applied = streams.drain_to_files(streams.applied_difficulty_stream(stream), str(tmp_path / "s1"), str(tmp_path / "o1"))
+    assert sorted((r.epoch, r.late, r.applied is None) for r in applied.collect()) == [
+        (0, False, False), (1, False, False), (2, True, True), (3, True, True), (4, False, False), (5, False, False)]
+    stops = streams.drain_to_files(streams.early_stop_stream(stream, 3), str(tmp_path / "s2"), str(tmp_path / "o2")).collect()
+    assert sorted(r.late_epoch for r in stops if r.late_epoch is not None) == [2, 3]
+    assert [r.stop_epoch for r in stops if r.stop_epoch is not None] == [5]
+
+
 def test_extraction_resumes_from_its_checkpoint(spark, tmp_path):
     ids = lambda low, high: spark.range(low, high).select(F.col("id").cast("string").alias("img_id"))
     folder, done = str(tmp_path / "in"), ids(0, 3)

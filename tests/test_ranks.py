@@ -118,3 +118,16 @@ def test_early_stop_and_best(spark):
     assert {r.stop_epoch for r in evaluate.early_stops(df, 0).collect()} == {None}
     best = {r.run_id: (r.best_accuracy, r.best_epoch) for r in evaluate.best_accuracy(df).collect()}
     assert best["none"] == (0.0, 0) and best["flat"] == (0.5, 0)
+
+
+def test_scratch_folders_go_with_their_owner(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from qaspark.session import materialize, scratch, scratch_root
+
+    root = Path(urlparse(scratch_root(spark)).path)
+    with scratch(spark):
+        assert materialize(spark.range(5), "owned").count() == 5
+        assert list(root.glob("owned-*"))
+    assert not list(root.glob("owned-*"))
