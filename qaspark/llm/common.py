@@ -40,8 +40,9 @@ def flat_map_rows(df: DataFrame, function: Callable[..., Iterable[Iterable]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                out.extend(function(*row))
+            for start in range(0, len(batch), IN_ROWS):
+                for row in zip(*(column.to_pylist() for column in batch.slice(start, IN_ROWS).columns)):
+                    out.extend(function(*row))
                 if len(out) >= OUT_ROWS:
                     yield to_batch(out, arrow)
                     out = []
@@ -51,7 +52,9 @@ def flat_map_rows(df: DataFrame, function: Callable[..., Iterable[Iterable]], sc
     return df.mapInArrow(run, struct)
 
 
-OUT_ROWS = 20_000
+#: Rows held as Python objects at a time: texts are a few kilobytes, and a worker has a few hundred megabytes.
+IN_ROWS = 500
+OUT_ROWS = 4_000
 
 
 def to_batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from qaspark.llm.common import Memo
 
 VOCABULARY = "word_bpe_49k.json"
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: A stop between an ASCII letter and white space or the end.
 STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
 #: Letters that the vocabulary's normaliser leaves as they are and its splitter keeps together.
