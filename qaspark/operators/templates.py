@@ -241,21 +241,18 @@ class TemplateReport:
             .agg(
                 F.sum("n").alias("support"),
                 F.round(F.sum(F.col("difficulty") * F.col("n")) / F.sum("n"), 4).alias("avg_difficulty"),
-                F.min(F.struct("first_idx", "answer")).alias("first"),
+                F.min("first_idx").alias("first_idx"),
             )
             .filter(F.col("support") >= self.config.min_template_support)
-            .select(
-                "template", "support", "avg_difficulty",
-                F.col("first.answer").alias("representative_answer"), F.col("first.first_idx").alias("first_idx"),
-            )
         )
         questions = self.qa.select(
-            F.col("row_idx").alias("first_idx"), F.col("question").alias("representative_question")
+            F.col("row_idx").alias("first_idx"), F.col("question").alias("representative_question"),
+            F.col("answer").alias("representative_answer"),
         )
         # A repeated id would give a template two first rows; such a table is refused.
         found = stats.join(questions, "first_idx").groupBy(
-            "template", "support", "avg_difficulty", "representative_answer", "first_idx"
-        ).agg(F.max("representative_question").alias("representative_question"), F.count("*").alias("rows"))
+            "template", "support", "avg_difficulty", "first_idx"
+        ).agg(*(F.max(name).alias(name) for name in ("representative_question", "representative_answer")), F.count("*").alias("rows"))
         repeated = F.raise_error(F.concat(F.lit("row_idx is not unique: "), F.col("first_idx").cast("string"))).cast("boolean")
         return found.filter(F.when(F.col("rows") == 1, F.lit(True)).otherwise(repeated)).select(
             "template", "support", "avg_difficulty", "representative_question", "representative_answer", "first_idx"
