@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Large tables meet by a shuffle at size; the hint keeps it so on small files, where one file is one task.
 QA_ORDERS = """
 select row_idx, image_id,
        case row_idx % 6
@@ -27,7 +28,7 @@ select row_idx, image_id,
          when 4 then concat('What color is the red box of the ', seg, ' customer?')
          else concat('Who, in ', nat, ', ordered in ', yr, ': a ', seg, ' or a household customer?') end as question,
        answer, img_path
-from (select o.o_orderkey as row_idx, c.c_custkey as image_id, lower(c.c_mktsegment) as seg, n.n_name as nat,
+from (select /*+ shuffle_hash(c) */ o.o_orderkey as row_idx, c.c_custkey as image_id, lower(c.c_mktsegment) as seg, n.n_name as nat,
              o.o_orderpriority as prio, cast(year(o.o_orderdate) as varchar(8)) as yr,
              cast(cast(floor(o.o_totalprice) as bigint) as varchar(20)) as price,
              concat(o.o_orderstatus, '-', cast(month(o.o_orderdate) as varchar(8))) as answer,
@@ -43,7 +44,7 @@ from {part}
 """
 
 QA_CONV = """
-select u.conv_id * 1000 + u.turn as row_idx, u.conv_id as image_id, u.text as question, a.text as answer,
+select /*+ shuffle_hash(a) */ u.conv_id * 1000 + u.turn as row_idx, u.conv_id as image_id, u.text as question, a.text as answer,
        concat('img/', cast(u.conv_id as varchar(20)), '.jpg') as img_path
 from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
 where u.role = 'user' and a.role = 'assistant'

@@ -58,7 +58,11 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 def _document(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
     """Documents of a path: one per file, or one per line for sharded copies of a layout."""
-    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    read = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    if "images" not in read.columns:
+        return read
+    other = F.raise_error(F.lit(f"neither images nor annotations in a document of {path}")).cast("boolean")
+    return read.filter(F.when(F.col("images").isNotNull() | F.col("annotations").isNotNull(), F.lit(True)).otherwise(other))
 
 
 def read_qa_csv(spark: SparkSession, path: str, img_dir: str = "", multi_line: bool = True) -> DataFrame:

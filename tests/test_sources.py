@@ -209,3 +209,10 @@ def test_csv_rejects_broken_records(spark, tmp_path):
     (tmp_path / "x.csv").write_text("question,answer,img_id\na,b,1,2,3\n")
     with pytest.raises(Exception):
         annotations.read_qa_csv(spark, str(tmp_path / "x.csv")).collect()
+
+
+def test_documents_of_another_layout_fail(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"data": []}))
+    for read in (annotations.read_qa_json_tables, annotations.read_qa_json_tables_single, annotations.read_qa_json_map):
+        with pytest.raises(Exception, match="neither images nor annotations"):
+            read(spark, str(tmp_path / "x.json")).collect()
