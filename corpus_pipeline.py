@@ -68,8 +68,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id (then text hash)."""
-    first = simhash.near_groups(docs).filter("first").select("doc_id", "text_hash")
+    """One document of each group of near copies: that with the smallest id (then text hash).
+
+    Near copies differ in two bits of the fingerprint or share 80 % of their five-word shingles.
+    """
+    first = simhash.near_groups(docs, similar=0.8, similar_size=5).filter("first").select("doc_id", "text_hash")
     own = _keyed(docs, text_hash="xxhash64(coalesce(text, ''))")
     kept = _matched(own, first.distinct(), "text_hash", "left_semi")
     return kept.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)

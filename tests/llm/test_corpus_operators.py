@@ -185,11 +185,39 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_similar_texts_are_grouped(spark):
+    """Edited copies from 70 to 100 % shared shingles, and texts that share a third."""
+    pick_ = random.Random(9)
+    word = lambda: "".join(pick_.choices("abcdefgh", k=6))
+    rows, pairs = [], []
+    for base in range(60):
+        words = [word() for _ in range(pick_.choice([60, 300, 1200]))]
+        rows.append((100 * base, words))
+        for copy in range(1, 5):
+            edited = list(words)
+            for place in pick_.sample(range(len(words)), int(len(words) * pick_.choice([0.005, 0.01, 0.02, 0.03]))):
+                edited[place] = word()
+            rows.append((100 * base + copy, edited))
+        rows.append((100 * base + 50, words[:len(words) // 2] + [word() for _ in range(len(words) // 2)]))
+    table_ = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(table_, similar=0.8).collect()}
+    sets = {k: shingles(" ".join(w)) for k, w in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and a // 100 == b // 100:
+                pairs.append((len(sets[a] & sets[b]) / len(sets[a] | sets[b]), found[a] == found[b]))
+    high = [same for share, same in pairs if share >= 0.8]
+    assert len(high) > 100 and sum(high) >= 0.95 * len(high)
+    assert not any(found[k] // 100 != k // 100 for k in sets)
+    assert not any(found[k] != k for k in sets if k % 100 == 50)
+
+
 def test_simhash_odd_rows(spark):
     rows = [(5, None), (6, " \n"), (None, "a b c d"), (None, "a b c d"), (3, "A B\tc d"), (9, "x"), (9, "x"), (4, "unlike others here")]
     found = Counter((r.doc_id, r.component_id, r.first) for r in simhash.near_groups(table(spark, rows)).collect())
     assert found == Counter({(5, 5, True): 1, (6, 5, False): 1, (None, 3, False): 2, (3, 3, True): 1, (9, 9, True): 2, (4, 4, True): 1})
-    assert simhash.near_groups(table(spark, rows).limit(0)).count() == 0
+    assert found == Counter((r.doc_id, r.component_id, r.first) for r in simhash.near_groups(table(spark, rows), similar=0.8).collect())
+    assert simhash.near_groups(table(spark, rows).limit(0), similar=0.8).count() == 0
 
 
 # --- document sketches
