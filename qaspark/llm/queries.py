@@ -32,6 +32,39 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+# The rules of quality_rules in SQL.
+ORACLE["op4_quality_rules"] = r"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+split as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from docs),
+windows as (select doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) as key
+            from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from split)),
+twice as (select * from (select doc_id, i, count(*) over (partition by doc_id, key) as k from windows) where k > 1),
+inside as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from twice) group by doc_id),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as place from docs),
+worded as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as own,
+                  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+                  row_number() over (partition by doc_id, line order by place) > 1 as again
+           from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+counted as (select *, len(own) as n, strlen(array_to_string(own, '')) as size, length(line) - length(replace(line, '|', '')) as bars,
+                   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols, length(regexp_replace(line, '[^A-Z]', '', 'g')) as upper,
+                   length(regexp_replace(line, '[^A-Za-z]', '', 'g')) as letters, length(line) - length(replace(line, '!', '')) as marks,
+                   len(list_filter(range(1, len(own)), lambda i: own[i] = own[i + 1])) as echo from worded),
+judged as (select *, again or (bars >= 3 and bars > 0.2::double * n) or (symbols > 0.3::double * n and symbols > 1)
+                     or (n > 1 and upper > 0.6::double * letters and marks > 1) or (n > 3 and echo > 0.5::double * (n - 1))
+                     or (n < 4 and not regexp_matches(own[len(own)], '[.!?:;"'')…”»。]$'))
+                     or (n < 40 and regexp_matches(low, 'all rights reserved|copyright|cookie|javascript|licensed under|privacy policy|released under the|sign in|sign up|subscribe|terms of service|terms of use'))
+                     as failed from counted),
+per_doc as (select doc_id, count(*) as n_lines, count(*) filter (where again) as n_dup_lines, count(*) filter (where failed) as n_failed_lines,
+                   coalesce(sum(size) filter (where not failed), 0)::double / sum(size) as surviving_share from judged group by doc_id),
+joined as (select s.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+                  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+                  coalesce(n_failed_lines, 0) as n_failed_lines, coalesce(surviving_share, 0) as surviving_share
+           from split s left join per_doc p on p.doc_id = s.doc_id left join inside i on i.doc_id = s.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and surviving_share >= 0.5 as kept from joined
+"""
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
@@ -98,6 +131,24 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(found, digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+# Every 200-byte string of every text, as hexadecimal digits, counted.
+ORACLE["op1_suffix_dedup"] = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+starts as (select doc_id, i, md5(substr(h, cast(2 * i + 1 as bigint), 400)) as k
+           from (select doc_id, h, unnest(range(0, n - 199)) as i from docs where n >= 200)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as c from starts) where c > 1),
+steps as (select *, lag(i) over (partition by doc_id order by i) as before from twice),
+runs as (select *, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by doc_id order by i) as run from steps),
+spans as (select doc_id, min(i) as a, max(i) + 200 as b from runs group by doc_id, run),
+gaps as (select s.*, h, coalesce(lag(b) over (partition by s.doc_id order by a), 0) as z from spans s join docs d on d.doc_id = s.doc_id),
+kept as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+                string_agg(substr(h, cast(2 * z + 1 as bigint), cast(2 * (a - z) as bigint)), '' order by a) as head from gaps group by doc_id)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(head || substr(h, cast(2 * last + 1 as bigint)), h))) as kept_sha256
+from docs d left join kept k on k.doc_id = d.doc_id
+"""
+
+
 @query
 def op3_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sketch.compare_with_next(table(spark, sf_dir, "documents"))

@@ -386,6 +386,12 @@ def test_tree_with_token_lengths(spark):
         assert len(row.ids) > 0
 
 
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op4_quality_rules"])
+def test_queries_state_their_rows(spark, name):
+    sf_dir = "/root/testdata/sf0.01"
+    assert difference(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE[name]) is None
+
+
 def test_pick_takes_exact_names(spark):
     data = spark.createDataFrame([(1, "a", "b", "c")], ["id", "text", "Text", "a.b"])
     assert pick(data, x="Text", y="a.b").first().asDict() == {"x": "b", "y": "c"}
