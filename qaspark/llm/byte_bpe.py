@@ -33,6 +33,7 @@ SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 REMEMBERED = 250_000
 #: Pieces above this many characters are encoded anew each time.
 LONG = 256
+NEVER = 1 << 60
 #: A single space between two other characters always starts a new match of the pattern.
 PLAIN_SPACE = re.compile(r" (?<=\S )(?=\S)")
 
@@ -56,7 +57,10 @@ class ByteBpe:
             token.decode("latin-1"): (len(token), rank)
             for token, rank in ranks.items() if len(token) == 1 or self.merge(token) == [rank]
         }
-        self.longest = max(map(len, self.tokens))
+        #: The longest token by its first two bytes.
+        self.reach: dict[str, int] = {}
+        for token in self.tokens:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         for token, match in self.tokens.items():
             self.automaton.add_word(token, match)
         self.automaton.make_automaton()
@@ -69,12 +73,19 @@ class ByteBpe:
 
     def merge(self, data: bytes) -> list[int]:
         """Merges in rank order, leftmost first: meant for a few bytes at a time."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, place = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
+        parts, rank_of = [data[i:i + 1] for i in range(len(data))], self.ranks.get
+        ranks = [rank_of(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            parts[place:place + 2] = [parts[place] + parts[place + 1]]
+            at = ranks.index(best)
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank_of(parts[at] + parts[at + 1], NEVER)
+            if at:
+                ranks[at - 1] = rank_of(parts[at - 1] + parts[at], NEVER)
         return [self.ranks[part] for part in parts]
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -104,7 +115,7 @@ class ByteBpe:
         def best(at: int) -> tuple[int, int]:
             found = chain_at.get(at)
             if not found:
-                end = min(n, at + self.longest)
+                end = min(n, at + self.reach.get(text[at:at + 2], 1))
                 while not (found := tokens.get(text[at:end])):
                     end -= 1
             return found
@@ -132,8 +143,16 @@ class ByteBpe:
                 raise ValueError("the ranks do not cover every byte")
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(
-            self.pieces[piece] if len(piece) <= LONG else self.encode_piece(piece) for piece in self.find(chunk)))
+        found = self.find(chunk)
+        if len(found) == 1:
+            return self.encode_piece(chunk)
+        return tuple(chain.from_iterable(map(self._piece, found)))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """A match that is part of a chunk; one that begins with a space is known as a chunk of its own."""
+        if len(piece) > LONG:
+            return self.encode_piece(piece)
+        return self.later[piece[1:]] if piece[0] == " " and len(piece) > 1 else self.pieces[piece]
 
     def chunks(self, text: str) -> list[tuple[int, ...]]:
         """Ids of the text between plain spaces, in order."""
