@@ -104,9 +104,15 @@ def _parts(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _find_anchors(length: int, gram: int):
-    def emit(held: list[tuple]) -> pa.RecordBatch:
+    def emit(held: list[tuple], last: tuple[int, int]) -> tuple[pa.RecordBatch, tuple[int, int]]:
+        """The anchors of the held parts and the (row, place) of the last; ``last`` is that of the parts before."""
         part, place, h = anchors([own[3] for own in held], length, gram)
         starts = np.array([own[2] for own in held], dtype=np.int64)[part] + place
+        rows = np.array([own[5] for own in held], dtype=np.int64)[part]
+        # The last windows of a part and the first of the next of its row may elect one anchor: it counts once.
+        new = (rows != np.r_[last[0], rows[:-1]]) | (starts != np.r_[last[1], starts[:-1]])
+        last = (int(rows[-1]), int(starts[-1])) if len(rows) else last
+        part, starts, h = part[new], starts[new], h[new]
         contexts = np.zeros(len(part), dtype=np.uint64)
         for k, (which, at) in enumerate(zip(part.tolist(), starts.tolist())):
             text = held[which][4]
@@ -116,21 +122,23 @@ def _find_anchors(length: int, gram: int):
         hashes = pa.array([own[1] for own in held], pa.int32()).take(pa.array(part))
         return pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.array(contexts.view(np.int64)), ids, hashes, pa.array(starts)],
-            names=["h", "c", "doc_id", "text_hash", "place"])
+            names=["h", "c", "doc_id", "text_hash", "place"]), last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, row, last = 0, 0, (-1, -1)
         for batch in batches:
             for doc_id, text_hash, text in zip(*(column.to_pylist() for column in batch.columns)):
                 for offset, part in _parts(text, length):
                     if held and size + len(part) > BLOCK:
-                        yield emit(held)
+                        found, last = emit(held, last)
+                        yield found
                         held, size = [], 0
-                    held.append((doc_id, text_hash, offset, part, text))
+                    held.append((doc_id, text_hash, offset, part, text, row))
                     size += len(part)
+                row += 1
         if held:
-            yield emit(held)
+            yield emit(held, last)[0]
 
     return run
 

@@ -119,6 +119,16 @@ def test_anchors_of_long_texts_meet(monkeypatch):
     assert {a for a in sets[0] if 50 <= a[0] < 850} == {a for a in sets[1] if 50 <= a[0] < 850}
 
 
+def test_long_unique_texts_lose_nothing(spark):
+    """Anchors at the cuts of a long text are found by two parts; equal rows still repeat each other."""
+    pick_ = random.Random(8)
+    rows = [(k, "".join(pick_.choices("abcdefghijklmnopqrstuvwxyz", k=3 * suffix_dedup.BLOCK + 1000 * k))) for k in range(3)]
+    assert suffix_dedup.spans(table(spark, rows)).count() == 0
+    found = suffix_dedup.removed_spans(table(spark, rows + rows[:1]), length=200).collect()
+    removed = Counter((r.doc_id, *suffix_dedup.merge_spans(r.starts or [], r.stops or [], len(r.text))) for r in found)
+    assert removed == {(0, (0, len(rows[0][1]))): 2, (1,): 1, (2,): 1}
+
+
 # --- SimHash
 
 def plain_fingerprint(text, size=3):
