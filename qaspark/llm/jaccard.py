@@ -1,0 +1,281 @@
+"""All pairs of texts that share a part of their word shingles, exactly: prefixes find candidates, whole sets decide.
+
+Two sets of a Jaccard similarity of ``share`` or more have ``share`` of either's shingles in common. So if all shingles
+are in one order, the first common one is among the first ``n - ceil(share * n) + 1`` of both: only these prefixes meet.
+Any order does. Here it is that of a table of ``1 << BINS`` counts (by part of the texts), the rarest first, so that
+shingles of a template are left out of the prefixes of texts that have enough of their own.
+
+1. Each distinct set posts the shingles of its prefix; those that only one set posts are dropped.
+2. While a shingle's sets would make many pairs, each is compared with one hub of its shingle. What a hub links is one
+   component and is not compared within itself again: a large group costs its size, not its square.
+3. All pairs that share a posting, lie in different components and can still reach ``share`` by size and place are
+   compared. This step leaves nothing out, whatever the one before found.
+
+Compared are the sets themselves, made from both texts (as XXH64 of each shingle). Sets are named by their hash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from qaspark.llm.common import Memo
+from qaspark.llm.components import components
+from qaspark.session import materialize
+
+BINS = 20
+#: One text of so many is counted for the order.
+COUNTED = 8
+#: So many pairs per posting, or in all, are compared without hubs; how often hubs are tried.
+PAIRS_PER_POSTING, LEAST_PAIRS, HUB_ROUNDS = 2, 100_000, 8
+STREAM_ROWS = 200_000
+SHORT_RUN = 16
+#: Set names a task remembers so as not to post twice, and sets it holds while it compares.
+SEEN, HELD = 100_000, 200
+SLACK = 1e-9
+POSTINGS = "token bigint, node bigint, n int, place int"
+LINKS = "a bigint, b bigint"
+
+
+def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles; fewer words are one shingle."""
+    words = (text or b"").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if words else [], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = [0, *(ends[:-size] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1:].tolist())), dtype="<u8", count=len(starts))
+
+
+def set_name(hashes: np.ndarray) -> int | None:
+    """The name of a sorted set as a signed 64-bit number; none for the empty one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else None
+
+
+def text_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, share: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= share * (len(a) + len(b) - both) - SLACK
+
+
+def _bin_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BINS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(counts, (text_set(text.as_py(), size) >> np.uint64(64 - BINS)).astype(np.int64), 1)
+        own = np.flatnonzero(counts)
+        for start in range(0, len(own), 50_000):
+            part = own[start:start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bin", "c"])
+
+    return run
+
+
+def order_weights(texts: DataFrame, size: int) -> np.ndarray:
+    """A byte of each bin, larger for more common shingles."""
+    part = texts.filter(f"pmod(text_hash, {COUNTED}) = 0").select("text")
+    table = part.mapInArrow(_bin_counts(size), StructType.fromDDL("bin int, c bigint")).groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
+    weights = np.zeros(1 << BINS, dtype=np.uint8)
+    weights[table.column("bin").to_numpy()] = np.minimum(4 * np.log2(table.column("c").to_numpy() + 1.0), 255)
+    return weights
+
+
+def _post(share: float, size: int, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        nothing = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                tokens, nodes, sizes, lengths = [nothing], [], [], []
+                for text in batch.column(0).slice(start, 500).to_pylist():
+                    hashes = text_set(text, size)
+                    name = set_name(hashes)
+                    if name is None or name in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    prefix = len(hashes) - ceil(share * len(hashes) - SLACK) + 1
+                    rarest = np.argsort(weights[(hashes >> np.uint64(64 - BINS)).astype(np.int64)], kind="stable")[:prefix]
+                    tokens.append(hashes[rarest].view(np.int64))
+                    nodes.append(name)
+                    sizes.append(len(hashes))
+                    lengths.append(prefix)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), lengths)),
+                    pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths)),
+                    pa.array(np.concatenate([nothing, *map(np.arange, lengths)]).astype(np.int32))], names=["token", "node", "n", "place"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by token and node: each once, if another node has the token, too."""
+    before: int | None = None  # the token of the row before the waiting one
+    waiting: pa.RecordBatch | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
+        token, node = (rows.column(k).to_numpy() for k in (0, 1))
+        rows = rows.filter(pa.array(np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]))
+        token = rows.column(0).to_numpy()
+        same = token[1:] == token[:-1]
+        keep = np.r_[token[0] == before, same][:-1] | same
+        yield rows.slice(0, len(rows) - 1).filter(pa.array(keep))
+        before, waiting = (int(token[-2]) if len(token) > 1 else before), rows.slice(len(rows) - 1)
+    if waiting is not None and waiting.column(0)[0].as_py() == before:
+        yield waiting
+
+
+def _cross(share: float):
+    """Pairs of a token's sets in different components that can reach the share; rows sorted by token."""
+    def fits(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        enough = share / (1 + share) * (n + m) - SLACK
+        return (np.minimum(n, m) >= share * np.maximum(n, m) - SLACK) & (n - place >= enough) & (m - other >= enough)
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token = columns[0]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sizes = np.diff(np.r_[starts, len(token)])
+        a, b, held = [], [], 0
+        for start, count in zip(starts[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist()):
+            _, node, root, n, place = (column[start:start + count] for column in columns)
+            names, inverse, members = np.unique(root, return_inverse=True, return_counts=True)
+            largest = members.argmax()
+            mine = np.flatnonzero(inverse == largest)
+            rest = np.flatnonzero(inverse != largest)
+            for k, x in enumerate(rest.tolist()):
+                others = np.r_[mine, rest[k + 1:]]
+                others = others[(root[others] != root[x]) & fits(n[x], place[x], n[others], place[others])]
+                a.append(np.full(len(others), node[x]))
+                b.append(node[others])
+                held += len(others)
+                if held >= STREAM_ROWS:
+                    yield to_links(a, b)
+                    a, b, held = [], [], 0
+        short = np.repeat(sizes <= SHORT_RUN, sizes)
+        token, node, root, n, place = (column[short] for column in columns)
+        for shift in range(1, SHORT_RUN):
+            at = np.flatnonzero((token[shift:] == token[:-shift]) & (root[shift:] != root[:-shift]))
+            at = at[fits(n[at], place[at], n[at + shift], place[at + shift])]
+            a.append(node[at])
+            b.append(node[at + shift])
+        yield to_links(a, b)
+
+    def to_links(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        left, right = (np.concatenate([np.zeros(0, dtype=np.int64), *side]) for side in (a, b))
+        found = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: list[list[np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            chunks.append([column.to_numpy() for column in batch.columns])
+            held += len(batch)
+            if held >= STREAM_ROWS:
+                whole = [np.concatenate(parts) for parts in zip(*chunks)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last run may go on
+                if cut:
+                    yield from pairs([column[:cut] for column in whole])
+                chunks = [[column[cut:] for column in whole]]
+                held = len(whole[0]) - cut if cut else 0
+        if chunks:
+            yield from pairs([np.concatenate(parts) for parts in zip(*chunks)])
+
+    return run
+
+
+def _verify(share: float, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Memo(lambda text: text_set(text, size), HELD)
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                a, b, left, right = (column.slice(start, 500) for column in batch.columns)
+                good = [jaccard_reaches(sets[x], sets[y], share) for x, y in zip(left.to_pylist(), right.to_pylist())]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    return run
+
+
+def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings with their component, of the tokens that have several."""
+    if roots is None:
+        return postings.select("token", "node", F.col("node").alias("root"), "n", "place")
+    own = postings.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(
+        "token", "node", F.coalesce("root", "node").alias("root"), "n", "place")
+    several = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return own.join(several.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+
+
+def _pairs_left(rooted: DataFrame) -> int:
+    counts = rooted.groupBy("token", "root").agg(F.count("*").cast("double").alias("c"))
+    each = counts.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return int(each.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _with_hubs(rooted: DataFrame, share: float, turn: int) -> DataFrame:
+    """Pairs of each set and the hub of its token; every turn has other hubs, the same for many tokens."""
+    hubs = rooted.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "n", "place")).alias("h")).select(
+        F.col("token").alias("t"), "h")
+    enough = f"{share / (1 + share)!r} * (n + h.n) - {SLACK!r}"
+    met = rooted.join(hubs, F.col("token") == F.col("t")).filter("root <> h.root").filter(
+        f"least(n, h.n) >= {share!r} * greatest(n, h.n) - {SLACK!r} and n - place >= {enough} and h.n - h.place >= {enough}")
+    return met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+
+
+def similar_sets(texts: DataFrame, names: DataFrame, share: float, size: int) -> DataFrame:
+    """Links (a, b) between names of sets: they connect all sets of that similarity or more, and no link has less.
+
+    ``texts`` has doc_id, text_hash and text (binary), ``names`` doc_id, text_hash and shingles (``set_name``).
+    """
+    if not 0 < share <= 1:
+        raise ValueError("a share is above 0 and at most 1")
+    posted = texts.select("text").mapInArrow(_post(share, size, order_weights(texts, size)), StructType.fromDDL(POSTINGS))
+    postings = materialize(posted.repartition("token").sortWithinPartitions("token", "node").mapInArrow(
+        _shared, StructType.fromDDL(POSTINGS)), "postings")
+    # One row stands for the texts of a set.
+    stand = names.filter("shingles is not null").groupBy("shingles").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("l")).selectExpr(
+        "shingles as node", "l.doc_id as o_id", "l.text_hash as o_hash")
+    stand = stand.join(postings.select("node").distinct(), "node")
+    sets = texts.join(stand, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash")))
+    sets = materialize(sets.select("node", "text").dropDuplicates(["node"]), "sets")
+
+    done: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        new = pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        left, right = (sets.select(F.col("node").alias(f"node_{side}"), F.col("text").alias(f"text_{side}")) for side in "ab")
+        met = new.join(right, F.col("b") == F.col("node_b")).join(left, F.col("a") == F.col("node_a"))
+        return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(
+            _verify(share, size), StructType.fromDDL(f"{LINKS}, good boolean")), "compared")
+
+    limit = max(PAIRS_PER_POSTING * postings.count(), LEAST_PAIRS)
+    roots: DataFrame | None = None
+    rooted = _rooted(postings, roots)
+    for turn in range(HUB_ROUNDS):
+        if _pairs_left(rooted) <= limit:
+            break
+        found = compare(_with_hubs(rooted, share, turn))
+        done = found if done is None else done.unionByName(found)
+        roots = components(done.filter("good").select("a", "b"))
+        rooted = materialize(_rooted(postings, roots), "open-postings")
+    rest = rooted.select("token", "node", "root", "n", "place").repartition("token").sortWithinPartitions("token")
+    found = compare(rest.mapInArrow(_cross(share), StructType.fromDDL(LINKS)).distinct())
+    done = found if done is None else done.unionByName(found)
+    return done.filter("good").select("a", "b")

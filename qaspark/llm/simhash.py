@@ -10,10 +10,8 @@ only fingerprints at the same anchor are compared, on all 64 bits. Copies share
 Rows of an anchor are sorted together and streamed; a run emits a spanning forest of its links, never all pairs.
 
 Two bits of a whole text's fingerprint only forgive the smallest edits: texts that share 80 % of their shingles differ in
-about ten. With ``similar`` (a share of shingles, see ``near_groups``) each text also gets ``SAMPLES`` fingerprints of
-``SAMPLE_SIZE`` shingles, those with the least hashes under as many permutations. At 80 % half of such small fingerprints
-agree in all bits, so here a fingerprint is its own anchor (radius and threshold zero), and texts that meet are linked if
-enough of ``SIGNS`` further sampled shingles agree. This part is a sample: of pairs at 80 %, about 3 % are missed.
+about ten. With ``similar`` (a share of shingles, see ``near_groups``) the distinct texts are joined on their shingles as
+well, exactly (``jaccard``): no pair of that share or more is missed, none below it is linked.
 
 Defined results: a null text has no words; a text without words has fingerprint zero and links like any other; equal
 rows share a component; a null id never names a component unless all its ids are null.
@@ -22,7 +20,6 @@ rows share a component; a null id never names a component unless all its ids are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from qaspark.llm.common import map_rows, pick
 from qaspark.llm.components import components
+from qaspark.llm.jaccard import set_name, shingle_hashes, similar_sets, text_set
 from qaspark.session import materialize
 
 BITS = 64
@@ -43,9 +41,6 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Runs longer than this are walked from node to node instead of being compared shift by shift.
 SHORT_RUN = 16
 STREAM_ROWS = 200_000
-#: For ``similar``: fingerprints of sampled shingles, shingles in each, sampled shingles that are compared, and how far
-#: below the asked share their agreement may lie (two standard deviations at 80 %).
-SAMPLES, SAMPLE_SIZE, SIGNS, MARGIN = 10, 3, 64, 0.1
 
 
 def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
@@ -54,25 +49,6 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     return majority(hashes) if len(hashes) else 0
 
 
-def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of all word shingles; fewer words are one shingle."""
-    words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)] if words else [], dtype="<u8")
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = [0, *(ends[:-size] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1:].tolist())), dtype="<u8", count=len(starts))
-
-
-def _permuted(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The hashes under permutations by number, one row for each."""
-    mixed = (hashes[None, :] ^ (number[:, None] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    return mixed * np.uint64(0x94D049BB133111EB)
-
-
 def majority(hashes: np.ndarray) -> int:
     """The fingerprint of hashes: bits that over half of them have, as a signed 64-bit number."""
     ones = np.zeros(BITS, dtype=np.int64)
@@ -82,22 +58,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def samples(text: bytes | None, size: int) -> tuple[list[int], bytes] | tuple[None, None]:
-    """Fingerprints of sampled shingles, and one byte of each of ``SIGNS`` further samples; nothing without words."""
-    hashes = np.unique(shingle_hashes(text, size))
-    if not len(hashes):
-        return None, None
-    prints = []
-    for number, row in enumerate(_permuted(hashes, np.arange(SAMPLES, dtype=np.uint64))):
-        least = hashes[np.argpartition(row, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]] if len(row) > SAMPLE_SIZE else hashes
-        prints.append(majority(least ^ np.uint64(number)))
-    signs = np.full(SIGNS, 2**64 - 1, dtype=np.uint64)
-    numbers = np.arange(SAMPLES, SAMPLES + SIGNS, dtype=np.uint64)
-    for place in range(0, len(hashes), 2048):
-        signs = np.minimum(signs, _permuted(hashes[place:place + 2048], numbers).min(axis=1))
-    return prints, ((signs >> np.uint64(7)) & np.uint64(255)).astype(np.uint8).tobytes()
-
-
 def _codes(bits: list[int]) -> list[list[int]]:
     """The bits as Hamming code words of length 31, 15, 7, 3 and single bits."""
     parts, at = [], 0
@@ -227,60 +187,31 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(keys, fps)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, sampled: int | None = None, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (bigint), prints and signs of every row; the last two for ``sampled`` words a shingle."""
-    plain = pick(docs, doc_id=id_col, text=text_col).selectExpr(
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, doc_id=id_col, text=text_col).selectExpr(
         "cast(doc_id as bigint) doc_id", "xxhash64(coalesce(text, '')) text_hash", "cast(text as binary) text")
 
+
+def fingerprints(docs: DataFrame, size: int = 3, similar_size: int | None = None, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp (bigint) and shingles (the name of the set of ``similar_size`` words a shingle) of every row."""
+
     def row(doc_id: int | None, text_hash: int, text: bytes | None) -> tuple:
-        return doc_id, text_hash, fingerprint(text, size), *(samples(text, sampled) if sampled else (None, None))
-
-    return map_rows(plain, row, "doc_id bigint, text_hash bigint, fp bigint, prints array<bigint>, signs binary")
-
-
-def _similar(share: float):
-    """Links of the runs of equal sampled fingerprints: a spanning forest over pairs whose signs agree."""
-    least = int(np.ceil((share - MARGIN) * SIGNS))
-
-    def forest(fps: list[int], signs: list[bytes]) -> tuple[list[int], list[int]]:
-        ids, left = np.array(fps), np.frombuffer(b"".join(signs), dtype=np.uint8).reshape(len(fps), SIGNS)
-        open_, a, b = np.arange(len(fps)), [], []
-        while len(open_):
-            frontier, open_ = [open_[0]], open_[1:]
-            while frontier and len(open_):
-                here = frontier.pop()
-                near = (left[open_] == left[here]).sum(axis=1) >= least
-                found = open_[near]
-                a.extend([int(ids[here])] * len(found))
-                b.extend(ids[found].tolist())
-                frontier.extend(found.tolist())
-                open_ = open_[~near]
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
-        a: list[int] = []
-        b: list[int] = []
-        for _, own in groupby(rows, key=lambda row: row[0]):
-            _, fps, signs = zip(*own)
-            if len(fps) > 1:
-                more_a, more_b = forest(fps, signs)
-                a += more_a
-                b += more_b
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def similar_links(nodes: DataFrame, share: float) -> DataFrame:
-    """Links between fingerprints whose texts share that part of their shingles, as far as samples show; columns fp,
-    prints and signs."""
-    met = nodes.filter("prints is not null").select(F.explode("prints").alias("print"), "fp", "signs")
-    return met.repartition("print").sortWithinPartitions("print").mapInArrow(_similar(share), StructType.fromDDL("a bigint, b bigint"))
+        return doc_id, text_hash, fingerprint(text, size), set_name(text_set(text, similar_size)) if similar_size else None
+
+    return map_rows(_texts(docs, id_col, text_col), row, "doc_id bigint, text_hash bigint, fp bigint, shingles bigint")
+
+
+def similar_links(marked: DataFrame, texts: DataFrame, share: float, size: int) -> DataFrame:
+    """Links between fingerprints whose texts share that part of their shingles or have the same ones."""
+    own = marked.filter("shingles is not null").groupBy("shingles").agg(F.min("fp").alias("own"))
+    same = marked.select("fp", "shingles").distinct().join(own, "shingles").filter("fp <> own").select(
+        F.col("fp").alias("a"), F.col("own").alias("b"))
+    found = similar_sets(texts, marked, share, size)
+    for side in "ab":
+        named = own.withColumnsRenamed({"shingles": "node", "own": f"fp_{side}"})
+        found = found.join(named, F.col(side) == F.col("node")).drop("node")
+    return same.unionByName(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -299,12 +230,11 @@ def near_groups(docs: DataFrame, size: int = 3, similar: float | None = None, si
     """
     marked = materialize(fingerprints(docs, size, similar_size if similar else None, id_col, text_col), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    # Copies travel as one: whichever row is lowest brings its samples.
-    lowest_row = F.min(F.struct(rank.alias("low"), "prints", "signs")).alias("l") if similar else F.min(F.struct(rank.alias("low"))).alias("l")
-    nodes = materialize(marked.groupBy("fp").agg(lowest_row).select("fp", "l.*"), "distinct-fingerprints")
+    # Copies travel as one.
+    nodes = materialize(marked.groupBy("fp").agg(F.min(rank).alias("low")).select("fp", "low"), "distinct-fingerprints")
     found = links(nodes)
     if similar:
-        found = found.unionByName(similar_links(nodes, similar))
+        found = found.unionByName(similar_links(marked, _texts(docs, id_col, text_col), similar, similar_size))
     roots = components(found)
     rooted = nodes.select("fp", "low").join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))

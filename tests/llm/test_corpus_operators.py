@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from compare import connect, difference
 
-from qaspark.llm import chat_tree, document_sketch, line_dedup, queries, simhash, suffix_dedup
+from qaspark.llm import chat_tree, document_sketch, jaccard, line_dedup, queries, simhash, suffix_dedup
 from qaspark.llm.common import pick
 from qaspark.llm.components import components
 
@@ -195,6 +195,40 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """Groups at 80 % against all pairs: pairs about the limit, chains, a template, equal fingerprints; hubs or none."""
+    pick_ = random.Random(10)
+    word = lambda: "".join(pick_.choices("abcdefgh", k=6))
+    texts = []
+    template = [word() for _ in range(70)]
+    for _ in range(60):
+        words = [word() for _ in range(pick_.choice([1, 5, 45, 60, 150]))]
+        for _ in range(4):  # each copy edits the one before
+            texts.append(words)
+            words = list(words)
+            for _ in range(pick_.randrange(1, 2 + len(words) // 60)):
+                words[pick_.randrange(len(words))] = word()
+        texts.append(template + [word() for _ in range(pick_.choice([6, 10, 18]))])
+    texts.append(texts[0][:1] * 9)
+    texts.append(texts[0][:1] * 12)
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    sets = {k: shingles(t) for k, t in rows}
+    fps = {k: plain_fingerprint(t) for k, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and (
+        len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 or (fps[a] ^ fps[b]).bit_count() <= 2)]
+    assert len(linked) > 80
+    expected = {k: k for k in sets}
+    for _ in range(len(texts)):
+        for a, b in linked:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    for limit in (2, -1):
+        monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", limit)
+        monkeypatch.setattr(jaccard, "LEAST_PAIRS", 100_000 if limit > 0 else -1)
+        monkeypatch.setattr(jaccard, "HUB_ROUNDS", 2)
+        found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=0.8).collect()}
+        assert found == expected
+
+
 def test_similar_texts_are_grouped(spark):
     """Edited copies from 70 to 100 % shared shingles, and texts that share a third."""
     pick_ = random.Random(9)
