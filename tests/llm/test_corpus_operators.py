@@ -229,6 +229,20 @@ def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch):
         assert found == expected
 
 
+def test_texts_below_the_share_stay_apart(spark):
+    """Texts on one template that share 60 to 79 % of their shingles: none is linked."""
+    pick_ = random.Random(11)
+    word = lambda: "".join(pick_.choices("abcdefgh", k=6))
+    template = [word() for _ in range(200)]
+    rows = [(k, " ".join(template + [word() for _ in range(25 + k % 30)])) for k in range(150)]
+    sets = {k: shingles(t) for k, t in rows}
+    shares = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    assert 0.6 < min(shares) and max(shares) < 0.8
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=0.8).collect()}
+    fps = {k: plain_fingerprint(t) for k, t in rows}
+    assert found == plain_components(fps)
+
+
 def test_similar_texts_are_grouped(spark):
     """Edited copies from 70 to 100 % shared shingles, and texts that share a third."""
     pick_ = random.Random(9)
