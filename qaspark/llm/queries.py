@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaspark.llm import (
-    byte_bpe, chat_tree, document_sketch, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash,
-    suffix_dedup,
+    byte_bpe, chat_tree, document_sketch, filter_audit, language_id, line_dedup, packing, quality_classifier, quality_rules,
+    simhash, suffix_dedup,
 )
 from qaspark.llm.common import map_rows, pick
 
@@ -178,3 +178,41 @@ select conv_id, count(*) as n_turns,
                 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1) as bigint) as formatted_chars
 from turns group by conv_id
 """
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The failures of every row as letters; every order and step counts them.
+ORACLE["op13_filter_audit"] = r"""
+with docs as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+split as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+                 min(doc_id) over (partition by t) as first_id from docs),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
+judged as (select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad,
+                  case when len(ws) < 200 then 'A' else '' end || case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end ||
+                  case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end ||
+                  case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end ||
+                  case when first_id is distinct from s.doc_id and first_id is not null then 'E' else '' end as fails
+           from split s left join marks m on m.doc_id = s.doc_id),
+kinds as (select part, fails, count(*) as n, sum(good) as good, sum(bad) as bad from judged group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+           where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select part, o, step, substr(o, step, 1) as f, substr(o, 1, step - 1) as earlier
+          from (select distinct part from kinds), orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+told as (select s.part, o, step, f,
+           sum(case when translate(fails, earlier || f, '') = fails then n else 0 end) as kept,
+           sum(case when contains(fails, f) and translate(fails, earlier, '') = fails then n else 0 end) as removed,
+           sum(case when contains(fails, f) and translate(fails, earlier, '') <> fails then n else 0 end) as redundant,
+           sum(case when fails = f then n else 0 end) as unique_fails,
+           sum(case when contains(fails, f) and translate(fails, earlier, '') = fails then good else 0 end) as good_lost,
+           sum(case when contains(fails, f) and translate(fails, earlier, '') = fails then bad else 0 end) as toxic_lost
+         from steps s join kinds k on k.part = s.part group by s.part, o, step, f)
+select part, o as filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from told
+"""
