@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaspark.llm import (
-    byte_bpe, chat_tree, document_sketch, filter_audit, language_id, line_dedup, packing, quality_classifier, quality_rules,
-    simhash, suffix_dedup,
+    byte_bpe, chat_tree, document_sketch, filter_audit, language_id, line_dedup, minhash, packing, phrase_mining,
+    quality_classifier, quality_rules, simhash, suffix_dedup,
 )
 from qaspark.llm.common import map_rows, pick
 
@@ -216,3 +216,60 @@ select part, o as filter_order, cast(step as integer) as step, cast(kept as bigi
        cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley
 from told
 """
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+# Every phrase of up to four words, counted as a string.
+ORACLE["op11_phrase_mining"] = r"""
+with pieces as (select coalesce(lang, 'und') as lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[.,;:!?\x0A-\x0D]')) as piece from documents),
+split as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+starts as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from split),
+grams as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase from (select *, unnest([1, 2, 3, 4]) as k from starts)
+          where i + k - 1 <= len(ws)),
+counts as (select lang, k, phrase, count(*) as f from grams group by lang, k, phrase),
+often as (select *, string_split(phrase, ' ') as ws from counts where f >= 30),
+cuts as (select lang, phrase, f as a, ws, unnest(range(1, k)) as head from often where k > 1),
+scored as (select c.lang, c.phrase, a, head, l.f as l, r.f as r, cast(2000000 * a::hugeint // (l.f + r.f) as bigint) as score
+           from cuts c join counts l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1 : head], ' ')
+                       join counts r on r.lang = c.lang and r.phrase = array_to_string(c.ws[head + 1 :], ' ')),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, head) = 1),
+inner_parts as (select lang, f, unnest(list_distinct(list_concat([array_to_string(ws[i : i + 1], ' ') for i in range(1, k)],
+                                                       [array_to_string(ws[i : i + 2], ' ') for i in range(1, k - 1)]))) as part, k, phrase
+                from often where k > 2),
+dropped as (select distinct w.lang, w.phrase from weakest w join inner_parts p on p.lang = w.lang and p.part = w.phrase and p.phrase <> w.phrase
+            where 100 * p.f::hugeint >= 80 * w.a),
+words as (select lang, sum(f) as n from counts where k = 1 group by lang),
+ranked as (select w.lang, row_number() over (partition by w.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+           from weakest w join words on words.lang = w.lang
+           where not exists (select 1 from dropped d where d.lang = w.lang and d.phrase = w.phrase))
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked where rank <= 2000
+"""
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), percent=85, size=3)
+
+
+# Every shared shingle of every pair, counted; reached documents by recursion.
+ORACLE["op12_minhash"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+                             else list_distinct([array_to_string(ws[i : i + 2], ' ') for i in range(1, len(ws) - 1)]) end as s from words),
+sizes as (select doc_id, len(s) as n from sets),
+flat as (select doc_id, unnest(s) as g from sets),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reached(doc_id, other) as (select doc_id, doc_id from sizes union select r.doc_id, b.y from reached r join both_ways b on b.x = r.other)
+select s.doc_id, cast(n as bigint) as n_shingles, component_id, s.doc_id = component_id as kept
+from sizes s join (select doc_id, min(other) as component_id from reached group by doc_id) r on r.doc_id = s.doc_id
+"""
