@@ -11,7 +11,8 @@ similarity is missed with a probability of ``LOSS`` at most (a more similar one
    share one of these, because lists have one order for all. The long lists that many sets share are thus skipped.
 3. In each list of the prefixes, collisions of the whole signatures are counted (on a byte of each value: that can only
    count more). Pairs over the threshold make loose groups.
-4. In each loose group, pairs over the threshold are compared on their full sets, by whole numbers.
+4. In each loose group, pairs over the threshold are compared on their full sets, by whole numbers. Only now do texts move,
+   one of each set that is in a group.
 
 Steps 3 and 4 deal a group out in blocks (``linked``): every set meets its own block and the group's hub; where that left a
 group in several components, the sets outside of the largest one meet all blocks. So every pair of a group is compared or
@@ -36,11 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from qaspark.llm.common import flat_map_rows, pick
+from qaspark.llm.common import map_rows, pick
 from qaspark.llm.components import components
-from qaspark.llm.jaccard import text_set
+from qaspark.llm.shingles import text_set
 from qaspark.operators.lookups import null_safe_join
-from qaspark.session import materialize
+from qaspark.session import materialize, release
 
 COORDINATES = 48
 #: The greatest probability of a link being no candidate.
@@ -51,7 +52,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 SEEN, STREAM_ROWS, PART = 100_000, 50_000, 4096
 #: Runs up to this length are compared shift by shift, all at once.
 SHORT_RUN = 16
-MARKED = "doc_id bigint, n bigint, name_1 bigint, name_2 bigint, signature binary, short binary, shingles binary"
+NAMES = ("name_1", "name_2")
+SET = "n bigint, name_1 bigint, name_2 bigint, signature binary, short binary, text binary"
 LINKS = "a bigint, b bigint"
 
 
@@ -92,27 +94,27 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _marked(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Every row with its set's size and name; a task's first row of a name has signature and shingles, too."""
-    texts = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text")
+def set_columns() -> Callable[[np.ndarray, bytes | None], tuple]:
+    """A function of a sorted set and its text that gives the columns ``SET``.
+
+    Signature and text are null where this function has given them for an equal set before: copies are told by name.
+    """
     seen: set[bytes] = set()
 
-    def row(doc_id: int | None, text: bytes | None) -> list[tuple]:
-        hashes = text_set(text, size)
+    def columns(hashes: np.ndarray, text: bytes | None) -> tuple:
         if not len(hashes):
-            return [(doc_id, 0, None, None, None, None, None)]
-        whole = hashes.tobytes()
-        name = xxhash.xxh3_128_digest(whole)
-        names = np.frombuffer(name, dtype="<i8").tolist()
+            return (0, None, None, None, None, None)
+        name = xxhash.xxh3_128_digest(hashes.tobytes())
+        own = (len(hashes), *np.frombuffer(name, dtype="<i8").tolist())
         if name in seen:
-            return [(doc_id, len(hashes), *names, None, None, None)]
+            return (*own, None, None, None)
         if len(seen) >= SEEN:
             seen.clear()
         seen.add(name)
-        own = signature(hashes)
-        return [(doc_id, len(hashes), *names, own.tobytes(), own.astype(np.uint8).tobytes(), whole)]
+        least = signature(hashes)
+        return (*own, least.tobytes(), least.astype(np.uint8).tobytes(), text)
 
-    return flat_map_rows(texts, row, MARKED)
+    return columns
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,40 +311,65 @@ def linked(members: DataFrame, likeness: _Signatures, rows_at_once: int = STREAM
     return found.unionByName(materialize(more.distinct(), "near-across"))
 
 
-def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the row has the component's smallest id) of every row.
+def _with_sets(size: int):
+    """The last column, a text, as its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                *others, texts = batch.slice(start, 500).columns
+                made = pa.array([text_set(text.as_py(), size).tobytes() for text in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*others, made], names=[*batch.schema.names[:-1], "shingles"])
 
-    Sets of ``size``-word shingles are linked if ``percent`` of their union is common.
+    return run
+
+
+def set_links(marked: DataFrame, percent: int, size: int, low: str) -> tuple[DataFrame, DataFrame]:
+    """(sets, links) of rows with the columns ``SET``, which share ``percent`` of their union.
+
+    ``sets`` has node, name_1, name_2 and the least ``low`` of each distinct set; links connect nodes.
     """
     if not 0 < percent <= 100:
         raise ValueError("a share is above 0 and at most 100 per cent")
     matches = match_threshold(percent / 100)
-    marked = materialize(_marked(docs, size, id_col, text_col), "shingle-sets")
-    names = ["name_1", "name_2"]
-    # One row a set: copies are combined before they move.
-    classes = marked.filter("n > 0").groupBy(*names).agg(
-        F.min("doc_id").alias("low"), F.max("n").alias("n"), F.max("signature").alias("signature"), F.max("short").alias("short"))
+    # One row a set: copies are combined before they move. Of the tasks that wrote its text the first will do.
+    classes = marked.filter("n > 0").groupBy(*NAMES).agg(
+        F.min(low).alias("low"), F.max("n").alias("n"), F.min(F.when(F.col("text").isNotNull(), F.col("task"))).alias("task"),
+        F.max("signature").alias("signature"), F.max("short").alias("short"))
     sets = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     lists = materialize(prefixes(sets, matches), "prefixes")
     blocks = F.expr(f"cast(ceil(size / {BLOCK_SETS}) as bigint)")
     loose = components(linked(lists.select(F.col("token").alias("group"), "node", blocks.alias("blocks"), "hub", "short"), _Signatures(matches)))
+    release(lists)
 
     both = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    weighed = both.join(sets.select(F.col("node").alias("s_node"), "n", "short", *names), F.col("node") == F.col("s_node"))
+    weighed = null_safe_join(both, sets.select("node", "n", "short", "task", *NAMES), ["node"])
     groups = weighed.groupBy("root").agg(F.expr(
         f"cast(ceil(greatest(count(*) / {BLOCK_SETS}, sum(n) / {BLOCK_SHINGLES})) as bigint)").alias("blocks"), F.min("node").alias("hub"))
-    wanted = null_safe_join(weighed, groups, ["root"]).select(F.col("root").alias("group"), "node", "blocks", "hub", "short", *names)
-    whole = marked.filter("shingles is not null").select(F.col("name_1").alias("w_1"), F.col("name_2").alias("w_2"), "shingles")
-    # A task wrote each set once; of those of several tasks one is enough.
-    members = wanted.join(whole, (F.col("name_1") == F.col("w_1")) & (F.col("name_2") == F.col("w_2"))).dropDuplicates(names)
-    members = materialize(members.select("group", "node", "blocks", "hub", "short", "shingles"), "loose-groups")
-    roots = components(linked(members, _Sets(matches, percent), rows_at_once=2 * BLOCK_SETS))
-
-    own = sets.select("node", "low", *names).join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(
-        F.coalesce("root", "node").alias("root"), "low", *names)
+    wanted = materialize(null_safe_join(weighed, groups, ["root"]).select(
+        F.col("root").alias("group"), "node", "blocks", "hub", "short", "task", *NAMES), "wanted")
+    texts = marked.filter("text is not null").select(*(F.col(name).alias(f"t_{name}") for name in ("task", *NAMES)), "text")
+    met = wanted.join(texts, [F.col(name) == F.col(f"t_{name}") for name in ("task", *NAMES)]).select(
+        "group", "node", "blocks", "hub", "short", "text")
+    members = materialize(met.mapInArrow(_with_sets(size), StructType([*met.schema.fields[:-1], *StructType.fromDDL("shingles binary").fields])), "loose-groups")
+    return sets, linked(members, _Sets(matches, percent), rows_at_once=2 * BLOCK_SETS)
+
+
+def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the row has the component's smallest id) of every row.
+
+    Sets of ``size``-word shingles are linked if ``percent`` of their union is common.
+    """
+    texts = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text")
+    columns = set_columns()
+    rows = map_rows(texts, lambda doc_id, text: (doc_id, *columns(text_set(text, size), text)), f"doc_id bigint, {SET}")
+    marked = materialize(rows.withColumn("task", F.spark_partition_id()), "shingle-sets")
+    sets, links = set_links(marked, percent, size, "doc_id")
+    roots = components(links)
+
+    own = null_safe_join(sets.select("node", "low", *NAMES), roots, ["node"], "left").select(F.coalesce("root", "node").alias("root"), "low", *NAMES)
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = null_safe_join(own.select("root", *names), lowest, ["root"])
-    found = null_safe_join(marked.select("doc_id", F.col("n").alias("n_shingles"), *names), named, names, "left")
+    named = null_safe_join(own.select("root", *NAMES), lowest, ["root"])
+    found = null_safe_join(marked.select("doc_id", F.col("n").alias("n_shingles"), *NAMES), named, NAMES, "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

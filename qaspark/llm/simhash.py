@@ -10,8 +10,8 @@ only fingerprints at the same anchor are compared, on all 64 bits. Copies share
 Rows of an anchor are sorted together and streamed; a run emits a spanning forest of its links, never all pairs.
 
 Two bits of a whole text's fingerprint only forgive the smallest edits: texts that share 80 % of their shingles differ in
-about ten. With ``similar`` (a share of shingles, see ``near_groups``) the distinct texts are joined on their shingles as
-well, exactly (``jaccard``): no pair of that share or more is missed, none below it is linked.
+about ten. With ``similar`` (per cent of shingles, see ``near_groups``) distinct sets of shingles are joined as well
+(``minhash``): links are confirmed on the full sets, and one of that share is missed with a probability of 10^-10 at most.
 
 Defined results: a null text has no words; a text without words has fingerprint zero and links like any other; equal
 rows share a component; a null id never names a component unless all its ids are null.
@@ -30,7 +30,9 @@ from pyspark.sql.types import StructType
 
 from qaspark.llm.common import map_rows, pick
 from qaspark.llm.components import components
-from qaspark.llm.jaccard import set_name, shingle_hashes, similar_sets, text_set
+from qaspark.llm.minhash import NAMES, SET, set_columns, set_links
+from qaspark.llm.shingles import shingle_hashes, text_set
+from qaspark.operators.lookups import null_safe_join
 from qaspark.session import materialize
 
 BITS = 64
@@ -41,6 +43,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Runs longer than this are walked from node to node instead of being compared shift by shift.
 SHORT_RUN = 16
 STREAM_ROWS = 200_000
+ROWS = "doc_id bigint, text_hash bigint, fp bigint"
 
 
 def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
@@ -194,23 +197,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, size: int = 3, similar_size: int | None = None, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (bigint) and shingles (the name of the set of ``similar_size`` words a shingle) of every row."""
+    """doc_id, text_hash and fp (bigint) of every row; with ``similar_size`` also its set of such shingles (``minhash.SET``)."""
+    texts = _texts(docs, id_col, text_col)
+    if similar_size is None:
+        return map_rows(texts, lambda doc_id, text_hash, text: (doc_id, text_hash, fingerprint(text, size)), ROWS)
+    columns = set_columns()
 
     def row(doc_id: int | None, text_hash: int, text: bytes | None) -> tuple:
-        return doc_id, text_hash, fingerprint(text, size), set_name(text_set(text, similar_size)) if similar_size else None
+        return doc_id, text_hash, fingerprint(text, size), *columns(text_set(text, similar_size), text)
 
-    return map_rows(_texts(docs, id_col, text_col), row, "doc_id bigint, text_hash bigint, fp bigint, shingles bigint")
+    return map_rows(texts, row, f"{ROWS}, {SET}").withColumn("task", F.spark_partition_id())
 
 
-def similar_links(marked: DataFrame, texts: DataFrame, share: float, size: int) -> DataFrame:
+def similar_links(marked: DataFrame, percent: int, size: int) -> DataFrame:
     """Links between fingerprints whose texts share that part of their shingles or have the same ones."""
-    own = marked.filter("shingles is not null").groupBy("shingles").agg(F.min("fp").alias("own"))
-    same = marked.select("fp", "shingles").distinct().join(own, "shingles").filter("fp <> own").select(
+    sets, found = set_links(marked, percent, size, "fp")
+    own = sets.select(F.col("low").alias("own"), *NAMES)
+    same = null_safe_join(marked.filter("n > 0").select("fp", *NAMES).distinct(), own, NAMES).filter("fp <> own").select(
         F.col("fp").alias("a"), F.col("own").alias("b"))
-    found = similar_sets(texts, marked, share, size)
     for side in "ab":
-        named = own.withColumnsRenamed({"shingles": "node", "own": f"fp_{side}"})
-        found = found.join(named, F.col(side) == F.col("node")).drop("node")
+        found = null_safe_join(found, sets.select(F.col("node").alias(side), F.col("low").alias(f"fp_{side}")), [side])
     return same.unionByName(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
 
 
@@ -221,12 +227,12 @@ def links(fps: DataFrame) -> DataFrame:
     return runs.mapInArrow(_compare, StructType.fromDDL("a bigint, b bigint"))
 
 
-def near_groups(docs: DataFrame, size: int = 3, similar: float | None = None, similar_size: int = 5, id_col: str = "doc_id",
+def near_groups(docs: DataFrame, size: int = 3, similar: int | None = None, similar_size: int = 5, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, component_id and first of every row.
 
     ``first`` marks the row of a component that stands for it: the smallest id, then text hash. With ``similar`` texts
-    that share this part of their shingles of ``similar_size`` words are linked as well.
+    that share these per cent of their shingles of ``similar_size`` words are linked as well.
     """
     marked = materialize(fingerprints(docs, size, similar_size if similar else None, id_col, text_col), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -234,12 +240,12 @@ def near_groups(docs: DataFrame, size: int = 3, similar: float | None = None, si
     nodes = materialize(marked.groupBy("fp").agg(F.min(rank).alias("low")).select("fp", "low"), "distinct-fingerprints")
     found = links(nodes)
     if similar:
-        found = found.unionByName(similar_links(marked, _texts(docs, id_col, text_col), similar, similar_size))
+        found = found.unionByName(similar_links(marked, similar, similar_size))
     roots = components(found)
-    rooted = nodes.select("fp", "low").join(roots, nodes["fp"] == roots["node"], "left").select(
+    rooted = null_safe_join(nodes, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("low"))
-    named = rooted.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("node"), "low")
-    return marked.select("doc_id", "text_hash", "fp").join(named, marked["fp"] == named["node"]).select(
+    named = null_safe_join(rooted.select("fp", "root"), lowest, ["root"])
+    return null_safe_join(marked.select("doc_id", "text_hash", "fp"), named, ["fp"]).select(
         "doc_id", "text_hash", "fp", F.col("low.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))).alias("first"))

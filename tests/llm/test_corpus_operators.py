@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from compare import connect, difference
 
-from qaspark.llm import chat_tree, document_sketch, jaccard, line_dedup, queries, simhash, suffix_dedup
+from qaspark.llm import chat_tree, document_sketch, line_dedup, minhash, queries, simhash, suffix_dedup
 from qaspark.llm.common import pick
 from qaspark.llm.components import components
 
@@ -102,6 +102,16 @@ def test_suffix_dedup_odd_rows(spark, bucket):
     assert suffix_dedup.removed_spans(table(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_whose_texts_collide_in_32_bits(spark):
+    """Rows without an id are told apart by their texts: these begin with strings of one 32-bit hash."""
+    pick_ = random.Random(8)
+    tail = "".join(pick_.choices("abcdefgh", k=300))
+    rows = [(None, "qq198959" + tail), (None, "qq364022" + tail), (7, "qq198959" + tail)]
+    found = {bytes(r.text): suffix_dedup.merge_spans(r.starts, r.stops, len(r.text))
+             for r in suffix_dedup.removed_spans(table(spark, rows), length=200).collect()}
+    assert found == {rows[0][1].encode(): [(0, 308)], rows[1][1].encode(): [(8, 308)]}
+
+
 def test_anchors_of_long_texts_meet(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 10)
     suffix_dedup._POWERS.clear()
@@ -196,7 +206,7 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch):
-    """Groups at 80 % against all pairs: pairs about the limit, chains, a template, equal fingerprints; hubs or none."""
+    """Groups at 80 % against all pairs: pairs about the limit, chains, a template, equal fingerprints; large blocks and small."""
     pick_ = random.Random(10)
     word = lambda: "".join(pick_.choices("abcdefgh", k=6))
     texts = []
@@ -221,11 +231,9 @@ def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch):
     for _ in range(len(texts)):
         for a, b in linked:
             expected[a] = expected[b] = min(expected[a], expected[b])
-    for limit in (2, -1):
-        monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", limit)
-        monkeypatch.setattr(jaccard, "LEAST_PAIRS", 100_000 if limit > 0 else -1)
-        monkeypatch.setattr(jaccard, "HUB_ROUNDS", 2)
-        found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=0.8).collect()}
+    for block in (256, 8):
+        monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+        found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=80).collect()}
         assert found == expected
 
 
@@ -238,7 +246,7 @@ def test_texts_below_the_share_stay_apart(spark):
     sets = {k: shingles(t) for k, t in rows}
     shares = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
     assert 0.6 < min(shares) and max(shares) < 0.8
-    found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=0.8).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(table(spark, rows), similar=80).collect()}
     fps = {k: plain_fingerprint(t) for k, t in rows}
     assert found == plain_components(fps)
 
@@ -258,7 +266,7 @@ def test_similar_texts_are_grouped(spark):
             rows.append((100 * base + copy, edited))
         rows.append((100 * base + 50, words[:len(words) // 2] + [word() for _ in range(len(words) // 2)]))
     table_ = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id bigint, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_groups(table_, similar=0.8).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(table_, similar=80).collect()}
     sets = {k: shingles(" ".join(w)) for k, w in rows}
     for a in sets:
         for b in sets:
@@ -274,8 +282,8 @@ def test_simhash_odd_rows(spark):
     rows = [(5, None), (6, " \n"), (None, "a b c d"), (None, "a b c d"), (3, "A B\tc d"), (9, "x"), (9, "x"), (4, "unlike others here")]
     found = Counter((r.doc_id, r.component_id, r.first) for r in simhash.near_groups(table(spark, rows)).collect())
     assert found == Counter({(5, 5, True): 1, (6, 5, False): 1, (None, 3, False): 2, (3, 3, True): 1, (9, 9, True): 2, (4, 4, True): 1})
-    assert found == Counter((r.doc_id, r.component_id, r.first) for r in simhash.near_groups(table(spark, rows), similar=0.8).collect())
-    assert simhash.near_groups(table(spark, rows).limit(0), similar=0.8).count() == 0
+    assert found == Counter((r.doc_id, r.component_id, r.first) for r in simhash.near_groups(table(spark, rows), similar=80).collect())
+    assert simhash.near_groups(table(spark, rows).limit(0), similar=80).count() == 0
 
 
 # --- document sketches
