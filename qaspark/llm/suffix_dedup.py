@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from qaspark.llm.common import flat_map_rows, map_rows, pick
+from qaspark.operators.lookups import null_safe_join
 from qaspark.session import materialize
 
 GRAM = 50
@@ -39,10 +40,12 @@ GRAM = 50
 BLOCK = 1 << 18
 SHALLOW = 16
 BASE = 0x9E3779B97F4A7C15
-ANCHORS = "h bigint, c bigint, doc_id bigint, text_hash int, place bigint"
-FOUND = "whole boolean, h bigint, doc_id bigint, text_hash int, place bigint"
-CONTEXTS = "h bigint, hot boolean, doc_id bigint, text_hash int, place bigint, left_part binary, right_part binary"
-SPANS = "doc_id bigint, text_hash int, start bigint, stop bigint"
+ANCHORS = "h bigint, c bigint, doc_id bigint, text_hash binary, place bigint"
+FOUND = "whole boolean, h bigint, doc_id bigint, text_hash binary, place bigint"
+CONTEXTS = "h bigint, hot boolean, doc_id bigint, text_hash binary, place bigint, left_part binary, right_part binary"
+#: Rows are named by their id and 128 bits of their text: rows of one id (or none) must not be taken for each other.
+TEXT_HASH = "unhex(md5(coalesce(text, '')))"
+SPANS = "doc_id bigint, text_hash binary, start bigint, stop bigint"
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -119,7 +122,7 @@ def _find_anchors(length: int, gram: int):
             left = max(0, at - length + gram)
             contexts[k] = xxhash.xxh3_64_intdigest(text[left:at + length], at - left)
         ids = pa.array([own[0] for own in held], pa.int64()).take(pa.array(part))
-        hashes = pa.array([own[1] for own in held], pa.int32()).take(pa.array(part))
+        hashes = pa.array([own[1] for own in held], pa.binary()).take(pa.array(part))
         return pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.array(contexts.view(np.int64)), ids, hashes, pa.array(starts)],
             names=["h", "c", "doc_id", "text_hash", "place"]), last
@@ -148,7 +151,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The first and the last gram may go on in a neighbouring partition, so their contexts are always compared.
     """
-    received = list(batches)  # 40 bytes a row
+    received = list(batches)  # some 60 bytes a row
     held = pa.Table.from_batches(received) if received else None
     if held is None or not held.num_rows:
         return
@@ -326,7 +329,7 @@ def _sort_buckets(length: int):
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     ids, hashes, starts, stops = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
+        [pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
         names=["doc_id", "text_hash", "start", "stop"])
 
 
@@ -334,7 +337,7 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pick(docs, doc_id=id_col, text=text_col).selectExpr(
-        "cast(doc_id as bigint) doc_id", "hash(coalesce(text, '')) text_hash", "cast(coalesce(text, '') as binary) text")
+        "cast(doc_id as bigint) doc_id", f"{TEXT_HASH} text_hash", "cast(coalesce(text, '') as binary) text")
 
 
 def _join_texts(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -358,10 +361,10 @@ def spans(docs: DataFrame, length: int = 200, gram: int = GRAM, bucket: int = 20
         "doc_id", "text_hash", f"greatest(place - {length - gram}, 0L) as start", f"place + {length} as stop")
     compare = sifted.filter("not whole").drop("whole")
     hot = compare.groupBy("h").count().filter(F.col("count") > bucket).select("h", F.lit(True).alias("hot"))
-    marked = compare.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    marked = null_safe_join(compare, hot, ["h"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "hot", "place")).alias("places"))
 
-    def cut(doc_id: int | None, text_hash: int, text: bytes, places: list[dict]) -> Iterator[tuple]:
+    def cut(doc_id: int | None, text_hash: bytes, text: bytes, places: list[dict]) -> Iterator[tuple]:
         for own in places:
             at = own["place"]
             yield (own["h"], own["hot"], doc_id, text_hash, at, text[max(0, at - length + gram):at][::-1], text[at:at + length])
@@ -379,13 +382,13 @@ def spans(docs: DataFrame, length: int = 200, gram: int = GRAM, bucket: int = 20
 def _split_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of large buckets, each ``length``-byte suffix in a sub-bucket of its own; equal ones count before they move."""
 
-    def suffixes(h: int, hot: bool, doc_id: int | None, text_hash: int, place: int, left: bytes, right: bytes) -> Iterator[tuple]:
+    def suffixes(h: int, hot: bool, doc_id: int | None, text_hash: bytes, place: int, left: bytes, right: bytes) -> Iterator[tuple]:
         whole = left[::-1] + right
         for start in range(len(whole) - length + 1):
             first, second = np.frombuffer(xxhash.xxh3_128_digest(whole[start:start + length]), "<i8").tolist()
             yield first, second, doc_id, text_hash, place - len(left) + start
 
-    rows = materialize(flat_map_rows(contexts, suffixes, "s1 bigint, s2 bigint, doc_id bigint, text_hash int, start bigint"), "suffixes")
+    rows = materialize(flat_map_rows(contexts, suffixes, "s1 bigint, s2 bigint, doc_id bigint, text_hash binary, start bigint"), "suffixes")
     # The same place may come from several anchors: it is one suffix.
     counted = rows.distinct().groupBy("s1", "s2").count().filter("count > 1")
     return rows.join(counted, ["s1", "s2"]).selectExpr("doc_id", "text_hash", "start", f"start + {length} as stop")
