@@ -9,12 +9,14 @@ texts have equal fingerprints and fingerprints can be parsed, merged and compare
 
 Defined results: a null text is empty; texts of fewer than five words are one shingle, texts without words have none;
 the likeness of two sketches is the share of the first found in the second, 1 for equal fingerprints and 0 where the
-first keeps no hash. Rows with equal ids follow each other by text; null ids come first; the only row of a table is its
+first keeps no hash. Rows with equal ids follow each other by text hash, then text; null ids come first; the only row of a table is its
 own next.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from qaspark.session import materialize
 
 SIZE = 5
 FRACTION = 1 / 8
-#: Documents that follow each other by id, about this many to a group, meet in one task.
-GROUP = 256
+#: Documents that follow each other by id meet in groups of about this many, or in so many groups; sampled rows for each.
+GROUP, MAX_RANGES, SAMPLED = 256, 8192, 8
 
 
 def with_sketch(df: DataFrame, text: str, prefix: str = "", size: int = SIZE, fraction: float = FRACTION) -> DataFrame:
@@ -98,14 +100,11 @@ def _result(rows: DataFrame) -> DataFrame:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the next document's beginning.
 
-    Texts move once, to groups of ids that follow each other. Only the first and last rows of the groups are then
+    Texts move once, to groups that follow each other by id and text hash (repeated and null ids are many groups, too). Only the first and last rows of the groups are then
     matched across groups, from a written table.
     """
     texts = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "coalesce(text, '') text")
-    low, high, n = texts.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * GROUP // n) if n else 1
-    group = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width)).cast("bigint"), F.lit(-1))
-    rows = with_sketch(texts.withColumns({"n_chars": F.char_length("text").cast("bigint"), "g": group}), "text")
+    rows = with_sketch(texts.withColumns({"n_chars": F.char_length("text").cast("bigint"), "g": _group(texts)}), "text")
     by_id = Window.partitionBy("g").orderBy("doc_id", F.xxhash64("text"), "text")
     paired = rows.withColumns({
         **{f"next_{name}": F.lead(name).over(by_id) for name in ("text", *PARTS)}, "place": F.row_number().over(by_id)})
@@ -120,6 +119,30 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _result(landed.filter("not last").select(*KEPT).unionByName(across))
 
 
+def _group(texts: DataFrame) -> Column:
+    """The number of a row's range of (id, text hash): ranges of about equal numbers of rows, in that order.
+
+    Their bounds are quantiles of a sample, found by every row in a binary search. They only deal rows out: whatever
+    they are, results are the same.
+    """
+    rows = texts.count()
+    ranges = min(max(rows // GROUP, 1), MAX_RANGES)
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
+    sample = sorted(map(tuple, texts.sample(min(1.0, SAMPLED * ranges / rows), 11).select(key.alias("k")).select("k.*").collect())) if ranges > 1 else []
+    places = range(1, ranges) if sample else ()
+    cuts = sorted({sample[len(sample) * place // ranges] for place in places})
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    bounds = F.from_json(
+        F.lit(json.dumps([dict(zip(("some", "id", "h"), cut)) for cut in cuts])), "array<struct<some:boolean,id:bigint,h:bigint>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.try_element_at(bounds, at + step) <= key, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further).cast("bigint")
+
+
 def next_groups(groups: DataFrame, block: int = 65_536) -> DataFrame:
     """(g, head): the group after each, the first after the last. Only the first group of each block meets in one task."""
     blocks = groups.withColumn("block", F.floor(F.col("g") / block))
