@@ -5,8 +5,8 @@ a word in a language is the sum over all ways to cut it into pieces, by the forw
 product over its words. Probabilities are learned by expectation and maximisation: the forward-backward counts of the
 training words, summed over Spark's partitions, become the next probabilities.
 
-Learning reads at most ``max_rows`` rows with a language (chosen by the hash of the id, the same at every run); what
-reaches the driver is one number per piece and language. Scoring is one pass over all whole texts, without a shuffle;
+Learning reads at most ``max_rows`` rows of each language (chosen by the hash of the id, the same at every run), so that a
+rare one is learned, too; what reaches the driver is one number per piece and language. Scoring is one pass over all whole texts, without a shuffle;
 a word is scored once per worker and remembered.
 
 Words are runs of letters in lower case. Characters outside the vocabulary cost the same in every language.
@@ -29,7 +29,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.llm.common import pick
@@ -43,6 +43,8 @@ UNDETERMINED = "und"
 REMEMBERED = 250_000
 #: Words are cut to stretches of at most this many characters between rescalings of the forward sums.
 STRETCH = 32
+#: Letters of a word that are learned from together.
+LONGEST_WORD = 64
 UNKNOWN = 1e-9
 
 
@@ -194,23 +196,33 @@ def _predict(model: Model):
     return run
 
 
+def _stretches(word: str) -> Iterator[str]:
+    """A word in stretches of at most ``LONGEST_WORD`` letters: scripts without spaces have words as long as sentences."""
+    return (word[start:start + LONGEST_WORD] for start in range(0, len(word), LONGEST_WORD))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(*(column.to_pylist() for column in batch.columns)):
-            counts.update((lang, word) for word in WORDS((text or "").lower()) if len(word) <= 64)
+            counts.update((lang, part) for word in WORDS((text or "").lower()) for part in _stretches(word))
         yield pa.RecordBatch.from_arrays([
             pa.array([lang for lang, _ in counts], pa.string()), pa.array([word for _, word in counts], pa.string()),
             pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
 def training_words(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str, held_out: str) -> DataFrame:
-    """lang, word, n over at most ``max_rows`` rows outside the held-out fold; words above 64 letters teach nothing."""
-    ids = pick(docs, doc_id=id_col, lang=lang_col).filter(f"lang is not null and not ({held_out})")
-    chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = pick(docs, doc_id=id_col, lang=lang_col, text=text_col).filter("lang is not null")
-    counted = texts.join(F.broadcast(chosen), "doc_id").select("lang", "text")  # at most max_rows ids
-    return counted.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    """lang, word, n over at most ``max_rows`` rows of each language outside the held-out fold, by the hash of the id."""
+    rows = pick(docs, doc_id=id_col, lang=lang_col, text=text_col).filter(f"lang is not null and not ({held_out})")
+    first = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ids = rows.select("lang", "doc_id").distinct().withColumn("key", F.xxhash64("doc_id"))
+    chosen = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_rows).select(
+        F.col("lang").alias("of"), F.col("doc_id").alias("id"), "place")
+    met = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("doc_id") == F.col("id")))  # max_rows ids a language
+    # An id may come again: its rows count one after the other, by their text.
+    again = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"), "text")
+    bounded = met.withColumn("row", F.row_number().over(again)).filter(F.col("row") <= max_rows).select("lang", "text")
+    return bounded.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _expected(languages: tuple[str, ...], rows: dict[str, tuple[float, ...]] | None, known: frozenset[str], longest: int):
@@ -246,7 +258,7 @@ def _expected(languages: tuple[str, ...], rows: dict[str, tuple[float, ...]] | N
     return run
 
 
-def train(docs: DataFrame, max_rows: int = 2_000, rounds: int = 2, smoothing: float = 0.1, path: str | None = None,
+def train(docs: DataFrame, max_rows: int = 1_000, rounds: int = 2, smoothing: float = 0.1, path: str | None = None,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: str = HELD_OUT) -> Model:
     known = pieces(path or public_tokenizers.path(VOCABULARY))
     longest = max(map(len, known))

@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import pairwise
 from operator import eq
 
 import numpy as np
@@ -114,12 +113,17 @@ def fit(values: np.ndarray, labels: np.ndarray, pairs_per_row: int = 4, penalty:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id",
                   text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id",
                   held_out: str = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1") -> DataFrame:
-    """label and features of at most ``max_rows`` labelled rows outside the held-out fold."""
+    """label and features of at most ``max_rows`` labelled rows outside the held-out fold, by the hash of the id.
+
+    An id that comes again (in either table) gives several rows; the bound holds for rows.
+    """
     marked = pick(labels, doc_id=label_id, label=label_col).filter(F.col("label").isin(0, 1)).filter(f"not ({held_out})")
     chosen = marked.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     texts = pick(docs, doc_id=id_col, text=text_col).selectExpr("doc_id", "cast(text as binary) text")
     joined = texts.join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-    return map_rows(joined.select("label", "text"), lambda label, text: (int(label), features(text)), "label int, features array<double>")
+    found = map_rows(joined.select("label", "doc_id", "text"), lambda label, doc_id, text: (int(label), doc_id, features(text)),
+                     "label int, doc_id bigint, features array<double>")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("features")).limit(max_rows).select("label", "features")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **columns: str) -> Model:
