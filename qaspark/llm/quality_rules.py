@@ -1,8 +1,13 @@
 """Line-first cleaning: rules reject single lines, then a document that loses too much of its text goes.
 
-Each line with a word is judged alone by the rules of ``LINE_RULES``; failing lines are removed, and a document
-is kept when the share of its word characters in surviving lines is at least ``min_share``. Document-wide base
-rules (number of words, share of repeated windows) come on top. One pass over each row, no shuffle.
+Each line with a word is judged by the rules of ``line_fails``; failing lines are removed, and a document is kept when
+the share of its words' bytes in surviving lines is at least ``min_share``. Document-wide base rules (number of words,
+share of repeated windows) come on top. One pass over each row, no shuffle.
+
+Navigation is told by its shape: words between separators, or a row of short capitalised words that ends no sentence.
+Boilerplate is told by the sentences of a line: it fails if those with a notice hold half of its words, so that a line
+which is one notice fails at any length, and one remark in a long paragraph does no harm. An open end fails only lines of
+few words, because lines of prose may be wrapped anywhere. All thresholds are in ``Rules``.
 
 Defined results: a null text has no words and is rejected; a document without a word is rejected; lines without a
 word neither pass nor fail; repeated rows are judged alone, each with the same verdict.
@@ -10,9 +15,9 @@ word neither pass nor fail; repeated rows are judged alone, each with the same v
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import pairwise
 from operator import eq
 
 from pyspark.sql import DataFrame
@@ -26,11 +31,13 @@ BOILERPLATE = (
     b"all rights reserved", b"copyright", b"cookie", b"javascript", b"licensed under", b"privacy policy",
     b"released under the", b"sign in", b"sign up", b"subscribe", b"terms of service", b"terms of use",
 )
+SEPARATORS = frozenset((b">", b">>", b"/", b"//", b"::", b"-", b"*", *(mark.encode() for mark in ("»", "›", "→", "·", "•", "–", "—"))))
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, kept boolean, n_lines bigint, n_failed_lines bigint, surviving_share double"
 )
+SENTENCE_MARKS = re.compile(rb"[.!?;]")
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 
@@ -48,15 +55,23 @@ class Rules:
     max_upper_share: float = 0.6
     max_echo_share: float = 0.5
     open_line_words: int = 4
+    min_menu_words: int = 4
+    max_menu_word: int = 15  # bytes of a word
+    min_menu_share: float = 0.8
+    min_notice_share: float = 0.5
 
 
 def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str | None:
     """The first rule that a line with words fails, or None."""
     n = len(words)
     symbols = len(line) - len(line.translate(None, SYMBOLS))
-    bars = line.count(b"|")
+    bars = line.count(b"|") + sum(map(SEPARATORS.__contains__, words))
     if bars >= rules.min_bars and bars > rules.max_bar_share * n:
         return "navigation"
+    ends = line.rstrip().endswith(SENTENCE_ENDS)
+    if n >= rules.min_menu_words and not ends and sum(
+            65 <= word[0] <= 90 and len(word) <= rules.max_menu_word for word in words) >= rules.min_menu_share * n:
+        return "navigation"
     if symbols > rules.max_symbol_share * n and symbols > 1:
         return "symbols"
     if n > 1:
@@ -66,11 +81,12 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str | None:
             return "shouting"
         if sum(map(eq, words, words[1:])) > rules.max_echo_share * (n - 1) and n > 3:
             return "echo"
-    if n < rules.open_line_words and not line.rstrip().endswith(SENTENCE_ENDS):
+    if n < rules.open_line_words and not ends:
         return "punctuation"
-    if n < 40:
-        low = line.lower()
-        if any(phrase in low for phrase in BOILERPLATE):
+    low = line.lower()
+    if any(phrase in low for phrase in BOILERPLATE):
+        notices = (part for part in SENTENCE_MARKS.split(low) if any(phrase in part for phrase in BOILERPLATE))
+        if sum(len(part.split()) for part in notices) >= rules.min_notice_share * n:
             return "boilerplate"
     return None
 

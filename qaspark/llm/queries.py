@@ -45,14 +45,18 @@ worded as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+')
                   translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
                   row_number() over (partition by doc_id, line order by place) > 1 as again
            from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
-counted as (select *, len(own) as n, strlen(array_to_string(own, '')) as size, length(line) - length(replace(line, '|', '')) as bars,
+counted as (select *, len(own) as n, strlen(array_to_string(own, '')) as size, length(line) - length(replace(line, '|', ''))
+                     + len(list_filter(own, lambda x: x in ('>', '>>', '/', '//', '::', '-', '*', '»', '›', '→', '·', '•', '–', '—'))) as bars,
+                   len(list_filter(own, lambda x: regexp_matches(x, '^[A-Z]') and strlen(x) <= 15)) as menu,
+                   regexp_matches(own[len(own)], '[.!?:;"'')…”»。]$') as ends,
+                   coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(low, '[.!?;]'), lambda x: regexp_matches(x, 'all rights reserved|copyright|cookie|javascript|licensed under|privacy policy|released under the|sign in|sign up|subscribe|terms of service|terms of use')),
+                                           lambda x: len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')))), 0) as notice,
                    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols, length(regexp_replace(line, '[^A-Z]', '', 'g')) as upper,
                    length(regexp_replace(line, '[^A-Za-z]', '', 'g')) as letters, length(line) - length(replace(line, '!', '')) as marks,
                    len(list_filter(range(1, len(own)), lambda i: own[i] = own[i + 1])) as echo from worded),
-judged as (select *, again or (bars >= 3 and bars > 0.2::double * n) or (symbols > 0.3::double * n and symbols > 1)
+judged as (select *, again or (bars >= 3 and bars > 0.2::double * n) or (n >= 4 and not ends and menu >= 0.8::double * n) or (symbols > 0.3::double * n and symbols > 1)
                      or (n > 1 and upper > 0.6::double * letters and marks > 1) or (n > 3 and echo > 0.5::double * (n - 1))
-                     or (n < 4 and not regexp_matches(own[len(own)], '[.!?:;"'')…”»。]$'))
-                     or (n < 40 and regexp_matches(low, 'all rights reserved|copyright|cookie|javascript|licensed under|privacy policy|released under the|sign in|sign up|subscribe|terms of service|terms of use'))
+                     or (n < 4 and not ends) or (notice > 0 and notice >= 0.5::double * n)
                      as failed from counted),
 per_doc as (select doc_id, count(*) as n_lines, count(*) filter (where again) as n_dup_lines, count(*) filter (where failed) as n_failed_lines,
                    coalesce(sum(size) filter (where not failed), 0)::double / sum(size) as surviving_share from judged group by doc_id),
