@@ -32,6 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from qaspark.llm.common import flat_map_rows, pick, to_batch
+from qaspark.operators.lookups import null_safe_join
+from qaspark.operators.ranks import dense_ids
 from qaspark.session import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -130,32 +132,35 @@ def build(conversations: DataFrame, encode: Callable[[str], list[int]] | None =
     # One conversation stands for each leaf of the tree.
     inner = heavy.select(F.col("parent").alias("node"))
     ends = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), F.col("root"))
-    last = steps.join(ends.select(F.col("leaf").alias("node")), "node", "left_semi")
+    last = null_safe_join(steps, ends.select(F.col("leaf").alias("node")), ["node"], "left_semi")
     chosen = last.groupBy(F.col("node").alias("leaf")).agg(
         F.min(F.struct(F.col("conv_id").isNotNull().alias("some"), "conv_id")).alias("c"))
     walked = steps.select("conv_id", "place", "node", "parent", "position", "length").alias("s").join(
         chosen.alias("l"), F.col("s.conv_id").eqNullSafe(F.col("l.c.conv_id"))
     ).select("l.leaf", "s.place", "s.node", "s.parent", "s.position", "s.length")
-    edges = walked.join(branches, walked["parent"] == branches["fork"]).select(
+    edges = null_safe_join(walked, branches.withColumnRenamed("fork", "parent"), ["parent"]).select(
         "leaf", "place", F.concat(F.when(F.col("node") == F.col("first_child"), "0").otherwise("1"), F.hex("node")).alias("edge"))
     turns_taken = edges.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "edge"))).alias("edges"))
     keys = ends.join(turns_taken, "leaf", "left").select("leaf", "root", F.concat_ws(
         "", F.hex("root"), F.transform(F.coalesce("edges", F.array().cast("array<struct<place:bigint,edge:string>>")), lambda e: e["edge"])
     ).alias("key"))
 
-    owned = materialize(walked.join(keys, "leaf").select("leaf", "root", "key", "node", "place", "position", "length"), "chat-paths")
+    # The leaves' places in the order of their keys stand for them: a path repeats a number and not a key.
+    ranks = dense_ids(keys, "key", "rank").withColumnRenamed("key", "of_key")
+    keys = keys.join(ranks, F.col("key") == F.col("of_key")).select("leaf", "root", F.col("rank").alias("key"))
+    owned = materialize(null_safe_join(walked, keys, ["leaf"]).select("leaf", "root", "key", "node", "place", "position", "length"), "chat-paths")
     owner = owned.groupBy("node").agg(F.min("key").alias("owner"))
-    stretches = owned.join(owner, "node").filter("key = owner").groupBy("root", "key").agg(
+    stretches = null_safe_join(owned, owner, ["node"]).filter("key = owner").groupBy("root", "key").agg(
         F.sum("length").alias("own_length"), F.min("position").alias("own_position"))
     placed = _laid_out(stretches)
 
     located = materialize(
-        owned.select("node", "position", "length", "place").join(owner, "node").dropDuplicates(["node"])
+        owned.groupBy("node").agg(F.max("position").alias("position"), F.max("length").alias("length")).join(owner, "node")
         .join(placed.withColumnRenamed("key", "owner"), "owner")
         .select("node", "owner", "root", (F.col("start") + F.col("position") - F.col("own_position")).alias("start"), "position", "length"),
         "chat-places")
     # A leaf's path as one interval for each owner along it.
-    runs = owned.select("key", "node").join(located.select("node", "owner", "start", "length"), "node").groupBy("key", "owner").agg(
+    runs = null_safe_join(owned.select("key", "node"), located.select("node", "owner", "start", "length"), ["node"]).groupBy("key", "owner").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"))
     before = runs.filter("key <> owner").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("before"))
     opening = placed.select("key", F.col("start").alias("opening"))
@@ -185,7 +190,7 @@ def _laid_out(stretches: DataFrame) -> DataFrame:
 def formatted(tree: ChatTree) -> DataFrame:
     """conv_id, place and what the conversation's node holds, read from the tree."""
     own = tree.nodes.select("node", "segment", "position", "loss_start", "loss_stop")
-    return tree.paths.join(own, "node").select("conv_id", "place", "position", "segment", "loss_start", "loss_stop")
+    return null_safe_join(tree.paths, own, ["node"]).select("conv_id", "place", "position", "segment", "loss_start", "loss_stop")
 
 
 DIGESTS = (
