@@ -72,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near copies differ in two bits of the fingerprint or share 80 % of their five-word shingles.
     """
-    first = simhash.near_groups(docs, similar=0.8, similar_size=5).filter("first").select("doc_id", "text_hash")
+    first = simhash.near_groups(docs, similar=80, similar_size=5).filter("first").select("doc_id", "text_hash")
     own = _keyed(docs, text_hash="xxhash64(coalesce(text, ''))")
     kept = _matched(own, first.distinct(), "text_hash", "left_semi")
     return kept.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
@@ -82,7 +82,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that are also elsewhere; whole code points stay."""
     found = suffix_dedup.spans(docs, length=200).groupBy("doc_id", "text_hash").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    own = _matched(_keyed(docs, text_hash="hash(coalesce(text, ''))"), found, "text_hash", "left")
+    own = _matched(_keyed(docs, text_hash=suffix_dedup.TEXT_HASH), found, "text_hash", "left")
 
     def cut(doc_id: int | None, text: str | None, lang: str | None, source: str | None, n_chars: int | None,
             starts: list[int] | None, stops: list[int] | None) -> list[tuple]:
