@@ -17,7 +17,7 @@ similarity is missed with a probability of ``LOSS`` at most (a more similar one
 Steps 3 and 4 deal a group out in blocks (``linked``): every set meets its own block and the group's hub; where that left a
 group in several components, the sets outside of the largest one meet all blocks. So every pair of a group is compared or
 already connected, a group of copies costs its size and not its square, and no task holds more than two blocks. Only
-spanning links are emitted.
+links to the first node of a component are emitted.
 
 Defined results: a text without words (null, empty, blank) has an empty set, links with nothing and is its own component; a
 text of fewer words than a shingle has one; equal rows share a component; a null id never names a component unless all its
@@ -50,8 +50,8 @@ LOSS = 1e-10
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: Names a task remembers so as not to write a set twice; rows of a stream taken at a time; shingles hashed at a time.
 SEEN, STREAM_ROWS, PART = 100_000, 50_000, 4096
-#: Runs up to this length are compared shift by shift, all at once.
-SHORT_RUN = 16
+#: So many comparisons a set are made pair by pair before all sets of a run are multiplied, so many shingles at a time.
+PAIRWISE, WIDTH = 8, 4096
 NAMES = ("name_1", "name_2")
 SET = "n bigint, name_1 bigint, name_2 bigint, signature binary, short binary, text binary"
 LINKS = "a bigint, b bigint"
@@ -141,30 +141,27 @@ def prefixes(sets: DataFrame, matches: int) -> DataFrame:
     return ranked.join(short, F.col("node") == F.col("s_node")).select("token", "node", "short", "size", "hub")
 
 
-def _forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
-    """Spanning links of the first ``count`` places, walked from place to place; ``near`` picks those linked to one."""
-    left, a, b = np.arange(count), [], []
+def _roots(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first place of each place's component; ``near`` picks those of some places that are linked to one."""
+    left, root = np.arange(count), np.arange(count)
     while len(left):
-        frontier, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        frontier = [first]
         while frontier and len(left):
-            here = frontier.pop()
-            found = near(here, left)
-            a.extend([here] * len(found))
-            b.extend(found.tolist())
+            found = near(frontier.pop(), left)
+            root[found] = first
             frontier.extend(found.tolist())
             left = np.setdiff1d(left, found, assume_unique=True)
-    return a, b
+    return root
 
 
 def _across(side: np.ndarray, root: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
     """Links between the marked places and all others of another root; what a link connects is not compared again."""
     root, a, b = root.copy(), [], []
     for here in np.flatnonzero(side).tolist():
-        others = np.flatnonzero(root != root[here])
-        found = near(here, others)
+        found = near(here, np.flatnonzero(root != root[here]))
         # One link to each root connects it.
-        _, first = np.unique(root[found], return_index=True)
-        found = found[first]
+        found = found[np.unique(root[found], return_index=True)[1]]
         a.extend([here] * len(found))
         b.extend(found.tolist())
         root[np.isin(root, root[found])] = root[here]
@@ -175,7 +172,7 @@ class _Signatures:
     """Collisions of short signatures."""
 
     columns = ("short",)
-    #: Short runs are compared all at once.
+    #: Runs of two are compared all at once.
     together = True
 
     def __init__(self, matches: int):
@@ -203,9 +200,39 @@ class _Sets(_Signatures):
 
     def near(self, loaded: tuple) -> Callable[[int, np.ndarray], np.ndarray]:
         shorts, sets = loaded
-        collide = super().near(shorts)
-        return lambda here, others: np.array(
-            [k for k in collide(here, others).tolist() if reaches(sets[here], sets[k], self.percent)], dtype=np.int64)
+        collide, sizes = super().near(shorts), np.array([len(own) for own in sets])
+        compared, common = 0, None
+
+        def pick_near(here: int, others: np.ndarray) -> np.ndarray:
+            nonlocal compared, common
+            others = collide(here, others)
+            compared += len(others)
+            if common is None and compared <= PAIRWISE * len(sets):
+                return others[[reaches(sets[here], sets[k], self.percent) for k in others.tolist()]] if len(others) else others
+            if common is None:  # a run of many components: all its sets at once
+                common = common_shingles(sets)
+            both = common[here, others]
+            return others[100 * both >= self.percent * (sizes[here] + sizes[others] - both)]
+
+        return pick_near
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of some sets, as products of incidence matrices of ``WIDTH`` shingles at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # a shingle of one set is common with none
+    number = np.cumsum(times > 1) - 1
+    rows, column = rows[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        low, high = np.searchsorted(column, [start, start + WIDTH])
+        part = np.zeros((len(sets), WIDTH), dtype=np.float32)
+        part[rows[low:high], column[low:high] - start] = 1
+        total += (part @ part.T).astype(np.int64)
+    return total
 
 
 def _runs(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -232,36 +259,33 @@ def _runs(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[tupl
 
 
 def _to_links(node: np.ndarray, a: list, b: list) -> pa.RecordBatch:
-    left, right = (node[np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(p, dtype=np.int64) for p in side)])] for side in (a, b))
-    found = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
-    found = found[:, found[0] != found[1]]
-    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+    left, right = (node[np.asarray(side, dtype=np.int64)] for side in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["a", "b"])
 
 
 def _within(likeness: _Signatures, rows_at_once: int):
-    """Spanning links of every run."""
+    """Of every run (sorted by node) the nodes with the first node of their component, if that is another one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, number in _runs(batches, rows_at_once):
-            node = rows.column("node").to_numpy()
+            node, group = rows.column("node").to_numpy(), rows.column("k_group").to_numpy()
             starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             sizes = np.diff(np.r_[starts, len(number)])
             a, b = [], []
-            if likeness.together:
-                short = np.flatnonzero(np.repeat(sizes <= SHORT_RUN, sizes))
-                marks, run_of = likeness.load(rows.take(short)), number[short]
-                for shift in range(1, min(SHORT_RUN, len(short))):
-                    at = np.flatnonzero(run_of[shift:] == run_of[:-shift])
-                    if not len(at):
-                        break
-                    at = at[(marks[at] == marks[at + shift]).sum(axis=1) >= likeness.matches]
-                    a.append(short[at])
-                    b.append(short[at + shift])
+            pairs = starts[sizes == 2]
+            if likeness.together and len(pairs):  # most lists are of two
+                marks = likeness.load(rows.take(np.r_[pairs, pairs + 1]))
+                same = (marks[:len(pairs)] == marks[len(pairs):]).sum(axis=1) >= likeness.matches
+                a.append(pairs[same] + 1)
+                b.append(pairs[same])
             for start, size in zip(starts.tolist(), sizes.tolist()):
-                if size > (SHORT_RUN if likeness.together else 1):
-                    left, right = _forest(size, likeness.near(likeness.load(rows.slice(start, size))))
-                    a.append(np.array(left, dtype=np.int64) + start)
-                    b.append(np.array(right, dtype=np.int64) + start)
-            yield _to_links(node, a, b)
+                if size > (2 if likeness.together else 1):
+                    root = _roots(size, likeness.near(likeness.load(rows.slice(start, size))))
+                    other = np.flatnonzero(root != np.arange(size))
+                    a.append(other + start)
+                    b.append(root[other] + start)
+            at, to = (np.concatenate([np.zeros(0, dtype=np.int64), *side]) for side in (a, b))
+            at, to = at[node[at] != node[to]], to[node[at] != node[to]]
+            yield pa.RecordBatch.from_arrays([pa.array(group[at]), pa.array(node[at]), pa.array(node[to])], names=["group", "a", "b"])
 
     return run
 
@@ -275,15 +299,15 @@ def _between(likeness: _Signatures, rows_at_once: int):
                 own = rows.slice(start, size)
                 side, (_, root) = own.column("side").to_numpy(), np.unique(own.column("root").to_numpy(), return_inverse=True)
                 left, right = _across(side, root, likeness.near(likeness.load(own)))
-                yield _to_links(own.column("node").to_numpy(), [left], [right])
+                yield _to_links(own.column("node").to_numpy(), left, right)
 
     return run
 
 
 def linked(members: DataFrame, likeness: _Signatures, rows_at_once: int = STREAM_ROWS) -> DataFrame:
-    """Links (a, b) that connect all pairs of a group that are alike; each is between two that are.
+    """Links (a, b) that connect what is alike in the groups of ``members``, and nothing else.
 
-    ``members`` has group, node, blocks (how many the group is dealt into), hub (one of its nodes) and the payload.
+    ``members`` has group, node, blocks (how many the group is dealt into), hub (its first node) and the payload.
     """
     own_block = F.expr("pmod(xxhash64(node), blocks)")
     payload = likeness.columns
@@ -291,12 +315,15 @@ def linked(members: DataFrame, likeness: _Signatures, rows_at_once: int = STREAM
     dealt = members.select("group", "node", *payload, F.explode(
         F.when(F.col("node") == F.col("hub"), everywhere).otherwise(F.array(own_block))).alias("block"))
     keyed = dealt.withColumnsRenamed({"group": "k_group", "block": "k_block"}).repartition("k_group", "k_block")
-    found = materialize(keyed.sortWithinPartitions("k_group", "k_block", "node").mapInArrow(_within(likeness, rows_at_once), StructType.fromDDL(LINKS)).distinct(), "near")
+    found = materialize(keyed.sortWithinPartitions("k_group", "k_block", "node").mapInArrow(
+        _within(likeness, rows_at_once), StructType.fromDDL(f"group bigint, {LINKS}")), "near")
+    links = found.select("a", "b")
     large = members.filter("blocks > 1")
     if large.isEmpty():  # every group was one block
-        return found
-    roots = components(found).withColumnsRenamed({"node": "r_node"})
-    rooted = materialize(large.join(roots, F.col("node") == F.col("r_node"), "left").select(
+        return links
+    # The hub is the first node of all its blocks, so what is connected to it has it as root.
+    roots = found.select("group", F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = materialize(null_safe_join(large, roots, ["group", "node"], "left").select(
         "group", "node", "blocks", F.coalesce("root", "node").alias("root"), *payload), "several-blocks")
     counts = rooted.groupBy("group", "root").agg(F.count("*").alias("c"))
     most = counts.groupBy("group").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("s")).filter("s > m.c").select(
@@ -308,7 +335,7 @@ def linked(members: DataFrame, likeness: _Signatures, rows_at_once: int = STREAM
     rest = open_.filter("root <> main").select(*columns, F.lit(True).alias("side"), F.explode(everywhere).alias("block"), own_part.alias("part"))
     keyed = whole.unionByName(rest).withColumnsRenamed({"group": "k_group", "block": "k_block", "part": "k_part"}).repartition("k_group", "k_block", "k_part")
     more = keyed.sortWithinPartitions("k_group", "k_block", "k_part", "node").mapInArrow(_between(likeness, rows_at_once), StructType.fromDDL(LINKS))
-    return found.unionByName(materialize(more.distinct(), "near-across"))
+    return links.unionByName(materialize(more, "near-across"))
 
 
 def _with_sets(size: int):

@@ -161,6 +161,14 @@ def test_large_group_makes_spanning_links_only(spark, monkeypatch):
     assert made["_Sets"].count() < 2 * 600
 
 
+def test_common_shingles_are_counted(monkeypatch):
+    monkeypatch.setattr(minhash, "WIDTH", 7)
+    pick = np.random.default_rng(5)
+    sets = [np.unique(pick.integers(0, 40, pick.integers(0, 30)).astype("<u8")) for _ in range(12)]
+    found = minhash.common_shingles(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
+
+
 def test_match_threshold_bounds_the_loss():
     from math import comb
     for share in (0.5, 0.8, 0.85, 0.99):
