@@ -88,17 +88,3 @@ def phase(difficulty: Column) -> Column:
 def paraphrase_count(difficulty: Column) -> Column:
     """Paraphrases beside the original: two when easy, one when medium, none when hard."""
     return F.when(difficulty < EASY_BELOW, F.lit(2)).when(difficulty < MEDIUM_BELOW, F.lit(1)).otherwise(F.lit(0))
-
-
-def applied_difficulties(difficulties: Column, threshold: float = UPDATE_ABOVE) -> Column:
-    """The difficulty in force at each step of an ordered array.
-
-    A new value takes over only when it differs from the one in force by more than the threshold, so
-    the result is a fold over the array. An array spans the epochs of one run.
-    """
-    def step(seen: Column, value: Column) -> Column:
-        last = F.try_element_at(seen, F.lit(-1))
-        keep = F.abs(value - last) > threshold
-        return F.concat(seen, F.array(F.when(last.isNull() | keep, value).otherwise(last)))
-
-    return F.aggregate(difficulties, F.array().cast("array<double>"), step)

@@ -119,33 +119,42 @@ def sample_accuracy(observed: DataFrame) -> DataFrame:
     )
 
 
+def _valued(metrics: DataFrame, name: str, run: str) -> DataFrame:
+    """run, epoch and a metric as a number; NaN is none."""
+    value = F.col(name).cast("double")
+    return metrics.select(run, "epoch", F.when(~F.isnan(value), value).alias(name))
+
+
+def _earliest(rows: DataFrame, name: str, best: Column, run: str) -> DataFrame:
+    """run, the best value and the earliest epoch that has it, as aggregates of numbers: no row is sorted for them."""
+    found = rows.groupBy(run).agg(best.alias("_best"))
+    at = null_safe_join(rows, found, [run]).filter(F.col(name) == F.col("_best"))
+    first = at.groupBy(run).agg(F.min("epoch").alias("best_epoch"))
+    return null_safe_join(found, first, [run], "left")
+
+
 def best_accuracy(metrics: DataFrame, run: str = "run_id") -> DataFrame:
     """Best accuracy above zero and its earliest epoch; a run that never rises stays at 0 and epoch 0."""
-    best = F.max(F.when(F.col("eval_accuracy") > 0.0, F.struct("eval_accuracy", (-F.col("epoch")).alias("e"))))
-    return metrics.groupBy(run).agg(best.alias("best")).select(
-        run, F.coalesce("best.eval_accuracy", F.lit(0.0)).alias("best_accuracy"),
-        F.coalesce(-F.col("best.e"), F.lit(0)).alias("best_epoch"),
-    )
+    best = F.max(F.when(F.col("eval_accuracy") > 0.0, F.col("eval_accuracy")))
+    return _earliest(_valued(metrics, "eval_accuracy", run), "eval_accuracy", best, run).select(
+        run, F.coalesce("_best", F.lit(0.0)).alias("best_accuracy"), F.coalesce("best_epoch", F.lit(0)).alias("best_epoch"))
 
 
 def best_checkpoint(metrics: DataFrame, run: str = "run_id") -> DataFrame:
-    """The epoch with the lowest loss, the earliest of several."""
-    best = F.min(F.struct("eval_loss", "epoch"))
-    return metrics.groupBy(run).agg(best.alias("best")).select(
-        run, F.col("best.epoch").alias("best_epoch"), F.col("best.eval_loss").alias("best_loss")
-    )
+    """The epoch with the lowest loss, the earliest of several; a run without a loss has none."""
+    return _earliest(_valued(metrics, "eval_loss", run), "eval_loss", F.min("eval_loss"), run).select(
+        run, "best_epoch", F.col("_best").alias("best_loss"))
 
 
 def patience_counters(metrics: DataFrame, run: str = "run_id") -> DataFrame:
-    """``run, epoch, counter``: evaluations since the last strictly lower loss."""
-    rows = metrics.select(run, "epoch", "eval_loss")
+    """``run, epoch, counter``: evaluations since the last strictly lower loss; a loss that is null is not lower."""
     seen = running(
-        rows, run, "epoch",
+        _valued(metrics, "eval_loss", run), run, "epoch",
         _lowest=Running(F.col("eval_loss"), "min", include_current=False), _number=row_number(),
     )
-    improved = F.col("_lowest").isNull() | (F.col("eval_loss") < F.col("_lowest"))
+    improved = F.col("eval_loss").isNotNull() & (F.col("_lowest").isNull() | (F.col("eval_loss") < F.col("_lowest")))
     marked = running(seen, run, "epoch", _last=Running(F.when(improved, F.col("_number")), "max"))
-    return marked.select(run, "epoch", (F.col("_number") - F.col("_last")).alias("counter"))
+    return marked.select(run, "epoch", (F.col("_number") - F.coalesce("_last", F.lit(0))).alias("counter"))
 
 
 def early_stops(metrics: DataFrame, patience: int, run: str = "run_id") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Running aggregates along an integer position, in two levels.
+"""Running aggregates along an integer position, as a prefix scan of as many levels as the data needs.
 
-A window over a whole group would put a hot group into one task. Here rows are windowed within
-chunks of the position; chunk totals, thousands of times fewer, carry the running value across.
+A window over a whole group would put a hot group into one task. Here rows are windowed within chunks of the position;
+chunk totals, thousands of times fewer, carry the running value across. Totals of a long group are cut into chunks again,
+until a group has no more of them than one chunk.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.operators.lookups import null_safe_join
+from qaspark.session import materialize
 
 CHUNK = 4096
 
@@ -44,11 +46,7 @@ def running(df: DataFrame, group: str, position: str, chunk: int = CHUNK, **colu
     totals = rows.groupBy(group, "_chunk").agg(
         *[_AGGREGATES[r.how](f"_v_{name}").alias(f"_t_{name}") for name, r in columns.items()]
     )
-    earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        group, "_chunk",
-        *[_AGGREGATES[r.how](f"_t_{name}").over(earlier).alias(f"_b_{name}") for name, r in columns.items()],
-    )
+    before = _before(materialize(totals, "totals"), group, chunk, columns)
     inside = Window.partitionBy(group, "_chunk").orderBy(position)
     for name, r in columns.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.include_current else -1)
@@ -59,6 +57,18 @@ def running(df: DataFrame, group: str, position: str, chunk: int = CHUNK, **colu
     )
 
 
+def _before(totals: DataFrame, group: str, chunk: int, columns: dict[str, Running]) -> DataFrame:
+    """group, chunk and the aggregates of all chunks before it, from the totals of the chunks."""
+    low, high = totals.agg(F.min("_chunk"), F.max("_chunk")).first()
+    if low is None or high - low < chunk:  # a group has at most so many totals
+        earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        found = {name: _AGGREGATES[r.how](f"_t_{name}").over(earlier) for name, r in columns.items()}
+        return totals.select(group, "_chunk", *[value.alias(f"_b_{name}") for name, value in found.items()])
+    again = {f"_b_{name}": Running(F.col(f"_t_{name}"), r.how, include_current=False) for name, r in columns.items()}
+    carried = running(totals.withColumnRenamed("_chunk", "_at"), group, "_at", chunk, **again)
+    return carried.select(group, F.col("_at").alias("_chunk"), *again)
+
+
 def row_number() -> Running:
     """The 1-based number of a row along a unique position."""
     return Running(F.lit(1).cast("bigint"), "sum")

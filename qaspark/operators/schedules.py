@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from qaspark.functions import curriculum as C
-from qaspark.functions import paraphrase, patches
+from qaspark.functions import carry, paraphrase, patches
+from qaspark.session import materialize
+
+# Epochs of a chunk that is folded by itself, and chunks that are composed at once.
+CHUNK, FAN = 4096, 256
 
 # Experiments with their text, image and curriculum switches.
 EXPERIMENTS = (
@@ -67,28 +72,108 @@ def phase_counts(table: DataFrame, by: str = "strategy") -> DataFrame:
     return counts.select("*", *percent)
 
 
-def applied_difficulty(log: DataFrame, run: str = "run_id") -> DataFrame:
+def applied_difficulty(log: DataFrame, run: str = "run_id", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``run, epoch, difficulty, applied``: the difficulty in force under the update threshold.
 
-    The rule carries one value along the epochs of a run. Runs are streamed in order through Arrow batches, so a
-    run of any length takes constant memory; a null difficulty leaves the one in force.
+    The rule carries one value along the epochs of a run. So that a run of any length is many tasks, it is cut into
+    chunks of ``chunk`` epochs: each states what it makes of any value it may start with (``functions.carry``), ``fan``
+    of these are composed into one until a run has few, what every chunk starts with is told from the top down, and
+    the chunks replay their rows. A null (or NaN) difficulty leaves the one in force; rows of one epoch are taken by
+    difficulty, rows without an epoch before the run's first chunk.
     """
-    rows = log.select(run, "epoch", F.col("difficulty").cast("double").alias("difficulty"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("applied", T.DoubleType())])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, force = object(), None
-        for batch in batches:
-            applied = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if name != seen:
-                    seen, force = name, None
-                if force is None or (value is not None and abs(value - force) > C.UPDATE_ABOVE):
-                    force = value
-                applied.append(force)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(applied, pa.float64())], names=schema.names)
-
-    return rows.repartition(run).sortWithinPartitions(run, "epoch").mapInArrow(fold, schema)
+    value = F.col("difficulty").cast("double")
+    rows = log.select(run, "epoch", F.when(~F.isnan(value), value).alias("difficulty"))
+    low, high = rows.agg(F.min("epoch"), F.max("epoch")).first()
+    start = F.lit(low or 0)
+    chunked = rows.withColumn("block", F.floor((F.coalesce(F.col("epoch"), start) - start) / chunk).cast("bigint"))
+    blocks = int((high - low) // chunk) + 1 if low is not None else 1
+    levels: list[DataFrame] = []
+    while blocks > 1 and (not levels or blocks > fan):
+        if levels:
+            blocks = -(-blocks // fan)
+            levels.append(materialize(_composed(levels[-1], run, fan), "composed"))
+        else:
+            levels.append(materialize(_summarized(chunked, run), "summaries"))
+    told: DataFrame | None = None
+    for level in reversed(levels):
+        told = _told(level, told, run, fan)
+    return _replayed(chunked, told, run)
+
+
+_SUMMARY = "block bigint, tests array<double>, exits array<double>"
+
+
+def _made(rows: DataFrame, run: str, ddl: str) -> T.StructType:
+    """Column ``run`` of the rows and others."""
+    return T.StructType([rows.schema[run], *T.StructType.fromDDL(ddl).fields])
+
+
+def _in_order(chunk: pa.Table) -> pa.Table:
+    return chunk.sort_by([("epoch", "ascending"), ("difficulty", "ascending")], null_placement="at_start")
+
+
+def _parts(group: pa.Table) -> tuple[list[int], list[carry.Summary]]:
+    ordered = group.sort_by("block")
+    return ordered.column("block").to_pylist(), list(zip(ordered.column("tests").to_pylist(), ordered.column("exits").to_pylist()))
+
+
+def _table(schema: T.StructType, *columns: list) -> pa.Table:
+    return pa.table([pa.array(values, type=field.type) for values, field in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema))
+
+
+def _summarized(chunked: DataFrame, run: str) -> DataFrame:
+    schema = _made(chunked, run, _SUMMARY)
+
+    def summary(key: tuple, chunk: pa.Table) -> pa.Table:
+        tests, exits = carry.summarize(_in_order(chunk).column("difficulty").to_pylist(), C.UPDATE_ABOVE)
+        return _table(schema, *([k.as_py()] for k in key), [tests], [exits])
+
+    return chunked.groupBy(run, "block").applyInArrow(summary, schema)
+
+
+def _composed(level: DataFrame, run: str, fan: int) -> DataFrame:
+    """One summary for each ``fan`` of the level."""
+    schema = _made(level, run, _SUMMARY)
+
+    def summary(key: tuple, group: pa.Table) -> pa.Table:
+        tests, exits = carry.compose(_parts(group)[1], C.UPDATE_ABOVE)
+        return _table(schema, *([k.as_py()] for k in key), [tests], [exits])
+
+    return level.withColumn("group", _group(fan)).groupBy(run, "group").applyInArrow(summary, schema)
+
+
+def _told(level: DataFrame, above: DataFrame | None, run: str, fan: int) -> DataFrame:
+    """run, block and start of every block of a level, from those of the level above (none: a run starts with nothing)."""
+    schema = _made(level, run, "block bigint, start double")
+    grouped = level.withColumn("group", _group(fan)).groupBy(run, "group")
+
+    def starts(key: tuple, group: pa.Table, start: pa.Table | None = None) -> pa.Table:
+        blocks, parts = _parts(group)
+        first = start.column("start")[0].as_py() if start is not None and len(start) else None
+        return _table(schema, [key[0].as_py()] * len(blocks), blocks, carry.starts(parts, first, C.UPDATE_ABOVE))
+
+    if above is None:
+        return grouped.applyInArrow(lambda key, group: starts(key, group), schema)
+    return grouped.cogroup(above.groupBy(run, "block")).applyInArrow(lambda key, group, start: starts(key, group, start), schema)
+
+
+def _replayed(chunked: DataFrame, told: DataFrame | None, run: str) -> DataFrame:
+    schema = T.StructType([chunked.schema[run], chunked.schema["epoch"], chunked.schema["difficulty"], T.StructField("applied", T.DoubleType())])
+
+    def replay(chunk: pa.Table, start: pa.Table | None = None) -> pa.Table:
+        ordered = _in_order(chunk)
+        first = start.column("start")[0].as_py() if start is not None and len(start) else None
+        applied = carry.replay(ordered.column("difficulty").to_pylist(), first, C.UPDATE_ABOVE)
+        return ordered.select([run, "epoch", "difficulty"]).append_column("applied", pa.array(applied, pa.float64()))
+
+    grouped = chunked.groupBy(run, "block")
+    if told is None:
+        return grouped.applyInArrow(lambda key, chunk: replay(chunk), schema)
+    return grouped.cogroup(told.groupBy(run, "block")).applyInArrow(lambda key, chunk, start: replay(chunk, start), schema)
+
+
+def _group(fan: int) -> Column:
+    return F.floor(F.col("block") / fan).cast("bigint")
 
 
 def expand_epochs(samples: DataFrame, total_epochs: int) -> DataFrame:

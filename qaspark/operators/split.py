@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.operators.lookups import null_safe_join
 from qaspark.operators.ranks import select_ranks
+from qaspark.operators.scan import CHUNK, Running, running
 from qaspark.session import materialize
 
 # Default shares, which are normalised by their sum.
@@ -103,35 +105,36 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 def sample_per_epoch(df: DataFrame, n: int, key: str, epochs: int, seed: int = 0) -> DataFrame:
     """``n`` rows per epoch, drawn anew for each epoch; adds ``epoch`` and ``sample_id``.
 
-    Every epoch draws from all rows. Histograms of the hash digits, combined map-side and deepened where an
-    epoch's last row lies, lead to a prefix below which there are hardly more than ``n`` rows; only those are ranked.
+    Every epoch draws from all rows: those whose key has the smallest hash with the epoch, rows of one key together.
+    Rows are counted by key first, so a key that comes often is one row with a weight. The smallest ``n`` hashes hold ``n``
+    rows or more, and hashes are uniform: one pass keeps the keys below a bound that leaves few more than ``n`` of them,
+    and the draw is exact because the rows under the bound are counted (it is doubled in the case, about one in 10^9, that
+    they are too few). Running sums of the weights, chunk by chunk of the hash range, say where the draw ends.
     """
-    drawn = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    hashed = drawn.withColumn("_key", _hashed(F.col(key), F.col("epoch"), F.lit(seed)))
-    spark = df.sparkSession
-    bounds: dict[int, str] = {}
-    places = {epoch: ("", 0) for epoch in range(epochs)}  # prefix that holds the last row, rows before it
-    depth = 0
-    while places:
-        depth += 2
-        asked = spark.createDataFrame([(e, p) for e, (p, _) in places.items()], "epoch int, _prefix string")
-        near = hashed.join(F.broadcast(asked), "epoch").filter(F.col("_key").startswith(F.col("_prefix")))  # one row per epoch
-        counts = near.groupBy("epoch", F.substring("_key", 1, depth).alias("bucket")).count().orderBy("epoch", "bucket").collect()
-        following = {}
-        for epoch, (_, before) in places.items():
-            for row in (row for row in counts if row["epoch"] == epoch):
-                if before + row["count"] >= n:
-                    if row["count"] <= max(n, 256) or depth >= 32:
-                        bounds[epoch] = row["bucket"]
-                    else:
-                        following[epoch] = (row["bucket"], before)
-                    break
-                before += row["count"]
-            else:
-                bounds[epoch] = "g"  # fewer rows than asked for: all of them
-        places = following
-    limits = spark.createDataFrame(list(bounds.items()), "epoch int, _last string")
-    inside = hashed.join(F.broadcast(limits), "epoch").filter(F.col("_key") < F.concat("_last", F.lit("g")))  # past the hex digits
-    order = Window.partitionBy("epoch").orderBy("_key", key)
-    ranked = inside.withColumn("sample_id", F.row_number().over(order) - 1).filter(F.col("sample_id") < n)
-    return ranked.select(key, "epoch", "sample_id")
+    if n <= 0 or epochs <= 0:
+        return df.select(key, F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("sample_id")).limit(0)
+    keys = materialize(df.groupBy(key).agg(F.count("*").alias("weight")), "sample-keys")
+    distinct, total = keys.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    wanted = min(n, total)
+    drawn = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    place = F.conv(F.substring(_hashed(F.col(key), F.col("epoch"), F.lit(seed)), 1, HASH_DIGITS), 16, 10).cast("bigint")
+    hashed = drawn.withColumn("_place", place)
+    limit, share = 16 ** HASH_DIGITS, (n + 6 * math.sqrt(n) + 20) / max(distinct, 1)
+    while True:
+        below = hashed.filter(F.col("_place") < int(limit * share)) if share < 1 else hashed
+        kept = materialize(below, "sample-draw")
+        fewest = kept.groupBy("epoch").agg(F.sum("weight").alias("rows")).agg(F.count("*"), F.min("rows")).first()
+        if share >= 1 or (fewest[0] == epochs and fewest[1] >= wanted):
+            break
+        share *= 2
+    chunk = max(limit // max(distinct // CHUNK, 1), 1)
+    summed = running(kept, "epoch", "_place", chunk, _before=Running(F.col("weight"), "sum", include_current=False))
+    own = summed.withColumn("_copies", F.least(F.col("weight"), F.lit(n) - F.col("_before"))).filter("_copies > 0")
+    parts = own.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / CHUNK))))
+    first, last = F.col("_part") * CHUNK, F.least(F.col("_copies"), (F.col("_part") + 1) * CHUNK) - 1
+    copies = parts.withColumn("_copy", F.explode(F.sequence(first, last)))
+    return copies.select(key, "epoch", (F.col("_before") + F.col("_copy")).alias("sample_id"))
+
+
+#: Digits of a hash that tell the order of a draw.
+HASH_DIGITS = 15

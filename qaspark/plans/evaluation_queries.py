@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from qaspark.operators import chat, evaluate, lookups
 from qaspark.plans.catalog import query
 from qaspark.plans.curriculum_queries import noisy_difficulty
-from qaspark.plans.views import METRICS, cte, table, view
+from qaspark.plans.views import cte, table, view
 from qaspark.session import scratch_path
 from qaspark.sinks import reports, writers
 from qaspark.streaming import metrics as streams
@@ -196,7 +196,6 @@ def epoch_report(spark, sf_dir):
 
 # --- metric logs ------------------------------------------------------------------------------
 
-_METRICS = cte("metrics")
 _RUNS = cte("long_runs") + ", metrics as (select * from long_runs)\n"
 _BEST_SQL = """select run_id, coalesce(max(eval_accuracy) filter (eval_accuracy > 0), 0) as best_accuracy,
  coalesce(arg_max(epoch, (eval_accuracy, -epoch)) filter (eval_accuracy > 0), 0) as best_epoch from metrics group by run_id"""
@@ -265,18 +264,22 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(arrivals)
 
 
-def _metric_stream(spark, sf_dir):
-    return spark.sql(METRICS, events=_stream(spark, sf_dir))
+def _in_two_runs(spark, rows, build):
+    """What a stream makes of metric rows that arrive in two waves of rising epochs; it is stopped and restarted between."""
+    arrivals, state, out = (scratch_path(spark, label) for label in ("arrivals", "state", "streamed"))
+    half = rows.agg(F.floor(F.max("epoch") / 2)).first()[0]
+    for wave in (F.col("epoch") <= half, F.col("epoch") > half):
+        rows.filter(wave).write.mode("append").parquet(arrivals)
+        streams.drain_to_files(build(spark.readStream.schema(rows.schema).parquet(arrivals)), state, out)
+    return spark.read.parquet(out)
 
 
-@query("stream_best_metric", _METRICS + _BEST_SQL)
+@query("stream_best_metric", _RUNS + _BEST_SQL)
 def stream_best_metric(spark, sf_dir):
-    better = streams.best_metric_stream(_metric_stream(spark, sf_dir))
-    rows = streams.drain_to_files(better, scratch_path(spark, "state"), scratch_path(spark, "best"))
-    return streams.latest_best(rows)
+    return streams.latest_best(_in_two_runs(spark, view(spark, sf_dir, "long_runs"), streams.best_metric_stream))
 
 
-@query("stream_applied_difficulty", _METRICS + """, d as (select run_id, epoch, round((epoch * 7 % 13)::double / 13 * 0.05 + epoch::double / 99 * 0.9, 6) as difficulty from metrics),
+@query("stream_applied_difficulty", _RUNS + """, d as (select run_id, epoch, round((epoch * 7 % 13)::double / 13 * 0.05 + epoch::double / 99 * 0.9, 6) as difficulty from metrics),
 fold as (
   select run_id, epoch, difficulty, difficulty as applied from (select *, row_number() over (partition by run_id order by epoch) as rn from d) where rn = 1
   union all
@@ -284,16 +287,14 @@ fold as (
   from fold f join d n on n.run_id = f.run_id and n.epoch = f.epoch + 1)
 select run_id, epoch, round(difficulty, 6) as difficulty, round(applied, 6) as applied from fold""")
 def stream_applied_difficulty(spark, sf_dir):
-    applied = streams.applied_difficulty_stream(noisy_difficulty(_metric_stream(spark, sf_dir)))
-    rows = streams.drain_to_files(applied, scratch_path(spark, "state"), scratch_path(spark, "applied"))
+    rows = _in_two_runs(spark, noisy_difficulty(view(spark, sf_dir, "long_runs")), streams.applied_difficulty_stream)
     return rows.select("run_id", "epoch", F.round("difficulty", 6).alias("difficulty"), F.round("applied", 6).alias("applied"))
 
 
-@query("stream_early_stops", _METRICS + _STOP_SQL + """
+@query("stream_early_stops", _RUNS + _STOP_SQL + """
 select run_id, min(epoch) as stop_epoch from marked where k - last >= 10 group by run_id""")
 def stream_early_stops(spark, sf_dir):
-    stops = streams.early_stop_stream(_metric_stream(spark, sf_dir), 10)
-    rows = streams.drain_to_files(stops, scratch_path(spark, "state"), scratch_path(spark, "stops"))
+    rows = _in_two_runs(spark, view(spark, sf_dir, "long_runs"), lambda log: streams.early_stop_stream(log, 10))
     return rows.filter("stop_epoch is not null").select("run_id", "stop_epoch")
 
 
@@ -312,8 +313,7 @@ select distinct user_id as img_id from events where user_id not in (select c_cus
 def stream_new_work(spark, sf_dir):
     arrivals = _stream(spark, sf_dir).select(F.col("user_id").alias("img_id"))
     done = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("img_id"))
-    fresh = streams.new_work_stream(arrivals, done)
-    return streams.drain_to_files(fresh, scratch_path(spark, "state"), scratch_path(spark, "fresh"))
+    return streams.land_new_work(arrivals, done, scratch_path(spark, "state"), scratch_path(spark, "fresh"))
 
 
 # --- chat -------------------------------------------------------------------------------------

@@ -74,7 +74,9 @@ def region_boxes(spark, sf_dir):
 @query("region_file_round_trip", _REGIONS_SQL + """
 select img_id, count(*) as num_boxes, sum(object_id)::bigint as objects, sum(attribute_id)::bigint as attributes,
        round(sum(conf::float::double), 4) as conf, round(sum(x1::float::double), 2) as x1, round(sum(y2::float::double), 2) as y2,
-       64 as feature_values from regions group by img_id""")
+       64 as feature_values, any_value(features) as features
+from regions join (select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as features from embeddings) on vec_id = img_id
+group by img_id""")
 def region_file_round_trip(spark, sf_dir):
     """Regions encoded to the file format, written, read and decoded."""
     records = _records(spark, sf_dir)
@@ -92,7 +94,7 @@ def region_file_round_trip(spark, sf_dir):
         F.round(total(F.col("objects_conf")), 4).alias("conf"),
         F.round(total(F.transform("boxes", lambda b: b[0])), 2).alias("x1"),
         F.round(total(F.transform("boxes", lambda b: b[3])), 2).alias("y2"),
-        F.size(F.flatten("features")).alias("feature_values"),
+        F.size(F.flatten("features")).alias("feature_values"), F.round(total(F.flatten("features")), 4).alias("features"),
     )
 
 

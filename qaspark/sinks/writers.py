@@ -15,7 +15,8 @@ def write_splits(annotations: DataFrame, images: DataFrame, path: str, source: s
     """``{path}/{split}``: documents of image and annotation arrays that ``read_qa_json_tables_single`` reads back.
 
     ``images`` holds ``image_id, filename``, ``annotations`` at least ``image_id, question, answer``; both hold
-    ``split``. A document is one line, so a split is as many documents as tasks wrote it and no task gathers one.
+    ``split``. A document is one line of about ``DOCUMENT_ROWS`` rows, dealt out by hash; rows that are equal in all of
+    these columns share one.
     Never over the input it comes from.
     """
     if source and source.rstrip("/") == path.rstrip("/"):
@@ -27,14 +28,16 @@ def write_splits(annotations: DataFrame, images: DataFrame, path: str, source: s
     listed = F.struct(F.col("image_id").cast("string").alias("id"), "filename")
     rows = images.select("split", listed.alias("image"), F.lit(None).cast(annotations.select(note.alias("a")).schema[0].dataType).alias("annotation")).unionByName(
         annotations.select("split", F.lit(None).cast(images.select(listed.alias("i")).schema[0].dataType).alias("image"), note.alias("annotation")))
-    # Documents of a bounded number of rows, whatever the size of a split.
-    part = F.floor(F.rand(7) * F.greatest(F.lit(1), F.ceil(rows.agg(F.count("*").alias("n")).scalar() / DOCUMENT_ROWS)))
+    # Documents of about so many rows, whatever the size of a split. A row's document follows from the row, so a task that
+    # is run again deals its rows as before.
+    documents = F.greatest(F.lit(1).cast("bigint"), F.ceil(rows.agg(F.count("*").alias("n")).scalar() / DOCUMENT_ROWS))
+    part = F.pmod(F.xxhash64("image", "annotation"), documents)
     documents = rows.withColumn("part", part).groupBy("split", "part").agg(
         F.collect_list("image").alias("images"), F.collect_list("annotation").alias("annotations"))
     documents.drop("part").write.partitionBy("split").json(path)
 
 
-#: Rows of one document of a split.
+#: Rows of one document of a split, on average.
 DOCUMENT_ROWS = 50_000
 
 

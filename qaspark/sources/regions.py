@@ -21,11 +21,6 @@ ELEMENTS = {
 }
 NESTED = ("boxes", "features")
 
-REGIONS_SCHEMA = (
-    "img_id string, img_h bigint, img_w bigint, objects_id array<bigint>, objects_conf array<float>,"
-    "attrs_id array<bigint>, attrs_conf array<float>, num_boxes bigint,"
-    "boxes array<array<float>>, features array<array<float>>"
-)
 ENCODED_SCHEMA = (
     "img_id string, img_h bigint, img_w bigint, objects_id binary, objects_conf binary,"
     "attrs_id binary, attrs_conf binary, num_boxes bigint, boxes binary, features binary"
@@ -51,25 +46,30 @@ def _nest(values: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(outer), vectors)
 
 
-def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = batch.column("num_boxes").to_numpy(zero_copy_only=False).astype(np.int64)
-        columns = []
-        for name in FIELDS:
-            column = batch.column(name)
-            if name in ELEMENTS:
-                values, offsets = _decode(column.cast(pa.binary()), ELEMENTS[name])
-                if name in NESTED:
-                    column = _nest(values, offsets, counts)
-                else:
-                    column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-            columns.append(column)
-        yield pa.RecordBatch.from_arrays(columns, names=list(FIELDS))
+def _decoder(name: str):
+    """The array of one field as an Arrow function; it runs only where the field is asked for."""
+    dtype, element = ELEMENTS[name], "bigint" if ELEMENTS[name].kind == "i" else "float"
+    if name in NESTED:
+        @F.arrow_udf(f"array<array<{element}>>")
+        def decode(column: pa.Array, counts: pa.Array) -> pa.Array:
+            return _nest(*_decode(column.cast(pa.binary()), dtype), counts.to_numpy(zero_copy_only=False).astype(np.int64))
+
+        return lambda: decode(F.col(name), F.col("num_boxes")).alias(name)
+
+    @F.arrow_udf(f"array<{element}>")
+    def decode_flat(column: pa.Array) -> pa.Array:
+        values, offsets = _decode(column.cast(pa.binary()), dtype)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+    return lambda: decode_flat(F.col(name)).alias(name)
 
 
 def decode_regions(encoded: DataFrame) -> DataFrame:
-    """Binary array columns to typed (nested) arrays."""
-    return encoded.mapInArrow(_decode_batches, REGIONS_SCHEMA)
+    """Binary array columns to typed (nested) arrays.
+
+    Every field is a column of its own: one that is not selected is neither decoded nor, from a file, parsed.
+    """
+    return encoded.select(*[_decoder(name)() if name in ELEMENTS else F.col(name) for name in FIELDS])
 
 
 def _flat_values(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,8 @@ def read_regions_tsv(spark: SparkSession, path: str, topk: int | None = None) ->
     """Decoded regions; ``topk`` keeps the first lines in file order, ``None`` or -1 all of them.
 
     Lines are counted per block of a file; blocks before the last one asked for are kept whole and that one up to
-    the line, each where it is read.
+    the line, each where it is read. (The driver gets one number for each block, so it holds a row for every
+    ``spark.sql.files.maxPartitionBytes`` of the files.) Select the fields that are needed: others are not decoded.
     """
     text_schema = ", ".join(
         f"{f} {'bigint' if f in ('img_h', 'img_w', 'num_boxes') else 'string'}" for f in FIELDS

@@ -1,5 +1,6 @@
 """Schedules, regions, vectors, evaluation, chat and streams on small fixtures."""
 
+import datetime
 import math
 import random
 
@@ -243,8 +244,59 @@ def test_streams_equal_batch(spark, tmp_path, count):
     stops = drained(streams.early_stop_stream(stream, 5), "stops")
     assert set(stops.select("run_id", "stop_epoch").collect()) == set(evaluate.early_stops(df, 5).filter("stop_epoch is not null").collect())
     done = spark.createDataFrame([("r0",)], "run_id string")
-    fresh = drained(streams.new_work_stream(stream.select("run_id"), done, "run_id"), "fresh")
-    assert sorted(r.run_id for r in fresh.collect()) == ["r1", "r2", "r3", "r4"]
+
+
+@pytest.mark.parametrize("count", [1, 3])
+def test_streams_treat_nulls_as_batch_does(spark, tmp_path, count):
+    """Metrics that are null or NaN, at a run's beginning, too; a run without a name."""
+    nan = float("nan")
+    values = [None, nan, 0.3, None, 0.305, 0.32, nan, 0.1, None, 0.1, 0.5, 0.2]
+    data = [(run, e, v, v, v) for run, own in (("a", values), (None, values[::-1]), ("n", [None, nan, None])) for e, v in enumerate(own)]
+    df = spark.createDataFrame(data, "run_id string, epoch bigint, eval_accuracy double, eval_loss double, difficulty double")
+    stream = waves(spark, df, str(tmp_path / "in"), count)
+
+    def drained(s, name):
+        return streams.drain_to_files(s, str(tmp_path / f"state-{name}"), str(tmp_path / name))
+
+    assert set(streams.latest_best(drained(streams.best_metric_stream(stream), "best")).collect()) == set(evaluate.best_accuracy(df).collect())
+    applied = drained(streams.applied_difficulty_stream(stream), "applied").drop("late")
+    assert set(applied.collect()) == set(schedules.applied_difficulty(df.select("run_id", "epoch", "difficulty")).collect())
+    stops = drained(streams.early_stop_stream(stream, 3), "stops").select("run_id", "stop_epoch")
+    assert set(stops.collect()) == set(evaluate.early_stops(df, 3).filter("stop_epoch is not null").collect())
+    assert {r.run_id: r.stop_epoch for r in stops.collect()}["n"] == 2
+
+
+def test_restarted_streams_go_on(spark, tmp_path):
+    """Each wave is its own run of the query, from the checkpoint of the one before."""
+    random.seed(5)
+    shape = "run_id string, epoch bigint, eval_accuracy double, eval_loss double, difficulty double"
+    data = [(f"r{i}", e, random.random(), random.random(), random.random() * 0.04) for i in range(3) for e in range(30)]
+    df, folder = spark.createDataFrame(data, shape), str(tmp_path / "in")
+    made = {}
+    for low in range(0, 30, 10):
+        df.filter((F.col("epoch") >= low) & (F.col("epoch") < low + 10)).write.mode("append").parquet(folder)
+        for name, build in (("best", streams.best_metric_stream), ("applied", streams.applied_difficulty_stream),
+                            ("stops", lambda log: streams.early_stop_stream(log, 4))):
+            stream = spark.readStream.schema(shape).parquet(folder)
+            made[name] = streams.drain_to_files(build(stream), str(tmp_path / f"state-{name}"), str(tmp_path / name))
+    assert set(streams.latest_best(made["best"]).collect()) == set(evaluate.best_accuracy(df).collect())
+    assert set(made["applied"].drop("late").collect()) == set(schedules.applied_difficulty(df.select("run_id", "epoch", "difficulty")).collect())
+    assert set(made["stops"].select("run_id", "stop_epoch").collect()) == set(evaluate.early_stops(df, 4).filter("stop_epoch is not null").collect())
+
+
+def test_ended_runs_free_their_state(spark, tmp_path):
+    """A run that is idle has ended: the early-stop stream says so, and no state of it is left."""
+    shape = "run_id string, epoch bigint, eval_loss double, time timestamp"
+    folder, state, out = (str(tmp_path / name) for name in ("in", "state", "out"))
+    for k, run in enumerate(("first", "second", "third")):
+        at = datetime.datetime(2024, 1, 1, 0, k)
+        rows = [(run, e, 1.0 - e / 2, at + datetime.timedelta(seconds=e)) for e in range(2)]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(shape).parquet(folder)
+        found = streams.drain_to_files(streams.early_stop_stream(stream, 5, idle=30), state, out)
+    assert sorted(r.run_id for r in found.filter("ended").collect()) == ["first", "second"]
+    kept = spark.read.format("statestore").option("stateVarName", "kept").load(state)
+    assert [r.key.run_id for r in kept.collect()] == ["third"]
 
 
 def test_late_rows_are_reported(spark, tmp_path):
@@ -263,12 +315,42 @@ def test_late_rows_are_reported(spark, tmp_path):
     assert [r.stop_epoch for r in stops if r.stop_epoch is not None] == [5]
 
 
-def test_extraction_resumes_from_its_checkpoint(spark, tmp_path):
-    ids = lambda low, high: spark.range(low, high).select(F.col("id").cast("string").alias("img_id"))
-    folder, done = str(tmp_path / "in"), ids(0, 3)
-    ids(0, 10).write.parquet(folder)
-    for expected in (7, 12):
-        stream = spark.readStream.schema("img_id string").parquet(folder)
-        out = streams.drain_to_files(streams.new_work_stream(stream, done), str(tmp_path / "state"), str(tmp_path / "out"))
-        assert out.count() == expected and out.distinct().count() == expected
-        ids(5, 15).write.mode("append").parquet(folder)
+def arrive(spark, folder, low, high):
+    rows = spark.range(low, high).select(F.col("id").cast("string").alias("img_id"))
+    rows.unionByName(rows.limit(2)).unionByName(spark.createDataFrame([(None,)], "img_id string")).write.mode("append").parquet(folder)
+    return spark.readStream.schema("img_id string").option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+def test_new_work_is_done_once(spark, tmp_path):
+    """Images that are done, repeated in a batch, landed before or without an id; results of the work land with their key."""
+    done = spark.range(3).select(F.col("id").cast("string").alias("img_id"))
+    folder, state, out = (str(tmp_path / name) for name in ("in", "state", "out"))
+    for low, high, expected in ((0, 10, 7), (5, 15, 12), (15, 15, 12)):
+        landed = streams.land_new_work(arrive(spark, folder, low, high), done, state, out,
+                                       work=lambda fresh: fresh.withColumn("size", F.length("img_id")))
+        assert landed.columns == ["img_id", "size"]
+        assert landed.count() == expected and landed.select("img_id").distinct().count() == expected
+    assert landed.filter("img_id is null or size <> length(img_id)").count() == 0
+
+
+def test_new_work_survives_a_crash_between_landing_and_commit(spark, tmp_path):
+    """The batch that landed without a commit runs again and lands in the same place: each image once."""
+    done = spark.createDataFrame([], "img_id string")
+    folder, state, out = (str(tmp_path / name) for name in ("in", "state", "out"))
+    tried = []
+
+    def crash(number):
+        tried.append(number)
+        if tried.count(number) == 1:
+            raise RuntimeError("killed before the commit")
+
+    for low, high in ((0, 20), (10, 30)):
+        stream = arrive(spark, folder, low, high)
+        for _ in range(40):
+            try:
+                landed = streams.land_new_work(stream, done, state, out, after_landing=crash)
+                break
+            except Exception as failure:
+                assert "killed before the commit" in str(failure)
+        assert sorted(int(r.img_id) for r in landed.collect()) == list(range(high))
+    assert max(tried) > 0 and all(tried.count(number) == 2 for number in set(tried))
