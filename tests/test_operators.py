@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qaspark.functions import boxes as B
 from qaspark.functions import curriculum as C
 from qaspark.functions import paths
-from qaspark.operators import chat, evaluate, lookups, regions, schedules, vectors
+from qaspark.operators import chat, evaluate, lookups, regions, scan, schedules, vectors
 from qaspark.sinks import reports
 from qaspark.streaming import metrics as streams
 
@@ -315,6 +315,68 @@ def test_late_rows_are_reported(spark, tmp_path):
     assert [r.stop_epoch for r in stops if r.stop_epoch is not None] == [5]
 
 
+def test_difficulty_in_force_over_chunks(spark):
+    """Runs of many chunks and levels, gaps, repeated epochs, nulls and a run without a name equal the plain fold."""
+    pick = random.Random(12)
+    rows = []
+    for run, count, step in (("long", 700, 0.004), ("still", 90, 0.0), (None, 333, 0.02), ("noisy", 200, 0.5), ("none", 5, None)):
+        value = 0.1
+        for e in range(count):
+            value = None if step is None else value + pick.uniform(-step, step)
+            rows.append((run, -20 + 2 * e, None if step is None or pick.random() < 0.1 else pick.choice([value, float("nan"), value, value])))
+    rows += [("long", 44, 0.9), ("long", 44, 0.2), ("long", None, 0.5)]
+    expected, null_first = {}, lambda v: (v is not None, v if v is not None else 0)
+    for run in {r for r, _, _ in rows}:
+        own = [(e, None if v is None or math.isnan(v) else v) for r, e, v in rows if r == run]
+        force = None
+        for e, v in sorted(own, key=lambda row: (null_first(row[0]), null_first(row[1]))):
+            force = v if v is not None and (force is None or abs(v - force) > C.UPDATE_ABOVE) else force
+            expected.setdefault(run, []).append((e, v, force))
+    log = spark.createDataFrame(rows, "run_id string, epoch bigint, difficulty double").repartition(5)
+    for chunk, fan in ((4096, 256), (64, 256), (7, 3), (1, 2)):
+        found = {}
+        for r in schedules.applied_difficulty(log, chunk=chunk, fan=fan).collect():
+            found.setdefault(r.run_id, []).append((r.epoch, r.difficulty, r.applied))
+        assert {run: sorted(own, key=str) for run, own in found.items()} == {run: sorted(own, key=str) for run, own in expected.items()}
+    assert schedules.applied_difficulty(log.limit(0)).count() == 0
+
+
+def test_long_run_is_many_tasks(spark):
+    """A run of 10^5 epochs: no task of the fold has more than a chunk of it."""
+    log = spark.range(100_000).select(F.lit("r").alias("run_id"), F.col("id").alias("epoch"), (F.rand(3) * 0.05).alias("difficulty"))
+    made = schedules.applied_difficulty(log)
+    plan = made._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(run_id" in plan and "block" in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("chunk", [4096, 5, 2])
+def test_running_values_over_levels(spark, chunk):
+    """Totals of a group are cut again until a window has a chunk of them; every depth gives the same values."""
+    pick = random.Random(chunk)
+    rows = [(g, p, pick.choice([None, pick.randint(-9, 9)])) for g in ("a", None) for p in pick.sample(range(150), 100)]
+    df = spark.createDataFrame(rows, "g string, p bigint, v bigint").repartition(3)
+    found = scan.running(df, "g", "p", chunk, low=scan.Running(F.col("v"), "min", include_current=False), total=scan.Running(F.col("v"), "sum"),
+                         number=scan.row_number())
+    for g in ("a", None):
+        own = sorted((p, v) for h, p, v in rows if h == g)
+        for r in (r for r in found.collect() if r.g == g):
+            before, upto = [v for p, v in own if p < r.p and v is not None], [v for p, v in own if p <= r.p and v is not None]
+            assert (r.low, r.total, r.number) == (min(before, default=None), sum(upto), sum(p <= r.p for p, _ in own))
+
+
+def test_best_values_take_the_earliest_epoch(spark):
+    nan = float("nan")
+    rows = [("a", 3, 0.5, 0.2), ("a", 1, 0.5, nan), ("a", 2, nan, 0.2), ("b", 0, 0.0, None), ("b", 1, None, None), (None, 4, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "run_id string, epoch bigint, eval_accuracy double, eval_loss double")
+    assert {tuple(r) for r in evaluate.best_accuracy(df).collect()} == {("a", 0.5, 1), ("b", 0.0, 0), (None, 0.1, 4)}
+    assert {tuple(r) for r in evaluate.best_checkpoint(df).collect()} == {("a", 2, 0.2), ("b", None, None), (None, 4, 0.1)}
+
+
 def arrive(spark, folder, low, high):
     rows = spark.range(low, high).select(F.col("id").cast("string").alias("img_id"))
     rows.unionByName(rows.limit(2)).unionByName(spark.createDataFrame([(None,)], "img_id string")).write.mode("append").parquet(folder)

@@ -131,3 +131,27 @@ def test_scratch_folders_go_with_their_owner(spark):
         assert materialize(spark.range(5), "owned").count() == 5
         assert list(root.glob("owned-*"))
     assert not list(root.glob("owned-*"))
+
+
+def test_draws_with_repeated_keys(spark):
+    """A key that half of the rows share, keys without a value, more rows asked for than there are: as rows ranked one by one."""
+    import hashlib
+
+    keys = ["hot"] * 400 + [f"k{k}" for k in range(300)] + ["twice"] * 2 + [None] * 30
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k string, n int").repartition(5)
+    for n in (1, 7, 350, 732, 1000):
+        found = split.sample_per_epoch(df, n, "k", 6, seed=3)
+        by_epoch = {}
+        for r in found.collect():
+            by_epoch.setdefault(r.epoch, {})[r.sample_id] = r.k
+        for epoch in range(6):
+            ranked = sorted(keys, key=lambda k: (hashlib.md5(f"{k or ''}:{epoch}:3".encode()).hexdigest(), k or ""))[:n]
+            assert by_epoch[epoch] == dict(enumerate(ranked))
+    assert split.sample_per_epoch(df.limit(0), 3, "k", 2).count() == 0 and split.sample_per_epoch(df, 0, "k", 2).count() == 0
+
+
+def test_draws_read_the_rows_once(spark):
+    drawn = split.sample_per_epoch(spark.range(5000).withColumn("k", F.col("id") % 700), 20, "k", 3)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan  # the keys with their weights were counted once and read back
+    assert drawn.groupBy("epoch").count().filter("count = 20").count() == 3

@@ -124,6 +124,15 @@ def test_regions_file(spark, tmp_path):
     assert again == rows
 
 
+def test_regions_decode_what_is_asked_for(spark, tmp_path):
+    cells = ["img", "120", "160", b64([1, 2], "<i8"), "not base64!", "", "", "2", b64(range(8), "<f4"), "not base64!"]
+    read = regions.read_regions_tsv(spark, write(tmp_path / "r.tsv", "\t".join(cells) + "\n"))
+    plan = read.select("img_id", "num_boxes")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "unbase64" not in plan and "features" not in plan.split("ReadSchema")[1]
+    row = read.select("num_boxes", "objects_id", "boxes").first()  # broken fields beside them are not touched
+    assert (row.num_boxes, row.objects_id, row.boxes) == (2, [1, 2], [[0.0, 1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0]])
+
+
 def test_vocabulary_keeps_its_last_line(spark, tmp_path):
     for ending in ("", "\n"):
         path = write(tmp_path / f"v{len(ending)}.txt", "on,on top of\nhas, has a\nbuoy" + ending)
