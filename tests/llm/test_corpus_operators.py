@@ -338,6 +338,19 @@ def test_sketch_odd_rows(spark):
     assert document_sketch.compare_with_next(table(spark, rows).limit(0)).count() == 0
 
 
+def test_sketch_ranges_are_even_for_sparse_and_null_ids(spark, monkeypatch):
+    """One id far off and a third of the rows without an id: ranges stay even, and rows are those of one range."""
+    monkeypatch.setattr(document_sketch, "GROUP", 50)
+    rows = [(k if k % 3 else None, f"text number {k} of the table") for k in range(2999)] + [(10**15, "far off")]
+    docs = table(spark, rows).repartition(4)
+    texts = pick(docs, doc_id="doc_id", text="text")
+    sizes = [r["count"] for r in texts.groupBy(document_sketch._group(texts).alias("g")).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 300
+    found = sorted(map(tuple, document_sketch.compare_with_next(docs).collect()), key=str)
+    monkeypatch.setattr(document_sketch, "GROUP", 10**9)
+    assert found == sorted(map(tuple, document_sketch.compare_with_next(docs).collect()), key=str)
+
+
 def test_sketch_plan_is_native(spark):
     plan = queries.op3_document_sketch(spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))

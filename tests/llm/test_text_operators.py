@@ -240,3 +240,97 @@ def test_classifier_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality_classifier.score(clashing(spark, texts), model).collect())
     empty = quality_classifier.train(rows(spark, texts), labels.limit(0))
     assert {r.score for r in quality_classifier.score(rows(spark, texts), empty).collect()} == {0.5}
+
+
+# --- rules on every line, bounded training
+
+def test_line_rules_judge_lines_of_any_length():
+    fails = lambda line: quality_rules.line_fails(line.encode(), line.encode().split(), quality_rules.Rules())
+    assert fails("Home About Products Services Contact Login Blog") == "navigation"
+    assert fails("Home » Products » Garden » Chairs of wood") == "navigation"
+    assert fails("one | two | three | four") == "navigation"
+    assert fails("The old house at the end of the road was sold in May") is None
+    assert fails("Anna Berta Carl Dora went home.") is None
+    prose = " ".join(["the quiet river runs along the old road to town"] * 5)
+    notice = "All rights reserved, and no part of these pages may be stored, copied or sent on " + "in any form by any means " * 8
+    assert len(notice.split()) > 40 and fails(notice) == "boilerplate"
+    assert fails(f"{prose}. They ate a cookie. {prose}.") is None
+    assert fails("Sign in. Subscribe. Read on.") == "boilerplate"
+    assert fails("short end") == "punctuation" and fails("short end.") is None
+
+
+def segmentations(word, known):
+    if not word:
+        yield ()
+    for end in range(1, len(word) + 1):
+        if word[:end] in known or end == 1:
+            for rest in segmentations(word[end:], known):
+                yield (word[:end], *rest)
+
+
+def plain_training(rows, known, rounds=2, smoothing=0.1):
+    """Expectation and maximisation over listed segmentations: language -> piece -> probability."""
+    words = {lang: Counter() for lang, _ in rows}
+    for lang, text in rows:
+        words[lang].update(language_id.WORDS((text or "").lower()))
+    model = None
+    for _ in range(rounds):
+        following = {}
+        for lang, counts in words.items():
+            expected = Counter()
+            for word, n in counts.items():
+                ways = list(segmentations("▁" + word, known))
+                weights = [np.prod([(model[lang][p] if model else 1e-3) if p in known else 1e-9 for p in way]) for way in ways]
+                for way, weight in zip(ways, weights):
+                    for piece in way:
+                        if piece in known:
+                            expected[piece] += n * weight / sum(weights)
+            total = sum(round(v, 3) for v in expected.values()) + smoothing * len(known)
+            following[lang] = {piece: (round(expected[piece], 3) + smoothing) / total for piece in known}
+        model = following
+    return model
+
+
+def test_op5_by_listed_segmentations(spark, tmp_path):
+    """The whole query on a small table: folds, training, scores and languages from all segmentations one by one."""
+    pick_ = random.Random(6)
+    vocabulary = {"en": ["the", "cat", "and", "house", "was"], "de": ["der", "hund", "und", "haus", "war"]}
+    docs = [(k, " ".join(pick_.choices(vocabulary[lang], k=6)) + pick_.choice(["", ".", " 12 é"]), lang, "s", 1)
+            for k, lang in enumerate(["en", "de"] * 20)]
+    docs += [(100, "the hund", None, "s", 1), (101, None, "en", "s", 1), (102, "12 .", "de", "s", 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.op5_language_id(spark, str(tmp_path)).collect()}
+    known = language_id.pieces(public_tokenizers.path(language_id.VOCABULARY))
+    out = {doc_id: zlib.crc32(str(doc_id).encode()) % 4 == 2 for doc_id, *_ in docs}
+    model = plain_training([(lang, text) for doc_id, text, lang, *_ in docs if lang and not out[doc_id]], known)
+    languages = sorted(model)
+    for doc_id, text, *_ in docs:
+        words = language_id.WORDS((text or "").lower())
+        assert found[doc_id].held_out == out[doc_id]
+        if not words:
+            assert (found[doc_id].lang_pred, found[doc_id].score) == ("und", 0.0)
+            continue
+        logs = np.array([sum(np.log(sum(np.prod([model[lang].get(p, 1e-9) for p in way]) for way in segmentations("▁" + word, known)))
+                             for word in words) for lang in languages])
+        assert found[doc_id].lang_pred == languages[int(logs.argmax())]
+        assert abs(found[doc_id].score - 1 / np.exp(logs - logs.max()).sum()) < 1e-6
+
+
+def test_language_without_spaces_is_learned(spark):
+    kana = "".join(chr(0x3042 + 2 * k) for k in range(20)) * 4
+    rows_ = [(k, kana[k:] + kana[:k], "ja") for k in range(20)] + [(100 + k, "this is a house and that is the garden", "en") for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string"), held_out="false")
+    assert model.languages == ("en", "ja")
+    assert [lang for lang, _ in language_id.identify([kana, "the garden"], model)] == ["ja", "en"]
+
+
+def test_training_is_bounded_per_language_and_by_rows(spark):
+    """A rare language beside a common one, and one id that half of the rows share."""
+    rows_ = [(k, "many words here", "en") for k in range(300)] + [(7, f"again {k}", "en") for k in range(300)] + [(1000, "seltene worte", "de")]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string")
+    words = language_id.training_words(docs, 20, "doc_id", "text", "lang", "false").collect()
+    assert {w.lang for w in words} == {"en", "de"}
+    assert sum(w.n for w in words if w.lang == "en" and w.word in ("many", "again")) == 20
+    labels = spark.createDataFrame([(7, 1), (3, 0), (5, 1)], "doc_id bigint, quality int")
+    marked = quality_classifier.training_rows(docs, labels, 50, held_out="false")
+    assert marked.count() == 50 and quality_classifier.training_rows(docs, labels, 1000, held_out="false").count() == 303
