@@ -61,16 +61,21 @@ def fit_token_vocabulary(samples: DataFrame) -> DataFrame:
 def encode_questions(samples: DataFrame, vocabulary: DataFrame, length: int = 64) -> DataFrame:
     """``row_idx, input_ids, attention_mask`` of fixed length.
 
-    Only tokens that fit are looked up, so the per-row lists hold at most ``length`` ids.
+    Only tokens that fit are looked up, so the per-row lists hold at most ``length`` ids. ``row_idx`` names a row: a
+    repeated one fails the job, as its questions could not be told apart.
     """
     cut = F.slice(text.tokens(F.col("question")), 1, length)
     placed = samples.select("row_idx", F.posexplode_outer(cut).alias("pos", "token"))
     ids = (
         null_safe_join(placed, vocabulary, ["token"], "left")
         .groupBy("row_idx")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).alias("id"))))).alias("placed"))
-        .select("row_idx", F.col("placed.id").alias("ids"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).alias("id"))))).alias("placed"),
+             F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("firsts"))
+        .select("row_idx", F.col("placed.id").alias("ids"), F.col("firsts"))
     )
+    once = F.when(F.col("firsts") <= 1, F.col("ids")).otherwise(
+        F.raise_error(F.concat(F.lit("row_idx is repeated: "), F.coalesce(F.col("row_idx").cast("string"), F.lit("null")))).cast("array<int>"))
+    ids = ids.select("row_idx", once.alias("ids"))
     return ids.select(
         "row_idx",
         text.pad_ids(F.col("ids"), length).alias("input_ids"),

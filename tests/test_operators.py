@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qaspark.functions import boxes as B
 from qaspark.functions import curriculum as C
 from qaspark.functions import paths
-from qaspark.operators import chat, evaluate, lookups, regions, scan, schedules, vectors
+from qaspark.operators import chat, evaluate, labels, lookups, regions, scan, schedules, vectors
 from qaspark.sinks import reports
 from qaspark.streaming import metrics as streams
 
@@ -369,6 +369,15 @@ def test_running_values_over_levels(spark, chunk):
             assert (r.low, r.total, r.number) == (min(before, default=None), sum(upto), sum(p <= r.p for p, _ in own))
 
 
+def test_repeated_row_numbers_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "row_idx bigint, question string")
+    vocabulary = labels.fit_token_vocabulary(rows)
+    assert {r.row_idx: r.attention_mask for r in labels.encode_questions(rows, vocabulary, 3).collect()} == {1: [1, 1, 0], 2: [0, 0, 0], 3: [0, 0, 0]}
+    for twice in (1, 2):
+        with pytest.raises(Exception, match="row_idx is repeated"):
+            labels.encode_questions(rows.unionByName(rows.filter(F.col("row_idx") == twice)), vocabulary, 3).collect()
+
+
 def test_best_values_take_the_earliest_epoch(spark):
     nan = float("nan")
     rows = [("a", 3, 0.5, 0.2), ("a", 1, 0.5, nan), ("a", 2, nan, 0.2), ("b", 0, 0.0, None), ("b", 1, None, None), (None, 4, 0.1, 0.1)]

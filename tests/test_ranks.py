@@ -155,3 +155,20 @@ def test_draws_read_the_rows_once(spark):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan  # the keys with their weights were counted once and read back
     assert drawn.groupBy("epoch").count().filter("count = 20").count() == 3
+
+
+def test_ranks_take_two_passes(spark):
+    """Keys of many digits, a value that half of the rows share, neighbours in the last digits: two passes and the exact keys."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit("7f" * 16)).otherwise(
+        F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 3), F.lower(F.lpad(F.hex("id"), 29, "0")))).alias("key"))
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(len(batch))
+            yield batch
+
+    found = ranks.select_ranks(rows.mapInArrow(seen, "key string"), "key", lambda n: [0, n // 3, n // 2, n // 2 + 1, n - 1])
+    every = sorted(r.key for r in rows.collect())
+    assert found == {rank: every[rank] for rank in (0, 20_000, 30_000, 30_001, 59_999)}
+    assert scans.value == 2 * 60_000
