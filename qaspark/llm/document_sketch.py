@@ -20,6 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.let import let
 from qaspark.llm.common import pick
 from qaspark.session import materialize
 
@@ -137,10 +138,10 @@ def _group(texts: DataFrame) -> Column:
         F.lit(json.dumps([dict(zip(("some", "id", "h"), cut)) for cut in cuts])), "array<struct<some:boolean,id:bigint,h:bigint>>")
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
 
-    def further(at: Column, step: Column) -> Column:
-        return F.when(F.try_element_at(bounds, at + step) <= key, at + step).otherwise(at)
+    def place(own: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(bounds, at + step) <= own, at + step).otherwise(at))
 
-    return F.aggregate(steps, F.lit(0), further).cast("bigint")
+    return let(key, place).cast("bigint")
 
 
 def next_groups(groups: DataFrame, block: int = 65_536) -> DataFrame:

@@ -62,24 +62,26 @@ def test_lines_stay_in_their_first_document(kept):
     assert after == expected
 
 
-def shared(a, b):
-    """Jaccard similarity over five-word shingles."""
-    a, b = ({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / max(1, len(a | b))
+def shingles(text):
+    """The set of five-word shingles; fewer words are one, none is none."""
+    words = text.encode().lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
 def test_one_document_of_each_group_stays(kept):
+    """Exactly the smallest id of each component of links: two bits or less, or 80 % of the shingles."""
     before, after = texts(kept[2]), texts(kept[3])
-    assert all(before[k] == t for k, t in after.items())
-    groups = plain_components({k: plain_fingerprint(t) for k, t in before.items()})
-    assert Counter(groups[k] for k in after).most_common(1)[0][1] == 1
-    # Whatever goes has a near copy with a smaller id; what stays has none at 90 %.
-    for doc_id, text in before.items():
-        best = max((shared(text, t) for k, t in before.items() if k < doc_id), default=0)
-        if doc_id not in after:
-            assert best > 0.5 or groups[doc_id] != doc_id
-        else:
-            assert best < 0.9
+    sets = {k: shingles(t) for k, t in before.items()}
+    lowest = plain_components({k: plain_fingerprint(t) for k, t in before.items()})
+    similar = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(similar) > 3
+    for _ in range(len(before)):
+        for a, b in similar:
+            low = min(lowest[a], lowest[b])
+            if lowest[a] != lowest[b]:
+                high = max(lowest[a], lowest[b])
+                lowest = {k: low if v == high else v for k, v in lowest.items()}
+    assert after == {k: t for k, t in before.items() if lowest[k] == k}
 
 
 def test_repeated_passages_go(kept):
