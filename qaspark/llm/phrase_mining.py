@@ -8,10 +8,10 @@ permutation that sorts the transform), and to the right by splitting the interva
 phrase of ``m`` words is looked for only where its first and its last ``m - 1`` words are both frequent in all shards.
 
 1. ``shards``: one pass over the texts, one row per shard (words, transform), written to the shared folder.
-2. ``intervals``: for each length, every shard states (hash, interval, count) of its phrases; counts are summed over the
-   shards by hash and the intervals of hashes below ``least`` are dropped. Hashes that collide only keep more.
-3. ``phrase_counts``: the words of the intervals that are left, with counts summed over the shards by the words themselves:
-   these are exact, and phrases under ``least`` go.
+2. ``intervals``: for each length from two, every shard states (hash, interval, count) of its phrases; counts are summed
+   over the shards by hash and the intervals of hashes below ``least`` are dropped. Hashes that collide only keep more.
+3. ``phrase_counts``: single words and the words of the intervals that are left, with counts summed over the shards by the
+   words themselves: these are exact, and phrases under ``least`` go.
 4. ``collocations``: every cut of a phrase is scored from the counts of its two parts. A phrase inside a longer one of
    nearly its count is dropped; it is enough to look one word further, because every longer phrase holds one of those, which
    comes at least as often.
@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from qaspark.llm.common import pick
+from qaspark.llm.common import arrow_rows, pick
 from qaspark.session import materialize
 
 #: Words of all open shards of a task (the largest is closed when there are more), and different words of them.
-HELD, HELD_WORDS = 3_000_000, 600_000
+HELD, HELD_WORDS = 1_500_000, 400_000
 #: A text's pieces are added in runs of this many bytes, between which a shard may be closed.
 RUN_BYTES = 1 << 20
-#: Rows of a stream summed at a time.
-STREAM_ROWS = 200_000
+#: Rows that leave a task at a time, and shards that enter it.
+STREAM_ROWS, SHARDS_AT_ONCE = 200_000, 2
 #: Parts of a language that are ranked by themselves first.
 RANK_PARTS = 64
 SHARDS = "shard bigint, lang string, n bigint, words binary, bwt binary"
@@ -213,17 +213,14 @@ class Index:
 
 
 def _state(length: int):
-    """Interval rows of all phrases of a length; shard rows come with the intervals kept at the length before."""
+    """Interval rows of all phrases of a length; shard rows come with the intervals kept at the length before, if any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in range(len(batch)):
-                shard, lang, words, bwt, lows, counts = (column[place].as_py() if k < 4 else column[place]
-                                                         for k, column in enumerate(batch.columns))
+                shard, lang, words, bwt = (column[place].as_py() for column in batch.columns[:4])
                 index = Index(lang, words, bwt)
-                if length == 1:
-                    low, count = index.word_intervals()
-                else:
-                    low, count = index.extended(*_ordered(lows, counts))
+                before = index.word_intervals() if length == 2 else _ordered(*(column[place] for column in batch.columns[4:]))
+                low, count = index.extended(*before)
                 for start in range(0, len(low), STREAM_ROWS):
                     part, c = low[start:start + STREAM_ROWS], count[start:start + STREAM_ROWS]
                     yield pa.RecordBatch.from_arrays([
@@ -239,45 +236,32 @@ def _ordered(lows: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray
     return low[by], count[by]
 
 
-def _frequent(least: int):
-    """Rows of hashes whose counts come to ``least``; rows sorted by hash."""
-    def keep(rows: pa.Table) -> pa.RecordBatch:
-        h, c = rows.column(0).to_numpy(), rows.column(3).to_numpy().astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sums = np.repeat(np.add.reduceat(c, starts), np.diff(np.r_[starts, len(h)]))
-        return rows.select(["shard", "low", "c"]).filter(pa.array(sums >= least)).combine_chunks()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < STREAM_ROWS:
-                continue
-            rows = pa.Table.from_batches(held)
-            h = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last hash may go on; it has one row a shard
-            if cut:
-                yield from keep(rows.slice(0, cut)).to_batches()
-            held = rows.slice(cut).to_batches()
-        if sum(map(len, held)):
-            yield from keep(pa.Table.from_batches(held)).to_batches()
-
-    return run
-
-
 def intervals(shard_rows: DataFrame, length: int, kept: DataFrame | None, least: int) -> DataFrame:
     """shard, low, c of the phrases of a length that come ``least`` times or more in all shards (by hash)."""
     own = shard_rows.select("shard", "lang", "words", "bwt")
-    if kept is None:
-        own = own.withColumn("lows", F.lit(None).cast("array<int>")).withColumn("counts", F.lit(None).cast("array<int>"))
-    else:
+    if kept is not None:
         # A shard has a bounded number of words, hence of intervals.
         lists = kept.groupBy(F.col("shard").alias("s")).agg(F.collect_list(F.struct("low", "c")).alias("l"))
         own = own.join(lists, F.col("shard") == F.col("s")).select(
             "shard", "lang", "words", "bwt", F.col("l.low").alias("lows"), F.col("l.c").alias("counts"))
     stated = own.mapInArrow(_state(length), StructType.fromDDL(INTERVALS))
-    return materialize(stated.repartition("h").sortWithinPartitions("h").mapInArrow(
-        _frequent(least), StructType.fromDDL("shard bigint, low int, c int")), f"phrases-{length}")
+    # A phrase has one row a shard, so no window is large.
+    summed = stated.withColumn("f", F.sum("c").over(Window.partitionBy("h"))).filter(F.col("f") >= least)
+    with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE):
+        return materialize(summed.select("shard", "low", "c"), f"phrases-{length}")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for place in range(len(batch)):
+            lang, words, bwt = (column[place].as_py() for column in batch.columns)
+            names = words.decode().split(" ")[1:]  # the first is the mark
+            counts = np.bincount(np.frombuffer(bwt, dtype=np.int32), minlength=len(names) + 1)[1:]
+            for start in range(0, len(names), STREAM_ROWS):
+                part = names[start:start + STREAM_ROWS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(part)), pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part, pa.string()),
+                    pa.array(counts[start:start + STREAM_ROWS])], names=["lang", "length", "phrase", "c"])
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +284,20 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def phrase_counts(shard_rows: DataFrame, depth: int, least: int) -> DataFrame:
     """lang, length, phrase and f of every phrase of up to ``depth`` words that comes ``least`` times or more."""
     kept, levels = None, []
-    for length in range(1, depth + 1):
+    for length in range(2, depth + 1):
         kept = intervals(shard_rows, length, kept, least)
         levels.append(kept.withColumn("length", F.lit(length)))
     lists = reduce(DataFrame.unionByName, levels).groupBy(F.col("shard").alias("s")).agg(
         F.collect_list(F.struct("length", "low", "c")).alias("found"))
-    spelled = shard_rows.join(lists, F.col("shard") == F.col("s")).select("lang", "words", "bwt", "found").mapInArrow(
-        _spell, StructType.fromDDL("lang string, length int, phrase string, c bigint"))
-    summed = spelled.groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f"))
-    return materialize(summed.filter(F.col("f") >= least), "phrase-counts")
+    shape = StructType.fromDDL("lang string, length int, phrase string, c bigint")
+    spelled = shard_rows.join(lists, F.col("shard") == F.col("s")).select("lang", "words", "bwt", "found").mapInArrow(_spell, shape)
+    single = shard_rows.select("lang", "words", "bwt").mapInArrow(_count_words, shape)
+    tables = []
+    for rows in (single, spelled):
+        summed = rows.groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+        with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE):
+            tables.append(materialize(summed, "phrase-counts"))
+    return tables[0].unionByName(tables[1])
 
 
 def collocations(docs: DataFrame, depth: int = 4, least: int = 30, contained: int = 80, best: int = 2000, text_col: str = "text",
