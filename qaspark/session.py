@@ -90,5 +90,16 @@ def release(table: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything under a path of any store that Spark reads."""
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -22,6 +22,7 @@ from qaspark.functions.carry import replay
 from qaspark.functions.curriculum import UPDATE_ABOVE
 from qaspark.operators.evaluate import wrong_predictions
 from qaspark.operators.lookups import null_safe_join
+from qaspark.session import exists
 
 STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -238,7 +239,7 @@ def land_new_work(arrivals: DataFrame, done: DataFrame, checkpoint: str, path: s
         own = batch.sparkSession
         fresh = batch.filter(F.col(key).isNotNull()).distinct()
         fresh = null_safe_join(fresh, done.select(key), [key], "left_anti")
-        if number and _exists(own, path):
+        if number and exists(own, path):
             landed = own.read.schema(shape).parquet(path).filter(F.col("batch") < number)
             fresh = null_safe_join(fresh, landed.select(key), [key], "left_anti")
         (work(fresh) if work else fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -247,16 +248,11 @@ def land_new_work(arrivals: DataFrame, done: DataFrame, checkpoint: str, path: s
 
     query = keys.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], result)
     return spark.read.schema(shape).parquet(path).drop("batch")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def drain_to_files(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """Run an append stream over all available input into Parquet and read it back."""
     query = (

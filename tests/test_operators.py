@@ -378,6 +378,30 @@ def test_repeated_row_numbers_are_refused(spark):
             labels.encode_questions(rows.unionByName(rows.filter(F.col("row_idx") == twice)), vocabulary, 3).collect()
 
 
+def test_landed_replies_are_not_asked_again(spark, tmp_path):
+    """Equal payloads once, failures again, a broken run from where it landed."""
+    rows = [(k, [{"role": "user", "content": f"q{k % 7}"}], None if k % 2 else "small") for k in range(20)]
+    chats = spark.createDataFrame(rows, "conv_id bigint, messages array<struct<role:string,content:string>>, model string")
+    path, calls = str(tmp_path / "replies"), spark.sparkContext.accumulator(0)
+
+    def answer(bad):
+        def call(messages, model):
+            calls.add(1)
+            if messages[0]["content"] in bad:
+                raise ValueError("busy")
+            return f"{model}:{messages[0]['content']}"
+        return call
+
+    first = chat.enrich_landed(chats, answer({"q3", "q5"}), path, parts=3)
+    assert calls.value == 14 and first.filter("error = 'ValueError: busy' and reply is null").count() == 6
+    second = chat.enrich_landed(chats, answer({"q5"}), path, parts=3)
+    assert calls.value == 14 + 4 and second.filter("error is not null").count() == 3
+    last = chat.enrich_landed(chats, answer(set()), path)
+    assert calls.value == 14 + 4 + 2 and last.columns == [*chats.columns, "reply", "error"]
+    assert {(r.conv_id, r.reply, r.error) for r in last.collect()} == {(k, f"{m or 'default'}:q{k % 7}", None) for k, _, m in rows}
+    assert chat.enrich_landed(chats, answer({"q0"}), path).filter("error is not null").count() == 0 and calls.value == 20
+
+
 def test_best_values_take_the_earliest_epoch(spark):
     nan = float("nan")
     rows = [("a", 3, 0.5, 0.2), ("a", 1, 0.5, nan), ("a", 2, nan, 0.2), ("b", 0, 0.0, None), ("b", 1, None, None), (None, 4, 0.1, 0.1)]
