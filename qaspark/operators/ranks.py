@@ -14,7 +14,7 @@ from qaspark.session import materialize, release
 
 
 #: Quantiles of the sketch that brackets ranks, its accuracy, and hexadecimal digits of a key that make a number.
-QUANTILES, ACCURACY, NUMBER_DIGITS = 500, 10_000, 15
+QUANTILES, ACCURACY, NUMBER_DIGITS = 500, 10_000, 13  # 52 bits: the sketch holds doubles
 
 
 def select_ranks(
