@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qaspark.functions import patches
 from qaspark.functions.paths import first_dot_id
 
 ALTERED = "image_id string, height int, width int, channels int, action string, data binary"
+#: Rasters held as Python objects at a time.
+ROWS_AT_ONCE = 256
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +63,9 @@ def _alter(data: bytes, height: int, width: int, channels: int, action: str, cho
 
 def apply_patches(
     rasters: DataFrame, difficulty: Column, size: int = patches.PATCH_SIZE, ratio: float | None = None,
-    apply_masking: bool = True, seed: int = 0,
+    apply_masking: bool = True, seed: int = 0, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rasters with the planned patches masked or blurred.
+    """Rasters with the planned patches masked or blurred, and the columns ``keep`` of the table as they are.
 
     The plan is a column expression on the raster's own row, so pixels never shuffle. Each image is read once;
     Arrow batches hand the untouched ones on as they are.
@@ -71,15 +74,19 @@ def apply_patches(
         F.col("image_id"), F.col("height"), F.col("width"), difficulty, size, ratio, apply_masking, seed
     )
     planned = rasters.withColumn("plan", plan).select(
-        "image_id", "height", "width", "channels", "data", "plan.action", "plan.patches"
+        "image_id", "height", "width", "channels", "data", "plan.action", "plan.patches", *keep
     )
+    schema = StructType([*StructType.fromDDL(ALTERED).fields, *(rasters.schema[name] for name in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["image_id", "height", "width", "channels", "action"]
-        for batch in batches:
-            plans = batch.select(["data", "height", "width", "channels", "action", "patches"])
-            altered = [_alter(*row.values(), size) for row in plans.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in names), pa.array(altered, pa.binary())], names=[*names, "data"])
-
-    return planned.mapInArrow(run, ALTERED)
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                plans = batch.select(["data", "height", "width", "channels", "action", "patches"])
+                altered = [_alter(*row.values(), size) for row in plans.to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name) for name in names), pa.array(altered, pa.binary()), *(batch.column(name) for name in keep)],
+                    names=[*names, "data", *keep])
+
+    return planned.mapInArrow(run, schema)

@@ -228,13 +228,18 @@ def blurred_rasters(spark, sf_dir):
     """Striped rasters (rows of 40 and 200 in turn): pixels outside the plan are exact, blurred patches lie between."""
     from qaspark.operators.pixels import apply_patches
 
-    stripes = F.unhex(F.expr("substr(repeat(concat(repeat('28', width * 3), repeat('C8', width * 3)), height), 1, height * width * 6)"))
-    rows = _images(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "image_id").select(
-        F.col("image_id").cast("string"), "height", "width", F.lit(3).alias("channels"), stripes.alias("data"), "d"
-    )
-    planned = rows.select("image_id", F.col("data").alias("original"), patches.patch_plan(
-        F.col("image_id"), F.col("height"), F.col("width"), F.col("d"))["patches"].alias("patches"))
-    both = apply_patches(rows, F.col("d")).join(planned, "image_id")
+    def stripes(height, width):
+        return F.unhex(F.expr(f"substr(repeat(concat(repeat('28', {width} * 3), repeat('C8', {width} * 3)), {height}), 1, {height} * {width} * 6)"))
+
+    # Images meet their originals as a few numbers, by a join that broadcasts nothing; rasters are made from these and never move.
+    images = _images(spark, sf_dir).withColumn("image_id", F.col("image_id").cast("string")).repartition(
+        spark.sparkContext.defaultParallelism, "image_id")
+    originals = images.select("image_id", F.col("height").alias("o_height"), F.col("width").alias("o_width"), F.col("d").alias("o_d"))
+    rows = images.join(originals.hint("merge"), "image_id").select(
+        "image_id", "height", "width", F.lit(3).alias("channels"), stripes("height", "width").alias("data"), "d",
+        stripes("o_height", "o_width").alias("original"), patches.patch_plan(
+            F.col("image_id"), F.col("o_height"), F.col("o_width"), F.col("o_d"))["patches"].alias("chosen"))
+    both = apply_patches(rows, F.col("d"), keep=("original", "chosen"))
     return both.mapInArrow(_compare_rasters, "image_id bigint, action string, bytes bigint, outside_exact boolean, inside_smooth boolean, unchanged boolean")
 
 
@@ -244,11 +249,11 @@ def _compare_rasters(batches):
 
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
+        for r in (row for start in range(0, len(batch), 256) for row in batch.slice(start, 256).to_pylist()):
             shape = (r["height"], r["width"], 3)
             before, after = (np.frombuffer(r[name], "u1").reshape(shape) for name in ("original", "data"))
             inside = np.zeros(shape[:2], dtype=bool)
-            for p in r["patches"] or []:
+            for p in r["chosen"] or []:
                 y, x = p // (shape[1] // 16) * 16, p % (shape[1] // 16) * 16
                 inside[y:y + 16, x:x + 16] = True
             chosen = after[inside] if r["action"] != "none" else after[:0]

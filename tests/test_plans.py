@@ -63,6 +63,10 @@ def test_rasters_are_read_once(plans):
     assert plans["masked_rasters"].count("Scan parquet") == 1
 
 
+def test_rasters_are_not_broadcast(plans):
+    assert "Broadcast" not in plans["blurred_rasters"]
+
+
 def test_encoders_are_joined(plans):
     for name in ("wrong_records", "top5_predictions", "observations"):
         assert "map_from_entries" not in plans[name], name
