@@ -80,11 +80,11 @@ def synonym_rows() -> list[tuple[str, str, str]]:
 
 
 def _compound_gap() -> str:
-    """Pattern of the space inside a headword of two words that stand alone in the text."""
+    """Pattern of the space inside a headword of two words that stand alone in the text; words are tried at spaces only."""
     pairs = [head.split(" ") for _, head, _ in SYNONYMS if " " in head]
-    return "|".join(
-        rf"(?<=(?:^|\s){re.escape(first)}) (?={re.escape(second)}(?:\s|$))" for first, second in pairs
-    )
+    return " (?:" + "|".join(
+        rf"(?={re.escape(second)}(?:\s|$))(?<=(?:^|\s){re.escape(first)} )" for first, second in pairs
+    ) + ")"
 
 
 def segment(sentence: Column) -> Column:
@@ -106,7 +106,8 @@ def lexicon_tag(token_array: Column) -> Column:
         pos = F.lit("X")
         for name, heads in classes.items():
             pos = F.when(word.isin(*heads), F.lit(name)).otherwise(pos)
-        return pos
+        # Most words are no headword, which one look-up tells.
+        return F.when(word.isin(*[head for _, head, _ in SYNONYMS]), pos).otherwise("X")
 
     return F.transform(
         token_array, lambda word: F.struct(word.alias("word"), let(plain(word), pos_of).alias("pos"))
@@ -122,9 +123,7 @@ def _synonym_map() -> Column:
 
 def synonym_variants(tagged: Column) -> Column:
     """One sentence per token position and synonym of the same word class."""
-    word_array = tagged["word"]
-
-    def at(token: Column, i: Column) -> Column:
+    def at(token: Column, i: Column, word_array: Column) -> Column:
         main = F.substring_index(token["pos"], "_", 1)
         options = F.try_element_at(_synonym_map(), F.concat(main, F.lit("|"), plain(token["word"])))
         return F.coalesce(
@@ -140,7 +139,7 @@ def synonym_variants(tagged: Column) -> Column:
             F.array().cast("array<string>"),
         )
 
-    return F.flatten(F.transform(tagged, at))
+    return let(tagged["word"], lambda word_array: F.flatten(F.transform(tagged, lambda token, i: at(token, i, word_array))))
 
 
 def _first_index(tagged: Column, prefix: str, after: int) -> Column:
@@ -153,10 +152,7 @@ def _first_index(tagged: Column, prefix: str, after: int) -> Column:
 
 def fronted_adverb(tagged: Column) -> Column:
     """The first adverb that does not already lead, moved to the front; null when there is none."""
-    word_array = tagged["word"]
-
-    def build(i: Column) -> Column:
-        rest = F.concat(F.slice(word_array, 1, i), F.slice(word_array, i + 2, F.size(word_array)))
+    def build(word_array: Column, i: Column, rest: Column) -> Column:
         head, tail = rest[0], F.slice(rest, 2, F.size(rest))
         letter = F.substring(head, 1, 1)
         lower = (letter == F.lower(letter)) & (letter != F.upper(letter))
@@ -165,24 +161,24 @@ def fronted_adverb(tagged: Column) -> Column:
         )
         return F.concat(text.capitalize(word_array[i]), F.lit(", "), moved)
 
-    index = _first_index(tagged, "R", 1)
-    return F.when(index.isNotNull(), build(F.coalesce(index, F.lit(0))))
+    def moved_or_none(given: Column) -> Column:
+        w, i = given["w"], given["i"]
+        rest = F.concat(F.slice(w, 1, i), F.slice(w, i + 2, F.size(w)))
+        return F.when(i.isNotNull(), let(rest, lambda rest: build(w, i, rest)))
+
+    return let(F.struct(tagged["word"].alias("w"), _first_index(tagged, "R", 1).alias("i")), moved_or_none)
 
 
 def passive(tagged: Column) -> Column:
     """Object, passive mark, subject, verb, for a first verb strictly inside; else null."""
-    word_array = tagged["word"]
-    index = _first_index(tagged, "V", 0)
-    n = F.size(word_array)
-    i = F.coalesce(index, F.lit(0))
-    moved = F.array_join(
-        F.concat(
-            F.slice(word_array, i + 2, n), F.array(F.lit(PASSIVE_MARK)), F.slice(word_array, 1, i),
-            F.slice(word_array, i + 1, 1),
-        ),
-        " ",
-    )
-    return F.when(index.isNotNull() & (index > 0) & (index < n - 1), text.upper_first(moved))
+    def moved_or_none(given: Column) -> Column:
+        w, i = given["w"], given["i"]
+        n = F.size(w)
+        moved = F.array_join(
+            F.concat(F.slice(w, i + 2, n), F.array(F.lit(PASSIVE_MARK)), F.slice(w, 1, i), F.slice(w, i + 1, 1)), " ")
+        return F.when(i.isNotNull() & (i > 0) & (i < n - 1), let(moved, text.upper_first))
+
+    return let(F.struct(tagged["word"].alias("w"), _first_index(tagged, "V", 0).alias("i")), moved_or_none)
 
 
 def candidates(question: Column, tagged: Column) -> Column:
@@ -205,7 +201,7 @@ def pick_views(question: Column, options: Column, difficulty: Column, seed: Colu
     marked = F.transform(options, lambda c: F.struct(F.md5(F.concat(c, F.lit(":"), mark)).alias("k"), c.alias("c")))
     # Only what is asked for is hashed, and only two are sorted.
     picks = F.when(wanted == 0, F.slice(options, 1, 0)).when(
-        wanted == 1, F.filter(F.array(F.array_min(marked)["c"]), lambda c: c.isNotNull())).otherwise(F.slice(F.array_sort(marked), 1, wanted)["c"])
+        wanted == 1, F.filter(F.array(F.array_min(marked)["c"]), lambda c: c.isNotNull())).otherwise(F.slice(F.sort_array(marked), 1, wanted)["c"])
     return let(
         picks,
         lambda picked: F.concat(F.array(question), picked, F.array_repeat(question, wanted - F.size(picked))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +23,25 @@ def tag_questions(samples: DataFrame) -> DataFrame:
     return samples.withColumn("tagged", paraphrase.lexicon_tag(paraphrase.segment(F.col("question"))))
 
 
-def paraphrases(samples: DataFrame) -> DataFrame:
-    """``row_idx, rule, candidate``: every candidate with the rule that made it, before merging."""
+RULES = ("synonym", "adverb", "passive")
+
+
+def paraphrases(samples: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
+    """``row_idx, rule, candidate``: every candidate of the rules with the rule that made it, before merging."""
     tagged = tag_questions(samples)
     t = F.col("tagged")
 
     def named(rule: str, candidate: Column) -> Column:
         return F.struct(F.lit(rule).alias("rule"), candidate.alias("candidate"))
 
-    rules = let(t, lambda t: F.concat(
-        F.transform(paraphrase.synonym_variants(t), lambda c: named("synonym", c)),
-        F.array(named("adverb", paraphrase.fronted_adverb(t)), named("passive", paraphrase.passive(t))),
-    ))
+    makers = {
+        "synonym": lambda t: F.transform(paraphrase.synonym_variants(t), lambda c: named("synonym", c)),
+        "adverb": lambda t: F.array(named("adverb", paraphrase.fronted_adverb(t))),
+        "passive": lambda t: F.array(named("passive", paraphrase.passive(t))),
+    }
+    every = let(t, lambda t: F.concat(*[makers[rule](t) for rule in rules]))
     # The outer form keeps the optimizer from computing the array a second time to test its size.
-    made = tagged.select("row_idx", F.explode_outer(rules).alias("r"))
+    made = tagged.select("row_idx", F.explode_outer(every).alias("r"))
     return made.select("row_idx", "r.*").filter("candidate is not null")
 
 

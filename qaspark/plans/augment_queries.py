@@ -8,7 +8,7 @@ from qaspark.functions import curriculum as C
 from qaspark.functions import paraphrase, patches
 from qaspark.operators import augment, schedules
 from qaspark.plans.catalog import query
-from qaspark.plans.views import cte, table, view
+from qaspark.plans.views import SQL, cte, table, view
 
 _SENTENCES = cte("sentences")
 
@@ -39,15 +39,21 @@ ranked as (select row_idx, candidate, row_number() over (partition by row_idx or
 """
 
 
+def _sentences(spark, sf_dir):
+    """The sentences dealt out: a file of many short rows is few tasks, and a row is worked on for long."""
+    parts = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(SQL["sentences"], part=parts)
+
+
 @query("tagged_tokens", _SENTENCES + _TAG_SQL + "select row_idx, i - 1 as pos_idx, word, pos from tagged")
 def tagged_tokens(spark, sf_dir):
-    tagged = augment.tag_questions(view(spark, sf_dir, "sentences"))
+    tagged = augment.tag_questions(_sentences(spark, sf_dir))
     return tagged.select("row_idx", F.posexplode("tagged").alias("pos_idx", "t")).select("row_idx", "pos_idx", "t.word", "t.pos")
 
 
 def _rule(name):
     def run(spark, sf_dir):
-        made = augment.paraphrases(view(spark, sf_dir, "sentences"))
+        made = augment.paraphrases(_sentences(spark, sf_dir), [name])
         return made.filter(F.col("rule") == name).select("row_idx", "candidate")
 
     query(f"paraphrase_{name}", _SENTENCES + _TAG_SQL + f"select row_idx, candidate from made where rule = '{name}'")(run)
@@ -61,7 +67,7 @@ for _name in ("synonym", "adverb", "passive"):
 select tagged.pos, replace(tagged.word, '_', ' ') as word, synonym, count(*) as uses
 from tagged join syn on syn.pos = tagged.pos and syn.word = replace(tagged.word, '_', ' ') group by all""")
 def synonym_usage(spark, sf_dir):
-    tagged = augment.tag_questions(view(spark, sf_dir, "sentences"))
+    tagged = augment.tag_questions(_sentences(spark, sf_dir))
     tokens = tagged.select(F.explode("tagged").alias("t")).select(
         F.col("t.pos").alias("pos"), paraphrase.plain(F.col("t.word")).alias("word")
     )
@@ -71,7 +77,7 @@ def synonym_usage(spark, sf_dir):
 
 @query("paraphrase_candidates", _SENTENCES + _TAG_SQL + "select row_idx, candidate from cand")
 def paraphrase_candidates(spark, sf_dir):
-    made = augment.paraphrase_candidates(view(spark, sf_dir, "sentences"))
+    made = augment.paraphrase_candidates(_sentences(spark, sf_dir))
     return made.select("row_idx", F.explode_outer("candidates").alias("candidate")).filter("candidate is not null")
 
 
@@ -85,7 +91,7 @@ viewed as (select row_idx, d, n, list_concat(list_prepend(question, coalesce(p,
 
 
 def _leveled(spark, sf_dir):
-    rows = view(spark, sf_dir, "sentences")
+    rows = _sentences(spark, sf_dir)
     return augment.paraphrase_views(rows, (F.col("row_idx") % 12) / F.lit(10.0) - F.lit(0.05))
 
 
@@ -132,9 +138,7 @@ select a.row_idx, split, a.epoch, round(d, 6) as difficulty, case when d < 0.33
 from asked a left join taken h on h.row_idx = a.row_idx and h.epoch = a.epoch""")
 def augmented_epochs(spark, sf_dir):
     part = F.col("row_idx") % 5
-    # A row becomes 120: dealing the rows out first moves less than a hundredth of what is made.
-    dealt = view(spark, sf_dir, "sentences").repartition(spark.sparkContext.defaultParallelism, "row_idx")
-    rows = dealt.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train"))
+    rows = _sentences(spark, sf_dir).withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train"))
     every = schedules.augmented_epochs(rows, C.Schedule(120, "linear"))
     others = F.filter(F.col("views"), lambda v: v != F.col("question"))
     return every.select(

@@ -67,6 +67,12 @@ def test_rasters_are_not_broadcast(plans):
     assert "Broadcast" not in plans["blurred_rasters"]
 
 
+def test_sentences_are_dealt_out(plans):
+    for name in ("tagged_tokens", "synonym_usage", "paraphrase_synonym", "paraphrase_candidates", "paraphrase_views", "expanded_views",
+                 "augmented_epochs"):
+        assert "RoundRobinPartitioning" in plans[name], name
+
+
 def test_encoders_are_joined(plans):
     for name in ("wrong_records", "top5_predictions", "observations"):
         assert "map_from_entries" not in plans[name], name
