@@ -85,11 +85,39 @@ def unique_ratio(token_array: Column) -> Column:
     return F.size(F.array_distinct(token_array)) / F.greatest(F.lit(1), F.size(token_array))
 
 
+def _longest_echo(w: Column, said: Column) -> Column:
+    """The longest run of two or more words that the text holds, the first by text among equals; null if there is none.
+
+    Two pointers: a run that is held is tried one word longer, else the next start is taken, so twice as many runs as
+    words are tried.
+    """
+    n = F.size(w)
+
+    def step(state: Column, _: Column) -> Column:
+        i, j, best = state["i"], state["j"], state["best"]
+
+        def tried(run: Column) -> Column:
+            longer = F.length(run) > F.length(best)
+            better = best.isNull() | longer | ((F.length(run) == F.length(best)) & (run < best))
+            return F.when(F.contains(said, run), F.struct(
+                i.alias("i"), (j + 1).alias("j"), F.when(better, run).otherwise(best).alias("best"),
+            )).otherwise(F.struct((i + 1).alias("i"), F.greatest(j, i + 2).alias("j"), best.alias("best")))
+
+        return F.when(j > n, state).otherwise(let(F.array_join(F.slice(w, i, j - i + 1), " "), tried))
+
+    start = F.struct(F.lit(1).alias("i"), F.lit(2).alias("j"), F.lit(None).cast("string").alias("best"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), 2 * n)), start, step)["best"]
+    return let(F.array_join(w, " "), lambda whole: F.when(F.contains(said, whole), whole).otherwise(walked))
+
+
 def strip_question_echo(question: Column, answer: Column) -> Column:
     """Remove every run of two or more question words from the answer, longest run first.
 
     Runs of equal length are taken in text order. A run longer than the answer can never match, and the answer only
     shrinks: m words have at least 2m - 1 characters, so the answer bounds the words of the runs that are built.
+    Every run holds a pair of neighbours: once no pair is left in the answer, no run is. That is tested first, and
+    again without the longest run that the answer holds (the first of all to be removed); only an answer that still
+    holds a pair then takes all runs one by one.
     """
     def removed(given: Column) -> Column:
         w, said = given["w"], given["said"]
@@ -104,23 +132,28 @@ def strip_question_echo(question: Column, answer: Column) -> Column:
             )
         )
         fitting = F.filter(F.array_distinct(runs), lambda g: F.length(g) <= F.length(said))
-        ordered = F.array_sort(
+        ordered = F.sort_array(
             F.transform(fitting, lambda g: F.struct((-F.length(g)).alias("k"), g.alias("g")))
         )
-        # Every run holds a pair of neighbours, so an answer without any such pair stays as it is.
+        one_by_one = F.aggregate(
+            ordered,
+            said,
+            lambda acc, s: F.when(
+                F.contains(acc, s["g"]), strip(F.replace(acc, s["g"], F.lit("")))
+            ).otherwise(acc),
+        )
         pairs = F.transform(
             F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.array_join(F.slice(w, i, 2), " ")
         )
-        return F.when(
-            (F.size(w) >= 2) & F.exists(pairs, lambda g: F.contains(said, g)),
-            F.aggregate(
-                ordered,
-                said,
-                lambda acc, s: F.when(
-                    F.contains(acc, s["g"]), strip(F.replace(acc, s["g"], F.lit("")))
-                ).otherwise(acc),
-            ),
-        ).otherwise(said)
+
+        def from_pairs(pairs: Column) -> Column:
+            shorter = strip(F.replace(said, _longest_echo(w, said), F.lit("")))
+            return F.when(
+                (F.size(w) >= 2) & F.exists(pairs, lambda g: F.contains(said, g)),
+                let(shorter, lambda rest: F.when(F.exists(pairs, lambda g: F.contains(rest, g)), one_by_one).otherwise(rest)),
+            ).otherwise(said)
+
+        return let(pairs, from_pairs)
 
     return let(F.struct(words(question).alias("w"), answer.alias("said")), removed)
 

@@ -155,3 +155,14 @@ def test_mining_does_not_depend_on_partitioning(spark):
         report = templates.extract(df)
         return report.structural_tokens, report.templates.collect(), report.hard_samples.collect()
     assert result(rows.repartition(1)) == result(rows.repartition(7))
+
+
+def test_longest_echo_is_found_without_all_runs(spark):
+    def longest(question, answer):
+        return one(spark, text._longest_echo(text.words(F.col("q")), F.col("a")), q=question, a=answer)
+
+    assert longest("a b c d", "x a b c y") == "a b c"
+    assert longest("a b c d", "c d and a b") == "a b"  # the first by text among equals
+    assert longest("a b c d", "so a b c d it is") == "a b c d"
+    assert longest("a b", "b a") is None
+    assert one(spark, text.strip_question_echo(F.col("q"), F.col("a")), q="a b X Y c", a="a bX Y c b") == "b"  # a run that a removal makes
