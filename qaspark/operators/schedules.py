@@ -183,27 +183,31 @@ def expand_epochs(samples: DataFrame, total_epochs: int) -> DataFrame:
 
 
 def augmented_epochs(
-    samples: DataFrame, schedule: C.Schedule, text: bool = True, image: bool = True, seed: int = 0
+    samples: DataFrame, schedule: C.Schedule, text: bool = True, image: bool = True, seed: int = 0, digits: int | None = None
 ) -> DataFrame:
     """Per sample and epoch: difficulty in force, phase, text views and the image action.
 
     The difficulty of an epoch is the schedule's under the update threshold, as the trainer applies it. Where there
     is a ``split`` only ``train`` rows are augmented. Every epoch draws its own paraphrases. A ``tagged`` column of
     the table is used; else questions are tagged by the word list, once per sample, before the epochs multiply it.
+    ``digits`` rounds the difficulty that is stated, not the one that is applied.
     """
     spark = samples.sparkSession
     planned = schedule_table(spark, [schedule]).select(F.lit(0).alias("run_id"), "epoch", "difficulty")
-    in_force = applied_difficulty(planned).select("epoch", F.col("applied").alias("difficulty"))
+    # The mark of an epoch's draw and its stated difficulty are made once an epoch, not once a row.
+    stated = F.col("applied") if digits is None else F.round("applied", digits)
+    in_force = applied_difficulty(planned).select(
+        "epoch", F.col("applied").alias("_difficulty"), stated.alias("difficulty"), F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string")).alias("_draw"))
+    train = F.coalesce(F.col("split") == "train", F.lit(False)) if "split" in samples.columns else F.lit(True)
     tagged = F.col("tagged") if "tagged" in samples.columns else paraphrase.lexicon_tag(paraphrase.segment(F.col("question")))
-    prepared = samples.withColumn("_options", paraphrase.candidates(F.col("question"), tagged))
+    # Rows that are not augmented carry no candidates through the epochs.
+    prepared = samples.withColumn("_options", F.when(train & F.lit(text), paraphrase.candidates(F.col("question"), tagged)))
     rows = expand_epochs(prepared, schedule.total_epochs).join(F.broadcast(in_force), "epoch")  # one row per epoch
-    train = F.coalesce(F.col("split") == "train", F.lit(False)) if "split" in samples.columns else F.lit(True)
-    draw = F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"))
-    views = paraphrase.pick_views(F.col("question"), F.col("_options"), F.col("difficulty"), draw)
+    views = paraphrase.pick_views(F.col("question"), F.col("_options"), F.col("_difficulty"), F.col("_draw"))
     views = F.when(train & F.lit(text), views).otherwise(F.array("question"))
-    action = F.when(train & F.lit(image), patches.patch_action(F.col("difficulty"))).otherwise("none")
+    action = F.when(train & F.lit(image), patches.patch_action(F.col("_difficulty"))).otherwise("none")
     return rows.select(
-        *samples.columns, "epoch", "difficulty", C.phase(F.col("difficulty")).alias("phase"),
+        *samples.columns, "epoch", "difficulty", C.phase(F.col("_difficulty")).alias("phase"),
         views.alias("views"), action.alias("image_action"),
     )
 

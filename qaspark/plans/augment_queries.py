@@ -139,10 +139,10 @@ from asked a left join taken h on h.row_idx = a.row_idx and h.epoch = a.epoch"""
 def augmented_epochs(spark, sf_dir):
     part = F.col("row_idx") % 5
     rows = _sentences(spark, sf_dir).withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train"))
-    every = schedules.augmented_epochs(rows, C.Schedule(120, "linear"))
+    every = schedules.augmented_epochs(rows, C.Schedule(120, "linear"), digits=6)
     others = F.filter(F.col("views"), lambda v: v != F.col("question"))
     return every.select(
-        "row_idx", "split", "epoch", F.round("difficulty", 6).alias("difficulty"), "phase",
+        "row_idx", "split", "epoch", "difficulty", "phase",
         F.size("views").alias("n_views"), F.array_join(others, " | ").alias("picked"), "image_action",
     )
 
