@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.functions import text
@@ -13,6 +13,8 @@ from qaspark.operators.ranks import dense_ids
 
 
 PADDING_TOKEN, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
+#: Questions whose ids are put together in one task.
+QUESTIONS_A_TASK = 100_000
 
 
 def union_answers(*splits: DataFrame) -> DataFrame:
@@ -63,16 +65,20 @@ def encode_questions(samples: DataFrame, vocabulary: DataFrame, length: int = 64
 
     Only tokens that fit are looked up, so the per-row lists hold at most ``length`` ids. ``row_idx`` names a row: a
     repeated one fails the job, as its questions could not be told apart.
+
+    A task holds a bounded number of questions, whatever the table: the vocabulary is the side that is hashed, so the
+    rows of a frequent token stream by unsorted, and ids are put together in as many parts as the rows ask for.
     """
+    parts = max(samples.sparkSession.sparkContext.defaultParallelism, -(-samples.count() // QUESTIONS_A_TASK))
     cut = F.slice(text.tokens(F.col("question")), 1, length)
     placed = samples.select("row_idx", F.posexplode_outer(cut).alias("pos", "token"))
-    ids = (
-        null_safe_join(placed, vocabulary, ["token"], "left")
-        .groupBy("row_idx")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).alias("id"))))).alias("placed"),
-             F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("firsts"))
-        .select("row_idx", F.col("placed.id").alias("ids"), F.col("firsts"))
-    )
+    met = null_safe_join(placed, vocabulary.hint("shuffle_hash"), ["token"], "left").repartition(parts, "row_idx")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    row = Window.partitionBy("row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ids = met.select(
+        "row_idx", "pos", F.collect_list(F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)))).over(row).alias("ids"),
+        F.count_if(first).over(row).alias("firsts"),
+    ).filter(first)
     once = F.when(F.col("firsts") <= 1, F.col("ids")).otherwise(
         F.raise_error(F.concat(F.lit("row_idx is repeated: "), F.coalesce(F.col("row_idx").cast("string"), F.lit("null")))).cast("array<int>"))
     ids = ids.select("row_idx", once.alias("ids"))

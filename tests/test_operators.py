@@ -449,3 +449,21 @@ def test_new_work_survives_a_crash_between_landing_and_commit(spark, tmp_path):
                 assert "killed before the commit" in str(failure)
         assert sorted(int(r.img_id) for r in landed.collect()) == list(range(high))
     assert max(tried) > 0 and all(tried.count(number) == 2 for number in set(tried))
+
+
+def test_tasks_of_encoded_questions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(labels, "QUESTIONS_A_TASK", 2)
+    rows = spark.createDataFrame([(k, f"what is {k} and {k % 3} ?") for k in range(60)], "row_idx int, question string")
+    encoded = labels.encode_questions(rows, labels.fit_token_vocabulary(rows), 5)
+    assert encoded.rdd.getNumPartitions() == 30
+    assert encoded.filter("size(input_ids) <> 5 or exists(input_ids, i -> i < 2)").count() == 0 and encoded.count() == 60
+
+
+def test_stated_difficulty_is_rounded_and_the_applied_one_is_not(spark):
+    from qaspark.functions import curriculum
+
+    rows = spark.createDataFrame([(1, "người xem phim này rất nhìn")], "row_idx int, question string")
+    schedule = curriculum.Schedule(120, "linear")
+    exact, rounded = (schedules.augmented_epochs(rows, schedule, digits=d).orderBy("epoch").collect() for d in (None, 1))
+    assert [round(r.difficulty, 1) for r in exact] == [r.difficulty for r in rounded]
+    assert [(r.phase, r.views, r.image_action) for r in exact] == [(r.phase, r.views, r.image_action) for r in rounded]
