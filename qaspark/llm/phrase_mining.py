@@ -9,9 +9,11 @@ phrase of ``m`` words is looked for only where its first and its last ``m - 1``
 
 1. ``shards``: one pass over the texts, one row per shard (words, transform), written to the shared folder.
 2. ``intervals``: for each length from two, every shard states (hash, interval, count) of its phrases; counts are summed
-   over the shards by hash and the intervals of hashes below ``least`` are dropped. Hashes that collide only keep more.
-3. ``phrase_counts``: single words and the words of the intervals that are left, with counts summed over the shards by the
-   words themselves: these are exact, and phrases under ``least`` go.
+   over the shards by a 64-bit hash and the intervals of hashes below ``least`` are dropped. A second hash of 32 bits tells
+   phrases apart that share the first.
+3. ``phrase_counts``: single words, and the words of the phrases that are left. One of a phrase's shards, chosen by the hash,
+   spells it with its count in all shards, so that these rows are as many as phrases. Where the second hashes of a first one
+   differ, every shard spells its own phrase and counts are summed by the words.
 4. ``collocations``: every cut of a phrase is scored from the counts of its two parts. A phrase inside a longer one of
    nearly its count is dropped; it is enough to look one word further, because every longer phrase holds one of those, which
    comes at least as often.
@@ -48,7 +50,8 @@ STREAM_ROWS, SHARDS_AT_ONCE = 200_000, 2
 #: Parts of a language that are ranked by themselves first.
 RANK_PARTS = 64
 SHARDS = "shard bigint, lang string, n bigint, words binary, bwt binary"
-INTERVALS = "h bigint, shard bigint, low int, c int"
+#: ``at``: the second hash in the upper 32 bits, the interval's first row in the lower (fewer bytes are shuffled than in columns).
+INTERVALS = "h bigint, at bigint, shard bigint, c int"
 _MARKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 
 
@@ -202,14 +205,18 @@ class Index:
             row = self.then[row]
         return found
 
-    def hashes(self, low: np.ndarray, length: int) -> np.ndarray:
-        """64-bit hashes of phrases with their language, the same in every shard."""
+    def word_hashes(self, length: int) -> np.ndarray:
+        """Two 64-bit hashes of each word, seeded by the language and the length of phrases."""
         seed = xxhash.xxh64_intdigest(self.lang.encode(), length)
-        of_word = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in self.words), dtype=np.uint64, count=len(self.words))
-        out = np.zeros(len(low), dtype=np.uint64)
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(word, seed) for word in self.words]), dtype=np.uint64).reshape(-1, 2)
+
+    def hashes(self, low: np.ndarray, length: int, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of 64 and 32 bits of phrases with their language, the same in every shard."""
+        h, g = np.zeros(len(low), dtype=np.uint64), np.zeros(len(low), dtype=np.uint64)
         for ids in self.word_ids(low, length):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + of_word[ids]
-        return out.view(np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + of_word[ids, 0]
+            g = (g ^ (g >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + of_word[ids, 1]
+        return h, g >> np.uint64(32)
 
 
 def _state(length: int):
@@ -221,11 +228,13 @@ def _state(length: int):
                 index = Index(lang, words, bwt)
                 before = index.word_intervals() if length == 2 else _ordered(*(column[place] for column in batch.columns[4:]))
                 low, count = index.extended(*before)
+                of_word = index.word_hashes(length)
                 for start in range(0, len(low), STREAM_ROWS):
                     part, c = low[start:start + STREAM_ROWS], count[start:start + STREAM_ROWS]
+                    h, g = index.hashes(part, length, of_word)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(index.hashes(part, length)), pa.array(np.full(len(part), shard)), pa.array(part.astype(np.int32)),
-                        pa.array(c.astype(np.int32))], names=["h", "shard", "low", "c"])
+                        pa.array(h.view(np.int64)), pa.array((g << np.uint64(32) | part.astype(np.uint64)).view(np.int64)),
+                        pa.array(np.full(len(part), shard)), pa.array(c.astype(np.int32))], names=["h", "at", "shard", "c"])
 
     return run
 
@@ -237,7 +246,10 @@ def _ordered(lows: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray
 
 
 def intervals(shard_rows: DataFrame, length: int, kept: DataFrame | None, least: int) -> DataFrame:
-    """shard, low, c of the phrases of a length that come ``least`` times or more in all shards (by hash)."""
+    """shard, low, c, f of the phrases of a length that come ``least`` times or more in all shards (by hash).
+
+    ``f`` is null but in the rows to spell: see ``often``.
+    """
     own = shard_rows.select("shard", "lang", "words", "bwt")
     if kept is not None:
         # A shard has a bounded number of words, hence of intervals.
@@ -245,10 +257,23 @@ def intervals(shard_rows: DataFrame, length: int, kept: DataFrame | None, least:
         own = own.join(lists, F.col("shard") == F.col("s")).select(
             "shard", "lang", "words", "bwt", F.col("l.low").alias("lows"), F.col("l.c").alias("counts"))
     stated = own.mapInArrow(_state(length), StructType.fromDDL(INTERVALS))
-    # A phrase has one row a shard, so no window is large.
-    summed = stated.withColumn("f", F.sum("c").over(Window.partitionBy("h"))).filter(F.col("f") >= least)
     with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE):
-        return materialize(summed.select("shard", "low", "c"), f"phrases-{length}")
+        return materialize(often(stated, least), f"phrases-{length}")
+
+
+def often(stated: DataFrame, least: int) -> DataFrame:
+    """shard, low, c, f of the stated rows whose hash comes ``least`` times or more.
+
+    ``f`` is the count in all shards, given in one row of each phrase; the shard that has it is chosen by the hash, so that
+    the shards share the phrases. Where second hashes differ, each row gives its own count.
+    """
+    # A phrase has one row a shard, so no window is large. Few rows are left for the second window, which needs no exchange; its
+    # columns in the first would be moved with all rows.
+    alike, turn, second = Window.partitionBy("h"), F.col("shard").bitwiseXOR(F.col("h")), F.shiftright("at", 32)
+    frequent = stated.withColumn("f", F.sum("c").over(alike)).filter(F.col("f") >= least)
+    summed = frequent.withColumns({"turn": F.min(turn).over(alike), "least": F.min(second).over(alike), "most": F.max(second).over(alike)})
+    return summed.select("shard", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("low"), "c", F.when(
+        F.col("least") != F.col("most"), F.col("c").cast("bigint")).when(turn == F.col("turn"), F.col("f")).alias("f"))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +294,7 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place in range(len(batch)):
             lang, words, bwt, found = (column[place].as_py() if k < 3 else column[place] for k, column in enumerate(batch.columns))
             index = Index(lang, words, bwt)
-            lengths, low, count = (found.values.field(name).to_numpy() for name in ("length", "low", "c"))
+            lengths, low, count = (found.values.field(name).to_numpy() for name in ("length", "low", "f"))
             for length in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == length)
                 for start in range(0, len(mine), STREAM_ROWS // 4):
@@ -286,9 +311,9 @@ def phrase_counts(shard_rows: DataFrame, depth: int, least: int) -> DataFrame:
     kept, levels = None, []
     for length in range(2, depth + 1):
         kept = intervals(shard_rows, length, kept, least)
-        levels.append(kept.withColumn("length", F.lit(length)))
+        levels.append(kept.filter("f is not null").withColumn("length", F.lit(length)))
     lists = reduce(DataFrame.unionByName, levels).groupBy(F.col("shard").alias("s")).agg(
-        F.collect_list(F.struct("length", "low", "c")).alias("found"))
+        F.collect_list(F.struct("length", "low", "f")).alias("found"))
     shape = StructType.fromDDL("lang string, length int, phrase string, c bigint")
     spelled = shard_rows.join(lists, F.col("shard") == F.col("s")).select("lang", "words", "bwt", "found").mapInArrow(_spell, shape)
     single = shard_rows.select("lang", "words", "bwt").mapInArrow(_count_words, shape)

@@ -93,6 +93,26 @@ def test_extension_counts_every_phrase():
             assert found == {g: c for g, c in grams.items() if 0 not in g}
 
 
+def test_a_phrase_is_spelled_by_one_of_its_shards(spark):
+    docs = spark.createDataFrame([(k, "a b c d", "x") for k in range(64)], "doc_id int, text string, lang string").repartition(8)
+    stored = phrase_mining.shards(docs)
+    assert stored.count() > 1
+    found = phrase_mining.intervals(stored, 2, None, 30)
+    assert found.count() == 3 * stored.count()  # every shard goes on from its own intervals
+    assert [r.f for r in found.filter("f is not null").collect()] == [64] * 3
+    counts = {r.phrase: r.f for r in phrase_mining.phrase_counts(stored, 4, 30).collect()}
+    assert counts == dict.fromkeys(["a", "b", "c", "d", "a b", "b c", "c d", "a b c", "b c d", "a b c d"], 64)
+
+
+def test_phrases_of_one_hash_are_told_apart(spark):
+    """Hash 7 has two phrases (second hashes 1 and 2), -9 one with a second hash of the upper half, 8 is rare."""
+    rows = [(7, 1, 3, 20, 0), (7, 2, 4, 15, 1), (-9, 2**32 - 1, 5, 20, 0), (-9, 2**32 - 1, 6, 15, 1 << 33), (8, 1, 7, 29, 0)]
+    stated = spark.createDataFrame([(h, (g - (g >> 31 << 32)) << 32 | low, shard, c) for h, g, low, c, shard in rows], phrase_mining.INTERVALS)
+    found = {(r.shard, r.low, r.c): r.f for r in phrase_mining.often(stated, 30).collect()}
+    assert {k: f for k, f in found.items() if k[1] < 5} == {(0, 3, 20): 20, (1, 4, 15): 15}
+    assert sorted((f or 0 for k, f in found.items() if k[1] > 4)) == [0, 35] and len(found) == 4
+
+
 # --- MinHash
 
 def groups_by_pairs(rows, percent):
