@@ -18,7 +18,9 @@ phrase of ``m`` words is looked for only where its first and its last ``m - 1``
    nearly its count is dropped; it is enough to look one word further, because every longer phrase holds one of those, which
    comes at least as often.
 
-A phrase is at most one row per shard, so no key is hot; shards have a bounded number of words.
+A phrase is at most one row per shard, so no key is hot; shards have a bounded number of words. A task holds one shard at a
+time: rows of shards are stored and sent to workers singly or few together, and the lists of intervals that belong to them are
+made by sorting, of one number an interval.
 
 Defined results: a null text has no words; a null language is ``und``; repeated rows count as often as they come; texts of
 any length go whole, a shard's end never cuts a text unless the text alone is longer than a shard, and then between pieces
@@ -38,15 +40,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from qaspark.llm.common import arrow_rows, pick
+from qaspark.llm.common import arrow_rows, pick, sorted_lists
 from qaspark.session import materialize
 
 #: Words of all open shards of a task (the largest is closed when there are more), and different words of them.
 HELD, HELD_WORDS = 1_500_000, 400_000
 #: A text's pieces are added in runs of this many bytes, between which a shard may be closed.
 RUN_BYTES = 1 << 20
-#: Rows that leave a task at a time, and shards that enter it.
-STREAM_ROWS, SHARDS_AT_ONCE = 200_000, 2
+#: Rows that leave a task at a time, texts and shards that enter it, and shards in a row group of the stored table.
+STREAM_ROWS, TEXTS_AT_ONCE, SHARDS_AT_ONCE, SHARDS_STORED = 200_000, 200, 1, 4
+#: Words whose digests are held at a time.
+HASHED_WORDS = 20_000
 #: Parts of a language that are ranked by themselves first.
 RANK_PARTS = 64
 SHARDS = "shard bigint, lang string, n bigint, words binary, bwt binary"
@@ -100,16 +104,17 @@ def suffix_ranks(ids: np.ndarray) -> np.ndarray:
     """
     count = len(ids)
     sentinel = ids == 0
-    key = np.where(sentinel, np.cumsum(sentinel) - 1, ids.astype(np.int64) + int(sentinel.sum()))
-    order = np.argsort(key, kind="stable")
+    key = np.where(sentinel, np.cumsum(sentinel, dtype=np.int32) - 1, ids + np.int32(sentinel.sum()))
+    order = np.argsort(key, kind="stable").astype(np.int32)
     starts = np.r_[True, np.diff(key[order]) != 0]
-    rank = np.empty(count, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(count), 0))
+    rank = np.empty(count, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(count, dtype=np.int32), 0))
     alone = starts & np.r_[starts[1:], True]
     open_ = order[~alone]
+    del key, order
     step = 1
     while len(open_):
-        key = rank[open_] * count + rank[open_ + step]  # an open suffix has a sentinel after this many words
+        key = rank[open_].astype(np.int64) * count + rank[open_ + step]  # an open suffix has a sentinel after this many words
         by = np.argsort(key, kind="stable")
         open_, key = open_[by], key[by]
         places = np.arange(len(open_))
@@ -137,14 +142,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = open_.pop(lang)
         ids = np.frombuffer(shard.tokens, dtype=np.int32)
         words = b" ".join(shard.ids)  # the first is the mark
+        shard.ids.clear()
         return pa.RecordBatch.from_arrays([
             pa.array([0]), pa.array([lang]), pa.array([int((ids > 0).sum())]), pa.array([words], pa.binary()),
             pa.array([transform(ids).tobytes()], pa.binary())], names=["shard", "lang", "n", "words", "bwt"])
 
     tokens = words = 0
     for batch in batches:
-        for start in range(0, len(batch), 200):
-            part = batch.slice(start, 200)
+        for start in range(0, len(batch), TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
                 for run in _runs(text.as_py()):
                     own = open_.setdefault(lang, _Open())
@@ -164,13 +170,15 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     texts = pick(docs, lang=lang_col, text=text_col).select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     packed = texts.mapInArrow(_pack, StructType.fromDDL(SHARDS))
-    return materialize(packed.withColumn("shard", F.monotonically_increasing_id()), "phrase-shards")
+    numbered = packed.withColumn("shard", F.monotonically_increasing_id())
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        return materialize(numbered, "phrase-shards", {"parquet.block.row.count.limit": str(SHARDS_STORED)})
 
 
 class Index:
     """A shard's index with the operations that extension takes."""
 
-    def __init__(self, lang: str, words: bytes, bwt: bytes):
+    def __init__(self, lang: str, words: bytes, bwt: bytes | pa.Buffer):
         self.lang, self.words = lang, words.split(b" ")
         before = np.frombuffer(bwt, dtype=np.int32)
         self.size = len(before)
@@ -186,16 +194,20 @@ class Index:
 
     def extended(self, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, count) of the phrases one word longer whose first and last part are among the given intervals."""
-        own = np.full(self.size, -1, dtype=np.int32)
-        for_rows = np.repeat(np.arange(len(low), dtype=np.int32), count)
-        own[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(for_rows))] = for_rows
-        rest = np.where(self.first > 0, own[self.then], -1)
-        whole = (own >= 0) & (rest >= 0)
+        edges, begins = np.zeros(self.size + 1, dtype=np.int8), np.zeros(self.size, dtype=bool)
+        edges[low] += 1
+        edges[low + count] -= 1
+        begins[low] = True
+        own = np.cumsum(begins, dtype=np.int32)
+        own[np.cumsum(edges[:-1], dtype=np.int8) == 0] = 0
+        rest = own[self.then]
+        rest[self.first == 0] = 0
+        whole = (own > 0) & (rest > 0)
         new = whole.copy()
         new[1:] &= ~whole[:-1] | (own[1:] != own[:-1]) | (rest[1:] != rest[:-1])
-        low = np.flatnonzero(new)
-        number = np.cumsum(new)[whole]
-        return low, np.bincount(number, minlength=len(low) + 1)[1:]
+        del own, rest
+        low, rows = np.flatnonzero(new).astype(np.int32), np.cumsum(whole, dtype=np.int32)
+        return low, np.diff(np.r_[rows[low] - 1, rows[-1:]])
 
     def word_ids(self, low: np.ndarray, length: int) -> list[np.ndarray]:
         """The ids of the first words of rows, place by place."""
@@ -208,7 +220,11 @@ class Index:
     def word_hashes(self, length: int) -> np.ndarray:
         """Two 64-bit hashes of each word, seeded by the language and the length of phrases."""
         seed = xxhash.xxh64_intdigest(self.lang.encode(), length)
-        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(word, seed) for word in self.words]), dtype=np.uint64).reshape(-1, 2)
+        made = np.empty((len(self.words), 2), dtype=np.uint64)
+        for start in range(0, len(made), HASHED_WORDS):
+            digests = [xxhash.xxh3_128_digest(word, seed) for word in self.words[start:start + HASHED_WORDS]]
+            made[start:start + HASHED_WORDS] = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2)
+        return made
 
     def hashes(self, low: np.ndarray, length: int, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of 64 and 32 bits of phrases with their language, the same in every shard."""
@@ -219,30 +235,37 @@ class Index:
         return h, g >> np.uint64(32)
 
 
-def _state(length: int):
-    """Interval rows of all phrases of a length; shard rows come with the intervals kept at the length before, if any."""
+def _one_by_one(make):
+    """The rows that ``make`` has for each row of the batches; nothing of one row is held while the next one comes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in range(len(batch)):
-                shard, lang, words, bwt = (column[place].as_py() for column in batch.columns[:4])
-                index = Index(lang, words, bwt)
-                before = index.word_intervals() if length == 2 else _ordered(*(column[place] for column in batch.columns[4:]))
-                low, count = index.extended(*before)
-                of_word = index.word_hashes(length)
-                for start in range(0, len(low), STREAM_ROWS):
-                    part, c = low[start:start + STREAM_ROWS], count[start:start + STREAM_ROWS]
-                    h, g = index.hashes(part, length, of_word)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(h.view(np.int64)), pa.array((g << np.uint64(32) | part.astype(np.uint64)).view(np.int64)),
-                        pa.array(np.full(len(part), shard)), pa.array(c.astype(np.int32))], names=["h", "at", "shard", "c"])
+                yield from make(*(column[place] for column in batch.columns))
+            del batch
 
     return run
 
 
-def _ordered(lows: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    low, count = (cell.values.to_numpy().astype(np.int64) for cell in (lows, counts))
-    by = np.argsort(low)
-    return low[by], count[by]
+def _state(length: int):
+    """Interval rows of all phrases of a length; shard rows come with the intervals kept at the length before, if any."""
+    def make(shard, lang, words, bwt, kept=None) -> Iterator[pa.RecordBatch]:
+        index = Index(lang.as_py(), words.as_py(), bwt.as_buffer())
+        low, count = index.extended(*(index.word_intervals() if length == 2 else _unpacked(kept)))
+        of_word = index.word_hashes(length)
+        for start in range(0, len(low), STREAM_ROWS):
+            part, c = low[start:start + STREAM_ROWS], count[start:start + STREAM_ROWS]
+            h, g = index.hashes(part, length, of_word)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(h.view(np.int64)), pa.array((g << np.uint64(32) | part.astype(np.uint64)).view(np.int64)),
+                pa.array(np.full(len(part), shard.as_py())), pa.array(c.astype(np.int32))], names=["h", "at", "shard", "c"])
+
+    return _one_by_one(make)
+
+
+def _unpacked(kept: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(low, count) of the numbers that ``intervals`` packs them in."""
+    packed = kept.values.to_numpy()
+    return (packed >> 32).astype(np.int32), packed.astype(np.int32)
 
 
 def intervals(shard_rows: DataFrame, length: int, kept: DataFrame | None, least: int) -> DataFrame:
@@ -253,11 +276,11 @@ def intervals(shard_rows: DataFrame, length: int, kept: DataFrame | None, least:
     own = shard_rows.select("shard", "lang", "words", "bwt")
     if kept is not None:
         # A shard has a bounded number of words, hence of intervals.
-        lists = kept.groupBy(F.col("shard").alias("s")).agg(F.collect_list(F.struct("low", "c")).alias("l"))
-        own = own.join(lists, F.col("shard") == F.col("s")).select(
-            "shard", "lang", "words", "bwt", F.col("l.low").alias("lows"), F.col("l.c").alias("counts"))
+        packed = F.shiftleft(F.col("low").cast("bigint"), 32).bitwiseOR(F.col("c").cast("bigint"))
+        lists = kept.groupBy(F.col("shard").alias("s")).agg(F.collect_list(packed).alias("kept"))
+        own = own.join(lists, F.col("shard") == F.col("s")).drop("s")
     stated = own.mapInArrow(_state(length), StructType.fromDDL(INTERVALS))
-    with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE):
+    with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE), sorted_lists(shard_rows.sparkSession):
         return materialize(often(stated, least), f"phrases-{length}")
 
 
@@ -276,34 +299,28 @@ def often(stated: DataFrame, least: int) -> DataFrame:
         F.col("least") != F.col("most"), F.col("c").cast("bigint")).when(turn == F.col("turn"), F.col("f")).alias("f"))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for place in range(len(batch)):
-            lang, words, bwt = (column[place].as_py() for column in batch.columns)
-            names = words.decode().split(" ")[1:]  # the first is the mark
-            counts = np.bincount(np.frombuffer(bwt, dtype=np.int32), minlength=len(names) + 1)[1:]
-            for start in range(0, len(names), STREAM_ROWS):
-                part = names[start:start + STREAM_ROWS]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part)), pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part, pa.string()),
-                    pa.array(counts[start:start + STREAM_ROWS])], names=["lang", "length", "phrase", "c"])
-
-
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for place in range(len(batch)):
-            lang, words, bwt, found = (column[place].as_py() if k < 3 else column[place] for k, column in enumerate(batch.columns))
-            index = Index(lang, words, bwt)
-            lengths, low, count = (found.values.field(name).to_numpy() for name in ("length", "low", "f"))
-            for length in np.unique(lengths).tolist():
-                mine = np.flatnonzero(lengths == length)
-                for start in range(0, len(mine), STREAM_ROWS // 4):
-                    part = mine[start:start + STREAM_ROWS // 4]
-                    ids = index.word_ids(low[part], length)
-                    phrases = [b" ".join(map(index.words.__getitem__, row)).decode() for row in zip(*(k.tolist() for k in ids))]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(part)), pa.array(np.full(len(part), length, dtype=np.int32)), pa.array(phrases, pa.string()),
-                        pa.array(count[part].astype(np.int64))], names=["lang", "length", "phrase", "c"])
+def _count_words(lang, words, bwt) -> Iterator[pa.RecordBatch]:
+    names = words.as_py().decode().split(" ")[1:]  # the first is the mark
+    counts = np.bincount(np.frombuffer(bwt.as_buffer(), dtype=np.int32), minlength=len(names) + 1)[1:]
+    for start in range(0, len(names), STREAM_ROWS):
+        part = names[start:start + STREAM_ROWS]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang.as_py()] * len(part)), pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part, pa.string()),
+            pa.array(counts[start:start + STREAM_ROWS])], names=["lang", "length", "phrase", "c"])
+
+
+def _spell(lang, words, bwt, found) -> Iterator[pa.RecordBatch]:
+    index = Index(lang.as_py(), words.as_py(), bwt.as_buffer())
+    lengths, low, count = (found.values.field(name).to_numpy() for name in ("length", "low", "f"))
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        for start in range(0, len(mine), STREAM_ROWS // 4):
+            part = mine[start:start + STREAM_ROWS // 4]
+            ids = index.word_ids(low[part], length)
+            phrases = [b" ".join(map(index.words.__getitem__, row)).decode() for row in zip(*(k.tolist() for k in ids))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([index.lang] * len(part)), pa.array(np.full(len(part), length, dtype=np.int32)), pa.array(phrases, pa.string()),
+                pa.array(count[part].astype(np.int64))], names=["lang", "length", "phrase", "c"])
 
 
 def phrase_counts(shard_rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -315,12 +332,12 @@ def phrase_counts(shard_rows: DataFrame, depth: int, least: int) -> DataFrame:
     lists = reduce(DataFrame.unionByName, levels).groupBy(F.col("shard").alias("s")).agg(
         F.collect_list(F.struct("length", "low", "f")).alias("found"))
     shape = StructType.fromDDL("lang string, length int, phrase string, c bigint")
-    spelled = shard_rows.join(lists, F.col("shard") == F.col("s")).select("lang", "words", "bwt", "found").mapInArrow(_spell, shape)
-    single = shard_rows.select("lang", "words", "bwt").mapInArrow(_count_words, shape)
+    spelled = shard_rows.join(lists, F.col("shard") == F.col("s")).select("lang", "words", "bwt", "found").mapInArrow(_one_by_one(_spell), shape)
+    single = shard_rows.select("lang", "words", "bwt").mapInArrow(_one_by_one(_count_words), shape)
     tables = []
     for rows in (single, spelled):
         summed = rows.groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-        with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE):
+        with arrow_rows(shard_rows.sparkSession, SHARDS_AT_ONCE), sorted_lists(shard_rows.sparkSession):
             tables.append(materialize(summed, "phrase-counts"))
     return tables[0].unionByName(tables[1])
 

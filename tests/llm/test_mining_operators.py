@@ -1,16 +1,20 @@
 """Phrase mining, MinHash near-duplicates and the filter audit against brute force, on odd rows and empty tables."""
 
+import pathlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from qaspark.llm import filter_audit, minhash, phrase_mining, queries
+from qaspark.llm.common import sorted_lists
 from qaspark.llm.components import components
 from qaspark.llm.shingles import text_set
 
@@ -113,6 +117,39 @@ def test_phrases_of_one_hash_are_told_apart(spark):
     assert sorted((f or 0 for k, f in found.items() if k[1] > 4)) == [0, 35] and len(found) == 4
 
 
+def test_one_shard_is_held_at_a_time():
+    """300,000 words of a shard, 60,000 of them different: what a worker allocates over two of them."""
+    ids = (np.arange(300_000, dtype=np.int64) ** 2 % 60_013 % 60_000 + 1).astype(np.int32)
+    ids[9::10] = 0
+    words = b" ".join([b"."] + [b"w%d" % k for k in range(60_000)])
+    bwt = phrase_mining.transform(ids).tobytes()
+    batches = [pa.RecordBatch.from_pydict({"shard": [k], "lang": ["x"], "words": [words], "bwt": [bwt]}) for k in range(2)]
+    tracemalloc.start()
+    try:
+        made = sum(len(batch) for batch in phrase_mining._state(2)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made > 100_000 and peak < 50 * len(ids)
+
+
+def test_shards_are_stored_few_to_a_row_group(spark):
+    docs = spark.createDataFrame([(f"l{k}", "a b") for k in range(10)], "lang string, text string").coalesce(1)
+    files = pathlib.Path(phrase_mining.shards(docs).scratch_path.removeprefix("file:")).glob("*.parquet")
+    sizes = [data.row_group(k).num_rows for data in map(pq.read_metadata, files) for k in range(data.num_row_groups)]
+    assert sum(sizes) == 10 and max(sizes) <= phrase_mining.SHARDS_STORED
+
+
+def test_lists_of_intervals_are_made_by_sorting(spark):
+    """As many lists on the heap as a task has shards would grow with the input."""
+    lists = spark.range(10).groupBy("id").agg(F.collect_list("id").alias("l"))
+    before = spark.conf.get("spark.sql.execution.useObjectHashAggregateExec")
+    with sorted_lists(spark):
+        plan = lists.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "ObjectHash" not in plan
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == before
+
+
 # --- MinHash
 
 def groups_by_pairs(rows, percent):
